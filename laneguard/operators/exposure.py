@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from laneguard.functions.numeric import risk_level, stable_round, survival
@@ -131,3 +132,22 @@ def lane_exposure(events: DataFrame, hits: DataFrame, lanes: DataFrame) -> DataF
             F.col("top.reason").alias("top_reason"),
         )
     )
+
+
+def top_contributions(events: DataFrame, hits: DataFrame, k: int) -> DataFrame:
+    """The k strongest contributions per lane: lane_id, event_id, via, weight, rank.
+
+    On one lane all events of a node list match in the same way, so only the k strongest events of a list
+    can be among the k strongest of a lane. Lists are cut to those first; Spark applies such a rank limit
+    before its shuffle too, so a list with a third of all events sends k rows per task.
+    """
+
+    def strongest(weight: Column, matching: DataFrame) -> DataFrame:
+        w = W.partitionBy("node_ids").orderBy(F.desc("weight"), "event_id")
+        cut = events.select("node_ids", "event_id", weight.alias("weight")).withColumn("r", F.row_number().over(w))
+        return cut.filter(F.col("r") <= k).join(matching, "node_ids").select("lane_id", "event_id", "via", "weight")
+
+    direct = strongest(direct_weight(), hits.filter("kind <> 'country'"))
+    country = strongest(country_weight(), hits.filter("kind = 'country'"))
+    w = W.partitionBy("lane_id").orderBy(F.desc("weight"), "event_id")
+    return direct.unionByName(country).withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)

@@ -85,6 +85,35 @@ def _window_days(windows: DataFrame) -> DataFrame:
     return windows.select("window_id", "target_nodes", F.explode(F.sequence("start", "end")).alias("day"))
 
 
+def visible_per_day(events: DataFrame, windows: DataFrame, lookback_days: int) -> DataFrame:
+    """(window_id, day): how many events are visible and the smallest id, for days that see any."""
+    per_bucket = events.groupBy(day_bucket(F.col("published")).alias("bucket")).agg(
+        F.count(F.lit(1)).alias("n"), F.min("event_id").alias("first_event")
+    )
+    return (
+        per_bucket.withColumn("day", _visible_days(lookback_days))
+        .join(_window_days(windows), "day")
+        .groupBy("window_id", "day")
+        .agg(F.sum("n").alias("n_events"), F.min("first_event").alias("first_event"))
+    )
+
+
+def node_signal(events: DataFrame, days: DataFrame, lookback_days: int) -> DataFrame:
+    """Sliding noisy-OR per node and day: one partial result per (node, publication day), then the lookback."""
+    per_bucket = (
+        events.select(F.explode("node_ids").alias("node"), day_bucket(F.col("published")).alias("bucket"),
+                      direct_weight().alias("w"))
+        .groupBy("node", "bucket")
+        .agg(survival(F.col("w")).alias("s"), F.count(F.lit(1)).alias("n"))
+    )
+    return (
+        per_bucket.withColumn("day", _visible_days(lookback_days))
+        .join(days, "day")
+        .groupBy("node", "day")
+        .agg(stable_round(F.lit(1.0) - F.product("s"), 3).alias("score"), F.sum("n").alias("n_events"))
+    )
+
+
 def _stories_v1(events: DataFrame, hits: DataFrame) -> DataFrame:
     """(lane_id, via, bucket, s, n): events combined per (day, node list), then spread to lanes."""
     per_list = (

@@ -9,8 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from laneguard.functions.numeric import stable_round
-from laneguard.operators import exposure, network
-from laneguard.operators.replay import Disruption, Params, Spec
+from laneguard.operators import brief, exposure, network
+from laneguard.operators.replay import Disruption, Params, Spec, replay
 from laneguard.session import materialize
 
 AS_OF = dt.datetime(2024, 1, 21, 12, 0, 0)
@@ -182,3 +182,65 @@ class Domain:
     @cached_property
     def windows(self) -> DataFrame:
         return SPEC.windows(self.spark)
+
+    def signals(self, scoring: str) -> DataFrame:
+        return replay(self.alarms, self.hits, self.lanes, self.windows, SPEC.params, scoring)
+
+    # --- weather and brief ------------------------------------------------------------------
+
+    @cached_property
+    def weather_arrays(self) -> DataFrame:
+        """Daily maxima per node as parallel arrays, the way a forecast service delivers them."""
+        top = F.max("value")
+        daily = (
+            self.table("events")
+            .groupBy((F.col("user_id") % NODES_IN_NETWORK).cast("int").alias("k"), F.to_date("ts").alias("day"))
+            .agg((top / 4.0).alias("wind"), (top / 3.0).alias("gust"),
+                 F.when(F.count(F.lit(1)) % 3 != 0, top / 6.0).alias("rain"))
+            .join(self.keyed_nodes.select("k", "node_id"), "k")
+        )
+        days = F.array_sort(F.collect_list(F.struct("day", "wind", "gust", "rain")))  # one entry per calendar day
+        return daily.groupBy("node_id").agg(days.alias("d")).select(
+            "node_id", F.col("d.day").alias("time"), F.col("d.wind").alias("wind"), F.col("d.gust").alias("gust"),
+            F.col("d.rain").alias("rain"),
+        )
+
+    @cached_property
+    def touched(self) -> DataFrame:
+        return brief.touched_nodes(self.visible, self.hits)
+
+    @cached_property
+    def avoid(self) -> DataFrame:
+        return brief.avoid_lists(self.touched, self.lanes)
+
+    @cached_property
+    def actions(self) -> DataFrame:
+        return materialize(
+            brief.mitigations(self.touched, self.lanes, self.routes, self.nodes, self.neighbours), "mitigations"
+        )
+
+    @cached_property
+    def draft_lanes(self) -> DataFrame:
+        """A writer's draft: some lanes left out, shifted or named twice, and one invented lane per supplier."""
+        a = F.substring("origin", 3, 3).cast("int")
+        b = F.substring("destination", 3, 3).cast("int")
+        repeats = F.when((a + b * 2) % 7 == 0, F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(1)))
+        real = (
+            self.lanes.join(self.risk.select("lane_id", "exposure_score"), "lane_id")
+            .filter((a + b) % 3 != 0)
+            .select("lane_id", F.when((a * b) % 5 == 1, F.col("exposure_score") + 0.1).otherwise(F.col("exposure_score")).alias("exposure_score"),
+                    F.explode(repeats).alias("pos"))
+        )
+        invented = self.table("supplier").select(
+            F.concat(F.lit("XX-"), F.col("s_suppkey").cast("string")).alias("lane_id"), F.lit(0.5).alias("exposure_score"), F.lit(1).alias("pos")
+        )
+        return real.unionByName(invented)
+
+    @cached_property
+    def grounded(self) -> DataFrame:
+        return brief.ground_lanes(self.draft_lanes, self.risk, self.lanes)
+
+    @cached_property
+    def draft_cites(self) -> DataFrame:
+        cited = self.table("events").filter("event_type IN ('error', 'view')")
+        return cited.select(F.concat(F.lit("E"), F.lpad(F.col("event_id").cast("string"), 12, "0")).alias("event_id"))

@@ -35,6 +35,9 @@ def compose(needs, final: str) -> str:
     if not order:
         return final
     ctes = ",\n".join(f"{n.split('(')[0]} AS ({VIEWS[n][1]})" for n in order)
+    final = final.strip()
+    if final.startswith("WITH "):
+        return f"WITH RECURSIVE {ctes},\n{final[5:]}"
     return f"WITH RECURSIVE {ctes}\n{final}"
 
 
