@@ -9,7 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from laneguard.functions.numeric import stable_round
-from laneguard.operators import brief, exposure, network
+from laneguard import schemas
+from laneguard.functions import text as tx
+from laneguard.operators import brief, evaluation, exposure, extraction, linking, network
 from laneguard.operators.replay import Disruption, Params, Spec, replay
 from laneguard.session import materialize
 
@@ -25,6 +27,17 @@ SPEC = Spec(
     primary_lane="RB001-RC002",
     secondary_lane_focus=("africa_asia", "asia_africa"),
 )
+# Keyword rules over the vocabulary of the documents.
+DOC_RULES = extraction.Rules(
+    types=(
+        ("conflict_or_attack", ("thanea", "attion")), ("labor_strike", ("ertion", "erwh")), ("severe_weather", ("onnd", "erea")),
+        ("port_congestion", ("quevi", "ouvi")), ("port_closure", ("zent", "schei")),
+    ),
+    places=(("thnt", "RA", "RA000"), ("eron", "RB", None), ("onan", "RC", "RC002"), ("mentre", None, None), ("en-der", "RD", None)),
+    severity=((5, ("whwh", "thth")), (4, ("erer",)), (3, ("anan", "tre"))),
+)
+ADJECTIVES = ("blue", "cold", "hot", "large", "new", "old", "red", "small")
+NOUNS = ("anvil", "bolt", "gear", "gizmo", "plate", "ring", "rod", "widget")
 NODES_IN_NETWORK = 25  # fixed by the nation table
 
 
@@ -244,3 +257,187 @@ class Domain:
     def draft_cites(self) -> DataFrame:
         cited = self.table("events").filter("event_type IN ('error', 'view')")
         return cited.select(F.concat(F.lit("E"), F.lpad(F.col("event_id").cast("string"), 12, "0")).alias("event_id"))
+
+    # --- news -------------------------------------------------------------------------------
+
+    @cached_property
+    def pages(self) -> DataFrame:
+        """Raw pages with a headline slug in the URL and a publication time."""
+        title = F.regexp_extract("html", "<title>(.*?)</title>", 1)
+        slug = F.regexp_replace(F.lower(title), "[^a-z]+", "-")
+        site = F.regexp_extract("url", "^(https?://[^?#]*)", 1)
+        return self.table("pages").select(
+            "page_id", "url", "html", title.alias("raw_title"), F.concat(site, F.lit("/"), slug, F.lit(".html")).alias("news_url"),
+            (F.lit(dt.datetime(2024, 1, 1)).cast("timestamp_ntz")
+             + F.make_dt_interval((F.col("page_id") % 30).cast("int"), (F.col("page_id") % 24).cast("int"))).alias("published"),
+        )
+
+    @cached_property
+    def fresh(self) -> DataFrame:
+        """Pages as news items."""
+        url = F.col("news_url")
+        return self.pages.select(
+            tx.item_id(url).alias("id"), tx.clean_html(F.col("raw_title")).alias("title"),
+            F.substring(tx.clean_html(F.col("html")), 1, tx.SUMMARY_MAX_CHARS).alias("summary"), url.alias("url"),
+            tx.publisher(url).alias("source"), "published", F.when(F.col("page_id") % 3 == 0, "rss").otherwise("gdelt_doc").alias("origin"),
+            F.substring(F.regexp_extract("html", 'lang="([^"]*)"', 1), 1, 2).alias("language"), F.lit(None).cast("string").alias("source_country"),
+        )
+
+    @cached_property
+    def stored(self) -> DataFrame:
+        """The store before the merge: upper-case copies of fresh URLs, a day older, and items of its own."""
+        url = F.concat(F.lit(" "), F.upper("news_url"))
+        older = F.col("published") - F.expr("INTERVAL 1 DAY")
+        base = self.pages.select(url.alias("url"), older.alias("published"), "raw_title", "page_id")
+        own = self.pages.select(F.concat("news_url", F.lit("?old")).alias("url"), older.alias("published"), "raw_title", "page_id")
+        return base.unionByName(own).select(
+            tx.item_id(F.col("url")).alias("id"), F.concat(F.lit("stored "), F.col("page_id").cast("string")).alias("title"), F.lit("").alias("summary"), "url",
+            F.lower(tx.publisher(F.lower(tx.strip(F.col("url"))))).alias("source"), "published", F.lit("manual").alias("origin"), F.lit("en").alias("language"),
+            F.lit(None).cast("string").alias("source_country"),
+        )
+
+    @cached_property
+    def doc_items(self) -> DataFrame:
+        """Documents as news items: the first 80 characters are the title, the rest the text."""
+        return self.table("documents").select(
+            F.concat(F.lit("D"), F.lpad(F.col("doc_id").cast("string"), 10, "0")).alias("id"), F.substring("text", 1, 80).alias("title"),
+            F.expr("substring(text, 81)").alias("summary"), F.concat(F.lit("https://docs.example.com/"), F.col("doc_id").cast("string")).alias("url"),
+            "source", (F.lit(dt.datetime(2024, 1, 1)).cast("timestamp_ntz") + F.make_dt_interval((F.col("doc_id") % 30).cast("int"))).alias("published"),
+            F.lit("manual").alias("origin"), F.col("lang").alias("language"), F.lit(None).cast("string").alias("source_country"),
+        )
+
+    @cached_property
+    def records(self) -> DataFrame:
+        """Keyword records of all documents; one publisher is missing and one language failed."""
+        items = self.doc_items.filter("source <> 'src7'")
+        made = extraction.keyword_records(items, DOC_RULES, text=tx.news_text(F.col("title"), F.col("summary")))
+        bad = items.filter("language = 'es'").select(F.col("id").alias("news_id"), F.lit(True).alias("bad"))
+        joined = made.join(bad, "news_id", "left")
+        return joined.select(
+            "news_id", "model", "prompt_version", F.when(F.col("bad"), "failed").otherwise("ok").alias("status"),
+            (F.col("bad").isNull() & F.col("is_disruption")).alias("is_disruption"),
+            F.when(F.col("bad"), F.filter("events", lambda e: F.lit(False))).otherwise(F.col("events")).alias("events"),
+            F.when(F.col("bad"), "no valid JSON object").alias("error"),
+        )
+
+    @cached_property
+    def gold(self) -> DataFrame:
+        lang = F.col("lang")
+        event = lambda t, loc, cc, port, sev: F.struct(
+            t.alias("event_type"), loc.alias("location"), cc.alias("country_code"), port.alias("port_code"), sev.cast("int").alias("severity")
+        )
+        none = F.lit(None).cast("string")
+        main = event(
+            F.when(F.col("toxic") == 1, "conflict_or_attack").otherwise("labor_strike"),
+            F.when(lang == "en", "Port of Thnt").when(lang == "fr", "The Mentre").when(lang == "de", "Eron").otherwise("Onan"),
+            F.when(lang == "en", "RA").when(lang == "de", "RB"), F.when(lang == "en", "RA000"), F.col("doc_id") % 5 + 1,
+        )
+        second = event(F.lit("severe_weather"), F.lit("Onan"), F.lit("RC"), none, F.lit(None))
+        events = F.when(F.col("quality") != 1, F.array().cast(evaluation.EVENT_CELLS)).when(F.col("doc_id") % 3 == 0, F.array(main, second)).otherwise(F.array(main))
+        who = F.element_at(F.array(F.lit("accepted"), F.lit("edited"), F.lit("manual"), none), (F.col("doc_id") % 4 + 1).cast("int"))
+        return self.table("labels").join(self.table("documents").select("doc_id", "lang"), "doc_id").select(
+            F.concat(F.lit("D"), F.lpad(F.col("doc_id").cast("string"), 10, "0")).alias("news_id"), (F.col("quality") == 1).alias("is_disruption"),
+            events.alias("events"), who.alias("label_source"),
+        )
+
+    @cached_property
+    def scored_pairs(self) -> DataFrame:
+        return evaluation.joined_predictions(self.gold, self.records)
+
+    @cached_property
+    def sheet(self) -> DataFrame:
+        """Labelling sheet: one row per document, labels where a person gave any, some as unconfirmed drafts."""
+        labels = self.gold.select("news_id", "is_disruption", "events", "label_source")
+        base = self.doc_items.select(
+            F.col("id").alias("news_id"), "source", F.date_format("published", "yyyy-MM-dd").alias("published"), "title", F.lit("").alias("text"), "url"
+        )
+        rows = base.join(labels, "news_id", "left").select("*", F.posexplode_outer("events").alias("nth", "e"))
+        text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
+        made = {
+            "is_disruption": F.when(F.col("is_disruption").isNull(), " ").when(F.col("is_disruption"), " Yes ").otherwise("no"),
+            "event_type": text("e.event_type"), "location": text("e.location"), "country_code": text("e.country_code"), "port_code": text("e.port_code"),
+            "severity": text("e.severity"), "notes": F.lit(""),
+            "label_source": F.when(F.col("source") == "src3", evaluation.DRAFT_ONLY).otherwise(text("label_source")), "draft_model": F.lit(""),
+        }
+        return rows.select(*[(made[c] if c in made else F.col(c)).alias(c) for c in schemas.SHEET_COLUMNS], F.coalesce("nth", F.lit(0)).alias("pos"))
+
+    @cached_property
+    def replies(self) -> DataFrame:
+        """Model replies built from every event: clean, fenced, chatty or cut off, some outside the schema."""
+        ev = F.col("event_id")
+        pick = lambda words, c: F.element_at(F.array(*[F.lit(w) for w in words]), (c % len(words) + 1).cast("int"))
+        raw = self.table("events").select(
+            "event_id", "event_type", "value", (F.col("value") > 10).alias("flag"),
+            pick(("strike", " Severe Weather", "port-closure", "piracy", "volcano", "other"), ev).alias("type"),
+            pick(("ra", "N/A", "", "RAX"), F.col("user_id")).alias("country"), pick(("RA 000", "null", "RB001", "R1"), F.col("user_id") + ev).alias("port"),
+            (ev % 7).cast("int").alias("severity"), pick(("unknown", "2024-01-05", "", "2024-13-01", "2024-02-29"), ev).alias("start"),
+            F.floor(F.col("value") * 100).alias("hundredths"), "ts",
+        )
+        body = F.format_string(
+            '{"is_disruption": %s, "events": [{"event_type": "%s", "location": "Place %d", "country_code": "%s", "port_code": "%s", '
+            '"severity": %d, "start_date": "%s", "end_date": null, "industries": [" Auto ", "pharma", "AUTO", ""], "summary": "s", '
+            '"confidence": %d.%02d}]}',
+            F.col("flag").cast("string"), "type", "event_id", "country", "port", "severity", "start",
+            F.floor(F.col("hundredths") / 10000), F.col("hundredths") % 100,
+        )
+        reply = (
+            F.when(F.col("event_type") == "view", F.concat(F.lit("```json\n"), body, F.lit("\n```")))
+            .when(F.col("event_type") == "purchase", F.concat(F.lit("Sure, here it is:\n"), body, F.lit("\nDone.")))
+            .when(F.col("event_type") == "signup", F.expr("'{\"is_disruption\": true, \"events\": [{\"event_type\": '"))
+            .otherwise(body)
+        )
+        return raw.select(
+            F.concat(F.lit("E"), F.lpad(ev.cast("string"), 12, "0")).alias("id"), F.lit("https://replies.example.com/").alias("url"), F.lit("replies").alias("source"),
+            F.col("ts").alias("published"), reply.alias("reply"), "type", "country", "port", "severity", "start", "hundredths", "flag", "event_type",
+        )
+
+    # --- places -----------------------------------------------------------------------------
+
+    @cached_property
+    def named_nodes(self) -> DataFrame:
+        """Nodes named after parts: the names that mentions use."""
+        k = F.col("k")
+        word = lambda words, i: F.element_at(F.array(*[F.lit(w) for w in words]), (i % 8 + 1).cast("int"))
+        eighth = F.floor(k / 8)
+        return self.keyed_nodes.select(
+            k.alias("pos"), "node_id", "kind", "country_code", F.concat_ws(" ", word(ADJECTIVES, k), word(NOUNS, k + eighth)).alias("name"),
+            F.array(F.concat_ws(" ", word(ADJECTIVES, k + 1), word(NOUNS, k + eighth + 4))).alias("aliases"),
+        )
+
+    @cached_property
+    def aliases(self) -> DataFrame:
+        ports, waypoints = self.named_nodes.filter("kind = 'port'"), self.named_nodes.filter("kind <> 'port'")
+        noun = F.element_at(F.array(*[F.lit(w) for w in NOUNS]), (F.col("pos") % 8 + 1).cast("int"))
+        extra = self.named_nodes.filter("pos IN (0, 4, 7, 23)").select("pos", noun.alias("alias"), "node_id")
+        return materialize(linking.alias_table(ports, waypoints, extra), "aliases")
+
+    @cached_property
+    def link_ports(self) -> DataFrame:
+        return self.nodes.filter("kind = 'port'").select("node_id", "country_code")
+
+    @cached_property
+    def mentions(self) -> DataFrame:
+        """Every part name as a place mention: prefixed, misspelt, embedded, accented, upper-case or plain."""
+        size, name = F.col("p_size"), F.col("p_name")
+        code = lambda c: F.concat(F.lit("R"), F.char(c % 5 + 65))
+        return self.table("part").select(
+            F.col("p_partkey").alias("mention_id"),
+            F.when(size % 6 == 0, F.concat(F.lit("Port of "), name))
+            .when(size % 6 == 1, F.concat(F.substring(name, 1, 3), F.expr("substring(p_name, 5)")))
+            .when(size % 6 == 2, F.concat(F.lit("near the "), name, F.lit(" coast")))
+            .when(size % 6 == 3, F.replace(name, F.lit("o"), F.lit("ö"))).when(size % 6 == 4, F.upper(name)).otherwise(name).alias("location"),
+            F.when(size % 4 == 0, None).when(size % 11 == 0, "ZZ").otherwise(code(size)).alias("country_code"),
+            F.when(size % 7 == 0, F.concat(code(size % 25), F.lpad((size % 25).cast("string"), 3, "0"))).when(size % 7 == 1, "ZZ999").alias("port_code"),
+        )
+
+    @cached_property
+    def places(self) -> DataFrame:
+        return materialize(linking.distinct_places(self.mentions), "places")
+
+    @cached_property
+    def links(self) -> DataFrame:
+        return linking.link_places(self.places, self.link_ports, self.aliases, measure="edit")
+
+    @cached_property
+    def linked_mentions(self) -> DataFrame:
+        return linking.link_mentions(self.mentions, self.links, self.places)

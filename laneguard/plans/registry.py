@@ -10,7 +10,7 @@ from laneguard.plans.domain import Domain
 from laneguard.plans.sql_views import compose
 
 QUERIES: dict[str, Callable[[Domain], DataFrame]] = {}
-CHECKS: dict[str, str] = {}
+CHECKS: dict[str, tuple[tuple[str, ...], str]] = {}
 
 
 def query(name: str, sql: str | None = None, needs: tuple[str, ...] | list[str] = ()):
@@ -21,7 +21,7 @@ def query(name: str, sql: str | None = None, needs: tuple[str, ...] | list[str]
             raise ValueError(f"query {name} registered twice")
         QUERIES[name] = fn
         if sql is not None:
-            CHECKS[name] = compose(needs, sql)
+            CHECKS[name] = (tuple(needs), sql)
         return fn
 
     return keep
@@ -29,3 +29,7 @@ def query(name: str, sql: str | None = None, needs: tuple[str, ...] | list[str]
 
 def bind(fn: Callable[[Domain], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
     return lambda spark, sf_dir: fn(Domain(spark, sf_dir))
+
+
+def check_sql() -> dict[str, str]:
+    return {name: compose(needs, sql) for name, (needs, sql) in CHECKS.items()}
