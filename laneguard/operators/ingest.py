@@ -43,14 +43,13 @@ def sample_round_robin(items: DataFrame, per_source: int = 12, total: int = 72)
 
 def word_grams(words: Column, longest: int) -> Column:
     """All runs of 1..longest neighbouring words."""
-    grams = [
-        F.when(
-            F.size(words) >= n,
-            F.transform(F.sequence(F.lit(1), F.size(words) - (n - 1)), lambda i, n=n: F.array_join(F.slice(words, i, n), " ")),
-        ).otherwise(F.array().cast("array<string>"))
-        for n in range(1, longest + 1)
-    ]
-    return F.array_distinct(F.concat(*grams)) if len(grams) > 1 else F.array_distinct(grams[0])
+
+    def runs(n: int) -> Column:
+        starts = F.sequence(F.lit(1), F.size(words) - (n - 1))
+        at = F.transform(starts, lambda i: F.array_join(F.slice(words, i, n), " "))
+        return F.when(F.size(words) >= n, at).otherwise(F.array().cast("array<string>"))
+
+    return F.array_distinct(F.concat(*[runs(n) for n in range(1, longest + 1)]))
 
 
 def mentions_place(items: DataFrame, names: DataFrame, column: str = "title") -> DataFrame:

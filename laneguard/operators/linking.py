@@ -18,6 +18,7 @@ from laneguard.functions.numeric import stable_round
 from laneguard.functions.text import link_name
 from laneguard.operators.ingest import word_grams
 from laneguard.operators.network import country_node
+from laneguard.session import materialize
 
 FUZZY_THRESHOLD = 0.85
 MIN_WITHIN_LEN = 4
@@ -138,23 +139,42 @@ def distinct_places(mentions: DataFrame) -> DataFrame:
 
 
 def link_places(places: DataFrame, ports: DataFrame, aliases: DataFrame, measure: str = "difflib") -> DataFrame:
-    """place_id, node_id, method, score, matched_alias: every place once, unlinked ones with method none."""
-    found = by_port_code(places, ports)
-    rest = places.join(found, "place_id", "left_anti")
-    for rule in (
-        lambda r: by_exact_alias(r, aliases),
-        lambda r: by_alias_within(r, aliases),
-        lambda r: by_similar_alias(r, aliases, measure),
-        lambda r: by_country(r, ports),
-    ):
-        hit = rule(rest)
-        found = found.unionByName(hit)
-        rest = rest.join(hit, "place_id", "left_anti")
-    none = rest.select(
-        "place_id", F.lit(None).cast("string").alias("node_id"), F.lit("none").alias("method"), F.lit(0.0).alias("score"),
-        F.lit(None).cast("string").alias("matched_alias"),
+    """place_id, node_id, method, score, matched_alias: every place once, unlinked ones with method none.
+
+    Port code, exact alias and country are equality lookups in small tables and are answered together in
+    one pass. The two text searches run only on what is still open, and each intermediate state is written
+    once, so that no rule is evaluated twice.
+    """
+
+    def tagged(hit: DataFrame, name: str) -> DataFrame:
+        return hit.select("place_id", F.struct("node_id", "method", "score", "matched_alias").alias(name))
+
+    looked_up = (
+        places.select("place_id", "loc", "country_code", "port_code")
+        .join(ports.select(F.col("node_id").alias("port_code"), F.col("country_code").alias("port_country")), "port_code", "left")
+        .join(aliases.select(F.col("alias").alias("loc"), F.col("node_id").alias("exact")), "loc", "left")
+        .join(ports.select("country_code", F.lit(True).alias("owner")).distinct(), "country_code", "left")
+    )
+    no_country = F.col("country_code").isNull() | (F.col("country_code") == "")
+    by_code = F.col("port_country").isNotNull() & (no_country | (F.col("country_code") == F.col("port_country")))
+    link = lambda node, method, alias: F.struct(
+        node.alias("node_id"), F.lit(method).alias("method"), F.lit(1.0).alias("score"), alias.cast("string").alias("matched_alias")
+    )
+    direct = F.when(by_code, link(F.col("port_code"), "port_code", F.lit(None))).when(
+        F.col("exact").isNotNull(), link(F.col("exact"), "alias_exact", F.col("loc"))
     )
-    return found.unionByName(none)
+    state = materialize(looked_up.select("place_id", "loc", "country_code", "owner", direct.alias("link")), "links")
+    for rule in (lambda r: by_alias_within(r, aliases), lambda r: by_similar_alias(r, aliases, measure)):
+        hit = tagged(rule(state.filter("link IS NULL")), "hit")
+        state = materialize(
+            state.join(hit, "place_id", "left").withColumn("link", F.coalesce("link", "hit")).drop("hit"), "links"
+        )
+    owner = F.when(F.col("owner"), F.struct(
+        country_node(F.col("country_code")).alias("node_id"), F.lit("country").alias("method"), F.lit(COUNTRY_SCORE).alias("score"),
+        F.lit(None).cast("string").alias("matched_alias")))
+    none = F.struct(F.lit(None).cast("string").alias("node_id"), F.lit("none").alias("method"), F.lit(0.0).alias("score"),
+                    F.lit(None).cast("string").alias("matched_alias"))
+    return state.select("place_id", F.coalesce("link", owner, none).alias("l")).select("place_id", "l.*")
 
 
 def link_mentions(mentions: DataFrame, links: DataFrame, places: DataFrame) -> DataFrame:
