@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from laneguard.plans import graph_queries, text_queries  # noqa: F401
+from laneguard.plans import graph_queries, order_queries, text_queries  # noqa: F401
 from laneguard.plans.registry import QUERIES, bind, check_sql
 
 __all__ = ["QUERIES", "bind", "check_sql"]

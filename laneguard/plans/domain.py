@@ -11,12 +11,14 @@ from pyspark.sql import functions as F
 from laneguard.functions.numeric import stable_round
 from laneguard import schemas
 from laneguard.functions import text as tx
-from laneguard.operators import brief, evaluation, exposure, extraction, linking, network
+from laneguard.operators import brief, evaluation, exposure, extraction, forecast, history, linking, network
 from laneguard.operators.replay import Disruption, Params, Spec, replay
 from laneguard.session import materialize
 
 AS_OF = dt.datetime(2024, 1, 21, 12, 0, 0)
 LOOKBACK_DAYS = 14
+VALID_START, TEST_START = dt.datetime(1999, 1, 1), dt.datetime(2000, 1, 1)
+ROW_KEY = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
 SPEC = Spec(
     params=Params(lookback_days=7, threshold=0.5, window_before_days=10, window_after_days=3),
     disruptions=(
@@ -441,3 +443,62 @@ class Domain:
     @cached_property
     def linked_mentions(self) -> DataFrame:
         return linking.link_mentions(self.mentions, self.links, self.places)
+
+    # --- orders -----------------------------------------------------------------------------
+
+    @cached_property
+    def orders(self) -> DataFrame:
+        """Order lines with their outcome: scheduled days from the priority, real days from the line number."""
+        nation = self.table("nation").join(self.table("region"), F.col("n_regionkey") == F.col("r_regionkey")).select(
+            F.col("n_nationkey").alias("c_nationkey"), F.col("n_name").alias("order_country"), F.col("r_name").alias("order_region")
+        )
+        customer = self.table("customer").select("c_custkey", "c_nationkey", "c_mktsegment").join(nation, "c_nationkey")
+        head = self.table("orders").join(customer, F.col("o_custkey") == F.col("c_custkey")).select(
+            F.col("o_orderkey").alias("l_orderkey"), (F.col("o_orderdate") + F.make_dt_interval(F.lit(0), (F.col("o_orderkey") % 24).cast("int"))).alias("order_date"),
+            F.col("o_orderpriority").alias("shipping_mode"), "order_country", "order_region", F.col("c_mktsegment").alias("customer_segment"),
+            F.col("o_orderstatus").alias("payment_type"),
+        )
+        lines = self.table("lineitem").select(
+            "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount", "l_returnflag", "l_linestatus"
+        )
+        scheduled = F.substring("shipping_mode", 1, 1).cast("int")
+        rows = lines.join(head, "l_orderkey").select(
+            "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "order_date", F.col("l_linenumber").alias("days_real"), scheduled.alias("days_scheduled"),
+            (F.col("l_linenumber") > scheduled).cast("int").alias("late"), "shipping_mode", F.col("order_region").alias("market"), "order_region", "order_country",
+            "customer_segment", F.col("l_returnflag").alias("category"), F.col("l_linestatus").alias("department"), "payment_type",
+            F.col("l_quantity").alias("quantity"), (F.col("l_extendedprice") / F.col("l_quantity")).alias("unit_price"), F.col("l_discount").alias("discount_rate"),
+            F.col("l_extendedprice").alias("sales"),
+        )
+        return history.prepare(rows)
+
+    @cached_property
+    def dataset(self) -> DataFrame:
+        """Orders with history and split; written once, because several passes read it."""
+        return materialize(history.build_dataset(self.orders, VALID_START, TEST_START), "dataset")
+
+    @cached_property
+    def train(self) -> DataFrame:
+        return self.dataset.filter("split = 'train'")
+
+    @cached_property
+    def train_share(self) -> float:
+        return float(self.train.agg(F.avg("late")).first()[0])
+
+    @cached_property
+    def defaults(self) -> dict:
+        """Typical feature values: one row per feature."""
+        typical = {r["name"]: r["value"] for r in forecast.modes(self.train).collect()}
+        return typical | {r["name"]: r["value"] for r in forecast.medians(self.train).collect()}
+
+    @cached_property
+    def lane_countries(self) -> DataFrame:
+        """lane -> country of its destination, by name."""
+        names = self.nodes.select(F.col("node_id").alias("destination"), F.col("name").alias("order_country"))
+        return self.lanes.join(names, "destination").select("lane_id", "order_country")
+
+    @cached_property
+    def what_if(self) -> DataFrame:
+        share = self.train_share
+        days = {"1-URGENT": 1, "2-HIGH": 2, "3-MEDIUM": 3, "5-LOW": 5, "9-NEVER": 4}
+        return forecast.what_if_orders(self.lane_countries, forecast.country_regions(self.train), forecast.final_history(self.train, share),
+                                       self.defaults, share, days)
