@@ -30,8 +30,11 @@ LOGISTICS_PHRASES = ("red-sea", "supply-chain", "bab-el-mandeb", "ever-given", "
 SLUG_STOPWORDS = ("news", "article", "story", "index", "html", "htm", "amp", "www")
 
 
+_SPACES = "".join(chr(c) for c in range(0x3001) if chr(c).isspace())
+
+
 def strip(c: Column) -> Column:
-    return F.regexp_replace(c, f"^{SPACE}+|{SPACE}+$", "")
+    return F.btrim(c, F.lit(_SPACES))
 
 
 def squeeze(c: Column) -> Column:

@@ -17,6 +17,7 @@ from laneguard.operators.history import CATEGORICAL, HISTORY, HISTORY_KEYS, NUME
 
 SCORE_BUCKETS = 4096
 MIN_CATEGORY_ROWS = 50
+MAX_INLINE_CATEGORIES = 5000
 RARE = "(rare)"
 # Scheduled days of a shipping mode in a what-if order.
 TYPICAL_SCHEDULED_DAYS = {"Standard Class": 4, "Second Class": 2, "First Class": 1, "Same Day": 0}
@@ -92,12 +93,25 @@ def mode_history_scores(data: DataFrame) -> DataFrame:
 # --- models -----------------------------------------------------------------------------------------
 
 
-def fold_rare(data: DataFrame, train: DataFrame) -> DataFrame:
-    """Categories with fewer than 50 training rows, and unseen ones, become one value."""
+def common_categories(train: DataFrame) -> DataFrame:
+    """name, value: categories with at least 50 training rows, for all columns in one pass."""
+    pairs = F.array(*[F.struct(F.lit(c).alias("name"), F.col(c).alias("value")) for c in CATEGORICAL])
+    return train.select(F.inline(pairs)).groupBy("name", "value").count().filter(F.col("count") >= MIN_CATEGORY_ROWS).drop("count")
+
+
+def fold_rare(data: DataFrame, common: DataFrame) -> DataFrame:
+    """Categories outside ``common`` (rare or unseen) become one value.
+
+    A list of checked size is tested inside the row; a longer one is joined.
+    """
+    known = common.limit(MAX_INLINE_CATEGORIES + 1).collect()
+    if len(known) <= MAX_INLINE_CATEGORIES:
+        lists = {c: [r["value"] for r in known if r["name"] == c] for c in CATEGORICAL}
+        return data.withColumns({c: F.when(F.col(c).isin(*lists[c]), F.col(c)).otherwise(RARE) for c in CATEGORICAL})
     out = data
     for c in CATEGORICAL:
-        common = train.groupBy(c).count().filter(F.col("count") >= MIN_CATEGORY_ROWS).select(c, F.lit(True).alias("common"))
-        out = out.join(common, c, "left").withColumn(c, F.when(F.col("common"), F.col(c)).otherwise(RARE)).drop("common")
+        table = common.filter(F.col("name") == c).select(F.col("value").alias(c), F.lit(True).alias("common"))
+        out = out.join(table, c, "left").withColumn(c, F.when(F.col("common"), F.col(c)).otherwise(RARE)).drop("common")
     return out
 
 
@@ -113,7 +127,7 @@ def _encoded() -> list:
 def fit_logistic(train: DataFrame, c: float = 1.0, max_iter: int = 100) -> PipelineModel:
     """One-hot categories and scaled numbers; the penalty equals C = 1 of a summed loss."""
     n = train.count()
-    model = LogisticRegression(labelCol=TARGET, maxIter=max_iter, regParam=1.0 / (c * max(n, 1)), standardization=False)
+    model = LogisticRegression(labelCol=TARGET, maxIter=max_iter, tol=1e-5, regParam=1.0 / (c * max(n, 1)), standardization=False)
     return Pipeline(stages=[*_encoded(), model]).fit(train)
 
 

@@ -96,7 +96,7 @@ def _letter_pairs(text: Column) -> Column:
     """Numbered letter pairs ('ab#1', 'ab#2', ...), so that equal keys count repeated pairs correctly."""
     pairs = F.when(
         F.length(text) >= 2, F.transform(F.sequence(F.lit(1), F.length(text) - 1), lambda i: F.substr(text, i, F.lit(2)))
-    ).otherwise(F.array().cast("array<string>"))
+    ).otherwise(F.array(text))
     return F.transform(pairs, lambda p, i: F.concat(p, F.lit("#"), F.size(F.filter(F.slice(pairs, 1, i + 1), lambda q: q == p)).cast("string")))
 
 

@@ -146,9 +146,11 @@ def best_labels(requests: DataFrame, neighbours: DataFrame, rounds: int = ROUNDS
         F.struct(F.col("start.hops").alias("from_hops"), "banned", "banned_arcs").alias("ask"),
         F.col("start").alias("best"),
     )
+    # A stated number of partitions: searches are few bytes but much work, and must not be coalesced.
+    tasks = int(requests.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     done = 0
     while True:
-        labels = labels.repartition("req_id")
+        labels = labels.repartition(tasks, "req_id")
         for _ in range(rounds):
             labels = _relax(labels, neighbours)
         done += rounds

@@ -61,7 +61,6 @@ class Domain:
         waypoint = (k % 7).isin(3, 5)
         return (
             self.table("nation")
-            .join(self.table("region"), F.col("n_regionkey") == F.col("r_regionkey"))
             .select(
                 k.alias("k"),
                 F.col("n_name").alias("name"),
@@ -73,7 +72,7 @@ class Domain:
                 ((k * 37) % 360 - 180).cast("double").alias("lon"),
                 F.when(~waypoint, owner).alias("country_code"),
                 F.when(r < 2, "WEST").otherwise("EAST").alias("region"),
-                F.col("r_name").alias("region_name"),
+                r.alias("region_key"),
                 owner.alias("owner"),
             )
         )
@@ -106,9 +105,10 @@ class Domain:
 
     @cached_property
     def raw_lanes(self) -> DataFrame:
-        end = lambda key, col: self.keyed_nodes.select(
+        named = self.keyed_nodes.join(self.table("region"), F.col("region_key") == F.col("r_regionkey"))
+        end = lambda key, col: named.select(
             F.col("k").alias(key), F.col("node_id").alias(col), F.col("kind").alias(f"{col}_kind"),
-            F.lower("region_name").alias(f"{col}_region"),
+            F.lower("r_name").alias(f"{col}_region"),
         )
         return (
             self.lane_pairs.join(end("sk", "origin"), "sk")
@@ -448,6 +448,11 @@ class Domain:
 
     @cached_property
     def orders(self) -> DataFrame:
+        """Order lines as a stored table, for work that reads them several times."""
+        return materialize(self.order_lines, "orders")
+
+    @cached_property
+    def order_lines(self) -> DataFrame:
         """Order lines with their outcome: scheduled days from the priority, real days from the line number."""
         nation = self.table("nation").join(self.table("region"), F.col("n_regionkey") == F.col("r_regionkey")).select(
             F.col("n_nationkey").alias("c_nationkey"), F.col("n_name").alias("order_country"), F.col("r_name").alias("order_region")
@@ -480,6 +485,10 @@ class Domain:
     def train(self) -> DataFrame:
         return self.dataset.filter("split = 'train'")
 
+    @cached_property
+    def common(self) -> DataFrame:
+        return materialize(forecast.common_categories(self.train), "categories")
+
     @cached_property
     def train_share(self) -> float:
         return float(self.train.agg(F.avg("late")).first()[0])

@@ -62,17 +62,17 @@ WHERE a.shipping_mode = lines.shipping_mode AND a.order_region = lines.order_reg
 
 @query("b26_calendar", f"SELECT {KEY}, order_hour, order_dow, order_month FROM lines", ["lines"])
 def calendar(d: Domain) -> DataFrame:
-    return d.orders.select(*ROW_KEY, "order_hour", "order_dow", "order_month")
+    return d.order_lines.select(*ROW_KEY, "order_hour", "order_dow", "order_month")
 
 
 @query("b27_label_time", f"SELECT {KEY}, order_date, label_known_at FROM lines", ["lines"])
 def label_time(d: Domain) -> DataFrame:
-    return d.orders.select(*ROW_KEY, "order_date", "label_known_at")
+    return d.order_lines.select(*ROW_KEY, "order_date", "label_known_at")
 
 
 @query("b28_purged_split", f"SELECT {KEY}, split FROM data WHERE split IS NOT NULL", ["data"])
 def purged_split(d: Domain) -> DataFrame:
-    return d.orders.select(*ROW_KEY, history.split_column(VALID_START, TEST_START).alias("split")).filter("split IS NOT NULL")
+    return d.order_lines.select(*ROW_KEY, history.split_column(VALID_START, TEST_START).alias("split")).filter("split IS NOT NULL")
 
 
 @query("b29_feature_list", f"SELECT shipping_mode, order_region, count(*) AS n, max(sales) AS top_sales, {rnd('max(hist_country_rate)', 6)} AS top_rate FROM data WHERE split IS NOT NULL GROUP BY 1, 2", ["data"])
@@ -106,23 +106,23 @@ def cumulative_late(d: Domain) -> DataFrame:
 @query("d15_global_prior", f"SELECT {rnd('g', 6)} AS prior, (SELECT count(*) FROM lines WHERE label_known_at < TIMESTAMP '1999-01-01') AS n FROM prior", ["prior", "lines"])
 def global_prior(d: Domain) -> DataFrame:
     seen = F.col("label_known_at") < F.lit(VALID_START).cast("timestamp_ntz")
-    return d.orders.agg(stable_round(F.coalesce(F.avg(F.when(seen, F.col("late"))), F.lit(history.NEUTRAL_PRIOR)), 6).alias("prior"), F.count_if(seen).alias("n"))
+    return d.order_lines.agg(stable_round(F.coalesce(F.avg(F.when(seen, F.col("late"))), F.lit(history.NEUTRAL_PRIOR)), 6).alias("prior"), F.count_if(seen).alias("n"))
 
 
 @query("d19_split_summary", "SELECT split, count(*) AS n_rows, CAST(min(order_date) AS DATE) AS min_date, CAST(max(order_date) AS DATE) AS max_date FROM data WHERE split IS NOT NULL GROUP BY 1", ["data"])
 def split_summary(d: Domain) -> DataFrame:
-    split = d.orders.withColumn("split", history.split_column(VALID_START, TEST_START))
+    split = d.order_lines.withColumn("split", history.split_column(VALID_START, TEST_START))
     return history.split_summary(split.filter("split IS NOT NULL"))
 
 
 @query("d22_late_rate", f"SELECT shipping_mode, {rnd('avg(late)', 4)} AS late_rate, count(*) AS n FROM lines GROUP BY 1", ["lines"])
 def late_rate(d: Domain) -> DataFrame:
-    return d.orders.groupBy("shipping_mode").agg(stable_round(F.avg("late"), 4).alias("late_rate"), F.count(F.lit(1)).alias("n"))
+    return d.order_lines.groupBy("shipping_mode").agg(stable_round(F.avg("late"), 4).alias("late_rate"), F.count(F.lit(1)).alias("n"))
 
 
 @query("f09_order_sort", f"SELECT {KEY}, order_date FROM lines ORDER BY order_date, {KEY}", ["lines"])
 def order_sort(d: Domain) -> DataFrame:
-    return d.orders.select(*ROW_KEY, "order_date").orderBy("order_date", *ROW_KEY)
+    return d.order_lines.select(*ROW_KEY, "order_date").orderBy("order_date", *ROW_KEY)
 
 
 @query("f08_extreme_rows", f"""
@@ -188,7 +188,7 @@ def model_metrics(d: Domain) -> DataFrame:
 @query("b34_probability", f"""
 SELECT {KEY}, {rnd('1.0::DOUBLE / (1.0::DOUBLE + exp(-(quantity / 10.0::DOUBLE - 2.5::DOUBLE)))', 6)} AS p, greatest(least(discount_rate * 20.0::DOUBLE, 0.999999::DOUBLE), 0.000001::DOUBLE) AS clipped FROM lines""", ["lines"])
 def probabilities(d: Domain) -> DataFrame:
-    return d.orders.select(*ROW_KEY, stable_round(sigmoid(F.col("quantity") / 10.0 - 2.5), 6).alias("p"), clip_probability(F.col("discount_rate") * 20.0).alias("clipped"))
+    return d.order_lines.select(*ROW_KEY, stable_round(sigmoid(F.col("quantity") / 10.0 - 2.5), 6).alias("p"), clip_probability(F.col("discount_rate") * 20.0).alias("clipped"))
 
 
 # --- snapshot and what-if -------------------------------------------------------------------------
@@ -268,8 +268,8 @@ def leakage_audit(d: Domain) -> DataFrame:
 
 @query("j04_logistic")
 def logistic(d: Domain) -> DataFrame:
-    model = forecast.fit_logistic(forecast.fold_rare(d.train, d.train), max_iter=50)
-    scores = forecast.probability(model, forecast.fold_rare(d.dataset.filter("split <> 'train'"), d.train))
+    model = forecast.fit_logistic(forecast.fold_rare(d.train, d.common), max_iter=50)
+    scores = forecast.probability(model, forecast.fold_rare(d.dataset.filter("split <> 'train'"), d.common))
     return forecast.metrics(forecast.scored(scores, "logreg", F.col("p")))
 
 
@@ -290,31 +290,31 @@ def unseen(d: Domain) -> DataFrame:
 
 @query("j07_model_comparison")
 def comparison(d: Domain) -> DataFrame:
-    model = forecast.fit_logistic(forecast.fold_rare(d.train, d.train), max_iter=50)
-    linear = forecast.scored(forecast.probability(model, forecast.fold_rare(d.dataset.filter("split <> 'train'"), d.train)), "logreg", F.col("p"))
+    model = forecast.fit_logistic(forecast.fold_rare(d.train, d.common), max_iter=50)
+    linear = forecast.scored(forecast.probability(model, forecast.fold_rare(d.dataset.filter("split <> 'train'"), d.common)), "logreg", F.col("p"))
     rules = forecast.majority_scores(d.dataset).unionByName(forecast.mode_history_scores(d.dataset))
     return forecast.metrics(rules.unionByName(linear))
 
 
 @query("j09_explanations")
 def explanations(d: Domain) -> DataFrame:
-    model = forecast.fit_logistic(forecast.fold_rare(d.train, d.train), max_iter=50)
-    test = forecast.fold_rare(d.dataset.filter("split = 'test'"), d.train)
+    model = forecast.fit_logistic(forecast.fold_rare(d.train, d.common), max_iter=50)
+    test = forecast.fold_rare(d.dataset.filter("split = 'test'"), d.common)
     return forecast.top_drivers(forecast.contributions(model, test)).select(*ROW_KEY, stable_round(sigmoid(F.col("logit")), 4).alias("p"), "text")
 
 
 @query("d16_global_importance")
 def importance(d: Domain) -> DataFrame:
-    model = forecast.fit_logistic(forecast.fold_rare(d.train, d.train), max_iter=50)
-    test = forecast.fold_rare(d.dataset.filter("split = 'test'"), d.train)
+    model = forecast.fit_logistic(forecast.fold_rare(d.train, d.common), max_iter=50)
+    test = forecast.fold_rare(d.dataset.filter("split = 'test'"), d.common)
     return forecast.global_importance(forecast.contributions(model, test))
 
 
 @query("k05_baseline_delay")
 def baseline_delay(d: Domain) -> DataFrame:
     """Late probability of the most exposed lanes, as a map per brief."""
-    model = forecast.fit_logistic(forecast.fold_rare(d.train, d.train), max_iter=50)
-    rows = forecast.fold_rare(d.what_if.filter("shipping_mode = '3-MEDIUM'"), d.train)
+    model = forecast.fit_logistic(forecast.fold_rare(d.train, d.common), max_iter=50)
+    rows = forecast.fold_rare(d.what_if.filter("shipping_mode = '3-MEDIUM'"), d.common)
     top = d.risk.filter("exposure_score > 0").orderBy(F.desc("exposure_score"), "lane_id").limit(5).select("lane_id")
     risk = forecast.probability(model, rows).join(top, "lane_id").select("lane_id", stable_round(F.col("p"), 4).alias("p"))
     return risk.agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("lane_id", "p")))).alias("m")).select(
@@ -336,7 +336,7 @@ def top_drivers(d: Domain) -> DataFrame:
         term("quantity", (F.col("quantity") - 25) / 10.0), term("discount", (F.col("discount_rate") - 0.05) * 30.0),
         term("hour", (F.col("order_hour") - 11.5) / 6.0), term("month", (F.col("order_month") - 6.5) / 3.0),
     )
-    rows = d.orders.select(*ROW_KEY, parts.alias("contributions"), F.lit(0.0).alias("logit"), F.lit(0.0).alias("base"))
+    rows = d.order_lines.select(*ROW_KEY, parts.alias("contributions"), F.lit(0.0).alias("logit"), F.lit(0.0).alias("base"))
     names = F.array_join(F.transform("drivers", lambda c: c["feature"]), ",")
     return forecast.top_drivers(rows).select(*ROW_KEY, names.alias("drivers"))
 
@@ -355,7 +355,7 @@ def driver_text(d: Domain) -> DataFrame:
 SELECT order_date, days_real, days_scheduled, late, shipping_mode, order_country, payment_type, quantity, sales FROM lines""", ["lines"])
 def load_orders(d: Domain) -> DataFrame:
     path = scratch_path(d.spark, "export")
-    order_files.save_export(d.orders, path)
+    order_files.save_export(d.order_lines, path)
     return order_files.load_orders(d.spark, path).select(
         "order_date", "days_real", "days_scheduled", "late", "shipping_mode", "order_country", "payment_type", "quantity", "sales"
     )
