@@ -144,10 +144,17 @@ def run_extraction(items: DataFrame, extractor: Callable[[DataFrame], DataFrame]
 # --- normalization and checks of model replies ------------------------------------------------------
 
 
-def normal_type(value: Column) -> Column:
-    key = F.replace(F.replace(F.lower(tx.strip(value)), F.lit(" "), F.lit("_")), F.lit("-"), F.lit("_"))
+def type_key(value: Column) -> Column:
+    return F.translate(F.lower(tx.strip(value)), " -", "__")
+
+
+def type_of_key(key: Column, raw: Column) -> Column:
     aliases = F.create_map(*[F.lit(x) for kv in TYPE_ALIASES.items() for x in kv])
-    return F.when(key.isin(*EVENT_TYPES), key).otherwise(F.coalesce(aliases[key], value))
+    return F.when(key.isin(*EVENT_TYPES), key).otherwise(F.coalesce(aliases[key], raw))
+
+
+def normal_type(value: Column) -> Column:
+    return type_of_key(type_key(value), value)
 
 
 def normal_code(value: Column) -> Column:
@@ -183,25 +190,43 @@ def outermost_json(reply: Column) -> Column:
     return F.regexp_extract(bare, r"(?s)\{.*\}", 0)
 
 
-def checked_event(e: Column) -> Column:
-    """Normalized event struct with ``valid``: every field within its range and format."""
-    kind, country, port = normal_type(e["event_type"]), normal_code(e["country_code"]), normal_port(e["port_code"])
-    severity, confidence = e["severity"].try_cast("int"), e["confidence"].try_cast("double")
-    start_text, end_text = blank_date(e["start_date"]), blank_date(e["end_date"])
-    start, end = start_text.try_cast("date"), end_text.try_cast("date")
-    valid = (
-        kind.isin(*EVENT_TYPES)
-        & (F.length(F.coalesce(e["location"], F.lit(""))) > 0)
-        & valid_country(country) & valid_port(port)
-        & severity.between(1, 5) & confidence.between(0.0, 1.0)
-        & (start_text.isNull() | start.isNotNull()) & (end_text.isNull() | end.isNotNull())
-    )
-    return F.struct(
-        kind.alias("event_type"), e["location"].alias("location"), country.alias("country_code"), port.alias("port_code"),
-        severity.alias("severity"), start.alias("start_date"), end.alias("end_date"),
-        normal_industries(F.coalesce(e["industries"], F.array().cast("array<string>"))).alias("industries"),
-        F.coalesce(e["summary"], F.lit("")).alias("summary"), confidence.alias("confidence"), F.coalesce(valid, F.lit(False)).alias("valid"),
-    )
+def checked_events(events: Column) -> Column:
+    """array<event> -> normalized events with ``valid``: every field within its range and format.
+
+    Three passes over the short list, each building on the fields of the one before, so that no
+    normalization is evaluated more than once per event.
+    """
+
+    def trimmed(e: Column) -> Column:
+        return F.struct(
+            type_key(e["event_type"]).alias("key"), e["event_type"].alias("raw"), e["location"].alias("location"),
+            F.upper(tx.strip(e["country_code"])).alias("country"), F.upper(tx.strip(e["port_code"])).alias("port"),
+            e["severity"].try_cast("int").alias("severity"), blank_date(e["start_date"]).alias("start"), blank_date(e["end_date"]).alias("end"),
+            normal_industries(F.coalesce(e["industries"], F.array().cast("array<string>"))).alias("industries"),
+            F.coalesce(e["summary"], F.lit("")).alias("summary"), e["confidence"].try_cast("double").alias("confidence"),
+        )
+
+    def named(t: Column) -> Column:
+        return F.struct(
+            type_of_key(t["key"], t["raw"]).alias("event_type"), t["location"].alias("location"),
+            F.when(~t["country"].isin(*NULL_WORDS), t["country"]).alias("country_code"),
+            F.when(~t["port"].isin(*NULL_WORDS), F.replace(t["port"], F.lit(" "), F.lit(""))).alias("port_code"), t["severity"].alias("severity"),
+            t["start"].try_cast("date").alias("start_date"), t["end"].try_cast("date").alias("end_date"), t["industries"].alias("industries"),
+            t["summary"].alias("summary"), t["confidence"].alias("confidence"),
+            t["start"].alias("start_text"), t["end"].alias("end_text"),
+        )
+
+    def judged(n: Column) -> Column:
+        valid = (
+            n["event_type"].isin(*EVENT_TYPES) & (F.length(F.coalesce(n["location"], F.lit(""))) > 0)
+            & valid_country(n["country_code"]) & valid_port(n["port_code"])
+            & n["severity"].between(1, 5) & n["confidence"].between(0.0, 1.0)
+            & (n["start_text"].isNull() | n["start_date"].isNotNull()) & (n["end_text"].isNull() | n["end_date"].isNotNull())
+        )
+        kept = ("event_type", "location", "country_code", "port_code", "severity", "start_date", "end_date", "industries", "summary", "confidence")
+        return F.struct(*[n[c].alias(c) for c in kept], F.coalesce(valid, F.lit(False)).alias("valid"))
+
+    return F.transform(F.transform(F.transform(events, trimmed), named), judged)
 
 
 def reply_records(items: DataFrame, model: str, version: str) -> DataFrame:
@@ -209,13 +234,13 @@ def reply_records(items: DataFrame, model: str, version: str) -> DataFrame:
     a false flag drops listed events."""
     parsed = items.withColumn("r", F.from_json(outermost_json(F.col("reply")), schemas.REPLY))
     checked = parsed.withColumn(
-        "checked", F.transform(F.coalesce(F.col("r.events"), F.array().cast(f"array<{schemas.REPLY_EVENT}>")), checked_event)
+        "checked", checked_events(F.coalesce(F.col("r.events"), F.array().cast(f"array<{schemas.REPLY_EVENT}>")))
     )
-    flag = F.col("r.is_disruption")
-    ok = flag.isNotNull() & F.forall("checked", lambda e: e["valid"])
-    events = F.transform("checked", lambda e, i: _provenance(e, i, model, version))
-    kept = F.when(F.coalesce(ok & flag, F.lit(False)), events).otherwise(F.filter(events, lambda e: F.lit(False)))
-    return checked.select(
+    flag, ok = F.col("r.is_disruption"), F.col("ok")
+    judged = checked.withColumn("ok", flag.isNotNull() & F.forall("checked", lambda e: e["valid"]))
+    # A false flag or a failed record keeps none of the listed events.
+    kept = F.transform(F.when(ok & flag, F.col("checked")).otherwise(F.slice("checked", 1, 0)), lambda e, i: _provenance(e, i, model, version))
+    return judged.select(
         F.col("id").alias("news_id"), F.lit(model).alias("model"), F.lit(version).alias("prompt_version"),
         F.when(ok, "ok").otherwise("failed").alias("status"), F.coalesce(ok & flag, F.lit(False)).alias("is_disruption"),
         kept.alias("events"),

@@ -63,18 +63,19 @@ def known_before(orders: DataFrame, keys: tuple[str, ...]) -> DataFrame:
     per key, and instants within one day per key. No window partition grows with the number of orders,
     even when one key holds most of them.
     """
-    facts = orders.groupBy(*keys, F.col("label_known_at").alias("at")).agg(
-        F.sum(F.col(TARGET).cast("bigint")).alias("late"), F.count(F.lit(1)).alias("n"), F.lit(1).alias("is_fact")
+    late, zero = F.col(TARGET).cast("bigint"), F.lit(0).cast("bigint")
+    one = F.lit(1).cast("bigint")
+    mark = lambda at, x, n, fact: F.struct(
+        at.alias("at"), F.to_date(at).alias("day"), x.alias("late"), n.alias("n"), F.lit(fact).alias("is_fact")
     )
-    zero = F.lit(0).cast("bigint")
-    probes = orders.select(*keys, F.col("order_date").alias("at")).distinct().select(
-        *keys, "at", zero.alias("late"), zero.alias("n"), F.lit(0).alias("is_fact")
-    )
-    moments = facts.unionByName(probes).withColumn("day", F.to_date("at"))
-    per_day = moments.groupBy(*keys, "day").agg(F.sum("late").alias("d_late"), F.sum("n").alias("d_n"))
+    both = F.array(mark(F.col("label_known_at"), late, one, 1), mark(F.col("order_date"), zero, zero, 0))
+    marks = orders.select(*keys, F.inline(both))
+    sums = [F.sum("late").alias("late"), F.sum("n").alias("n")]
+    moments = marks.groupBy(*keys, "day", "at", "is_fact").agg(*sums)
+    per_day = marks.groupBy(*keys, "day").agg(*sums)
     earlier = W.partitionBy(*keys).orderBy("day").rowsBetween(W.unboundedPreceding, -1)
     before = per_day.select(
-        *keys, "day", F.coalesce(F.sum("d_late").over(earlier), zero).alias("b_late"), F.coalesce(F.sum("d_n").over(earlier), zero).alias("b_n")
+        *keys, "day", F.coalesce(F.sum("late").over(earlier), zero).alias("b_late"), F.coalesce(F.sum("n").over(earlier), zero).alias("b_n")
     )
     # A question sorts before the labels of the same instant, so equal instants do not count.
     so_far = W.partitionBy(*keys, "day").orderBy("at", "is_fact").rowsBetween(W.unboundedPreceding, W.currentRow)
@@ -87,16 +88,22 @@ def known_before(orders: DataFrame, keys: tuple[str, ...]) -> DataFrame:
 
 
 def add_history(orders: DataFrame, prior: float, names: dict[str, tuple[str, ...]] | None = None) -> DataFrame:
-    """orders + one smoothed late rate and one count per key set."""
-    out = orders
-    for name, keys in (names or HISTORY_KEYS).items():
-        table = known_before(orders, keys)
-        out = out.join(table, [*keys, "order_date"]).select(
-            *[out[c] for c in out.columns],
-            smoothed_rate(F.col("cum_late"), F.col("cum_n"), F.lit(prior)).alias(f"{name}_rate"),
+    """orders + one smoothed late rate and one count per key set.
+
+    The histories are put together on the distinct (keys, order date) combinations, a narrow table; the
+    wide orders are joined once.
+    """
+    sets = names or HISTORY_KEYS
+    keys = list(dict.fromkeys(k for ks in sets.values() for k in ks))
+    moments = orders.select(*keys, "order_date").distinct()
+    for name, ks in sets.items():
+        known = known_before(orders, ks).select(
+            *ks, "order_date", smoothed_rate(F.col("cum_late"), F.col("cum_n"), F.lit(prior)).alias(f"{name}_rate"),
             F.col("cum_n").cast("double").alias(f"{name}_n"),
         )
-    return out
+        moments = moments.join(known, [*ks, "order_date"])
+    added = [f"{name}_{stat}" for name in sets for stat in ("rate", "n")]
+    return orders.join(moments, [*keys, "order_date"]).select(*orders.columns, *added)
 
 
 def split_column(valid_start: dt.datetime, test_start: dt.datetime) -> Column:

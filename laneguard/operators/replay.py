@@ -51,19 +51,22 @@ class Spec:
         before = dt.timedelta(days=self.params.window_before_days)
         after = dt.timedelta(days=self.params.window_after_days)
         rows = [
-            (d.id, "disruption", d.onset - before, d.onset + after, d.onset, d.secondary_label, d.secondary_date,
-             list(d.target_nodes))
+            (d.id, "disruption", d.onset - before, d.onset + after, d.onset, d.secondary_label, d.secondary_date, d.target_nodes)
             for d in self.disruptions
         ]
-        rows += [
-            (f"control_{i + 1}", "control", a, b, None, None, None, [])
-            for i, (a, b) in enumerate(self.control_windows)
-        ]
-        schema = (
-            "window_id string, kind string, start date, end date, onset date, secondary_label string, "
-            "secondary_date date, target_nodes array<string>"
-        )
-        return spark.createDataFrame(rows, schema)
+        rows += [(f"control_{i + 1}", "control", a, b, None, None, None, ()) for i, (a, b) in enumerate(self.control_windows)]
+        names = ("window_id", "kind", "start", "end", "onset", "secondary_label", "secondary_date", "target_nodes")
+        types = ("string", "string", "date", "date", "date", "string", "date", "array<string>")
+
+        def cell(value, kind: str) -> Column:
+            made = F.array(*[F.lit(v) for v in value]) if isinstance(value, tuple) else F.lit(value)
+            return made.cast(kind)
+
+        structs = [F.struct(*[cell(v, t).alias(n) for v, n, t in zip(r, names, types, strict=True)]) for r in rows]
+        one = spark.range(0, 1, 1, 1)
+        if not structs:
+            return one.filter("false").select(*[F.lit(None).cast(t).alias(n) for n, t in zip(names, types, strict=True)])
+        return one.select(F.inline(F.array(*structs)))
 
 
 def day_bucket(published: Column) -> Column:
@@ -167,15 +170,19 @@ def replay(events: DataFrame, hits: DataFrame, lanes: DataFrame, windows: DataFr
         )
     else:
         parts = _stories_v1(events, hits)
-    days = _window_days(windows)
+    # Combined per lane and publication day first, so that the lookback multiplies few rows. The node
+    # lists are bounded by the length of the lane's route.
+    per_day = parts.groupBy("lane_id", "bucket").agg(
+        F.product("s").alias("s"), F.sum("n").alias("n"), F.collect_set("via").alias("vias")
+    )
     scored = (
-        parts.withColumn("day", _visible_days(params.lookback_days))
-        .join(days, "day")
+        per_day.withColumn("day", _visible_days(params.lookback_days))
+        .join(_window_days(windows), "day")
         .groupBy("window_id", "lane_id", "day")
         .agg(
             F.product("s").alias("s"),
             F.sum("n").alias("n_events"),
-            F.array_sort(F.collect_set("via")).alias("nodes"),  # bounded by the length of the lane's route
+            F.array_sort(F.array_distinct(F.flatten(F.collect_list("vias")))).alias("nodes"),
         )
     )
     bounds = F.array_agg(F.struct("window_id", "start", "end", "target_nodes"))

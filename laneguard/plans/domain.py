@@ -448,8 +448,8 @@ class Domain:
 
     @cached_property
     def orders(self) -> DataFrame:
-        """Order lines as a stored table, for work that reads them several times."""
-        return materialize(self.order_lines, "orders")
+        """Order lines as a stored table, spread by order, for work that reads them several times."""
+        return materialize(self.order_lines.repartition("l_orderkey"), "orders")
 
     @cached_property
     def order_lines(self) -> DataFrame:
