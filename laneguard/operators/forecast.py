@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 
 from laneguard.functions.numeric import clip_probability, sigmoid, smoothed_rate, stable_round
 from laneguard.operators.history import CATEGORICAL, HISTORY, HISTORY_KEYS, NUMERIC, TARGET
+from laneguard.session import materialize
 
-SCORE_BUCKETS = 4096
 MIN_CATEGORY_ROWS = 50
 MAX_INLINE_CATEGORIES = 5000
 RARE = "(rare)"
@@ -36,13 +36,16 @@ ORDER_COUNTRY_NAMES = {
 def score_counts(scores: DataFrame) -> DataFrame:
     """model, split, p, pos, neg + cum_pos, cum_neg over all scores >= p.
 
-    Rows are counted per distinct score first. The running totals have two levels (score buckets, scores
-    within a bucket), so the ranks are exact without sorting a whole model in one task.
+    Rows are counted per distinct score first. The distinct scores are cut into ranges of equal size (by
+    sampling, so a crowded part of the scale gets more ranges) and stored; running totals go over ranges
+    and over the scores within one range. The ranks are exact and no task sorts a whole model.
     """
     by = ["model", "split"]
-    per = scores.groupBy(*by, clip_probability(F.col("p")).alias("p")).agg(
+    ranges = int(scores.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    counts = scores.groupBy(*by, clip_probability(F.col("p")).alias("p")).agg(
         F.count_if(F.col("y") == 1).alias("pos"), F.count_if(F.col("y") == 0).alias("neg")
-    ).withColumn("bucket", F.floor(F.col("p") * SCORE_BUCKETS))
+    )
+    per = materialize(counts.repartitionByRange(ranges, *by, "p").withColumn("bucket", F.spark_partition_id()), "scores")
     totals = per.groupBy(*by, "bucket").agg(F.sum("pos").alias("bp"), F.sum("neg").alias("bn"))
     above = W.partitionBy(*by).orderBy(F.desc("bucket")).rowsBetween(W.unboundedPreceding, -1)
     zero = F.lit(0).cast("bigint")

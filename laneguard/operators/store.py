@@ -16,7 +16,8 @@ NO_FOCUS = ("", "all", "any", "none")
 
 
 def ntz(value: dt.datetime) -> Column:
-    return F.lit(value).cast("timestamp_ntz")
+    """Literal without time zone, whatever the zones of session and machine."""
+    return F.lit(value.isoformat(sep=" ")).cast("timestamp_ntz")
 
 
 def newest_first(events: DataFrame) -> DataFrame:

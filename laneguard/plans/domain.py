@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from laneguard.functions.numeric import stable_round
 from laneguard import schemas
 from laneguard.functions import text as tx
-from laneguard.operators import brief, evaluation, exposure, extraction, forecast, history, linking, network
+from laneguard.operators import brief, evaluation, exposure, extraction, forecast, history, linking, network, store
 from laneguard.operators.replay import Disruption, Params, Spec, replay
 from laneguard.session import materialize
 
@@ -176,8 +176,7 @@ class Domain:
     @cached_property
     def visible(self) -> DataFrame:
         """Events inside the closed lookback window that ends at AS_OF."""
-        return self.alarms.filter(F.col("published").between(F.lit(AS_OF - dt.timedelta(days=LOOKBACK_DAYS)).cast("timestamp_ntz"),
-                                                             F.lit(AS_OF).cast("timestamp_ntz")))
+        return store.visible(self.alarms, AS_OF, LOOKBACK_DAYS)
 
     @cached_property
     def hits(self) -> DataFrame:
@@ -270,7 +269,7 @@ class Domain:
         site = F.regexp_extract("url", "^(https?://[^?#]*)", 1)
         return self.table("pages").select(
             "page_id", "url", "html", title.alias("raw_title"), F.concat(site, F.lit("/"), slug, F.lit(".html")).alias("news_url"),
-            (F.lit(dt.datetime(2024, 1, 1)).cast("timestamp_ntz")
+            (store.ntz(dt.datetime(2024, 1, 1))
              + F.make_dt_interval((F.col("page_id") % 30).cast("int"), (F.col("page_id") % 24).cast("int"))).alias("published"),
         )
 
@@ -304,7 +303,7 @@ class Domain:
         return self.table("documents").select(
             F.concat(F.lit("D"), F.lpad(F.col("doc_id").cast("string"), 10, "0")).alias("id"), F.substring("text", 1, 80).alias("title"),
             F.expr("substring(text, 81)").alias("summary"), F.concat(F.lit("https://docs.example.com/"), F.col("doc_id").cast("string")).alias("url"),
-            "source", (F.lit(dt.datetime(2024, 1, 1)).cast("timestamp_ntz") + F.make_dt_interval((F.col("doc_id") % 30).cast("int"))).alias("published"),
+            "source", (store.ntz(dt.datetime(2024, 1, 1)) + F.make_dt_interval((F.col("doc_id") % 30).cast("int"))).alias("published"),
             F.lit("manual").alias("origin"), F.col("lang").alias("language"), F.lit(None).cast("string").alias("source_country"),
         )
 

@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from laneguard.functions.numeric import clip_probability, sigmoid, stable_round
-from laneguard.operators import forecast, history, replay
+from laneguard.operators import forecast, history, replay, store
 from laneguard.plans.domain import ROW_KEY, SPEC, TEST_START, VALID_START, Domain
 from laneguard.plans.registry import query
 from laneguard.plans.sql_views import rnd, view
@@ -105,7 +105,7 @@ def cumulative_late(d: Domain) -> DataFrame:
 
 @query("d15_global_prior", f"SELECT {rnd('g', 6)} AS prior, (SELECT count(*) FROM lines WHERE label_known_at < TIMESTAMP '1999-01-01') AS n FROM prior", ["prior", "lines"])
 def global_prior(d: Domain) -> DataFrame:
-    seen = F.col("label_known_at") < F.lit(VALID_START).cast("timestamp_ntz")
+    seen = F.col("label_known_at") < store.ntz(VALID_START)
     return d.order_lines.agg(stable_round(F.coalesce(F.avg(F.when(seen, F.col("late"))), F.lit(history.NEUTRAL_PRIOR)), 6).alias("prior"), F.count_if(seen).alias("n"))
 
 
