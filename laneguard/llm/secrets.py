@@ -9,6 +9,8 @@ random, so that among those at most the given share are random after all. What r
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -40,28 +42,38 @@ SPAN = "array<struct<s:int,e:int,m:string>>"
 RUN = 512
 
 
+def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value computed once."""
+    return F.transform(F.array(value), use)[0]
+
+
 def _spans(text: Column, pattern: str) -> Column:
     """Matches as ``array<struct<s, e, m>>``: start, end (exclusive), matched string.
 
     The start of a match is the length of all that was cut before it. Lengths are summed in runs of ``RUN`` matches,
     so that the work stays small for texts with very many matches.
     """
-    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    gaps = F.transform(F.slice(F.split(text, pattern, -1), 1, F.size(found)), lambda x: F.length(x))
-    parts = F.arrays_zip(gaps.alias("g"), found.alias("m"))
-    runs = F.transform(F.sequence(F.lit(0), F.floor((F.size(found) - 1) / RUN).cast("int")), lambda j: F.slice(parts, j * RUN + 1, F.lit(RUN)))
+    empty = F.array().cast(SPAN)
 
     def placed(state: Column, x: Column) -> Column:
         start = state["at"] + x["g"]
         end = start + F.length(x["m"])
         return F.struct(end.alias("at"), F.concat(state["out"], F.array(F.struct(start.alias("s"), end.alias("e"), x["m"].alias("m")))).alias("out"))
 
-    empty = F.array().cast(SPAN)
-    by_run = F.transform(runs, lambda r: F.aggregate(r, F.struct(F.lit(0).alias("at"), empty.alias("out")), placed))
-    at_run = F.transform(by_run, lambda r, j: F.transform(
-        r["out"], lambda x: F.struct((x["s"] + F.aggregate(F.slice(by_run, 1, j), F.lit(0), lambda t, y: t + y["at"])).alias("s"),
-                                     (x["e"] + F.aggregate(F.slice(by_run, 1, j), F.lit(0), lambda t, y: t + y["at"])).alias("e"), x["m"].alias("m"))))
-    return F.when(text.rlike(pattern), F.flatten(at_run)).otherwise(empty)
+    def shifted(run: Column, base: Column) -> Column:
+        return F.transform(run["out"], lambda x: F.struct((x["s"] + base).alias("s"), (x["e"] + base).alias("e"), x["m"].alias("m")))
+
+    def of_parts(parts: Column) -> Column:
+        numbers = F.sequence(F.lit(0), F.floor((F.size(parts) - 1) / RUN).cast("int"))
+        by_run = F.transform(numbers, lambda j: F.aggregate(F.slice(parts, j * RUN + 1, F.lit(RUN)), F.struct(F.lit(0).alias("at"), empty.alias("out")), placed))
+        return _let(by_run, lambda runs: F.flatten(F.transform(runs, lambda r, j: _let(
+            F.aggregate(F.slice(runs, 1, j), F.lit(0), lambda t, y: t + y["at"]), lambda base: shifted(r, base)))))
+
+    def of_found(found: Column) -> Column:
+        gaps = F.transform(F.slice(F.split(text, pattern, -1), 1, F.size(found)), lambda x: F.length(x))
+        return _let(F.arrays_zip(gaps.alias("g"), found.alias("m")), of_parts)
+
+    return F.when(text.rlike(pattern), _let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), of_found)).otherwise(empty)
 
 
 def _encoding(m: Column) -> Column:
