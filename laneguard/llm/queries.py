@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from laneguard.llm.ann import nearest_neighbours
 from laneguard.llm.mixing import mix_sources
+from laneguard.llm.near_vectors import near_vectors
+from laneguard.llm.ngram_join import ngram_components
 from laneguard.llm.packing import pack_documents
 from laneguard.llm.registry import CHECKS, QUERIES, query, table
 from laneguard.llm.secrets import scan_secrets
@@ -32,6 +35,44 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"))
 
 
+_COMPONENTS_SQL = """reach(n, m) AS (SELECT a, b FROM links UNION SELECT r.n, l.b FROM reach r JOIN links l ON r.m = l.a),
+smallest AS (SELECT n, min(m) AS m FROM reach GROUP BY n)"""
+
+NEAR_SQL = f"""WITH RECURSIVE able AS (SELECT vec_id, label, embedding::DOUBLE[] v FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+links AS (SELECT a.vec_id a, b.vec_id b FROM able a JOIN able b ON a.label = b.label AND len(a.v) = len(b.v) AND a.vec_id <> b.vec_id
+    WHERE list_cosine_similarity(a.v, b.v) >= 0.98),
+{_COMPONENTS_SQL}
+SELECT e.vec_id, (SELECT count(*) FROM links WHERE a = e.vec_id)::BIGINT n_links, least(e.vec_id, coalesce(s.m, e.vec_id)) component_id,
+    least(e.vec_id, coalesce(s.m, e.vec_id)) = e.vec_id kept FROM embeddings e LEFT JOIN smallest s ON s.n = e.vec_id"""
+
+
+@query("op2_near_vectors", NEAR_SQL)
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_vectors(table(spark, sf_dir, "embeddings"))
+
+
+@query("op4_nearest_neighbours")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest_neighbours(table(spark, sf_dir, "embeddings"))
+
+
+NGRAM_SQL = f"""WITH RECURSIVE words AS (SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') w FROM documents),
+shingles AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) < 4 THEN [array_to_string(w, ' ')] ELSE list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' ')) END) s
+    FROM words WHERE len(w) > 0),
+sizes AS (SELECT doc_id, count(*) n FROM shingles GROUP BY doc_id),
+links AS (SELECT x.doc_id a, y.doc_id b FROM shingles x JOIN shingles y ON x.s = y.s AND x.doc_id <> y.doc_id JOIN sizes p ON p.doc_id = x.doc_id JOIN sizes q ON q.doc_id = y.doc_id
+    GROUP BY x.doc_id, y.doc_id, p.n, q.n HAVING 100 * count(*) >= 85 * (p.n + q.n - count(*))),
+{_COMPONENTS_SQL}
+SELECT d.doc_id, coalesce(z.n, 0)::BIGINT n_shingles, least(d.doc_id, coalesce(s.m, d.doc_id)) component_id
+FROM documents d LEFT JOIN sizes z USING (doc_id) LEFT JOIN smallest s ON s.n = d.doc_id"""
+
+
+@query("op5_ngram_join", NGRAM_SQL)
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_components(table(spark, sf_dir, "documents"))
+
+
 @query("op6_secret_scan")
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_secrets(table(spark, sf_dir, "documents"))
