@@ -17,6 +17,9 @@ from laneguard.session import materialize
 
 BLOCK = 256
 """Items of a bucket that are compared with as many others in one call."""
+CALL_BUCKETS = 200
+"""Buckets of at most ``BLOCK`` items that one call takes on average."""
+PAIRS = 1 << 16
 
 
 def connected_components(links: DataFrame) -> DataFrame:
@@ -35,7 +38,6 @@ def connected_components(links: DataFrame) -> DataFrame:
         both = edges.unionAll(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        large = materialize(large, "stars")
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").filter("v != m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionAll(least.select("u", F.col("m").alias("v")))
         edges = materialize(small.distinct(), "stars")
@@ -68,26 +70,47 @@ def _screened(pairs: DataFrame, info: DataFrame, screen: Screen) -> DataFrame:
     return pairs.mapInPandas(keep, "a long, b long")
 
 
+def _pairs_in_runs(sizes: np.ndarray):
+    """All pairs (i < j) of row positions inside consecutive runs of the given sizes, about ``PAIRS`` at a time."""
+    starts = np.concatenate(([0], np.cumsum(sizes)))
+    later = np.concatenate([np.arange(n - 1, -1, -1) for n in sizes]) if len(sizes) else np.zeros(0, np.int64)  # partners after each row
+    cuts = np.flatnonzero(np.diff(np.cumsum(later) // PAIRS, prepend=0)).tolist()
+    for lo, hi in zip([0, *cuts], [*cuts, int(starts[-1])]):
+        n = later[lo:hi]
+        i = np.repeat(np.arange(lo, hi), n)
+        yield i, i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(n) - n, n)
+
+
 def _cross_pairs(members: DataFrame, sizes: DataFrame, info: DataFrame, screen: Screen) -> DataFrame:
-    """Screened pairs of members ``(key, sid, comp)`` of the same key and different components."""
+    """Screened pairs of members ``(key, sid, comp)`` of the same key and different components.
+
+    Buckets over ``BLOCK`` items are compared as pairs of blocks; a call takes many small buckets at once.
+    """
     fields = [c for c in info.columns if c != "sid"]
     m = members.join(sizes.select("key", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")), "key").join(info, "sid")
     m = m.withColumn("own", F.pmod(F.xxhash64("sid"), F.col("blocks")).cast("int"))
     m = m.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     m = m.withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other"))
-
-    def compare(block: pd.DataFrame) -> pd.DataFrame:
-        left, right = block[block["own"] == block["i"].iat[0]], block[block["own"] == block["j"].iat[0]]
-        out = []
-        for k in range(len(left)):  # one item against a block at a time keeps memory small
-            rest = right[(right["comp"] != left["comp"].iat[k]) & (right["sid"] > left["sid"].iat[k] if block["i"].iat[0] == block["j"].iat[0] else True)]
-            if len(rest):
-                one = left.iloc[np.full(len(rest), k)][fields]
-                hit = rest["sid"].to_numpy()[screen(one.reset_index(drop=True), rest[fields].reset_index(drop=True))]
-                out.append(pd.DataFrame({"a": left["sid"].iat[k], "b": hit}))
-        return pd.concat(out) if out else pd.DataFrame({"a": pd.Series(dtype="int64"), "b": pd.Series(dtype="int64")})
-
-    return m.groupBy("key", "i", "j").applyInPandas(compare, "a long, b long").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    calls = max(1, sizes.count() // CALL_BUCKETS)
+    m = m.withColumn("call", F.when(F.col("blocks") > 1, F.xxhash64("key", "i", "j")).otherwise(F.pmod(F.xxhash64("key"), F.lit(calls))))
+
+    def compare(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values(["key", "i", "j"], ignore_index=True)
+        group = rows.groupby(["key", "i", "j"], sort=False).ngroup().to_numpy()
+        sid, comp = rows["sid"].to_numpy(), rows["comp"].to_numpy()
+        own, mixed = rows["own"].to_numpy(), (rows["i"] != rows["j"]).to_numpy()
+        seen, out = np.zeros((0, 2), np.int64), []
+        for x, y in _pairs_in_runs(np.bincount(group)):
+            ok = (comp[x] != comp[y]) & ~(mixed[x] & (own[x] == own[y]))
+            ends = np.sort(np.stack([sid[x[ok]], sid[y[ok]]], axis=1), axis=1)
+            _, one = np.unique(ends, axis=0, return_index=True)
+            x, y = x[ok][one], y[ok][one]
+            hit = screen(rows.loc[x, fields].reset_index(drop=True), rows.loc[y, fields].reset_index(drop=True)) if len(x) else one
+            out.append(ends[one][hit])
+        ends = np.unique(np.concatenate([seen, *out]), axis=0)
+        return pd.DataFrame({"a": ends[:, 0], "b": ends[:, 1]})
+
+    return m.groupBy("call").applyInPandas(compare, "a long, b long")
 
 
 def link_buckets(keys: DataFrame, info: DataFrame, screen: Screen, verify: Callable[[DataFrame], DataFrame]) -> DataFrame:
@@ -111,7 +134,10 @@ def link_buckets(keys: DataFrame, info: DataFrame, screen: Screen, verify: Calla
         links = links.unionAll(materialize(verify(more), "links"))
         components = materialize(connected_components(links), "components")
     labelled = _labelled(chain, components)
-    broken = labelled.groupBy("key").agg((F.count("*") + 1).alias("n"), F.max((F.col("of_a") != F.col("of_b")).cast("int")).alias("open")).filter("open = 1 and n > 2")
+    of_bucket = labelled.groupBy("key").agg((F.count("*") + 1).alias("n"), F.max((F.col("of_a") != F.col("of_b")).cast("int")).alias("open"), F.min("a").alias("least"),
+                                            F.sum(F.xxhash64("b").cast("decimal(20,0)")).alias("s"), F.bit_xor(F.xxhash64("b", F.lit(1))).alias("x"))
+    # near copies meet in many buckets; of buckets with the same items one is compared
+    broken = of_bucket.filter("open = 1 and n > 2").groupBy("n", "least", "s", "x").agg(F.min("key").alias("key")).select("key", "n")
     broken = materialize(broken, "open-buckets")
     if broken.isEmpty():
         return components
