@@ -13,6 +13,7 @@ from laneguard.llm.packing import pack_documents
 from laneguard.llm.registry import CHECKS, QUERIES, query, table
 from laneguard.llm.secrets import scan_secrets
 from laneguard.llm.sharding import shard_by_bytes
+from laneguard.llm.substring import remove_repeats
 
 __all__ = ["CHECKS", "QUERIES"]
 
@@ -112,6 +113,22 @@ summed AS (SELECT *, sum(tokens) OVER (PARTITION BY domain, lang, source ORDER B
 SELECT doc_id, domain, lang, source, tokens, (whole + CASE WHEN rest > 0 AND upto <= rest THEN 1 ELSE 0 END)::INTEGER epochs FROM summed"""
 
 
+REPEATS_SQL = """WITH words AS (SELECT doc_id, coalesce(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+'), []) w FROM documents),
+grams AS (SELECT doc_id, unnest(range(1, len(w) - 11)) i, unnest(list_transform(range(1, len(w) - 11), lambda i: array_to_string(w[i:i + 12], ' '))) g FROM words WHERE len(w) >= 13),
+firsts AS (SELECT g, min(doc_id) d FROM grams GROUP BY g),
+gone AS (SELECT DISTINCT doc_id, i + j AS p FROM (SELECT x.doc_id, x.i FROM grams x JOIN firsts f ON f.g = x.g AND f.d < x.doc_id), range(0, 13) r(j)),
+flat AS (SELECT doc_id, unnest(w) word, unnest(range(1, len(w) + 1)) p FROM words),
+kept AS (SELECT doc_id, string_agg(word, ' ' ORDER BY p) t FROM flat ANTI JOIN gone USING (doc_id, p) GROUP BY doc_id),
+lost AS (SELECT doc_id, count(*) n FROM gone GROUP BY doc_id)
+SELECT w.doc_id, len(w.w)::BIGINT n_words, coalesce(l.n, 0)::BIGINT n_removed, sha256(coalesce(k.t, '')) kept_sha256
+FROM words w LEFT JOIN lost l USING (doc_id) LEFT JOIN kept k USING (doc_id)"""
+
+
+@query("op8_remove_repeats", REPEATS_SQL)
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeats(table(spark, sf_dir, "documents")).drop("kept")
+
+
 @query("op9_mix_sources", MIX_SQL)
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(table(spark, sf_dir, "documents"), weights_table(spark), domain_of())
