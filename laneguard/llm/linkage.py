@@ -113,10 +113,10 @@ def _cross_pairs(members: DataFrame, sizes: DataFrame, info: DataFrame, screen:
     return m.groupBy("call").applyInPandas(compare, "a long, b long")
 
 
-def link_buckets(keys: DataFrame, info: DataFrame, screen: Screen, verify: Callable[[DataFrame], DataFrame]) -> DataFrame:
+def link_buckets(keys: DataFrame, info: DataFrame | Callable[[DataFrame], DataFrame], screen: Screen, verify: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """Components ``(node, component)`` of the items of ``keys(key, sid)`` under the links that ``verify`` confirms.
 
-    Any two linked items must share a key. ``screen`` sees two aligned frames of ``info`` rows and may only drop
+    Any two linked items must share a key. ``info`` may be made from the chain pairs ``(key, a, b)``, which name all candidates. ``screen`` sees two aligned frames of ``info`` rows and may only drop
     pairs that are no links; ``verify`` maps pairs ``(a, b)`` to the true links among them. The result is exact:
     first one earlier neighbour per item is verified, then the chain pairs between different components, then all
     screened pairs across the components of every bucket that still holds more than one.
@@ -124,6 +124,7 @@ def link_buckets(keys: DataFrame, info: DataFrame, screen: Screen, verify: Calla
     order = Window.partitionBy("key").orderBy("sid")
     chain = keys.select("key", F.lag("sid").over(order).alias("a"), F.col("sid").alias("b")).filter("a < b")
     chain = materialize(chain, "chains")
+    info = info(chain) if callable(info) else info
     first = chain.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
     tested = materialize(_screened(first, info, screen), "pairs")
     links = materialize(verify(tested), "links")

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from laneguard.llm.ann import nearest_neighbours
+from laneguard.llm.line_dedup import dedup_lines
 from laneguard.llm.mixing import mix_sources
 from laneguard.llm.near_vectors import near_vectors
 from laneguard.llm.ngram_join import ngram_components
@@ -53,6 +54,12 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_vectors(table(spark, sf_dir, "embeddings"))
 
 
+@query("op3_dedup_lines")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = dedup_lines(table(spark, sf_dir, "documents"))
+    return kept.select("doc_id", "n_lines", "n_removed", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
+
+
 @query("op4_nearest_neighbours")
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest_neighbours(table(spark, sf_dir, "embeddings"))
