@@ -11,6 +11,7 @@ from laneguard.llm.mixing import mix_sources
 from laneguard.llm.near_vectors import near_vectors
 from laneguard.llm.ngram_join import ngram_components
 from laneguard.llm.packing import pack_documents
+from laneguard.llm.quality import held_out, score_quality
 from laneguard.llm.registry import CHECKS, QUERIES, query, table
 from laneguard.llm.secrets import scan_secrets
 from laneguard.llm.sharding import shard_by_bytes
@@ -120,6 +121,12 @@ summed AS (SELECT *, sum(tokens) OVER (PARTITION BY domain, lang, source ORDER B
 SELECT doc_id, domain, lang, source, tokens, (whole + CASE WHEN rest > 0 AND upto <= rest THEN 1 ELSE 0 END)::INTEGER epochs FROM summed"""
 
 
+@query("op7_quality")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
+
+
 REPEATS_SQL = """WITH words AS (SELECT doc_id, coalesce(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+'), []) w FROM documents),
 grams AS (SELECT doc_id, unnest(range(1, len(w) - 11)) i, unnest(list_transform(range(1, len(w) - 11), lambda i: array_to_string(w[i:i + 12], ' '))) g FROM words WHERE len(w) >= 13),
 firsts AS (SELECT g, min(doc_id) d FROM grams GROUP BY g),
