@@ -183,7 +183,7 @@ def dedup_lines(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS,
                         if len(hit):
                             yield pd.DataFrame({"sid": lines.ids[own][hit], "line": [parts[h] for h in hit]})
 
-        return materialize(rows.join(need, "doc_id").mapInPandas(take, "sid long, line string").dropDuplicates(["sid"]), "line-texts")
+        return materialize(rows.join(need.hint("merge"), "doc_id").mapInPandas(take, "sid long, line string").dropDuplicates(["sid"]), "line-texts")
 
     def near(a: pd.DataFrame, b: pd.DataFrame) -> np.ndarray:
         return within_edits(a["line"].tolist(), b["line"].tolist(), edits)
@@ -215,6 +215,7 @@ def dedup_lines(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS,
             arrays = [pa.array(out, pa.string()) if c == text_col else batch.column(c) for c in kept_columns]
             yield pa.RecordBatch.from_arrays([*arrays, pa.array(n_lines, pa.int64()), pa.array(n_removed, pa.int64())], names=[*kept_columns, *counts])
 
-    joined = docs.select(*kept_columns).join(gone, F.col(id_col) == F.col("__id"), "left").drop("__id")
+    # what is removed grows with the texts: the join is the same at every size
+    joined = docs.select(*kept_columns).join(gone.hint("merge"), F.col(id_col) == F.col("__id"), "left").drop("__id")
     schema = StructType([*docs.select(*kept_columns).schema.fields, *[StructField(c, LongType()) for c in counts]])
     return joined.mapInArrow(strip, schema)

@@ -1,6 +1,6 @@
 """Substring dedup: matching statistics against suffix automata of shared passages.
 
-A window of ``window`` words holds the same smallest ``ANCHOR``-word hash (its anchor) wherever it occurs, so only
+A window of ``window`` words has the same smallest hash of ``ANCHOR`` words (its anchor) wherever it occurs, so only
 windows around anchors that several texts share can repeat. These stretches of words, once per content, are dealt by
 anchor to shards of bounded size. Each shard builds the suffix automaton of its stretches, streams every stretch
 through it and reads off, window by window, the smallest document in which the window starts. Shards meet their
@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from laneguard.llm.words import Words, chunks, mix
+from laneguard.llm.words import PrefixHash, Words, chunks, mix
 from laneguard.session import materialize
 
 ANCHOR = 5
@@ -25,29 +25,25 @@ SHARD_STRETCHES = 4_000
 """Stretches (about twenty words each) in one automaton, on average."""
 
 
-def _anchors(grams: np.ndarray, a: int, b: int, window: int, k: int) -> np.ndarray:
-    """Anchor position (a word index) of each window of the words a..b: the leftmost smallest k-gram in it."""
-    g = mix(grams[a:b - k + 1], 41)
-    if b - a < window:
-        return np.zeros(0, np.int64)
-    view = np.lib.stride_tricks.sliding_window_view(g, window - k + 1)
-    return a + np.arange(len(view)) + np.argmin(view, axis=1)
+def _window_minima(values: np.ndarray, size: int) -> np.ndarray:
+    """Smallest of every ``size`` consecutive values, by doubling."""
+    done, out = 1, values
+    while done < size:
+        step = min(done, size - done)
+        out = np.minimum(out[:-step], out[step:])
+        done += step
+    return out
 
 
-def _texts(texts, window: int, k: int):
-    """(index, words, anchor position of each window, k-gram hashes, first word, end) of every text."""
-    for first, raws in chunks(list(texts)):
-        words = Words(raws, lower=False)
-        grams = words.grams(k)
-        for i in range(len(raws)):
+def _texts(raws, window: int, k: int):
+    """(index, words, anchor of each window, first word, end, identity of the word sequence) of every text."""
+    for first, part in chunks(raws):
+        words = Words(part, lower=False)
+        anchors, whole = _window_minima(mix(words.grams(k), 41), window - k + 1), PrefixHash(words.hashes)
+        ids = (whole.of(words.bounds[:-1], words.bounds[1:]) >> np.uint64(1)).view(np.int64)
+        for i in range(len(part)):
             a, b = int(words.bounds[i]), int(words.bounds[i + 1])
-            yield first + i, words, _anchors(grams, a, b, window, k), grams, a, b
-
-
-def _text_id(words: Words, a: int, b: int) -> int:
-    """Identity of a word sequence: 63 bits of a digest of its words joined by one space."""
-    joined = b" ".join(words.buffer[s:e] for s, e in zip(words.starts[a:b].tolist(), words.ends[a:b].tolist()))
-    return int.from_bytes(hashlib.blake2b(joined, digest_size=8).digest(), "little") >> 1
+            yield first + i, words, anchors[a:max(a, b - window + 1)], a, b, int(ids[i])
 
 
 class Automaton:
@@ -120,7 +116,7 @@ def remove_repeats(docs: DataFrame, window: int = 13, id_col: str = "doc_id", te
 
     Windows are judged on the input. Null and empty texts have no words. Rows with a null id lose nothing and take
     nothing from others; repeated rows with the same id do not remove each other's words. An empty table gives no
-    rows. Only the id and text columns are read. Windows are compared word by word, whole copies by a 63-bit digest.
+    rows. Only the id and text columns are read. Windows are compared word by word, whole copies by a 63-bit hash.
     """
     k = min(ANCHOR, window)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
@@ -128,13 +124,12 @@ def remove_repeats(docs: DataFrame, window: int = 13, id_col: str = "doc_id", te
     def describe(batches):
         for batch in batches:
             tid, n, anchors = np.zeros(len(batch), np.int64), np.zeros(len(batch), np.int64), [None] * len(batch)
-            for i, words, at, grams, a, b in _texts(batch["text"], window, k):
-                tid[i], n[i] = _text_id(words, a, b), b - a
-                anchors[i] = np.unique(grams[at]).view(np.int64)
+            for i, _, own, a, b, ident in _texts(batch["text"].tolist(), window, k):
+                tid[i], n[i], anchors[i] = ident, b - a, np.unique(own).view(np.int64)
             yield pd.DataFrame({"doc_id": batch["doc_id"].astype("Int64"), "tid": tid, "n": n, "anchors": anchors})
 
-    seen = rows.mapInPandas(describe, "doc_id long, tid long, n long, anchors array<long>")
-    copies = materialize(seen.select("doc_id", "tid", "n"), "repeat-texts")
+    seen = materialize(rows.mapInPandas(describe, "doc_id long, tid long, n long, anchors array<long>"), "repeat-texts")
+    copies = seen.select("doc_id", "tid", "n")
     first = materialize(copies.filter((F.col("n") >= window) & F.col("doc_id").isNotNull()).groupBy("tid").agg(F.min("doc_id").alias("first")), "repeat-first")
     # an anchor is shared if a neighbour in the order by text has the same one; copies of a text count once
     order = Window.partitionBy("anchor").orderBy("tid")
@@ -149,16 +144,16 @@ def remove_repeats(docs: DataFrame, window: int = 13, id_col: str = "doc_id", te
         for batch in batches:
             out = []
             doc, want, anchors = batch["doc_id"].tolist(), batch["want"].tolist(), batch["anchors"].tolist()
-            for i, words, at, grams, a, b in _texts(batch["text"], window, k):
-                if not len(at) or _text_id(words, a, b) != want[i]:
+            for i, words, own, a, b, ident in _texts(batch["text"].tolist(), window, k):
+                if not len(own) or ident != want[i]:
                     continue
-                new = np.flatnonzero(np.diff(at, prepend=-1))
-                ends = np.append(new[1:], len(at))
-                ok = np.isin(grams[at[new]].view(np.int64), np.asarray(anchors[i]))
+                new = np.flatnonzero(np.concatenate(([True], own[1:] != own[:-1])))
+                ends = np.append(new[1:], len(own))
+                ok = np.isin(own[new].view(np.int64), np.asarray(anchors[i]))
                 for s, e in zip(new[ok].tolist(), ends[ok].tolist()):
                     lo, hi = a + s, a + e - 1 + window
                     text = b" ".join(words.buffer[x:y] for x, y in zip(words.starts[lo:hi].tolist(), words.ends[lo:hi].tolist()))
-                    out.append((doc[i], s, int(grams[at[s]].view(np.int64)), text.decode("utf-8", "surrogatepass")))
+                    out.append((doc[i], s, int(own[s:s + 1].view(np.int64)[0]), text.decode("utf-8", "surrogatepass")))
             yield pd.DataFrame(out, columns=["doc_id", "at", "anchor", "content"])
 
     stretches = rows.join(asked, "doc_id").mapInPandas(cut, "doc_id long, at long, anchor long, content string")
@@ -190,21 +185,22 @@ def remove_repeats(docs: DataFrame, window: int = 13, id_col: str = "doc_id", te
         for batch in batches:
             out = []
             docs_, copies_, tids_, windows_ = (batch[c].tolist() for c in ("doc_id", "copies", "tids", "windows"))
-            for i, words, _, _, a, b in _texts(batch["text"], window, window):
-                gone = np.zeros(b - a, bool)
-                tid = _text_id(words, a, b)
-                if b - a >= window and copies_[i] is not None and tid in set(copies_[i]):
-                    gone[:] = True
-                elif windows_[i] is not None and tids_[i] is not None and tid in set(tids_[i]):
-                    steps = np.zeros(b - a + 1, np.int64)
-                    at = np.asarray(windows_[i], np.int64)
-                    at = at[at + window <= b - a]
-                    np.add.at(steps, at, 1)
-                    np.add.at(steps, at + window, -1)
-                    gone = np.cumsum(steps)[:-1] > 0
-                left = np.flatnonzero(~gone) + a
-                kept = b" ".join(words.buffer[x:y] for x, y in zip(words.starts[left].tolist(), words.ends[left].tolist()))
-                out.append((docs_[i], b - a, int(gone.sum()), kept.decode("utf-8", "surrogatepass"), hashlib.sha256(kept).hexdigest()))
+            for i, text in enumerate(batch["text"]):
+                raw = b"" if text is None else text.encode("utf-8", "surrogatepass")
+                words, gone = raw.split(), None  # bytes are split at exactly the separators
+                if copies_[i] is not None:
+                    _, _, _, _, n, ident = next(_texts([text], window, window))
+                    if n >= window and ident in set(copies_[i]):
+                        gone = np.ones(n, bool)
+                    elif windows_[i] is not None and tids_[i] is not None and ident in set(tids_[i]):
+                        steps = np.zeros(n + 1, np.int64)
+                        at = np.asarray(windows_[i], np.int64)
+                        at = at[at + window <= n]
+                        np.add.at(steps, at, 1)
+                        np.add.at(steps, at + window, -1)
+                        gone = np.cumsum(steps)[:-1] > 0
+                kept = b" ".join(words if gone is None else [w for w, g in zip(words, gone.tolist()) if not g])
+                out.append((docs_[i], len(words), 0 if gone is None else int(gone.sum()), kept.decode("utf-8", "surrogatepass"), hashlib.sha256(kept).hexdigest()))
             frame = pd.DataFrame(out, columns=["doc_id", "n_words", "n_removed", "kept", "kept_sha256"])
             yield frame.assign(doc_id=frame["doc_id"].astype("Int64"))
 
