@@ -168,7 +168,7 @@ def remove_repeats(docs: DataFrame, window: int = 13, id_col: str = "doc_id", te
         automaton.close()
         earliest = [automaton.earliest(words, window) for words in texts]
         keep = [i for i, (e, last) in enumerate(zip(earliest, part["last"].tolist())) if min(e) < last]
-        return pd.DataFrame({"uid": part["uid"].to_numpy()[keep], "earliest": [earliest[i] for i in keep]})
+        return pd.DataFrame({"uid": part["uid"].to_numpy()[np.array(keep, np.int64)], "earliest": pd.Series([earliest[i] for i in keep], dtype=object)})
 
     found = contents.withColumn("shard", F.pmod(F.xxhash64("anchor", F.lit(9)), F.lit(shards))).groupBy("shard").applyInPandas(match, "uid long, earliest array<long>")
     hits = stretches.select("doc_id", "at", "uid").join(found, "uid")
