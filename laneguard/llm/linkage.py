@@ -113,11 +113,13 @@ def _cross_pairs(members: DataFrame, sizes: DataFrame, info: DataFrame, screen:
     return m.groupBy("call").applyInPandas(compare, "a long, b long")
 
 
-def link_buckets(keys: DataFrame, info: DataFrame | Callable[[DataFrame], DataFrame], screen: Screen, verify: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """Components ``(node, component)`` of the items of ``keys(key, sid)`` under the links that ``verify`` confirms.
+def link_buckets(keys: DataFrame, info: DataFrame | Callable[[DataFrame], DataFrame], screen: Screen,
+                 verify: Callable[[DataFrame], Callable[[DataFrame], DataFrame]] | None = None) -> DataFrame:
+    """Components ``(node, component)`` of the items of ``keys(key, sid)`` under their true links.
 
     Any two linked items must share a key. ``info`` may be made from the chain pairs ``(key, a, b)``, which name all candidates. ``screen`` sees two aligned frames of ``info`` rows and may only drop
-    pairs that are no links; ``verify`` maps pairs ``(a, b)`` to the true links among them. The result is exact:
+    pairs that are no links. ``verify(pairs)`` gathers once what all these pairs need and gives a function from some of
+    them to the true links among them; without it the screen itself is exact. The result is exact:
     first one earlier neighbour per item is verified, then the chain pairs between different components, then all
     screened pairs across the components of every bucket that still holds more than one.
     """
@@ -125,14 +127,17 @@ def link_buckets(keys: DataFrame, info: DataFrame | Callable[[DataFrame], DataFr
     chain = keys.select("key", F.lag("sid").over(order).alias("a"), F.col("sid").alias("b")).filter("a < b")
     chain = materialize(chain, "chains")
     info = info(chain) if callable(info) else info
-    first = chain.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
-    tested = materialize(_screened(first, info, screen), "pairs")
-    links = materialize(verify(tested), "links")
+    if verify is None:
+        tested, check = chain.select("a", "b").distinct(), lambda pairs: _screened(pairs, info, screen)
+    else:
+        tested = materialize(_screened(chain.select("a", "b").distinct(), info, screen), "pairs")
+        check = verify(tested)
+    first = materialize(tested.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), "pairs")
+    links = materialize(check(first), "links")
     components = materialize(connected_components(links), "components")
-    more = _labelled(chain.select("a", "b").distinct(), components).filter("of_a != of_b").select("a", "b").join(first, ["a", "b"], "left_anti")
-    more = materialize(_screened(more, info, screen), "pairs")
+    more = materialize(_labelled(tested, components).filter("of_a != of_b").select("a", "b").join(first, ["a", "b"], "left_anti"), "pairs")
     if not more.isEmpty():
-        links = links.unionAll(materialize(verify(more), "links"))
+        links = links.unionAll(materialize(check(more), "links"))
         components = materialize(connected_components(links), "components")
     labelled = _labelled(chain, components)
     of_bucket = labelled.groupBy("key").agg((F.count("*") + 1).alias("n"), F.max((F.col("of_a") != F.col("of_b")).cast("int")).alias("open"), F.min("a").alias("least"),
@@ -147,4 +152,4 @@ def link_buckets(keys: DataFrame, info: DataFrame | Callable[[DataFrame], DataFr
     cross = materialize(_cross_pairs(members, broken, info, screen).distinct().join(chain.select("a", "b").distinct(), ["a", "b"], "left_anti"), "pairs")
     if cross.isEmpty():
         return components
-    return connected_components(links.unionAll(materialize(verify(cross), "links")))
+    return connected_components(links.unionAll(materialize(verify(cross)(cross), "links") if verify else cross))

@@ -126,7 +126,7 @@ def ngram_components(docs: DataFrame, k: int = 4, num: int = 85, den: int = 100,
     sets = materialize(rows.mapInPandas(describe, "doc_id long, n long, sid long, sketch binary"), "ngram-sets")
     reps = materialize(sets.filter("n > 0 and doc_id is not null").groupBy("sid").agg(F.min("doc_id").alias("rep")), "ngram-reps")
     keys = rows.filter("doc_id is not null").mapInPandas(key_rows, "key long, sid long")
-    info = sets.join(reps.select("sid", F.col("rep").alias("doc_id")), ["sid", "doc_id"]).select("sid", "n", "sketch").dropDuplicates(["sid"])
+    info = materialize(sets.join(reps.select("sid", F.col("rep").alias("doc_id")), ["sid", "doc_id"]).select("sid", "n", "sketch").dropDuplicates(["sid"]), "ngram-info")
 
     def screen(a: pd.DataFrame, b: pd.DataFrame) -> np.ndarray:
         na, nb = a["n"].to_numpy(), b["n"].to_numpy()
@@ -150,13 +150,13 @@ def ngram_components(docs: DataFrame, k: int = 4, num: int = 85, den: int = 100,
             if ok:
                 yield batch.loc[np.array(ok, bool), ["a", "b"]]
 
-    def verify(pairs: DataFrame) -> DataFrame:
+    def verify(pairs: DataFrame):
         need = pairs.select(F.col("a").alias("sid")).unionAll(pairs.select(F.col("b").alias("sid"))).distinct().join(reps, "sid")
         need = materialize(need, "ngram-need")
         texts = rows.join(need.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi")
         grams = materialize(texts.mapInPandas(hashed, "sid long, grams binary").join(need.select("sid"), "sid", "left_semi").dropDuplicates(["sid"]), "ngram-grams")
-        both = pairs.join(grams.select(F.col("sid").alias("a"), F.col("grams").alias("x")), "a").join(grams.select(F.col("sid").alias("b"), F.col("grams").alias("y")), "b")
-        return both.mapInPandas(exact, "a long, b long")
+        x, y = grams.select(F.col("sid").alias("a"), F.col("grams").alias("x")), grams.select(F.col("sid").alias("b"), F.col("grams").alias("y"))
+        return lambda some: some.join(x, "a").join(y, "b").mapInPandas(exact, "a long, b long")
 
     components = materialize(link_buckets(keys, info, screen, verify), "ngram-components")
     group = reps.join(components.select(F.col("node").alias("sid"), "component"), "sid", "left").withColumn("component", F.coalesce("component", "sid"))
