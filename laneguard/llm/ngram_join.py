@@ -18,7 +18,7 @@ from laneguard.llm.words import Words, chunks, mix, shingle_set
 from laneguard.session import materialize
 
 CHUNK_BITS = 256
-FOLDED_BITS = 512
+FOLDED_BITS = 2048
 
 
 def _bounds() -> np.ndarray:
