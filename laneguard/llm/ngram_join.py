@@ -3,11 +3,14 @@
 Every shingle of a set toggles (XOR) one bit of a sketch, so the Hamming distance of two sketches is at most the
 symmetric difference of the sets. Sets are put into bands of similar size; the largest symmetric difference d of a
 link in a band is known, so of more than d sketch chunks one must agree: documents meet in buckets of equal, non-zero
-chunks. A folded sketch of fixed size screens pairs, whole shingle sets verify them.
+chunks. A folded sketch with about as many bits as the set has shingles screens pairs, whole shingle sets verify them.
 """
 
 from __future__ import annotations
 
+import math
+from functools import lru_cache
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -18,14 +21,13 @@ from laneguard.llm.words import Words, chunks, mix, shingle_set
 from laneguard.session import materialize
 
 CHUNK_BITS = 256
-FOLDED_BITS = 2048
 
 
 def _bounds() -> np.ndarray:
-    """Least set size of each band; a band is about 1.7 times as wide as the one before."""
+    """Least set size of each band; a band is about 1.3 times as wide as the one before."""
     b = [1]
     while b[-1] < 1 << 40:
-        b.append(max(b[-1] + 1, -(-b[-1] * 17 // 10)))
+        b.append(max(b[-1] + 1, -(-b[-1] * 13 // 10)))
     return np.array(b, np.int64)
 
 
@@ -37,31 +39,49 @@ def largest_difference(total_size, num: int, den: int):
     return total_size * (den - num) // (den + num)
 
 
-def _chunks_of(band: int, num: int, den: int) -> tuple[int, int]:
-    """(chunks, spare chunks) of a band; 0 chunks where only equal sets are links."""
+@lru_cache(maxsize=None)
+def _chunks_of(band: int, num: int, den: int) -> tuple[int, int, int]:
+    """(chunks, spare chunks, least odd bits of a chunk that is a key) of a band; no chunks where only equal sets are links.
+
+    A chunk with a single odd bit would bring together all documents that share one common phrase, so two are asked for
+    where the expected number of lesser chunks leaves room; sets of few shingles take any non-zero chunk.
+    """
     d = int(largest_difference(2 * (int(BOUNDS[band + 1]) - 1), num, den))
+    if not d:
+        return 0, 0, 1
+    spare = 0
+    while spare <= d:
+        mean = int(BOUNDS[band]) / (d + 1 + spare)
+        weak = (d + 1 + spare) * (1 + mean) * math.exp(-mean)
+        need = math.ceil(weak + 2 * math.sqrt(weak))
+        if need <= spare:
+            return d + 1 + spare, spare, 2
+        spare = need
     spare = 2 + -(-d * 6 // 100)
-    return (d + 1 + spare, spare) if d else (0, 0)
+    return d + 1 + spare, spare, 1
 
 
 def bucket_keys(shingles: np.ndarray, num: int, den: int) -> np.ndarray:
     """Keys of a set; two linked, different sets share one of them.
 
-    Of a band's chunks at most d differ, and at most ``spare`` are zero in a set, so one equal non-zero chunk is
-    left. A set with more zero chunks adds its prefix keys (the classic prefix filter): two such sets share one.
+    Of a band's chunks at most d differ, and at most ``spare`` of a set have too few odd bits for a key, so one equal
+    key chunk is left. A set with more lesser chunks adds its prefix keys (the classic prefix filter): two such sets
+    share one.
     """
     n = len(shingles)
     low, high = np.searchsorted(BOUNDS, [n, n * den // num], "right") - 1
     out, prefix = [], False
     h = mix(shingles, 77)
     for band in range(low, high + 1):
-        m, spare = _chunks_of(band, num, den)
+        m, spare, least = _chunks_of(band, num, den)
         if not m:
             continue
-        bit = h % np.uint64(m * CHUNK_BITS)
-        sketch = np.zeros(m, np.uint64)  # hash of the odd bits of each chunk; bits toggled twice cancel
-        np.bitwise_xor.at(sketch, (bit // np.uint64(CHUNK_BITS)).astype(np.int64), mix(bit, 5))
-        on = np.flatnonzero(sketch)
+        bits, times = np.unique(h % np.uint64(m * CHUNK_BITS), return_counts=True)
+        odd = bits[times & 1 == 1]  # bits toggled twice cancel
+        chunk = (odd // np.uint64(CHUNK_BITS)).astype(np.int64)
+        sketch = np.zeros(m, np.uint64)  # hash of the odd bits of each chunk
+        np.bitwise_xor.at(sketch, chunk, mix(odd, 5))
+        on = np.flatnonzero(np.bincount(chunk, minlength=m) >= least)
         out.append(mix(sketch[on] ^ mix(on.astype(np.uint64), 1000 + band)))
         prefix |= m - len(on) > spare
     if prefix:
@@ -77,10 +97,32 @@ def set_id(shingles: np.ndarray) -> np.ndarray:
 
 
 def folded(shingles: np.ndarray) -> bytes:
-    bits = np.bincount((mix(shingles, 31) & np.uint64(FOLDED_BITS - 1)).astype(np.int64), minlength=FOLDED_BITS) & 1
+    """Sketch of the least power of two of bits that is not under the set's size (64 at least)."""
+    size = max(64, 1 << (len(shingles) - 1).bit_length())
+    bits = np.bincount((mix(shingles, 31) & np.uint64(size - 1)).astype(np.int64), minlength=size) & 1
     return np.packbits(bits.astype(np.uint8)).tobytes()
 
 
+def _narrowed(sketches, width: int) -> np.ndarray:
+    """Sketches of one width as rows of ``width`` 64-bit words; the halves of a wider one are folded by XOR."""
+    x = np.frombuffer(b"".join(sketches), np.uint64).reshape(len(sketches), -1)
+    while x.shape[1] > width:
+        x = x[:, :x.shape[1] // 2] ^ x[:, x.shape[1] // 2:]
+    return x
+
+
+def may_link(a: pd.DataFrame, b: pd.DataFrame, num: int, den: int) -> np.ndarray:
+    """Whether sizes and sketches (columns ``n`` and ``sketch``) allow a link of each row of a with that of b."""
+    na, nb = a["n"].to_numpy(), b["n"].to_numpy()
+    x, y = a["sketch"].to_numpy(), b["sketch"].to_numpy()
+    wide = np.stack([[len(v) // 8 for v in s] for s in (x, y)]).astype(np.int64).reshape(2, -1)
+    ok, differ = den * np.minimum(na, nb) >= num * np.maximum(na, nb), np.zeros(len(a), np.int64)
+    for pair in np.unique(wide[:, ok], axis=1).T:
+        at = np.flatnonzero(ok & (wide == pair[:, None]).all(axis=0))
+        differ[at] = np.bitwise_count(_narrowed(x[at], pair.min()) ^ _narrowed(y[at], pair.min())).sum(axis=1, dtype=np.int64)
+    return ok & (differ <= largest_difference(na + nb, num, den))
+
+
 def _sets(texts, k: int):
     """(index, shingle set) of every text."""
     for first, raws in chunks(list(texts)):
@@ -125,14 +167,12 @@ def ngram_components(docs: DataFrame, k: int = 4, num: int = 85, den: int = 100,
 
     sets = materialize(rows.mapInPandas(describe, "doc_id long, n long, sid long, sketch binary"), "ngram-sets")
     reps = materialize(sets.filter("n > 0 and doc_id is not null").groupBy("sid").agg(F.min("doc_id").alias("rep")), "ngram-reps")
-    keys = rows.filter("doc_id is not null").mapInPandas(key_rows, "key long, sid long")
+    one_each = rows.join(reps.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi")  # copies bring no keys of their own
+    keys = one_each.mapInPandas(key_rows, "key long, sid long")
     info = materialize(sets.join(reps.select("sid", F.col("rep").alias("doc_id")), ["sid", "doc_id"]).select("sid", "n", "sketch").dropDuplicates(["sid"]), "ngram-info")
 
     def screen(a: pd.DataFrame, b: pd.DataFrame) -> np.ndarray:
-        na, nb = a["n"].to_numpy(), b["n"].to_numpy()
-        x, y = (np.frombuffer(b"".join(s["sketch"]), np.uint64).reshape(len(s), -1) for s in (a, b))
-        differ = np.bitwise_count(x ^ y).sum(axis=1, dtype=np.int64)
-        return (den * np.minimum(na, nb) >= num * np.maximum(na, nb)) & (differ <= largest_difference(na + nb, num, den))
+        return may_link(a, b, num, den)
 
     def hashed(batches):
         for batch in batches:
