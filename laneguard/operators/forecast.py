@@ -127,7 +127,7 @@ def _encoded() -> list:
     return [index, onehot, numbers, scale, join]
 
 
-def fit_logistic(train: DataFrame, c: float = 1.0, max_iter: int = 100) -> PipelineModel:
+def fit_logistic(train: DataFrame, c: float = 1.0, max_iter: int = 2000) -> PipelineModel:
     """One-hot categories and scaled numbers; the penalty equals C = 1 of a summed loss."""
     n = train.count()
     model = LogisticRegression(labelCol=TARGET, maxIter=max_iter, tol=1e-5, regParam=1.0 / (c * max(n, 1)), standardization=False)

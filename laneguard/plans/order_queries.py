@@ -268,7 +268,7 @@ def leakage_audit(d: Domain) -> DataFrame:
 
 @query("j04_logistic")
 def logistic(d: Domain) -> DataFrame:
-    model = forecast.fit_logistic(forecast.fold_rare(d.train, d.common), max_iter=50)
+    model = forecast.fit_logistic(forecast.fold_rare(d.train, d.common))
     scores = forecast.probability(model, forecast.fold_rare(d.dataset.filter("split <> 'train'"), d.common))
     return forecast.metrics(forecast.scored(scores, "logreg", F.col("p")))
 
@@ -290,7 +290,7 @@ def unseen(d: Domain) -> DataFrame:
 
 @query("j07_model_comparison")
 def comparison(d: Domain) -> DataFrame:
-    model = forecast.fit_logistic(forecast.fold_rare(d.train, d.common), max_iter=50)
+    model = forecast.fit_logistic(forecast.fold_rare(d.train, d.common))
     linear = forecast.scored(forecast.probability(model, forecast.fold_rare(d.dataset.filter("split <> 'train'"), d.common)), "logreg", F.col("p"))
     rules = forecast.majority_scores(d.dataset).unionByName(forecast.mode_history_scores(d.dataset))
     return forecast.metrics(rules.unionByName(linear))
@@ -298,14 +298,14 @@ def comparison(d: Domain) -> DataFrame:
 
 @query("j09_explanations")
 def explanations(d: Domain) -> DataFrame:
-    model = forecast.fit_logistic(forecast.fold_rare(d.train, d.common), max_iter=50)
+    model = forecast.fit_logistic(forecast.fold_rare(d.train, d.common))
     test = forecast.fold_rare(d.dataset.filter("split = 'test'"), d.common)
     return forecast.top_drivers(forecast.contributions(model, test)).select(*ROW_KEY, stable_round(sigmoid(F.col("logit")), 4).alias("p"), "text")
 
 
 @query("d16_global_importance")
 def importance(d: Domain) -> DataFrame:
-    model = forecast.fit_logistic(forecast.fold_rare(d.train, d.common), max_iter=50)
+    model = forecast.fit_logistic(forecast.fold_rare(d.train, d.common))
     test = forecast.fold_rare(d.dataset.filter("split = 'test'"), d.common)
     return forecast.global_importance(forecast.contributions(model, test))
 
@@ -313,7 +313,7 @@ def importance(d: Domain) -> DataFrame:
 @query("k05_baseline_delay")
 def baseline_delay(d: Domain) -> DataFrame:
     """Late probability of the most exposed lanes, as a map per brief."""
-    model = forecast.fit_logistic(forecast.fold_rare(d.train, d.common), max_iter=50)
+    model = forecast.fit_logistic(forecast.fold_rare(d.train, d.common))
     rows = forecast.fold_rare(d.what_if.filter("shipping_mode = '3-MEDIUM'"), d.common)
     top = d.risk.filter("exposure_score > 0").orderBy(F.desc("exposure_score"), "lane_id").limit(5).select("lane_id")
     risk = forecast.probability(model, rows).join(top, "lane_id").select("lane_id", stable_round(F.col("p"), 4).alias("p"))
