@@ -21,6 +21,8 @@ from laneguard.llm.words import Words, chunks, mix, shingle_set
 from laneguard.session import materialize
 
 CHUNK_BITS = 256
+SLICE = 1 << 18
+"""Shingles of the texts that are compared with one copy of their partner's text, about."""
 
 
 def _bounds() -> np.ndarray:
@@ -146,59 +148,53 @@ def ngram_components(docs: DataFrame, k: int = 4, num: int = 85, den: int = 100,
     def describe(batches):
         for batch in batches:
             n, sid, sketch = np.zeros(len(batch), np.int64), np.zeros(len(batch), np.int64), [None] * len(batch)
+            keys, known = [None] * len(batch), {}
             for i, s in _sets(batch["text"], k):
                 n[i] = len(s)
                 if len(s):
-                    sid[i], sketch[i] = set_id(s).view(np.int64)[0], folded(s)
-            yield pd.DataFrame({"doc_id": batch["doc_id"].astype("Int64"), "n": n, "sid": sid, "sketch": sketch})
+                    own = sid[i] = set_id(s).view(np.int64)[0]
+                    if own not in known:
+                        known[own] = folded(s), bucket_keys(s, num, den).view(np.int64)
+                    sketch[i], keys[i] = known[own]
+            yield pd.DataFrame({"doc_id": batch["doc_id"].astype("Int64"), "n": n, "sid": sid, "sketch": sketch, "keys": keys})
 
-    def key_rows(batches):
-        for batch in batches:
-            keys, ids, done = [], [], set()
-            for _, s in _sets(batch["text"], k):
-                sid = set_id(s).view(np.int64)[0] if len(s) else 0
-                if len(s) and sid not in done:
-                    done.add(sid)
-                    own = bucket_keys(s, num, den)
-                    keys.append(own.view(np.int64))
-                    ids.append(np.full(len(own), sid))
-            if keys:
-                yield pd.DataFrame({"key": np.concatenate(keys), "sid": np.concatenate(ids)})
-
-    sets = materialize(rows.mapInPandas(describe, "doc_id long, n long, sid long, sketch binary"), "ngram-sets")
+    sets = materialize(rows.mapInPandas(describe, "doc_id long, n long, sid long, sketch binary, keys array<long>"), "ngram-sets")
     reps = materialize(sets.filter("n > 0 and doc_id is not null").groupBy("sid").agg(F.min("doc_id").alias("rep")), "ngram-reps")
-    one_each = rows.join(reps.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi")  # copies bring no keys of their own
-    keys = one_each.mapInPandas(key_rows, "key long, sid long")
-    info = materialize(sets.join(reps.select("sid", F.col("rep").alias("doc_id")), ["sid", "doc_id"]).select("sid", "n", "sketch").dropDuplicates(["sid"]), "ngram-info")
+    one_each = sets.join(reps.select("sid", F.col("rep").alias("doc_id")), ["sid", "doc_id"])  # copies bring no keys of their own
+    keys = one_each.select(F.explode("keys").alias("key"), "sid")
+    info = materialize(one_each.select("sid", "n", "sketch").dropDuplicates(["sid"]), "ngram-info")
 
     def screen(a: pd.DataFrame, b: pd.DataFrame) -> np.ndarray:
         return may_link(a, b, num, den)
 
-    def hashed(batches):
-        for batch in batches:
-            out = [(set_id(s).view(np.int64)[0], s.tobytes()) for _, s in _sets(batch["text"], k) if len(s)]
-            if out:
-                yield pd.DataFrame(out, columns=["sid", "grams"])
-
     def exact(batches):
+        hub, of = None, np.zeros(0, np.uint64)  # the sort puts the text of each hub before its partners
         for batch in batches:
-            ok = []
-            for x, y in zip(batch["x"], batch["y"]):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                ok.append(den * both >= num * (len(x) + len(y) - both))
-            if ok:
-                yield batch.loc[np.array(ok, bool), ["a", "b"]]
-
-    def verify(pairs: DataFrame):
-        need = pairs.select(F.col("a").alias("sid")).unionAll(pairs.select(F.col("b").alias("sid"))).distinct().join(reps, "sid")
-        need = materialize(need, "ngram-need")
-        texts = rows.join(need.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi")
-        grams = materialize(texts.mapInPandas(hashed, "sid long, grams binary").join(need.select("sid"), "sid", "left_semi").dropDuplicates(["sid"]), "ngram-grams")
-        x, y = grams.select(F.col("sid").alias("a"), F.col("grams").alias("x")), grams.select(F.col("sid").alias("b"), F.col("grams").alias("y"))
-        return lambda some: some.join(x, "a").join(y, "b").mapInPandas(exact, "a long, b long")
-
-    components = materialize(link_buckets(keys, info, screen, verify), "ngram-components")
+            a, sid, first = batch["a"].to_numpy(), batch["sid"].to_numpy(), batch["first"].to_numpy()
+            out = []
+            for i, s in _sets(batch["text"], k):
+                if not len(s) or set_id(s).view(np.int64)[0] != sid[i]:
+                    continue  # another row with the same id
+                if first[i]:
+                    hub, of = a[i], s
+                elif hub == a[i]:
+                    both = len(np.intersect1d(of, s, assume_unique=True))
+                    if den * both >= num * (len(of) + len(s) - both):
+                        out.append((a[i], sid[i]))
+            yield pd.DataFrame(out, columns=["a", "b"], dtype="int64")
+
+    def check(some: DataFrame) -> DataFrame:
+        """True links of ``some``: the texts of all partners of a go to slices of a, each with a's own text before them."""
+        some = some.join(info.select(F.col("sid").alias("b"), "n"), "b")
+        slices = some.groupBy("a").agg(F.ceil(F.sum("n") / SLICE).alias("slices"))
+        dealt = some.join(slices, "a").withColumn("slice", F.pmod(F.xxhash64("b"), "slices"))
+        ends = dealt.select("a", "slice", F.lit(0).alias("first"), F.col("b").alias("sid")).unionAll(
+            slices.select("a", F.explode(F.sequence(F.lit(0).cast("long"), F.col("slices") - 1)).alias("slice"), F.lit(1).alias("first"), F.col("a").alias("sid")))
+        ends = materialize(ends.join(reps, "sid").withColumnRenamed("rep", "doc_id"), "ngram-ends")
+        texts = rows.join(ends, "doc_id").select("a", "slice", "first", "sid", "text")
+        return texts.repartition("a", "slice").sortWithinPartitions("a", "slice", F.desc("first")).mapInPandas(exact, "a long, b long")
+
+    components = materialize(link_buckets(keys, info, screen, lambda _: check), "ngram-components")
     group = reps.join(components.select(F.col("node").alias("sid"), "component"), "sid", "left").withColumn("component", F.coalesce("component", "sid"))
     least = group.groupBy("component").agg(F.min("rep").alias("component_id"))
     of_set = materialize(group.join(least, "component").select("sid", "component_id"), "ngram-groups")
