@@ -21,6 +21,8 @@ from laneguard.llm.words import Words, chunks, mix, shingle_set
 from laneguard.session import materialize
 
 CHUNK_BITS = 256
+MAX_SENT_IDS = 1 << 20
+"""Document ids (8 bytes each) that are sent to every executor to leave out other texts before their shuffle; with more, all are shuffled."""
 SLICE = 1 << 18
 """Shingles of the texts that are compared with one copy of their partner's text, about."""
 
@@ -191,7 +193,10 @@ def ngram_components(docs: DataFrame, k: int = 4, num: int = 85, den: int = 100,
         ends = dealt.select("a", "slice", F.lit(0).alias("first"), F.col("b").alias("sid")).unionAll(
             slices.select("a", F.explode(F.sequence(F.lit(0).cast("long"), F.col("slices") - 1)).alias("slice"), F.lit(1).alias("first"), F.col("a").alias("sid")))
         ends = materialize(ends.join(reps, "sid").withColumnRenamed("rep", "doc_id"), "ngram-ends")
-        texts = rows.join(ends, "doc_id").select("a", "slice", "first", "sid", "text")
+        ids = materialize(ends.select("doc_id").distinct(), "ngram-ids")
+        few = ids.count() <= MAX_SENT_IDS  # checked: then only the texts of these ids are shuffled
+        wanted = rows.join(F.broadcast(ids), "doc_id", "left_semi") if few else rows
+        texts = wanted.join(ends, "doc_id").select("a", "slice", "first", "sid", "text")
         return texts.repartition("a", "slice").sortWithinPartitions("a", "slice", F.desc("first")).mapInPandas(exact, "a long, b long")
 
     components = materialize(link_buckets(keys, info, screen, lambda _: check), "ngram-components")

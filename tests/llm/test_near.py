@@ -131,8 +131,10 @@ def near_texts(n=420, seed=9):
     return out
 
 
-@pytest.mark.parametrize("k,num", [(4, 85), (5, 80)])
-def test_ngram_join(spark, k, num):
+@pytest.mark.parametrize("k,num,sent,shingles_a_slice", [(4, 85, 1 << 20, 1 << 18), (5, 80, 0, 50)])
+def test_ngram_join(spark, monkeypatch, k, num, sent, shingles_a_slice):
+    monkeypatch.setattr("laneguard.llm.ngram_join.MAX_SENT_IDS", sent)
+    monkeypatch.setattr("laneguard.llm.ngram_join.SLICE", shingles_a_slice)
     df = hard_docs(spark, near_texts())
     rows = [(r["doc_id"], r["text"]) for r in df.collect()]
     sets = [shingles(t, k) for _, t in rows]
