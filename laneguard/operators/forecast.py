@@ -17,7 +17,6 @@ from laneguard.operators.history import CATEGORICAL, HISTORY, HISTORY_KEYS, NUME
 from laneguard.session import materialize
 
 MIN_CATEGORY_ROWS = 50
-MAX_INLINE_CATEGORIES = 5000
 RARE = "(rare)"
 # Scheduled days of a shipping mode in a what-if order.
 TYPICAL_SCHEDULED_DAYS = {"Standard Class": 4, "Second Class": 2, "First Class": 1, "Same Day": 0}
@@ -103,19 +102,12 @@ def common_categories(train: DataFrame) -> DataFrame:
 
 
 def fold_rare(data: DataFrame, common: DataFrame) -> DataFrame:
-    """Categories outside ``common`` (rare or unseen) become one value.
-
-    A list of checked size is tested inside the row; a longer one is joined.
-    """
-    known = common.limit(MAX_INLINE_CATEGORIES + 1).collect()
-    if len(known) <= MAX_INLINE_CATEGORIES:
-        lists = {c: [r["value"] for r in known if r["name"] == c] for c in CATEGORICAL}
-        return data.withColumns({c: F.when(F.col(c).isin(*lists[c]), F.col(c)).otherwise(RARE) for c in CATEGORICAL})
+    """Categories outside ``common`` (rare or unseen) become one value. One row of ``common`` per name and value is joined."""
     out = data
     for c in CATEGORICAL:
         table = common.filter(F.col("name") == c).select(F.col("value").alias(c), F.lit(True).alias("common"))
         out = out.join(table, c, "left").withColumn(c, F.when(F.col("common"), F.col(c)).otherwise(RARE)).drop("common")
-    return out
+    return out.select(*data.columns)
 
 
 def _encoded() -> list:

@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-MAX_INLINE_NAMES = 5000
 MIN_NAME_CHARS = 4
 
 
@@ -55,14 +54,10 @@ def word_grams(words: Column, longest: int) -> Column:
 def mentions_place(items: DataFrame, names: DataFrame, column: str = "title") -> DataFrame:
     """Items whose title (lower-cased) contains a known name of 4+ letters between spaces.
 
-    names: alias. A name list of checked size is tested inside the row, without any shuffle; a longer one
-    is joined on the word runs of the titles.
+    names: alias, joined on the word runs of the titles.
     """
     usable = names.filter(F.length("alias") >= MIN_NAME_CHARS).select("alias").distinct()
     longest = usable.agg(F.max(F.size(F.split("alias", " ")))).first()[0] or 1
     grams = word_grams(F.split(F.lower(column), " "), longest)
-    few = [r.alias for r in usable.limit(MAX_INLINE_NAMES + 1).collect()]
-    if len(few) <= MAX_INLINE_NAMES:
-        return items.filter(F.arrays_overlap(grams, F.array(*[F.lit(a) for a in few]).cast("array<string>")))
     named = items.select("id", F.explode(grams).alias("alias")).join(usable, "alias", "left_semi").select("id").distinct()
     return items.join(named, "id", "left_semi")

@@ -592,9 +592,17 @@ SELECT section, pos, line FROM (
    FROM risk WHERE exposure_score > 0
  UNION ALL SELECT '2 drivers', event_id, '- ' || driver FROM drivers
  UNION ALL SELECT '3 mitigations', lane_id || ' ' || action || ' ' || detail, '- [' || lane_id || '] ' || action || ': ' || detail FROM actions
- UNION ALL SELECT '4 cited', event_id, '- ' || event_id FROM drivers)""", ["risk", "drivers", "actions"])
+ UNION ALL SELECT '4 cited', event_id, '- ' || event_id FROM drivers
+ UNION ALL SELECT '1 lanes', '', '## Affected lanes' UNION ALL SELECT '2 drivers', '', '## Drivers'
+ UNION ALL SELECT '3 mitigations', '', '## Mitigations' UNION ALL SELECT '4 cited', '', '## Cited events'
+ UNION ALL SELECT '0 head', '1', '# Disruption brief (2024-01-21)'
+ UNION ALL SELECT '0 head', '2', '**Risk:** ' || CASE WHEN score >= 0.6 THEN 'high' WHEN score >= 0.3 THEN 'medium' WHEN score > 0 THEN 'low' ELSE 'none' END
+   || ' (' || printf('%.2f', floor(score * 100 + 0.5000001) / 100) || '). Generated by: deterministic.' FROM (SELECT max(exposure_score) AS score FROM risk)
+ UNION ALL SELECT '0 head', '3', n || ' of ' || total || ' lanes exposed as of 2024-01-21; highest exposure ' || printf('%.2f', score) || ' on ' || lane || ' (' || why || ').'
+   FROM (SELECT count(*) FILTER (exposure_score > 0) AS n, count(*) AS total, max(exposure_score) AS score,
+     arg_min(lane_id, (-exposure_score, lane_id)) AS lane, arg_min(top_reason, (-exposure_score, lane_id)) AS why FROM risk))""", ["risk", "drivers", "actions"])
 def brief_text(d: Domain) -> DataFrame:
     head = brief.summary(d.risk, AS_OF.date())
     drivers = brief.citations(d.contributions, d.visible)
     lines = brief.markdown_lines(head, brief.affected_lanes(d.risk), drivers, d.actions, AS_OF.date())
-    return files.round_trip_text(lines).filter("section <> '0 head' AND pos <> ''")
+    return files.round_trip_text(lines)
