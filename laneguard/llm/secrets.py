@@ -22,6 +22,9 @@ ACCESS = "AKIA[A-Z0-9]{12,}"
 HEX = "[0-9a-f]{32,}"
 ASSIGN_VALUE = 8
 CANDIDATE = "[A-Za-z0-9+/_=-]{20,}"
+# parts of a candidate that lie inside one alphabet; "=" belongs to a part only as padding at the end of the candidate
+PARTS = ("[A-Za-z0-9+/]+(?:=+$)?", "[A-Za-z0-9_-]+(?:=+$)?", "[A-Za-z0-9]+(?:=+$)?")
+PART_CHARS = 20
 KINDS = ("assign", "access", "hex", "random")
 BANDS = 16
 BINS = 2048
@@ -29,6 +32,7 @@ BINS = 2048
 LOWEST = 64.0
 # alphabets in their usual order
 ALPHABETS = {
+    "digits": "0123456789",
     "hex": "0123456789abcdef",
     "HEX": "0123456789ABCDEF",
     "base32": "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567",
@@ -77,13 +81,19 @@ def _spans(text: Column, pattern: str) -> Column:
 
 
 def _encoding(m: Column) -> Column:
-    """The narrowest alphabet that a string uses; null where letters and digits are not mixed, or there is none."""
+    """The narrowest alphabet that a string uses; null where there is none."""
     body = F.rtrim(m, F.lit("="))
-    mixed = body.rlike("[0-9]") & body.rlike("[A-Za-z]")
-    return (F.when(~mixed, None).when(body.rlike("^[0-9a-f]+$"), "hex").when(body.rlike("^[0-9A-F]+$"), "HEX").when(body.rlike("^[A-Z2-7]+$"), "base32")
+    return (F.when(body.rlike("^[0-9]+$"), "digits").when(body.rlike("^[0-9a-f]+$"), "hex").when(body.rlike("^[0-9A-F]+$"), "HEX").when(body.rlike("^[A-Z2-7]+$"), "base32")
             .when(body.rlike("^[a-z0-9]+$"), "lower36").when(body.rlike("^[A-Za-z0-9+/]+$"), "base64").when(body.rlike("^[A-Za-z0-9_-]+$"), "base64url"))
 
 
+def _parts(candidate: Column) -> Column:
+    """The parts of a candidate span that are long enough to test, in one or another alphabet, each once."""
+    inside = F.array_distinct(F.concat(*[_spans(candidate["m"], p) for p in PARTS]))
+    inside = F.filter(inside, lambda x: F.length(x["m"]) >= PART_CHARS)
+    return F.transform(inside, lambda x: F.struct((x["s"] + candidate["s"]).alias("s"), (x["e"] + candidate["s"]).alias("e"), x["m"].alias("m")))
+
+
 def _upper_tail(z: Column) -> Column:
     """Upper tail of the standard normal law, by the rational approximation with an error below 7.5e-8."""
     a = F.abs(z)
@@ -137,8 +147,10 @@ def not_random_bins(tested: DataFrame, false_share: float) -> DataFrame:
 def scan_secrets(docs: DataFrame, false_share: float = 0.05, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Secrets of every whole text: ``doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_random``.
 
-    A span is the whole match. Random strings are runs of 20 or more letters, digits and ``+/_=-`` in which letters and
-    digits mix and which no base span touches. Null and empty texts have no spans (empty ``spans``, the digest of no
+    A span is the whole match. Random strings are looked for in runs of 20 or more letters, digits and ``+/_=-``: what
+    lies between ``=``, and in there also what lies between ``+/``, between ``_-`` and between any of these, is tested
+    where it has 20 or more characters and no base span touches it. Of overlapping random strings the longest is
+    reported, of equally long ones the first. Null and empty texts have no spans (empty ``spans``, the digest of no
     bytes); rows with null ids and repeated rows are scanned like any other; an empty table gives no rows. Only the id and
     text columns are read.
     """
@@ -148,11 +160,16 @@ def scan_secrets(docs: DataFrame, false_share: float = 0.05, id_col: str = "doc_
     base = F.array_sort(F.concat(bare("assign", F.filter(_spans(text, ASSIGN), value), 0), bare("access", _spans(text, ACCESS), 1), bare("hex", _spans(text, HEX), 2)))
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).select(F.monotonically_increasing_id().alias("rid"), "doc_id", base.alias("base"), _spans(text, CANDIDATE).alias("cand"))
     rows = materialize(rows, "secret-rows")
-    free = F.filter("cand", lambda x: ~F.exists("base", lambda b: (b["s"] < x["e"]) & (x["s"] < b["e"])))
-    found = rows.filter(F.size("cand") > 0).select("rid", F.explode(free).alias("x")).select("rid", "x.s", "x.e", "x.m")
+    meets = lambda x, y: (x["s"] < y["e"]) & (y["s"] < x["e"])
+    found = rows.filter(F.size("cand") > 0).select("rid", "base", F.explode("cand").alias("cand")).select("rid", "base", F.col("cand.s").alias("run"), F.explode(_parts(F.col("cand"))).alias("x"))
+    found = found.filter(~F.exists("base", lambda b: meets(b, F.col("x")))).select("rid", "x.s", "x.e", "x.m", "run")
     tested = randomness(found).withColumn("band", F.least(F.floor(2 * F.log2(F.col("n") / 16)), F.lit(BANDS)).cast("int"))
     tested = materialize(tested.withColumn("bin", F.least(F.floor(F.col("nlp") * (BINS / LOWEST)), F.lit(BINS - 1)).cast("int")), "secret-tested")
     kept = tested.join(not_random_bins(tested, false_share), ["encoding", "band"]).filter(F.col("bin") < F.col("cut"))
+    # parts of one run may overlap
+    better = lambda x, y: (y["e"] - y["s"] > x["e"] - x["s"]) | ((y["e"] - y["s"] == x["e"] - x["s"]) & (y["s"] < x["s"]))
+    kept = kept.groupBy("rid", "run").agg(F.collect_list(F.struct("s", "e")).alias("all"))
+    kept = kept.select("rid", F.explode(F.filter("all", lambda x: ~F.exists("all", lambda y: meets(x, y) & better(x, y)))).alias("x")).select("rid", "x.s", "x.e")
     kept = kept.groupBy("rid").agg(F.collect_list(F.struct("s", F.lit(3).alias("k"), "e", F.lit("random").alias("kind"))).alias("more"))
     none = F.array().cast("array<struct<s:int,k:int,e:int,kind:string>>")
     out = rows.join(kept, "rid", "left").withColumn("more", F.coalesce("more", none))

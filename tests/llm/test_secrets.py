@@ -61,3 +61,33 @@ def test_p_values_are_nearly_uniform_for_random_strings(spark):
     for p in ("p_uniform", "p_runs", "p_serial"):
         assert abs(got[p].mean() - 0.5) < 0.08
     assert (got["nlp"] > 3).mean() < 0.1
+
+
+def test_secrets_inside_longer_runs(spark):
+    r = random.Random(4)
+    alnum = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    draw = lambda alphabet, n: "".join(r.choice(alphabet) for _ in range(n))
+    named = [("GITHUB_PAT=" + (x := draw(alnum, 40)), x) for _ in range(40)]
+    in_path = [("/api/v1/files/" + (x := draw(alnum, 18) + "-" + draw(alnum, 18) + "_y") + "/view", x) for _ in range(40)]
+    padded = [("KEY=" + (x := draw(alnum + "+/", 42) + "=="), x) for _ in range(40)]
+    digit_free = [(x, x) for x in (draw(alnum[:52], 24) for _ in range(40))]
+    digits = [(x, x) for x in (draw("0123456789", 30) for _ in range(40))]
+    beside_hex = [("0123456789abcdef" * 2 + "-" + (x := draw(alnum, 40)), x) for _ in range(40)]
+    groups = [named, in_path, padded, digit_free, digits, beside_hex]
+    cases = [c for g in groups for c in g]
+    rows = [(i, f"see {t} here", "en", "s", 1, 1, "", "", "", "", "") for i, (t, _) in enumerate(cases)]
+    got = {x["doc_id"]: x["spans"] for x in scan_secrets(spark.createDataFrame(rows, SCHEMA)).collect()}
+    hit = [f"random:{4 + t.index(x)}:{4 + t.index(x) + len(x)}" in got[i].split(",") for i, (t, x) in enumerate(cases)]
+    for g in range(len(groups)):
+        assert sum(hit[g * 40:g * 40 + 40]) >= 30, g
+    for spans in got.values():
+        ends = sorted(tuple(map(int, x.split(":")[1:])) for x in spans.split(",") if x.startswith("random"))
+        assert all(a[1] <= b[0] for a, b in zip(ends, ends[1:]))
+
+
+def test_long_words_are_not_random(spark):
+    r = random.Random(9)
+    parts = ["tion", "inter", "national", "er", "ing", "the", "con", "sub", "ment", "al", "ly", "over", "re"]
+    words = ["".join(r.choice(parts) for _ in range(8)) for _ in range(200)]
+    rows = [(i, f"see {w} here", "en", "s", 1, 1, "", "", "", "", "") for i, w in enumerate(words) if len(w) >= 20]
+    assert sum(x["n_random"] for x in scan_secrets(spark.createDataFrame(rows, SCHEMA)).collect()) <= len(rows) // 10
