@@ -2,10 +2,11 @@
 
 A window of ``window`` words has the same smallest hash of ``ANCHOR`` words (its anchor) wherever it occurs, so only
 windows around anchors that several texts share can repeat. These stretches of words, once per content, are dealt by
-anchor to shards of bounded size. Each shard builds the suffix automaton of its stretches, streams every stretch
-through it and reads off, window by window, the smallest document in which the window starts. Shards meet their
-stretches by a shuffle instead of a broadcast of every shard to every task, which would grow with the square of the
-data.
+anchor to shards. A shard builds suffix automata of its stretches, each over some anchors and at most twice
+``SHARD_STRETCHES * STRETCH_WORDS`` words, streams every stretch through its own and reads off, window by window, the
+smallest document in which the window starts. An anchor with more words than that is not given to a shard: its single
+windows are grouped instead, with partial sums before the shuffle. Shards meet their stretches by a shuffle instead of a
+broadcast of every shard to every task, which would grow with the square of the data.
 """
 
 from __future__ import annotations
@@ -22,7 +23,9 @@ from laneguard.session import materialize
 
 ANCHOR = 5
 SHARD_STRETCHES = 4_000
-"""Stretches (about twenty words each) in one automaton, on average."""
+"""Stretches in one shard, on average."""
+STRETCH_WORDS = 20
+"""Words of a usual stretch. An anchor with more than ``SHARD_STRETCHES`` times as many is split by its windows."""
 
 
 def _window_minima(values: np.ndarray, size: int) -> np.ndarray:
@@ -110,6 +113,16 @@ class Automaton:
         return out
 
 
+def _by_windows(contents: DataFrame, window: int) -> DataFrame:
+    """``uid, earliest`` of contents ``(uid, content, doc, last)`` as automata give them, by grouping equal windows."""
+    cut = materialize(contents.select("uid", "doc", "last", F.split("content", " ").alias("words")), "repeat-hot-words")
+    single = F.transform(F.sequence(F.lit(0), F.size("words") - window), lambda i: F.array_join(F.slice("words", i + 1, F.lit(window)), " "))
+    cut = cut.select("uid", "doc", "last", F.posexplode(single).alias("i", "win"))
+    first = materialize(cut.groupBy("win").agg(F.min("doc").alias("d")), "repeat-hot-windows")
+    by_uid = cut.join(first, "win").groupBy("uid", "last").agg(F.sort_array(F.collect_list(F.struct("i", "d"))).alias("at"))
+    return by_uid.filter(F.exists("at", lambda x: x["d"] < F.col("last"))).select("uid", F.col("at.d").alias("earliest"))
+
+
 def remove_repeats(docs: DataFrame, window: int = 13, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, n_words, n_removed, kept, kept_sha256`` of every row: words inside a window that also starts in a document with a
     smaller id are removed. ``kept`` joins the words left by one space.
@@ -159,18 +172,36 @@ def remove_repeats(docs: DataFrame, window: int = 13, id_col: str = "doc_id", te
     stretches = rows.join(asked, "doc_id").mapInPandas(cut, "doc_id long, at long, anchor long, content string")
     stretches = materialize(stretches.withColumn("uid", F.xxhash64("anchor", "content")), "repeat-stretches")
     contents = materialize(stretches.groupBy("anchor", "uid", "content").agg(F.min("doc_id").alias("doc"), F.max("doc_id").alias("last")), "repeat-contents")
+    limit = SHARD_STRETCHES * STRETCH_WORDS
+    n_words = F.size(F.split("content", " "))
+    hot = contents.groupBy("anchor").agg(F.sum(n_words).alias("words")).filter(F.col("words") > limit).select("anchor")
+    hot = materialize(hot, "repeat-hot")
+    cold = contents.join(hot, "anchor", "left_anti")
     shards = max(1, contents.count() // SHARD_STRETCHES)
 
     def match(part: pd.DataFrame) -> pd.DataFrame:
-        automaton, texts = Automaton(), [t.split(" ") for t in part["content"]]
-        for words, doc in zip(texts, part["doc"].tolist()):
-            automaton.add(words, doc)
-        automaton.close()
-        earliest = [automaton.earliest(words, window) for words in texts]
-        keep = [i for i, (e, last) in enumerate(zip(earliest, part["last"].tolist())) if min(e) < last]
-        return pd.DataFrame({"uid": part["uid"].to_numpy()[np.array(keep, np.int64)], "earliest": pd.Series([earliest[i] for i in keep], dtype=object)})
-
-    found = contents.withColumn("shard", F.pmod(F.xxhash64("anchor", F.lit(9)), F.lit(shards))).groupBy("shard").applyInPandas(match, "uid long, earliest array<long>")
+        # equal windows have the same anchor, so an automaton may end with any anchor
+        part = part.sort_values("anchor", ignore_index=True)
+        texts = [t.split(" ") for t in part["content"]]
+        anchor, docs_, lasts, uids = (part[c].tolist() for c in ("anchor", "doc", "last", "uid"))
+        uid, earliest, lo = [], [], 0
+        while lo < len(texts):
+            automaton, words, hi = Automaton(), 0, lo
+            while hi < len(texts) and (words < limit or anchor[hi] == anchor[hi - 1]):
+                automaton.add(texts[hi], docs_[hi])
+                words, hi = words + len(texts[hi]), hi + 1
+            automaton.close()
+            for i in range(lo, hi):
+                found_at = automaton.earliest(texts[i], window)
+                if min(found_at) < lasts[i]:
+                    uid.append(uids[i])
+                    earliest.append(found_at)
+            lo = hi
+        return pd.DataFrame({"uid": np.array(uid, np.int64), "earliest": pd.Series(earliest, dtype=object)})
+
+    found = cold.withColumn("shard", F.pmod(F.xxhash64("anchor", F.lit(9)), F.lit(shards))).groupBy("shard").applyInPandas(match, "uid long, earliest array<long>")
+    if not hot.isEmpty():
+        found = found.unionAll(_by_windows(contents.join(hot, "anchor", "left_semi"), window))
     hits = stretches.select("doc_id", "at", "uid").join(found, "uid")
     windows = F.filter(F.transform("earliest", lambda d, i: F.when(d < F.col("doc_id"), F.col("at") + i)), lambda x: x.isNotNull())
     spans = hits.select("doc_id", windows.alias("windows")).filter(F.size("windows") > 0)

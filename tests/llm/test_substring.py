@@ -74,3 +74,30 @@ def test_equals_sql(spark, sf_dir):
     cols = [c[0] for c in rel.description]
     want = sorted(rel.fetchall())
     assert sorted(tuple(r) for r in QUERIES["op8_remove_repeats"](spark, sf_dir).select(*cols).collect()) == want and want
+
+
+def test_automata_stay_small_under_a_hot_anchor(spark, monkeypatch):
+    monkeypatch.setattr("laneguard.llm.substring.SHARD_STRETCHES", 20)
+    limit = 20 * 20
+
+    class Bounded(Automaton):  # a local class, so that it is sent to the workers
+        def add(self, words, doc):
+            self.words = getattr(self, "words", 0) + len(words)
+            if self.words > 2 * limit:
+                raise AssertionError("automaton over its bound")
+            Automaton.add(self, words, doc)
+    monkeypatch.setattr("laneguard.llm.substring.Automaton", Bounded)
+    r = random.Random(3)
+    phrase = [f"p{i}" for i in range(7)]
+    draw = lambda n: [f"v{r.randrange(10 ** 6)}" for _ in range(n)]
+    tails = [draw(9) for _ in range(5)]
+    # one phrase with other neighbours in every text, some of them followed alike
+    texts = [draw(9) + phrase + (r.choice(tails) if i % 3 == 0 else draw(9)) for i in range(300)] + [["same"] * 900, ["same"] * 950]
+    df = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string").repartition(3)
+    first = {}
+    for i, t in enumerate(texts):
+        for j in range(len(t) - 12):
+            first.setdefault(tuple(t[j:j + 13]), i)
+    want = {i: len({j + x for j in range(len(t) - 12) if first[tuple(t[j:j + 13])] < i for x in range(13)}) for i, t in enumerate(texts)}
+    assert {x["doc_id"]: x["n_removed"] for x in remove_repeats(df).collect()} == want
+    assert sum(n > 0 for n in want.values()) > 50
