@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from laneguard.functions.numeric import clip_probability, sigmoid, smoothed_rate, stable_round
 from laneguard.operators.history import CATEGORICAL, HISTORY, HISTORY_KEYS, NUMERIC, TARGET
-from laneguard.session import materialize
+from laneguard.session import materialize, scratch_root
 
 MIN_CATEGORY_ROWS = 50
 RARE = "(rare)"
@@ -126,14 +126,48 @@ def fit_logistic(train: DataFrame, c: float = 1.0, max_iter: int = 2000) -> Pipe
     return Pipeline(stages=[*_encoded(), model]).fit(train)
 
 
-def fit_boosted(data: DataFrame, rounds: int = 100, step: float = 0.05) -> PipelineModel:
-    """Boosted trees with early stopping on the validation rows; unseen categories are their own index."""
+def patient_best(losses: list[float], patience: int) -> tuple[int, bool]:
+    """(rounds up to the smallest loss, whether ``patience`` rounds without a smaller one followed): later rounds no longer count then."""
+    best = 0
+    for i, loss in enumerate(losses):
+        if loss < losses[best]:
+            best = i
+        elif i - best >= patience:
+            return best + 1, True
+    return best + 1, False
+
+
+def fit_boosted(data: DataFrame, rounds: int = 2000, step: float = 0.05, patience: int = 100) -> PipelineModel:
+    """Boosted trees on the training rows, cut at the round with the smallest loss on the validation rows.
+
+    Rounds end when ``patience`` of them bring no smaller loss. MLlib cannot go on with a fitted model, so the number of
+    rounds is doubled until that is seen; the same seed gives the same first trees each time. Unseen categories are
+    their own index. Without validation rows all rounds are kept.
+    """
+    spark = data.sparkSession
+    if spark.sparkContext.getCheckpointDir() is None:  # each round builds on the errors of the one before
+        spark.sparkContext.setCheckpointDir(scratch_root(spark))
     index = StringIndexer(inputCols=list(CATEGORICAL), outputCols=[f"{c}_ix" for c in CATEGORICAL], handleInvalid="keep")
     join = VectorAssembler(inputCols=[*[f"{c}_ix" for c in CATEGORICAL], *NUMERIC, *HISTORY], outputCol="features")
-    trees = GBTClassifier(labelCol=TARGET, stepSize=step, maxIter=rounds, maxDepth=5, maxBins=256, minInstancesPerNode=50,
-                          featureSubsetStrategy="0.8", subsamplingRate=0.8, seed=42, validationIndicatorCol="is_valid")
-    rows = data.filter("split IN ('train', 'valid')").withColumn("is_valid", F.col("split") == "valid")
-    return Pipeline(stages=[index, join, trees]).fit(rows)
+    before = Pipeline(stages=[index, join]).fit(data.filter("split IN ('train', 'valid')"))
+    rows = before.transform(data.filter("split IN ('train', 'valid')")).select("split", "features", F.col(TARGET).cast("double").alias(TARGET))
+    rows = materialize(rows, "boosted-rows")
+    train, valid = rows.filter("split = 'train'"), rows.filter("split = 'valid'")
+
+    def fit(n: int):
+        return GBTClassifier(labelCol=TARGET, stepSize=step, maxIter=n, maxDepth=5, maxBins=256, minInstancesPerNode=50,
+                             featureSubsetStrategy="0.8", subsamplingRate=0.8, seed=42).fit(train)
+
+    n = rounds if valid.isEmpty() else min(rounds, 2 * patience)
+    trees = fit(n)
+    while not valid.isEmpty():
+        best, settled = patient_best(trees.evaluateEachIteration(valid), patience)
+        if settled or n == rounds:
+            trees = trees if best == n else fit(best)
+            break
+        n = min(rounds, 2 * n)
+        trees = fit(n)
+    return PipelineModel([*before.stages, trees])
 
 
 def probability(model: PipelineModel, data: DataFrame) -> DataFrame:

@@ -275,7 +275,7 @@ def logistic(d: Domain) -> DataFrame:
 
 @query("j05_boosted")
 def boosted(d: Domain) -> DataFrame:
-    model = forecast.fit_boosted(d.dataset, rounds=20, step=0.2)
+    model = forecast.fit_boosted(d.dataset)
     scores = forecast.probability(model, d.dataset.filter("split <> 'train'"))
     return forecast.metrics(forecast.scored(scores, "boosted", F.col("p")))
 
@@ -283,7 +283,7 @@ def boosted(d: Domain) -> DataFrame:
 @query("j06_unseen_categories")
 def unseen(d: Domain) -> DataFrame:
     """Scores of orders whose country is new to the model."""
-    model = forecast.fit_boosted(d.dataset, rounds=5, step=0.2)
+    model = forecast.fit_boosted(d.dataset)
     strange = d.dataset.filter("split = 'test'").withColumn("order_country", F.lit("ATLANTIS"))
     return forecast.probability(model, strange).groupBy("shipping_mode").agg(F.count(F.lit(1)).alias("n"), F.avg("p").alias("p"))
 
@@ -293,7 +293,8 @@ def comparison(d: Domain) -> DataFrame:
     model = forecast.fit_logistic(forecast.fold_rare(d.train, d.common))
     linear = forecast.scored(forecast.probability(model, forecast.fold_rare(d.dataset.filter("split <> 'train'"), d.common)), "logreg", F.col("p"))
     rules = forecast.majority_scores(d.dataset).unionByName(forecast.mode_history_scores(d.dataset))
-    return forecast.metrics(rules.unionByName(linear))
+    trees = forecast.probability(forecast.fit_boosted(d.dataset), d.dataset.filter("split <> 'train'"))
+    return forecast.metrics(rules.unionByName(linear).unionByName(forecast.scored(trees, "boosted", F.col("p"))))
 
 
 @query("j09_explanations")

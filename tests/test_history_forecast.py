@@ -89,3 +89,32 @@ def test_linear_contributions_add_up(spark, sf_dir):
     assert worst < 1e-6
     drivers = forecast.top_drivers(forecast.contributions(model, test)).first()
     assert len(drivers.drivers) == 3 and drivers.text.startswith("Late-delivery risk")
+
+
+def test_patience_outlasts_a_miss():
+    assert forecast.patient_best([5, 4, 4.5, 4.2, 3, 3.1, 3.2, 3.3, 1], 3) == (5, True)
+    assert forecast.patient_best([5, 4, 4.5, 3], 3) == (4, False)
+    assert forecast.patient_best([5, 5, 5, 5], 3) == (1, True)
+
+
+def test_boosted_rounds_end_by_patience(spark, sf_dir):
+    from laneguard.plans.domain import Domain
+
+    d = Domain(spark, sf_dir)
+    asked = []
+    fit = forecast.GBTClassifier.fit
+
+    class Counted(forecast.GBTClassifier):
+        def fit(self, rows):
+            asked.append(self.getMaxIter())
+            return fit(self, rows)
+    old, forecast.GBTClassifier = forecast.GBTClassifier, Counted
+    try:
+        model = forecast.fit_boosted(d.dataset, rounds=12, step=0.3, patience=3)
+    finally:
+        forecast.GBTClassifier = old
+    valid = model.transform(d.dataset.filter("split = 'valid'")).drop("prediction", "probability", "rawPrediction")
+    valid = valid.withColumn(forecast.TARGET, F.col(forecast.TARGET).cast("double"))
+    losses = model.stages[-1].evaluateEachIteration(valid)
+    assert asked[0] == 6 and model.stages[-1].getNumTrees in asked
+    assert len(losses) == model.stages[-1].getNumTrees and min(losses) == losses[-1]
