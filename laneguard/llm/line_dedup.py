@@ -188,7 +188,9 @@ def dedup_lines(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS,
     def near(a: pd.DataFrame, b: pd.DataFrame) -> np.ndarray:
         return within_edits(a["line"].tolist(), b["line"].tolist(), edits)
 
-    classes = link_buckets(rows.mapInPandas(key_rows, "key long, sid long"), lines_of, near)
+    # a line that many texts hold sends its keys once per chunk: copies go before the window of a key
+    keys = rows.mapInPandas(key_rows, "key long, sid long").dropDuplicates(["key", "sid"])
+    classes = link_buckets(keys, lines_of, near)
     classes = materialize(classes.select(F.col("node").alias("sid"), "component"), "line-classes")
     merged = firsts.join(classes, "sid").groupBy("component").agg(F.min("first").alias("keep"))
     merged = classes.join(merged, "component").select("sid", "keep")

@@ -89,3 +89,18 @@ def test_dedup_lines(spark, monkeypatch, block):
     assert Counter((r["doc_id"], r["text"], r["n_lines"], r["n_removed"]) for r in got.collect()) == want
     assert removed > 80
     assert dedup_lines(no_docs(spark)).count() == 0
+
+
+def test_a_common_line_sends_each_key_once(spark, monkeypatch):
+    from laneguard.llm import line_dedup
+
+    sent, link = [], line_dedup.link_buckets
+
+    def counted(keys, *rest):
+        sent.append((keys.count(), keys.distinct().count()))
+        return link(keys, *rest)
+    monkeypatch.setattr(line_dedup, "link_buckets", counted)
+    monkeypatch.setattr("laneguard.llm.words.CHUNK_BYTES", 100)
+    docs = [(i, f"a line that every text of this table holds\nown line of text number {i} and no other") for i in range(40)]
+    assert dedup_lines(spark.createDataFrame(docs, "doc_id long, text string").repartition(8)).agg({"n_removed": "sum"}).first()[0] >= 39
+    assert sent and sent[0][0] == sent[0][1]
