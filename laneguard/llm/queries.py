@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from laneguard.llm.ann import nearest_neighbours
 from laneguard.llm.line_dedup import dedup_lines
+from laneguard.llm.merkle import manifest
 from laneguard.llm.mixing import mix_sources
 from laneguard.llm.near_vectors import near_vectors
 from laneguard.llm.ngram_join import ngram_components
@@ -16,6 +17,7 @@ from laneguard.llm.registry import CHECKS, QUERIES, query, table
 from laneguard.llm.secrets import scan_secrets
 from laneguard.llm.sharding import shard_by_bytes
 from laneguard.llm.substring import remove_repeats
+from laneguard.llm.url_filter import hosts_with_words, judge_urls
 
 __all__ = ["CHECKS", "QUERIES"]
 
@@ -151,3 +153,63 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_shard_documents")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_by_bytes(table(spark, sf_dir, "documents"))
+
+
+def _manifest_sql(levels: int = 8, fanout: int = 8) -> str:
+    """Levels are spelled out; a group that has one node left passes it on (``levels`` allow fanout ** levels rows)."""
+
+    def field(c: str) -> str:
+        return f"CASE WHEN {c} IS NULL THEN '-' ELSE strlen({c}::VARCHAR) || ':' || {c}::VARCHAR END"
+
+    def leaf(text: str) -> str:
+        return f"sha256({' || '.join(field(c) for c in ('doc_id', 'source', 'lang', 'n_chars', text))})"
+
+    bits = "flatten(list_transform(string_split(doc_id::VARCHAR, ''), lambda c: [ascii(c), 0, 0, 0, 0, 0, 0, 0]))"
+    crc = f"xor(list_reduce(list_prepend(4294967295::BIGINT, {bits}::BIGINT[]), lambda c, v: xor(xor(c, v) >> 1, 3988292384 * (xor(c, v) & 1))), 4294967295)"
+    low = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    steps = [f"""docs AS (SELECT *, {leaf('text')} AS leaf, CASE WHEN doc_id IS NOT NULL AND {crc} % 3 = 0 THEN {leaf(low)} ELSE {leaf('text')} END AS changed FROM documents),
+    leaves AS (SELECT doc_id, lang, leaf, changed, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS idx FROM docs),
+    n0 AS (SELECT lang g, idx i, leaf h FROM leaves), p0 AS (SELECT doc_id, leaf, lang g, idx i, changed f, '' AS sib FROM leaves)"""]
+
+    def climb(n: str, p: str, k: str, extra: str) -> str:
+        return f"""k{k} AS (SELECT g, i // {fanout} AS i, list(h ORDER BY i) AS kids FROM {n} WHERE g IN (SELECT g FROM {n} GROUP BY g HAVING count(*) > 1) GROUP BY 1, 2
+            UNION ALL SELECT NULL, i // {fanout}, list(h ORDER BY i) FROM {n} WHERE g IS NULL AND (SELECT count(*) FROM {n} WHERE g IS NULL) > 1 GROUP BY 2),
+        n{k} AS (SELECT g, i, sha256(array_to_string(kids, '')) h FROM k{k} UNION ALL SELECT n.g, n.i, n.h FROM {n} n WHERE NOT EXISTS (SELECT 1 FROM k{k} WHERE k{k}.g IS NOT DISTINCT FROM n.g)),
+        p{k} AS (SELECT doc_id, leaf{extra}, p.g, p.i // {fanout} i,
+            CASE WHEN kids IS NULL THEN f ELSE sha256(array_to_string(list_concat(list_append(kids[:p.i % {fanout}], f), kids[p.i % {fanout} + 2:]), '')) END f,
+            CASE WHEN kids IS NULL THEN sib ELSE sib || array_to_string(list_concat(kids[:p.i % {fanout}], kids[p.i % {fanout} + 2:]), '') END sib
+            FROM {p} p LEFT JOIN k{k} k ON k.g IS NOT DISTINCT FROM p.g AND k.i = p.i // {fanout})"""
+
+    for k in range(1, levels + 1):
+        steps.append(climb(f"n{k - 1}", f"p{k - 1}", str(k), ""))
+    steps.append(f"""t AS (SELECT g AS lang, h AS subroot, row_number() OVER (ORDER BY g::BLOB NULLS FIRST) - 1 AS i FROM n{levels}),
+    n100 AS (SELECT 0 AS g, i, subroot AS h FROM t), p100 AS (SELECT doc_id, leaf, subroot, 0 AS g, t.i, f, sib FROM p{levels} p JOIN t ON t.lang IS NOT DISTINCT FROM p.g)""")
+    for k in range(101, 104):
+        steps.append(climb(f"n{k - 1}", f"p{k - 1}", str(k), ", subroot"))
+    return f"""WITH {", ".join(steps)}
+    SELECT doc_id, leaf, subroot, h AS root, sha256(sib) AS proof_sha256, f AS folded_root, f = h AS verified FROM p103, n103"""
+
+
+@query("op11_merkle_manifest", _manifest_sql())
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return manifest(table(spark, sf_dir, "documents"))
+
+
+RULES = [("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block")]
+"""Rules on urls (host, start of path, verdict)."""
+BLOCKED_WORDS = ["spam", "pills", "casino", "bets", "betting", "viagra", "escort", "warez", "torrent"]
+"""A host with one of these words in its name is listed."""
+URL_SQL = f"""WITH rules(host, path, verdict) AS (VALUES {", ".join(map(str, RULES))}),
+urls AS (SELECT page_id, row_number() OVER () AS r, translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+    regexp_extract(coalesce(url, ''), '(?s)^.*?://[^/?#]*([^?#]*)', 1) AS path FROM pages),
+listed AS (SELECT DISTINCT host FROM urls WHERE len(list_intersect(regexp_split_to_array(host, '[.-]'), {BLOCKED_WORDS})) > 0),
+bad AS (SELECT DISTINCT r FROM urls u JOIN listed l ON u.host = l.host OR suffix(u.host, '.' || l.host)),
+fits AS (SELECT r, arg_max(rules.host || rules.path, (length(rules.host || rules.path), length(rules.host))) AS rule, arg_max(verdict, (length(rules.host || rules.path), length(rules.host))) AS verdict
+    FROM urls u JOIN rules ON (u.host = rules.host OR suffix(u.host, '.' || rules.host)) AND prefix(u.path, rules.path) GROUP BY r)
+SELECT page_id, host, path, rule, coalesce(verdict, CASE WHEN bad.r IS NULL THEN 'allow' ELSE 'block' END) AS verdict FROM urls LEFT JOIN fits USING (r) LEFT JOIN bad USING (r)"""
+
+
+@query("op12_url_filter", URL_SQL)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    return judge_urls(pages, spark.createDataFrame(RULES, "host string, path string, verdict string"), hosts_with_words(pages, BLOCKED_WORDS))
