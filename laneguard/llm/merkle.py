@@ -56,7 +56,8 @@ def numbered(leaves: DataFrame) -> tuple[DataFrame, DataFrame]:
     most rows is many tasks.
     """
     order = ["grp", "id", "leaf"]
-    parts = materialize(leaves.repartitionByRange(*order).withColumn("part", F.spark_partition_id()), "merkle-leaves")
+    leaves = materialize(leaves, "merkle-leaves")  # finding the ranges reads them twice
+    parts = materialize(leaves.repartitionByRange(*order).withColumn("part", F.spark_partition_id()), "merkle-parts")
     counts = materialize(parts.groupBy("grp", "part").agg(F.count("*").alias("n")), "merkle-counts")
     before = Window.partitionBy("grp").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # one row per part
     first = counts.select(F.col("grp").alias("g"), F.col("part").alias("p"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"))
@@ -95,7 +96,7 @@ def butterfly(blocks: DataFrame, groups: DataFrame, fanout: int) -> DataFrame:
     while size < (most or 0):
         base = (F.floor(F.col("b") / (size * fanout)) * (size * fanout)).cast("long")
 
-        def partner(s, base=base, size=size):
+        def partner(s: Column) -> Column:
             start = base + s * F.lit(size)
             return F.struct(F.col("gidx").alias("pg"), (start + F.pmod(F.col("b") % size, F.least(F.lit(size).cast("long"), F.col("blocks") - start))).alias("pb"))
 
@@ -140,7 +141,9 @@ def manifest(docs: DataFrame, group_col: str = "lang", id_col: str = "doc_id", c
     columns are not read. Tasks hold one block of ``fanout ** block_levels`` leaves.
     """
     names = {c: F.col(c) for c in columns}
-    low = names | {text_col: F.translate(F.col(text_col), string.ascii_uppercase, string.ascii_lowercase)}
+    text = F.col(text_col)
+    plain = F.octet_length(text) == F.char_length(text)  # then lower() does the same, faster
+    low = names | {text_col: F.when(plain, F.lower(text)).otherwise(F.translate(text, string.ascii_uppercase, string.ascii_lowercase))}
     hit = F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 3 == 0, F.lit(False)) & F.col(text_col).rlike("[A-Z]")
     leaves = docs.select(F.col(group_col).alias("grp"), F.col(id_col).cast("long").alias("id"), leaf_of(list(names.values())).alias("leaf"),
                          F.when(hit, leaf_of(list(low.values()))).alias("changed"))

@@ -12,6 +12,7 @@ from laneguard.llm.mixing import mix_sources
 from laneguard.llm.near_vectors import near_vectors
 from laneguard.llm.ngram_join import ngram_components
 from laneguard.llm.packing import pack_documents
+from laneguard.llm.phrases import collocations
 from laneguard.llm.quality import held_out, score_quality
 from laneguard.llm.registry import CHECKS, QUERIES, query, table
 from laneguard.llm.secrets import scan_secrets
@@ -182,7 +183,7 @@ def _manifest_sql(levels: int = 8, fanout: int = 8) -> str:
 
     for k in range(1, levels + 1):
         steps.append(climb(f"n{k - 1}", f"p{k - 1}", str(k), ""))
-    steps.append(f"""t AS (SELECT g AS lang, h AS subroot, row_number() OVER (ORDER BY g::BLOB NULLS FIRST) - 1 AS i FROM n{levels}),
+    steps.append(f"""t AS (SELECT g AS lang, h AS subroot, row_number() OVER (ORDER BY g NULLS FIRST) - 1 AS i FROM n{levels}),
     n100 AS (SELECT 0 AS g, i, subroot AS h FROM t), p100 AS (SELECT doc_id, leaf, subroot, 0 AS g, t.i, f, sib FROM p{levels} p JOIN t ON t.lang IS NOT DISTINCT FROM p.g)""")
     for k in range(101, 104):
         steps.append(climb(f"n{k - 1}", f"p{k - 1}", str(k), ", subroot"))
@@ -213,3 +214,23 @@ SELECT page_id, host, path, rule, coalesce(verdict, CASE WHEN bad.r IS NULL THEN
 def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages")
     return judge_urls(pages, spark.createDataFrame(RULES, "host string, path string, verdict string"), hosts_with_words(pages, BLOCKED_WORDS))
+
+
+PHRASES_SQL = """WITH pieces AS (SELECT row_number() OVER () AS p, lang, regexp_extract_all(piece, '[^\\x20\\x09]+') AS w FROM (SELECT coalesce(lang, 'und') AS lang,
+    unnest(regexp_split_to_array(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\\x0A-\\x0D]')) AS piece FROM documents WHERE text IS NOT NULL)),
+spans AS (SELECT lang, k, unnest(list_transform(range(1, len(w) - k + 2), lambda i: array_to_string(w[i:i + k - 1], ' '))) AS phrase FROM pieces, (SELECT unnest([1, 2, 3]) AS k)),
+f AS (SELECT lang, k, phrase, count(*)::HUGEINT AS f FROM spans GROUP BY ALL),
+totals AS (SELECT lang, sum(f)::HUGEINT AS n FROM f WHERE k = 1 GROUP BY lang),
+cand AS (SELECT lang, k, phrase, string_split(phrase, ' ') AS w, f AS a FROM f WHERE k > 1 AND f >= 10),
+cuts AS (SELECT lang, k, phrase, w, a, c, array_to_string(w[:c], ' ') AS x, array_to_string(w[c + 1:], ' ') AS y FROM cand, (SELECT unnest([1, 2]) AS c) WHERE c < k),
+scored AS (SELECT cuts.*, l.f AS l, r.f AS r, 1000000 * a * a // (l.f * r.f) AS score FROM cuts JOIN f l ON l.lang = cuts.lang AND l.phrase = x JOIN f r ON r.lang = cuts.lang AND r.phrase = y),
+best AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, c) = 1),
+inside AS (SELECT lang, phrase, max(a) AS longer FROM (SELECT lang, a, array_to_string(w[1:2], ' ') AS phrase FROM cand WHERE k = 3 UNION ALL SELECT lang, a, array_to_string(w[2:3], ' ') FROM cand WHERE k = 3) GROUP BY ALL),
+kept AS (SELECT b.* FROM best b LEFT JOIN inside i ON i.lang = b.lang AND i.phrase = b.phrase WHERE i.longer IS NULL OR 100 * i.longer < 50 * b.a)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase)::BIGINT AS rank, phrase, a::BIGINT AS a, l::BIGINT AS l, r::BIGINT AS r, n::BIGINT AS n, score::BIGINT AS score
+FROM kept JOIN totals USING (lang) QUALIFY row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) <= 2000"""
+
+
+@query("op13_phrases", PHRASES_SQL)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations(table(spark, sf_dir, "documents"))
