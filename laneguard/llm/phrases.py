@@ -18,7 +18,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from laneguard.llm import blocks
-from laneguard.llm.words import PrefixHash, mix
+from laneguard.llm.words import CHUNK_BYTES, PrefixHash, mix
+from laneguard.llm.words import chunks as text_chunks
 from laneguard.session import materialize
 
 PERIOD = 32
@@ -79,24 +80,36 @@ class Pieces:
         return own
 
 
+def _salt(lang: str) -> np.ndarray:
+    """One hash of a language's name, which tells its phrases apart from others."""
+    raw = np.frombuffer(lang.encode(), np.uint8).astype(np.uint64)
+    return mix(np.sum(mix(raw, 9) * np.arange(1, len(raw) + 1, dtype=np.uint64), dtype=np.uint64, keepdims=True), 3)
+
+
 def _phrases(rows: pd.DataFrame, max_words: int, period: int):
-    """(n, hash, weight, first word) of every phrase that the chunks of ``rows(lang, chunk, n)`` own, and the words."""
-    words = Pieces(rows["chunk"].tolist())
-    own = words.owned(max_words - 1, period)
-    codes, names = pd.factorize(rows["lang"])
-    salts = np.array([np.sum(mix(np.frombuffer(x.encode(), np.uint8).astype(np.uint64), 9) * np.arange(1, len(x.encode()) + 1, dtype=np.uint64), dtype=np.uint64) for x in names], np.uint64)
-    salt, weight = mix(salts, 3)[codes][words.text], rows["n"].to_numpy()[words.text]
-    found = []
-    for k in range(1, max_words + 1):
-        h = words.grams(k)
-        at = np.flatnonzero(own[:len(h)])
-        at = at[(words.piece[at] == words.piece[at + k - 1]) & (words.text[at] == words.text[at + k - 1])]
-        found.append((k, mix(h[at] ^ salt[at], 77), weight[at], at))
-    for i, x in enumerate(names):  # all words of a language, as a phrase of none
-        mine = np.flatnonzero(own & (codes[words.text] == i))
-        if len(mine):
-            found.append((0, mix(mix(salts[i:i + 1], 3), 78), np.array([weight[mine].sum()]), mine[:1]))
-    return words, codes, names, found
+    """Words, their languages' names, and (k, hash, weight, first word) of all phrases of k words that the chunks of
+    ``rows(lang, chunk, n)`` own; some ``CHUNK_BYTES`` of chunks at a time. The phrase of no words stands for all of a language's."""
+    cut = np.flatnonzero(np.diff(np.cumsum(rows["chunk"].map(len).to_numpy()) // CHUNK_BYTES, prepend=0))
+    for a, b in zip([0, *cut.tolist()], [*cut.tolist(), len(rows)]):
+        if a == b:
+            continue
+        part = rows.iloc[a:b]
+        words = Pieces(part["chunk"].tolist())
+        own = words.owned(max_words - 1, period)
+        codes, names = pd.factorize(part["lang"])
+        of_word = codes[words.text]
+        salt, weight = np.concatenate([_salt(x) for x in names])[of_word], part["n"].to_numpy()[words.text]
+        found = []
+        for k in range(1, max_words + 1):
+            h = words.grams(k)
+            at = np.flatnonzero(own[:len(h)])
+            at = at[(words.piece[at] == words.piece[at + k - 1]) & (words.text[at] == words.text[at + k - 1])]
+            found.append((k, mix(h[at] ^ salt[at], 77), weight[at], at))
+        for i, x in enumerate(names):
+            mine = np.flatnonzero(own & (of_word == i))
+            if len(mine):
+                found.append((0, mix(_salt(x), 78), np.array([weight[mine].sum()]), mine[:1]))
+        yield words, names[of_word], found
 
 
 def dictionary(docs: DataFrame, window: int, slices: int, period: int, lang_col: str, text_col: str) -> DataFrame:
@@ -104,19 +117,14 @@ def dictionary(docs: DataFrame, window: int, slices: int, period: int, lang_col:
 
     def parse(batches):
         for batch in batches:
-            held, size, lang = [], 0, batch["lang"].tolist()
-            texts = [(t or "").encode() for t in batch["text"]]
-            for i, t in enumerate(texts):
-                held.append(i)
-                size += len(t)
-                if size >= SLICE_BYTES or i == len(texts) - 1:
-                    words = Pieces([texts[j] for j in held])
-                    first, end = words.chunks(window, period)
-                    raw = words.data.tobytes()
-                    spans = zip(words.text[first].tolist(), words.starts[first].tolist(), words.ends[end - 1].tolist())
-                    frame = pd.DataFrame([(lang[held[x]], raw[a:b]) for x, a, b in spans], columns=["lang", "chunk"])
-                    yield frame.groupby(["lang", "chunk"], sort=False).size().reset_index(name="n")
-                    held, size = [], 0
+            lang = batch["lang"].to_numpy()
+            for at, raws in text_chunks(batch["text"].tolist()):
+                words = Pieces(raws)
+                first, end = words.chunks(window, period)
+                raw = words.data.tobytes()
+                found = [raw[a:b] for a, b in zip(words.starts[first].tolist(), words.ends[end - 1].tolist())]
+                frame = pd.DataFrame({"lang": lang[at + words.text[first]], "chunk": found})
+                yield frame.groupby(["lang", "chunk"], sort=False).size().reset_index(name="n")
 
     rows = docs.select(F.coalesce(F.col(lang_col), F.lit("und")).alias("lang"), F.col(text_col).alias("text"))
     found = rows.mapInPandas(parse, "lang string, chunk binary, n long")
@@ -129,7 +137,7 @@ def frequent_phrases(chunks: DataFrame, max_words: int, min_count: int, buckets:
 
     def count(batches):
         def packed(part: int, held: list[pd.DataFrame]) -> pd.DataFrame:
-            found = _phrases(pd.concat(held), max_words, period)[-1]
+            found = [x for _, _, some in _phrases(pd.concat(held), max_words, period) for x in some]
             h, weight = np.concatenate([x[1] for x in found]), np.concatenate([x[2] for x in found])
             order = np.argsort(h)
             h, first = h[order], np.flatnonzero(np.concatenate(([True], np.diff(h[order]) != 0)))
@@ -177,15 +185,17 @@ def frequent_phrases(chunks: DataFrame, max_words: int, min_count: int, buckets:
         f = np.concatenate([blocks.unpack_counts(x) for x in asked["counts"]])
         order = np.argsort(h)
         h, f = h[order], f[order]
-        words, codes, names, all_found = _phrases(rows, max_words, period)
-        data, out = words.data.tobytes(), []
-        for k, own, _, at in all_found:
-            own, one = np.unique(own, return_index=True)
-            place = np.minimum(np.searchsorted(h, own), len(h) - 1)
-            hit = h[place] == own
-            for i, a in zip(place[hit].tolist(), at[one[hit]].tolist()):
-                phrase = b" ".join(data[s:e] for s, e in zip(words.starts[a:a + k].tolist(), words.ends[a:a + k].tolist()))
-                out.append((names[codes[words.text[a]]], phrase.decode(), k, f[i]))
+        open_, out = np.ones(len(h), bool), []
+        for words, lang, found in _phrases(rows, max_words, period):
+            data = words.data.tobytes()
+            for k, own, _, at in found:
+                own, one = np.unique(own, return_index=True)
+                place = np.minimum(np.searchsorted(h, own), len(h) - 1)
+                hit = np.flatnonzero((h[place] == own) & open_[place])
+                open_[place[hit]] = False
+                for n, a in zip(f[place[hit]].tolist(), at[one[hit]].tolist()):
+                    phrase = b" ".join(data[s:e] for s, e in zip(words.starts[a:a + k].tolist(), words.ends[a:a + k].tolist()))
+                    out.append((lang[a], phrase.decode(), k, n))
         return pd.DataFrame(out, columns=["lang", "phrase", "words", "f"])
 
     return chunks.groupBy("slice").cogroup(wanted.groupBy("slice")).applyInPandas(spell, "lang string, phrase string, words int, f long")
