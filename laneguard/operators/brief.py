@@ -7,8 +7,9 @@ import datetime as dt
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from laneguard.functions.numeric import haversine_nm, risk_level, stable_round
+from laneguard.functions.numeric import risk_level, stable_round
 from laneguard.operators import network
+from laneguard.operators.spatial import nearest_in_group
 from laneguard.operators.store import ntz
 
 # Fixed values.
@@ -54,28 +55,14 @@ def avoid_lists(touched: DataFrame, lanes: DataFrame) -> DataFrame:
 def nearest_alternate_port(nodes: DataFrame) -> DataFrame:
     """port, alternate: the closest other port of the same country, otherwise of the same region.
 
-    Peers are gathered per region from the port dimension (bounded by the ports of a region) and the
-    closest is picked inside each row, so no table of port pairs is produced.
+    Each tier is a grid search in groups of its own (``spatial``); the second one is asked only for what the first left.
     """
     ports = nodes.filter("kind = 'port'")
-    peers = ports.groupBy("region").agg(
-        F.array_sort(F.collect_list(F.struct("node_id", "country_code", "lat", "lon"))).alias("peers")
-    )
-
-    def distance(p: Column) -> Column:
-        return F.struct(
-            (p["country_code"] != F.col("country_code")).alias("abroad"),
-            haversine_nm(F.col("lat"), F.col("lon"), p["lat"], p["lon"]).alias("nm"),
-            p["node_id"].alias("node_id"),
-        )
-
-    options = F.transform(F.filter("peers", lambda p: p["node_id"] != F.col("node_id")), distance)
-    return (
-        ports.join(peers, "region")
-        .select(F.col("node_id").alias("port"), F.array_min(options).alias("best"))
-        .filter("best IS NOT NULL")
-        .select("port", F.col("best.node_id").alias("alternate"), stable_round(F.col("best.nm"), 1).alias("nm"))
-    )
+    placed = lambda df, grp: df.select(F.col("node_id").alias("id"), F.col(grp).alias("grp"), "lat", "lon")
+    home = nearest_in_group(placed(ports, "country_code"), placed(ports, "country_code"))
+    left = ports.join(home.select(F.col("id").alias("node_id")), "node_id", "left_anti")
+    away = nearest_in_group(placed(left, "region"), placed(ports, "region"))
+    return home.unionAll(away).select(F.col("id").alias("port"), F.col("other").alias("alternate"), stable_round(F.col("nm"), 1).alias("nm"))
 
 
 def mitigations(touched: DataFrame, lanes: DataFrame, routes: DataFrame, nodes: DataFrame,

@@ -18,6 +18,10 @@ from laneguard.session import materialize, scratch_root
 
 MIN_CATEGORY_ROWS = 50
 RARE = "(rare)"
+BINS = 1024
+"""Bins of one pass of the search for a rank."""
+BRACKET = 10_000
+"""Rows that such a search counts value by value."""
 # Scheduled days of a shipping mode in a what-if order.
 TYPICAL_SCHEDULED_DAYS = {"Standard Class": 4, "Second Class": 2, "First Class": 1, "Same Day": 0}
 # ISO country -> country name in the order history.
@@ -236,25 +240,50 @@ def modes(train: DataFrame, columns: tuple[str, ...] = CATEGORICAL) -> DataFrame
     return best.select("name", F.col("b.value").alias("value"), (-F.col("b.neg")).alias("n"))
 
 
+def nth_values(rows: DataFrame, targets: dict[str, list[tuple[str, int]]]) -> dict[str, list[float]]:
+    """Exact values at given ranks (from 0) of given columns, by histogram narrowing.
+
+    ``targets`` maps a label to (column, rank) pairs. Each pass counts, for all open targets at once, the values between
+    a target's bounds in ``BINS`` bins, with the smallest and largest value of each bin; the bin that holds the rank
+    gives the next bounds. It ends where a bin has one value, or so few rows (``BRACKET``) that they are counted value
+    by value. The driver holds ``BINS`` rows per target and pass; nothing is sorted.
+    """
+    flat = [(label, i, c, rank) for label, pairs in targets.items() for i, (c, rank) in enumerate(pairs)]
+    columns = sorted({c for _, _, c, _ in flat})
+    ends = rows.agg(*[f(F.col(c).cast("double")).alias(f"{n}_{c}") for c in columns for n, f in (("lo", F.min), ("hi", F.max))], *[F.count(c).alias(f"n_{c}") for c in columns]).first()
+    spans = {k: (ends[f"lo_{t[2]}"], ends[f"hi_{t[2]}"], t[3], ends[f"n_{t[2]}"]) for k, t in enumerate(flat)}
+    found = {k: s[0] for k, s in spans.items() if s[0] == s[1]}
+    while len(found) < len(flat):
+        todo = [k for k in spans if k not in found]
+        fine = {k: spans[k][3] <= BRACKET for k in todo}
+        cells = F.array(*[F.struct(F.lit(k).alias("k"), F.col(flat[k][2]).cast("double").alias("v"), F.lit(spans[k][0]).alias("lo"), F.lit(spans[k][1]).alias("hi"), F.lit(fine[k]).alias("fine")) for k in todo])
+        width = F.col("hi") / BINS - F.col("lo") / BINS  # not hi - lo, which may be too large
+        step = F.least(F.floor(F.try_divide(F.col("v") / BINS - F.col("lo") / BINS, width) * BINS), F.lit(BINS - 1))
+        inside = rows.select(F.inline(cells)).filter("v >= lo AND v <= hi").withColumn("bin", F.when(F.col("fine"), F.col("v")).otherwise(step.cast("double")))
+        bins: dict[int, list] = {}
+        for r in inside.groupBy("k", "bin").agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi")).collect():
+            bins.setdefault(r["k"], []).append(r)
+        for k in todo:
+            rank = spans[k][2]
+            for r in sorted(bins[k], key=lambda r: r["lo"]):
+                if rank < r["n"]:
+                    spans[k] = (r["lo"], r["hi"], rank, r["n"])
+                    break
+                rank -= r["n"]
+            if spans[k][0] == spans[k][1]:
+                found[k] = spans[k][0]
+    out: dict[str, list[float]] = {}
+    for k, (label, _, _, _) in enumerate(flat):
+        out.setdefault(label, []).append(found[k])
+    return out
+
+
 def medians(train: DataFrame, columns: tuple[str, ...] = NUMERIC) -> DataFrame:
-    """name, value: exact medians. An approximate quantile brackets the middle; only the values inside the
-    bracket are counted one by one, so no task holds a whole column."""
-    bounds = train.agg(
-        *[F.count(c).alias(f"n_{c}") for c in columns],
-        *[F.percentile_approx(F.col(c).cast("double"), [0.4999, 0.5001], 100000).alias(f"q_{c}") for c in columns],
-    ).first()
-    used = [c for c in columns if bounds[f"n_{c}"]]
-    rows = F.array(*[
-        F.struct(F.lit(c).alias("name"), F.col(c).cast("double").alias("v"), F.lit(float(bounds[f"q_{c}"][0])).alias("lo"),
-                 F.lit(float(bounds[f"q_{c}"][1])).alias("hi"), F.lit(int(bounds[f"n_{c}"])).cast("bigint").alias("n")) for c in used
-    ])
-    spot = F.when(F.col("v") < F.col("lo"), None).otherwise(F.col("v"))
-    counted = train.select(F.inline(rows)).filter("v <= hi").groupBy("name", "n", spot.alias("v")).agg(F.count(F.lit(1)).alias("c"))
-    run = W.partitionBy("name").orderBy(F.col("v").asc_nulls_first()).rowsBetween(W.unboundedPreceding, W.currentRow)
-    ranked = counted.withColumn("upto", F.sum("c").over(run)).withColumn("after", F.col("upto") - F.col("c"))
-    middle = lambda rank: F.max(F.when((F.col("after") < rank) & (F.col("upto") >= rank), F.col("v")))
-    n = F.col("n")
-    return ranked.groupBy("name").agg(((middle(F.floor((n + 1) / 2)) + middle(F.ceil((n + 1) / 2))) / 2.0).alias("value"))
+    """name, value: exact medians of the non-null values (``nth_values``); columns without any have no row."""
+    counts = train.agg(*[F.count(c).alias(c) for c in columns]).first()
+    middle = {c: [(c, (counts[c] - 1) // 2), (c, counts[c] // 2)] for c in columns if counts[c]}
+    values = nth_values(train, middle) if middle else {}
+    return train.sparkSession.createDataFrame([(c, (a + b) / 2.0) for c, (a, b) in values.items()], "name string, value double")
 
 
 def country_regions(train: DataFrame) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 
 from laneguard.functions.numeric import smoothed_rate
 from laneguard.operators.store import ntz
+from laneguard.session import materialize
 
 # Fixed feature groups.
 CATEGORICAL = ("shipping_mode", "market", "order_region", "order_country", "customer_segment", "category", "department", "payment_type")
@@ -56,54 +58,62 @@ def global_prior(orders: DataFrame, until: dt.datetime | None) -> float:
     return NEUTRAL_PRIOR if seen is None else float(seen)
 
 
-def known_before(orders: DataFrame, keys: tuple[str, ...]) -> DataFrame:
-    """(keys, order_date) -> cum_late, cum_n over labels known strictly before that instant.
+def _key(columns) -> Column:
+    """Key columns as one value; nulls are a value of their own."""
+    return F.array(*[F.col(c).cast("string") for c in columns])
+
+
+def running_history(orders: DataFrame, sets: dict[str, tuple[str, ...]]) -> DataFrame:
+    """name, key, combo, order_date, cum_late, cum_n: for every key set (``name``) and every distinct combination of all
+    key columns and order date, the labels known strictly before that date in the combination's key.
 
-    Labels are first counted per (key, instant), map-side. The running sum then has two levels: whole days
-    per key, and instants within one day per key. No window partition grows with the number of orders,
-    even when one key holds most of them.
+    One narrow table serves all key sets. Labels and questions are counted per (name, key, instant) map-side, cut into
+    ranges of that order, and summed up inside each range; what the earlier ranges of a key hold is added from one row
+    per range. A key with most of the orders is many ranges, so no window grows with the number of orders.
     """
-    late, zero = F.col(TARGET).cast("bigint"), F.lit(0).cast("bigint")
-    one = F.lit(1).cast("bigint")
-    mark = lambda at, x, n, fact: F.struct(
-        at.alias("at"), F.to_date(at).alias("day"), x.alias("late"), n.alias("n"), F.lit(fact).alias("is_fact")
-    )
-    both = F.array(mark(F.col("label_known_at"), late, one, 1), mark(F.col("order_date"), zero, zero, 0))
-    marks = orders.select(*keys, F.inline(both))
-    sums = [F.sum("late").alias("late"), F.sum("n").alias("n")]
-    moments = marks.groupBy(*keys, "day", "at", "is_fact").agg(*sums)
-    per_day = marks.groupBy(*keys, "day").agg(*sums)
-    earlier = W.partitionBy(*keys).orderBy("day").rowsBetween(W.unboundedPreceding, -1)
-    before = per_day.select(
-        *keys, "day", F.coalesce(F.sum("late").over(earlier), zero).alias("b_late"), F.coalesce(F.sum("n").over(earlier), zero).alias("b_n")
-    )
-    # A question sorts before the labels of the same instant, so equal instants do not count.
-    so_far = W.partitionBy(*keys, "day").orderBy("at", "is_fact").rowsBetween(W.unboundedPreceding, W.currentRow)
-    within = moments.select(
-        *keys, "day", "at", "is_fact", F.sum("late").over(so_far).alias("w_late"), F.sum("n").over(so_far).alias("w_n")
-    ).filter("is_fact = 0")
-    return within.join(before, [*keys, "day"]).select(
-        *keys, F.col("at").alias("order_date"), (F.col("b_late") + F.col("w_late")).alias("cum_late"), (F.col("b_n") + F.col("w_n")).alias("cum_n")
-    )
+    every = list(dict.fromkeys(k for ks in sets.values() for k in ks))
+    late, zero, one = F.col(TARGET).cast("bigint"), F.lit(0).cast("bigint"), F.lit(1).cast("bigint")
+
+    def mark(name: str, ks: tuple[str, ...], fact: bool) -> Column:
+        # a question sorts before the labels of the same instant, so equal instants do not count
+        return F.struct(F.lit(name).alias("name"), _key(ks).alias("key"), (F.col("label_known_at") if fact else F.col("order_date")).alias("at"), F.lit(int(fact)).alias("fact"),
+                        (F.lit(None).cast("array<string>") if fact else _key(every)).alias("combo"), (late if fact else zero).alias("late"), (one if fact else zero).alias("n"))
+
+    place = ["name", "key", "at", "fact", "combo"]
+    marks = orders.select(F.inline(F.array(*[mark(name, ks, fact) for name, ks in sets.items() for fact in (True, False)])))
+    counted = marks.groupBy(*place).agg(F.sum("late").alias("late"), F.sum("n").alias("n"))
+    parts = materialize(counted.repartitionByRange(*place).withColumn("part", F.spark_partition_id()), "history-marks")
+    totals = parts.groupBy("name", "key", "part").agg(F.sum("late").alias("late"), F.sum("n").alias("n"))
+    earlier = W.partitionBy("name", "key").orderBy("part").rowsBetween(W.unboundedPreceding, -1)  # one row per range
+    before = totals.select("name", "key", "part", F.sum("late").over(earlier).alias("b_late"), F.sum("n").over(earlier).alias("b_n")).filter("b_n > 0")
+    so_far = W.partitionBy("name", "key", "part").orderBy("at", "fact").rowsBetween(W.unboundedPreceding, W.currentRow)
+    within = parts.select(*place, "part", F.sum("late").over(so_far).alias("late"), F.sum("n").over(so_far).alias("n")).filter("fact = 0")
+    plus = lambda a, b: F.col(a) + F.coalesce(F.col(b), zero)
+    return within.join(before, ["name", "key", "part"], "left").select(
+        "name", "key", "combo", F.col("at").alias("order_date"), plus("late", "b_late").alias("cum_late"), plus("n", "b_n").alias("cum_n"))
+
+
+def known_before(orders: DataFrame, keys: tuple[str, ...]) -> DataFrame:
+    """(keys, order_date) -> cum_late, cum_n over labels known strictly before that instant."""
+    types = {f.name: f.dataType for f in orders.schema}
+    rows = running_history(orders, {"": keys})
+    return rows.select(*[F.get("key", F.lit(i)).cast(types[k]).alias(k) for i, k in enumerate(keys)], "order_date", "cum_late", "cum_n")
 
 
 def add_history(orders: DataFrame, prior: float, names: dict[str, tuple[str, ...]] | None = None) -> DataFrame:
     """orders + one smoothed late rate and one count per key set.
 
-    The histories are put together on the distinct (keys, order date) combinations, a narrow table; the
-    wide orders are joined once.
+    The histories of a combination of keys and order date come together in one narrow row; the wide orders are joined
+    with these once.
     """
     sets = names or HISTORY_KEYS
-    keys = list(dict.fromkeys(k for ks in sets.values() for k in ks))
-    moments = orders.select(*keys, "order_date").distinct()
-    for name, ks in sets.items():
-        known = known_before(orders, ks).select(
-            *ks, "order_date", smoothed_rate(F.col("cum_late"), F.col("cum_n"), F.lit(prior)).alias(f"{name}_rate"),
-            F.col("cum_n").cast("double").alias(f"{name}_n"),
-        )
-        moments = moments.join(known, [*ks, "order_date"])
+    every = list(dict.fromkeys(k for ks in sets.values() for k in ks))
+    stats = [F.max(F.when(F.col("name") == name, F.col(c))).alias(f"{name}_{c}") for name in sets for c in ("cum_late", "cum_n")]
+    moments = running_history(orders, sets).groupBy("combo", "order_date").agg(*stats)
+    rate = lambda n: smoothed_rate(F.col(f"{n}_cum_late"), F.col(f"{n}_cum_n"), F.lit(prior)).alias(f"{n}_rate")
+    moments = moments.select("combo", "order_date", *[c for n in sets for c in (rate(n), F.col(f"{n}_cum_n").cast("double").alias(f"{n}_n"))])
     added = [f"{name}_{stat}" for name in sets for stat in ("rate", "n")]
-    return orders.join(moments, [*keys, "order_date"]).select(*orders.columns, *added)
+    return orders.withColumn("combo", _key(every)).join(moments, ["combo", "order_date"]).select(*orders.columns, *added)
 
 
 def split_column(valid_start: dt.datetime, test_start: dt.datetime) -> Column:
@@ -129,13 +139,49 @@ def split_summary(data: DataFrame) -> DataFrame:
     )
 
 
-def leakage_audit(orders: DataFrame, cut: dt.datetime, row_key: list[str]) -> DataFrame:
-    """Flip every label known at or after ``cut``: history of orders up to ``cut`` must not move.
+CELL = 3600
+"""Seconds of the finest time cell of the audit."""
+CELL_LEVELS = 32
 
-    One row: orders checked, orders whose features changed.
+
+def history_by_cells(orders: DataFrame, keys: tuple[str, ...], until: dt.datetime | None = None) -> DataFrame:
+    """key, order_date, late, n: the same counts as ``known_before`` by an interval join, without any running sum.
+
+    Time is cut into cells of an hour, of two hours, of four and so on. All cells before an instant are at most one of
+    each size (those of the ones in its binary number), so every question joins a few cell sums by equality; inside its
+    own finest cell labels are compared one by one (labels of equal instants are one row). Labels known at or after
+    ``until`` are never read, and only orders up to then are asked.
+    """
+    key, late = _key(keys), F.col(TARGET).cast("bigint")
+    cell = lambda at: F.floor((F.unix_micros(F.col(at).cast("timestamp")) / 1000000 + 2.0 ** 40) / CELL).cast("bigint")
+    past = (lambda c: F.col(c) < ntz(until)) if until is not None else (lambda c: F.lit(True))
+    facts = orders.filter(past("label_known_at")).groupBy(key.alias("key"), F.col("label_known_at").alias("at")).agg(F.sum(late).alias("late"), F.count(F.lit(1)).alias("n"))
+    facts = materialize(facts.withColumn("cell", cell("at")), "audit-labels")
+    asked = orders.filter(F.col("order_date") <= ntz(until)) if until is not None else orders
+    asked = materialize(asked.select(key.alias("key"), "order_date").distinct().withColumn("cell", cell("order_date")), "audit-questions")
+    levels = F.sequence(F.lit(0), F.lit(CELL_LEVELS - 1))
+    sums = facts.select("key", "late", "n", F.explode(F.transform(levels, lambda i: F.struct(i.alias("level"), F.call_function("shiftright", F.col("cell"), i).alias("c")))).alias("p"))
+    sums = sums.groupBy("key", "p").agg(F.sum("late").alias("late"), F.sum("n").alias("n"))
+    bit = lambda i: F.call_function("shiftright", F.col("cell"), i)
+    needs = F.transform(F.filter(levels, lambda i: bit(i) % 2 == 1), lambda i: F.struct(i.alias("level"), (bit(i) - 1).alias("c")))
+    whole = asked.select("key", "order_date", F.explode(needs).alias("p")).join(sums, ["key", "p"]).select("key", "order_date", "late", "n")
+    inner = asked.join(facts, ["key", "cell"]).filter("at < order_date").select("key", "order_date", "late", "n")
+    none = asked.select("key", "order_date", F.lit(0).cast("bigint").alias("late"), F.lit(0).cast("bigint").alias("n"))
+    return whole.unionAll(inner).unionAll(none).groupBy("key", "order_date").agg(F.sum("late").alias("late"), F.sum("n").alias("n"))
+
+
+def leakage_audit(featured: DataFrame, orders: DataFrame, cut: dt.datetime, prior: float, names: dict[str, tuple[str, ...]] | None = None) -> DataFrame:
+    """name, n_checked, n_changed per key set: rows of ``featured`` up to ``cut`` whose history is not what the labels
+    known before each order, and before ``cut``, give.
+
+    ``featured`` has the order columns and the history to be audited; the truth is recomputed from ``orders`` in another
+    way (``history_by_cells``) that cannot see later labels. Any feature that uses the future differs.
     """
-    past = F.col("order_date") <= ntz(cut)
-    flipped = orders.withColumn(TARGET, F.when(F.col("label_known_at") >= ntz(cut), 1 - F.col(TARGET)).otherwise(F.col(TARGET)))
-    side = lambda df, tag: add_history(df, NEUTRAL_PRIOR).filter(past).select(*row_key, F.struct(*HISTORY).alias(tag))
-    both = side(orders, "a").join(side(flipped, "b"), row_key, "full")
-    return both.agg(F.count(F.lit(1)).alias("n_checked"), F.count_if(~F.col("a").eqNullSafe(F.col("b"))).alias("n_changed"))
+    out = []
+    for name, keys in (names or HISTORY_KEYS).items():
+        truth = history_by_cells(orders, keys, cut)
+        rows = featured.filter(F.col("order_date") <= ntz(cut)).select(_key(keys).alias("key"), "order_date", F.col(f"{name}_rate").alias("rate"), F.col(f"{name}_n").alias("m"))
+        both = rows.join(truth, ["key", "order_date"], "left")
+        wrong = (F.col("m") != F.col("n")) | (F.abs(F.col("rate") - smoothed_rate(F.col("late"), F.col("n"), F.lit(prior))) > 1e-9)
+        out.append(both.agg(F.lit(name).alias("name"), F.count(F.lit(1)).alias("n_checked"), F.count_if(F.coalesce(wrong, F.lit(True))).alias("n_changed")))
+    return reduce(DataFrame.unionAll, out)

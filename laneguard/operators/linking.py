@@ -83,13 +83,14 @@ def edit_ratio(a: Column, b: Column) -> Column:
     return F.lit(1.0) - F.levenshtein(a, b) / longest.cast("double")
 
 
-# Similarity measure -> (column function, least number of shared letter pairs a match can have).
-# With U = letters left over, a difflib match of M letters in B blocks shares at least M - B pairs and
+# Similarity measure -> (column function, least number of shared letter pairs a match can have, shortest possible
+# partner of a text). With U = letters left over, a difflib match of M letters in B blocks shares at least M - B pairs and
 # B <= U + 1; an edit distance of d over length n leaves at least n - 1 - 2d pairs.
-SIMILARITY: dict[str, tuple[Callable[[Column, Column], Column], Callable[[Column, Column, float], Column]]] = {
-    "difflib": (difflib_ratio, lambda m, n, t: (m + n) * (1.5 * t - 1.0) - 1.0),
-    "edit": (edit_ratio, lambda m, n, t: F.greatest(m, n) * (2.0 * t - 1.0) - 1.0),
+SIMILARITY: dict[str, tuple[Callable[[Column, Column], Column], Callable[[Column, Column, float], Column], Callable[[Column, float], Column]]] = {
+    "difflib": (difflib_ratio, lambda m, n, t: (m + n) * (1.5 * t - 1.0) - 1.0, lambda m, t: m * (t / (2.0 - t))),
+    "edit": (edit_ratio, lambda m, n, t: F.greatest(m, n) * (2.0 * t - 1.0) - 1.0, lambda m, t: m * t),
 }
+SLACK = 1e-9
 
 
 def _letter_pairs(text: Column) -> Column:
@@ -100,25 +101,58 @@ def _letter_pairs(text: Column) -> Column:
     return F.transform(pairs, lambda p, i: F.concat(p, F.lit("#"), F.size(F.filter(F.slice(pairs, 1, i + 1), lambda q: q == p)).cast("string")))
 
 
+def pair_prefixes(names: DataFrame, text: str, weights: DataFrame, least: Callable, shortest: Callable, threshold: float) -> DataFrame:
+    """``names`` with ``pairs`` (numbered letter pairs, rarest first) and ``prefix`` (how many of them must be looked up).
+
+    A match shares at least ``least`` pairs, whatever its length, so when both sides list their pairs in one order, the
+    first ``pairs - least + 1`` of each have one in common (prefix filter).
+    """
+    listed = names.withColumn("pair", F.explode(_letter_pairs(F.col(text)))).join(weights, "pair")
+    sorted_ = listed.groupBy(*names.columns).agg(F.array_sort(F.collect_list(F.struct("weight", "pair"))).alias("p"))  # as many as letters
+    m = F.length(text)
+    need = F.greatest(F.lit(1), F.ceil(least(m, F.ceil(shortest(m, threshold) - SLACK), threshold) - SLACK))
+    return sorted_.select(*names.columns, F.col("p.pair").alias("pairs"), F.greatest(F.lit(1), F.size("p") - need + 1).cast("int").alias("prefix"))
+
+
+def similar_candidates(places: DataFrame, aliases: DataFrame, measure: str = "difflib", threshold: float = FUZZY_THRESHOLD) -> DataFrame:
+    """``loc, alias`` of all pairs that lengths and shared letter pairs allow to be similar; no true match is lost.
+
+    Pairs of letters are weighted by the rows that a join on them would give. Only the rarest pairs of each name, the
+    prefix, are joined: a pair that is in nearly every name is in hardly any prefix. A candidate is taken at the first
+    prefix pair that both sides have, so none is listed twice and nothing has to be made distinct.
+    """
+    _, least, shortest = SIMILARITY[measure]
+    locs = places.filter("loc <> ''").select("loc").distinct()
+    names = aliases.select("alias").distinct()
+    count = lambda df, text, name: df.select(F.explode(_letter_pairs(F.col(text))).alias("pair")).groupBy("pair").agg(F.count(F.lit(1)).alias(name))
+    weights = count(locs, "loc", "x").join(count(names, "alias", "y"), "pair", "full").select("pair", (F.coalesce("x", F.lit(0)) * F.coalesce("y", F.lit(0))).alias("weight"))
+    weights = materialize(weights, "pair-weights")
+    sides = []
+    for df, text in ((locs, "loc"), (names, "alias")):
+        side = materialize(pair_prefixes(df, text, weights, least, shortest, threshold), "pair-prefixes")
+        sides.append(side.select(text, F.col("pairs").alias(f"{text}_pairs"), F.col("prefix").alias(f"{text}_prefix"), F.explode(F.slice("pairs", F.lit(1), F.col("prefix"))).alias("pair")))
+    both = sides[0].join(sides[1], "pair")
+    m, n = F.length("loc"), F.length("alias")
+    in_length = (F.least(m, n) >= shortest(F.greatest(m, n), threshold) - SLACK)
+    head = lambda text: F.slice(f"{text}_pairs", F.lit(1), F.col(f"{text}_prefix"))
+    once = F.get(F.array_intersect(head("loc"), head("alias")), F.lit(0)) == F.col("pair")
+    shared = F.size(F.array_intersect("loc_pairs", "alias_pairs"))
+    return both.filter(in_length & once & (shared >= least(m, n, threshold) - SLACK)).select("loc", "alias")
+
+
 def by_similar_alias(places: DataFrame, aliases: DataFrame, measure: str = "difflib", threshold: float = FUZZY_THRESHOLD) -> DataFrame:
     """The most similar alias with similarity >= threshold (ties: the greater alias).
 
-    Candidates are found by an equality join on letter pairs and kept only with as many shared pairs as a
-    match at the threshold must have. That bound is exact: no true match is lost, and the similarity is
-    computed for the few remaining pairs only.
+    The similarity is computed for the few pairs of distinct names that ``similar_candidates`` leaves.
     """
     if threshold < 0.8:
         raise ValueError("the letter-pair bound needs a threshold of at least 0.8")
-    similarity, least = SIMILARITY[measure]
-    left = places.filter("loc <> ''").select("place_id", "loc", F.explode(_letter_pairs(F.col("loc"))).alias("pair"))
-    right = aliases.select("alias", F.explode(_letter_pairs(F.col("alias"))).alias("pair"))
-    shared = left.join(right, "pair").groupBy("place_id", "loc", "alias").agg(F.count(F.lit(1)).alias("n"))
-    near = shared.filter(F.col("n") >= least(F.length("loc"), F.length("alias"), threshold) - 1e-9)
+    similarity = SIMILARITY[measure][0]
+    near = similar_candidates(places, aliases, measure, threshold)
     scored = near.withColumn("score", similarity(F.col("loc"), F.col("alias"))).filter(F.col("score") >= threshold)
-    best = scored.groupBy("place_id").agg(F.max(F.struct("score", "alias")).alias("b"))
-    return best.select("place_id", F.col("b.alias").alias("alias"), F.col("b.score").alias("score")).join(
-        aliases.select("alias", "node_id"), "alias"
-    ).select(
+    best = scored.groupBy("loc").agg(F.max(F.struct("score", "alias")).alias("b"))
+    found = best.select("loc", F.col("b.alias").alias("alias"), F.col("b.score").alias("score")).join(aliases.select("alias", "node_id"), "alias")
+    return places.select("place_id", "loc").join(found, "loc").select(
         "place_id", "node_id", F.lit("fuzzy").alias("method"), stable_round(F.col("score"), 3).alias("score"), F.col("alias").alias("matched_alias")
     )
 

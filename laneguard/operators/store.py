@@ -6,9 +6,10 @@ import datetime as dt
 import re
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from laneguard.operators.ranking import ranked
+
 # Fixed value: words too general to search for.
 FILLER = ("the", "and", "for", "with", "sea", "trade", "disruption", "disruptions", "event", "events", "recent",
           "news", "risk", "shipping", "lane", "lanes")
@@ -82,4 +83,5 @@ def list_lanes(lanes: DataFrame, focus: str | None = None) -> DataFrame:
 
 
 def source_rank(items: DataFrame, source: str, order: list[Column]) -> DataFrame:
-    return items.withColumn("rank", F.row_number().over(W.partitionBy(source).orderBy(*order)))
+    """``items`` with their rank per ``source``; a source with half of all items is many tasks."""
+    return ranked(items, [source], order)

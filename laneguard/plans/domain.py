@@ -478,7 +478,7 @@ class Domain:
     @cached_property
     def dataset(self) -> DataFrame:
         """Orders with history and split; written once, because several passes read it."""
-        return materialize(history.build_dataset(self.orders, VALID_START, TEST_START), "dataset")
+        return materialize(history.build_dataset(self.order_lines, VALID_START, TEST_START), "dataset")
 
     @cached_property
     def train(self) -> DataFrame:

@@ -116,7 +116,7 @@ def search_events(d: Domain) -> DataFrame:
 
 
 @query("f01_newest_first", """
-SELECT event_id, published, CAST(row_number() OVER (PARTITION BY location ORDER BY published DESC, event_id) AS INTEGER) AS rank
+SELECT event_id, published, CAST(row_number() OVER (PARTITION BY location ORDER BY published DESC, event_id) AS BIGINT) AS rank
 FROM alarms""", ["alarms"])
 def newest_first(d: Domain) -> DataFrame:
     ranked = store.source_rank(d.alarms, "location", [F.desc("published"), F.col("event_id")])

@@ -88,8 +88,8 @@ HIST_OUT = ", ".join(f"{rnd(c, 6)} AS {c}" if c.endswith("rate") else c for c in
 
 @query("c11_pit_history", f"SELECT {KEY}, {HIST_OUT} FROM data", ["data"])
 def pit_history(d: Domain) -> DataFrame:
-    prior = history.global_prior(d.orders, VALID_START)
-    out = history.add_history(d.orders, prior)
+    prior = history.global_prior(d.order_lines, VALID_START)
+    out = history.add_history(d.order_lines, prior)
     return out.select(*ROW_KEY, *[(stable_round(F.col(c), 6) if c.endswith("rate") else F.col(c)).alias(c) for c in history.HISTORY])
 
 
@@ -100,7 +100,7 @@ def dataset(d: Domain) -> DataFrame:
 
 @query("e03_cumulative_late", "SELECT shipping_mode, order_date, cum_late, cum_n FROM h_mode", ["h_mode"])
 def cumulative_late(d: Domain) -> DataFrame:
-    return history.known_before(d.orders, ("shipping_mode",))
+    return history.known_before(d.order_lines, ("shipping_mode",))
 
 
 @query("d15_global_prior", f"SELECT {rnd('g', 6)} AS prior, (SELECT count(*) FROM lines WHERE label_known_at < TIMESTAMP '1999-01-01') AS n FROM prior", ["prior", "lines"])
@@ -258,9 +258,28 @@ def what_if_rows(d: Domain) -> DataFrame:
     )
 
 
-@query("j10_leakage_audit", "SELECT count(*) AS n_checked, CAST(0 AS BIGINT) AS n_changed FROM lines WHERE order_date <= TIMESTAMP '1999-01-01'", ["lines"])
+def _audit_sql(name: str, keys: str) -> str:
+    cols = keys.split(", ")
+    on = " AND ".join(f"f.{c} = q.{c}" for c in cols)
+    same = " AND ".join(f"l.{c} = x.{c}" for c in cols)
+    return f"""SELECT '{name}' AS name, count(*) AS n_checked, CAST(count(*) FILTER (l.{name}_n <> x.n) AS BIGINT) AS n_changed, CAST(count(*) FILTER (x.later > x.n) AS BIGINT) AS n_leaked
+FROM (SELECT * FROM data WHERE order_date <= TIMESTAMP '1999-01-01') l JOIN (
+  SELECT {', '.join('q.' + c for c in cols)}, q.order_date, coalesce(sum(f.n) FILTER (f.label_known_at < q.order_date), 0) AS n, coalesce(sum(f.n), 0) AS later
+  FROM (SELECT DISTINCT {keys}, order_date FROM lines WHERE order_date <= TIMESTAMP '1999-01-01') q
+  LEFT JOIN (SELECT {keys}, label_known_at, count(*) AS n FROM lines GROUP BY ALL) f ON {on} AND f.label_known_at < q.order_date + INTERVAL 1 DAY
+  GROUP BY ALL) x ON {same} AND l.order_date = x.order_date"""
+
+
+@query("j10_leakage_audit", " UNION ALL ".join(_audit_sql(n, ", ".join(k)) for n, k in history.HISTORY_KEYS.items()), ["data", "lines"])
 def leakage_audit(d: Domain) -> DataFrame:
-    return history.leakage_audit(d.orders, VALID_START, ROW_KEY)
+    """The history of the dataset, and one with an injected leak (labels of the day after the order)."""
+    prior = history.global_prior(d.order_lines, VALID_START)
+    honest = history.add_history(d.order_lines, prior)
+    day = F.make_dt_interval(F.lit(1))
+    late = history.add_history(d.order_lines.withColumn("order_date", F.col("order_date") + day), prior).withColumn("order_date", F.col("order_date") - day)
+    a = history.leakage_audit(honest, d.order_lines, VALID_START, prior)
+    b = history.leakage_audit(late, d.order_lines, VALID_START, prior).select("name", F.col("n_changed").alias("n_leaked"))
+    return a.join(b, "name")
 
 
 # --- models (no SQL equivalent) -------------------------------------------------------------------

@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import io
+import zipfile
+import zlib
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -54,7 +59,7 @@ def feed_time(text: Column) -> Column:
 
 def read_feeds(spark: SparkSession, path: str) -> DataFrame:
     """Landed feed documents, one file each under ``source=<name>`` folders: source, value."""
-    return spark.read.schema("value string, source string").option("wholetext", "true").option("ignoreCorruptFiles", "true").text(path)
+    return spark.read.schema("value string, source string").option("ignoreCorruptFiles", "true").text(path, wholetext=True)
 
 
 def parse_feeds(docs: DataFrame) -> DataFrame:
@@ -101,6 +106,76 @@ def read_exports(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path).select("value", F.to_date(day, "yyyyMMdd").alias("day"))
 
 
+ARCHIVE_LINES = 50_000
+"""Lines of one archive; a day with more gets several."""
+BATCH_LINES = 4096
+
+
+def zip_exports(lines: DataFrame) -> DataFrame:
+    """day, value -> day, content: zip archives with one text member of at most about ``ARCHIVE_LINES`` lines each."""
+    sizes = lines.groupBy("day").agg(F.ceil(F.count(F.lit(1)) / ARCHIVE_LINES).alias("parts"))
+    dealt = lines.join(sizes, "day").withColumn("part", F.pmod(F.xxhash64("value"), "parts"))
+
+    def pack(key, rows):
+        body = io.BytesIO()
+        with zipfile.ZipFile(body, "w", zipfile.ZIP_DEFLATED) as archive:
+            archive.writestr(f"{key[0].as_py()}.export.CSV", "\n".join(rows.column("value").to_pylist()))
+        return pa.table({"day": [key[0].as_py()], "content": pa.array([body.getvalue()], pa.binary())})
+
+    return dealt.groupBy("day", "part").applyInArrow(pack, "day string, content binary")
+
+
+def _members(path: str, content: bytes):
+    """Batches of (path, line, error) of an archive's first member; a broken archive is one row with its error."""
+    try:
+        with zipfile.ZipFile(io.BytesIO(content)) as archive:
+            names = archive.namelist()
+            bad = archive.testzip()
+            if not names or bad:
+                yield [path], [None], [f"bad member {bad}" if bad else "no member"]
+                return
+            with archive.open(names[0]) as raw:
+                held: list[str] = []
+                for line in io.TextIOWrapper(raw, encoding="utf-8", errors="replace", newline="\n"):
+                    held.append(line.rstrip("\r\n"))
+                    if len(held) == BATCH_LINES:
+                        yield [path] * len(held), held, [None] * len(held)
+                        held = []
+                if held:
+                    yield [path] * len(held), held, [None] * len(held)
+    except (zipfile.BadZipFile, zipfile.LargeZipFile, zlib.error, OSError, EOFError, RuntimeError, NotImplementedError, ValueError) as error:
+        yield [path], [None], [f"{type(error).__name__}: {error}"]
+
+
+def read_archives(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
+    """Zipped daily exports as ``day, value, error, file``: the lines of the first member of every archive.
+
+    Archives are binary files that executors decompress as a stream, each whole in one task (a day is some 15 MB). Check
+    sums are tested before the first line leaves, so that a broken archive gives exactly one row with its ``error`` and
+    no lines: it costs its day only. Files without bytes are not listed by Spark and give nothing.
+    """
+    files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").load(path).select("path", "content")
+
+    def unzip(batches):
+        for batch in batches:
+            for name, content in zip(batch.column("path").to_pylist(), batch.column("content")):
+                for file, line, error in _members(name, content.as_py() or b""):
+                    yield pa.RecordBatch.from_arrays([pa.array(x, pa.string()) for x in (file, line, error)], names=["file", "value", "error"])
+
+    rows = files.mapInArrow(unzip, "file string, value string, error string")
+    return rows.select(F.to_date(F.nullif(F.regexp_extract("file", r"[/=](\d{8})[./]", 1), F.lit("")), "yyyyMMdd").alias("day"), "value", "error", "file")
+
+
+def export_lines(archives: DataFrame) -> DataFrame:
+    """The readable part of ``read_archives``, for ``parse_exports``."""
+    return archives.filter("error IS NULL").select("value", "day")
+
+
+def broken_archives(archives: DataFrame) -> DataFrame:
+    """The side output of ``read_archives``: file, day, error."""
+    return archives.filter("error IS NOT NULL").select("file", "day", "error")
+
+
 def parse_exports(lines: DataFrame, words=tx.LOGISTICS_WORDS, phrases=tx.LOGISTICS_PHRASES) -> DataFrame:
     """value, day -> news: one item per on-topic URL and day whose slug makes a headline.
 

@@ -30,10 +30,34 @@ def test_history_equals_brute_force(orders):
             assert got[i][f"{name}_rate"] == pytest.approx((sum(past) + 10.0) / (len(past) + 20.0))
 
 
-def test_flipping_the_future_changes_nothing(orders):
+def test_history_keeps_rows_with_null_keys(spark):
+    rows = [(i, dt.datetime(2020, 1, 1 + i), 0, 1, None if i % 2 else "a", "x", None) for i in range(8)]
+    df = history.with_label_time(spark.createDataFrame(rows, SCHEMA))
+    got = {r.id: (r.hist_mode_n, r.hist_country_n) for r in history.add_history(df, 0.5).collect()}
+    assert got == {i: (i // 2, i) for i in range(8)}
+    assert history.add_history(df.limit(0), 0.5).collect() == []
+
+
+def test_interval_join_equals_running_sums(orders):
     _, df = orders
-    r = history.leakage_audit(df, dt.datetime(2020, 2, 1), ["id"]).first()
-    assert r.n_checked > 50 and r.n_changed == 0
+    for keys in history.HISTORY_KEYS.values():
+        want = {(tuple(str(r[k]) for k in keys), r.order_date): (r.cum_late, r.cum_n) for r in history.known_before(df, keys).collect()}
+        got = {(tuple(r.key), r.order_date): (r.late, r.n) for r in history.history_by_cells(df, keys).collect()}
+        assert got == want
+
+
+def test_audit_passes_honest_history_and_finds_leaks(orders):
+    _, df = orders
+    cut = dt.datetime(2020, 2, 1)
+    honest = history.add_history(df, 0.5)
+    for r in history.leakage_audit(honest, df, cut, 0.5).collect():
+        assert r.n_checked > 50 and r.n_changed == 0
+    flipped = df.withColumn("late", F.when(F.col("label_known_at") >= F.lit(cut.isoformat()).cast("timestamp_ntz"), 1 - F.col("late")).otherwise(F.col("late")))
+    assert all(r.n_changed == 0 for r in history.leakage_audit(history.add_history(flipped, 0.5), df, cut, 0.5).collect())
+    same_instant = history.add_history(df.withColumn("order_date", F.col("order_date") + F.expr("INTERVAL 1 SECOND")), 0.5).withColumn("order_date", F.col("order_date") - F.expr("INTERVAL 1 SECOND"))
+    assert all(r.n_changed > 0 for r in history.leakage_audit(same_instant, df, cut, 0.5).collect())
+    whole = honest.withColumn("hist_mode_rate", F.avg("late").over(history.W.partitionBy("shipping_mode")))
+    assert {r.name: r.n_changed > 0 for r in history.leakage_audit(whole, df, cut, 0.5).collect()} == {"hist_mode": True, "hist_mode_region": False, "hist_country": False}
 
 
 def test_split_is_purged(orders):
@@ -78,6 +102,18 @@ def test_medians_are_exact(spark, n):
     assert got["a"] == pytest.approx(np.median(v)) and got["b"] == np.median([i % 3 for i in range(n)])
 
 
+def test_ranks_are_found_by_narrowing(spark, monkeypatch):
+    monkeypatch.setattr(forecast, "BINS", 8)
+    monkeypatch.setattr(forecast, "BRACKET", 5)
+    rng = np.random.default_rng(3)
+    v = np.concatenate([rng.exponential(size=700), [1e308, -1e308, 0.0], np.full(500, 2.5)])
+    df = spark.createDataFrame([(float(x), None if i % 3 else float(i)) for i, x in enumerate(v)], "a double, b double")
+    ranks = [0, 1, 600, 700, 1000, len(v) - 1]
+    assert forecast.nth_values(df, {"x": [("a", r) for r in ranks], "y": [("b", 10)]}) == {"x": [np.sort(v)[r] for r in ranks], "y": [30.0]}
+    assert forecast.medians(df.limit(0), ("a",)).collect() == []
+    assert forecast.medians(spark.createDataFrame([(None, 1.0)], "a double, b double"), ("a", "b")).collect() == [("b", 1.0)]
+
+
 def test_linear_contributions_add_up(spark, sf_dir):
     from laneguard.plans.domain import Domain
 
