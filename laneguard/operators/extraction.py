@@ -5,8 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from laneguard import schemas
 from laneguard.functions import text as tx
@@ -136,9 +138,60 @@ def keyword_records(items: DataFrame, rules: Rules | None = None, model: str = "
     )
 
 
+Replies = Callable[[list[dict]], list[str]]
+"""A batch model in a task: item rows in, one reply text each out. It may raise, for a batch or for single items."""
+EXTRACT_BATCH = 256
+"""Items that a batch model is given at a time."""
+
+
+def _answers(model: Replies, rows: list[dict]) -> list[tuple[str | None, str | None]]:
+    """(reply, error) of every row. When a batch fails, its items are tried one by one, so that only bad ones fail."""
+    try:
+        replies = model(rows)
+        if len(replies) != len(rows):
+            raise ValueError(f"{len(replies)} replies to {len(rows)} items")
+        bad = [i for i, r in enumerate(replies) if not isinstance(r, str)]
+        return [(None, f"reply is {type(r).__name__}, not text") if i in bad else (r, None) for i, r in enumerate(replies)]
+    except Exception as error:  # noqa: BLE001 - whatever a model raises becomes a failed record
+        if len(rows) > 1:
+            return [x for row in rows for x in _answers(model, [row])]
+        return [(None, f"{type(error).__name__}: {error}")]
+
+
+def batch_records(items: DataFrame, load: Callable[[], Replies], model: str, version: str) -> DataFrame:
+    """News items -> extraction records by any batch model.
+
+    ``load`` runs once per task (that is where a model is read), and what it returns gets lists of item rows as
+    dictionaries. Its replies are JSON texts and go through the same checks as stored ones (``reply_records``). What the
+    model raises, or replies that are no text, give failed records with the error; other items of the batch do not
+    suffer, and a failing ``load`` fails the task, since no item could be read.
+    """
+    fields = [f.name for f in items.schema]
+
+    def answer(batches):
+        extract = None
+        for batch in batches:
+            extract = extract or load()
+            for a in range(0, batch.num_rows, EXTRACT_BATCH):
+                part = batch.slice(a, EXTRACT_BATCH)
+                replies, errors = zip(*_answers(extract, part.to_pylist()))
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(replies, pa.string()), pa.array(errors, pa.string())], names=[*fields, "reply", "raised"])
+
+    answered = items.mapInArrow(answer, StructType([*items.schema.fields, StructField("reply", StringType()), StructField("raised", StringType())]))
+    return reply_records(answered, model, version, error=F.col("raised"))
+
+
 def run_extraction(items: DataFrame, extractor: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
-    """Apply any extractor ``DataFrame -> records`` (keyword rules by default, a ``mapInPandas`` model otherwise)."""
-    return (extractor or keyword_records)(items)
+    """Apply any extractor ``items -> records``: the keyword rules by default, ``batch_records`` with a model otherwise.
+
+    The result has the columns and types of stored records; an extractor that gives others is refused.
+    """
+    records = (extractor or keyword_records)(items)
+    want = items.sparkSession.createDataFrame([], schemas.RECORD).schema
+    wrong = [f.name for f in want if f.name not in records.columns or records.schema[f.name].dataType.simpleString() != f.dataType.simpleString()]
+    if wrong:
+        raise TypeError(f"the extractor does not give record columns: {', '.join(wrong)}")
+    return records.select(*want.names)
 
 
 # --- normalization and checks of model replies ------------------------------------------------------
@@ -229,9 +282,9 @@ def checked_events(events: Column) -> Column:
     return F.transform(F.transform(F.transform(events, trimmed), named), judged)
 
 
-def reply_records(items: DataFrame, model: str, version: str) -> DataFrame:
+def reply_records(items: DataFrame, model: str, version: str, error: Column | None = None) -> DataFrame:
     """Items with a ``reply`` column -> records. One bad event or no JSON at all makes a failed record;
-    a false flag drops listed events."""
+    a false flag drops listed events. ``error`` is why an item has no reply, if it is known."""
     parsed = items.withColumn("r", F.from_json(outermost_json(F.col("reply")), schemas.REPLY))
     checked = parsed.withColumn(
         "checked", checked_events(F.coalesce(F.col("r.events"), F.array().cast(f"array<{schemas.REPLY_EVENT}>")))
@@ -244,7 +297,7 @@ def reply_records(items: DataFrame, model: str, version: str) -> DataFrame:
         F.col("id").alias("news_id"), F.lit(model).alias("model"), F.lit(version).alias("prompt_version"),
         F.when(ok, "ok").otherwise("failed").alias("status"), F.coalesce(ok & flag, F.lit(False)).alias("is_disruption"),
         kept.alias("events"),
-        F.when(~ok, F.when(flag.isNull(), "no valid JSON object").otherwise("event outside the schema")).alias("error"),
+        F.when(~ok, F.coalesce(error if error is not None else F.lit(None), F.when(flag.isNull(), "no valid JSON object").otherwise("event outside the schema"))).alias("error"),
     )
 
 

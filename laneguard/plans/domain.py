@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
-from functools import cached_property
+from functools import cached_property, reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -41,6 +41,9 @@ DOC_RULES = extraction.Rules(
 ADJECTIVES = ("blue", "cold", "hot", "large", "new", "old", "red", "small")
 NOUNS = ("anvil", "bolt", "gear", "gizmo", "plate", "ring", "rod", "widget")
 NODES_IN_NETWORK = 25  # fixed by the nation table
+# What rows of the event table mean as news, and how much they count; errors differ among themselves and count in full.
+SIGNAL_TYPES = {"purchase": "port_congestion", "click": "labor_strike", "view": "severe_weather", "signup": "accident"}
+SIGNAL_WEIGHTS = {"purchase": 0.2, "click": 0.1, "view": 0.05, "signup": 0.02}
 
 
 class Domain:
@@ -140,7 +143,7 @@ class Domain:
 
     @cached_property
     def alarms(self) -> DataFrame:
-        """Every ``error`` event as a linked disruption event."""
+        """Every event as a linked disruption event; what it is and how much it counts follows from its type."""
         user, ev = F.col("user_id"), F.col("event_id")
         near = self.keyed_nodes.select(
             F.col("k").alias("k1"), F.col("node_id").alias("n1"), F.col("name").alias("location"), "owner", "country_code"
@@ -150,9 +153,10 @@ class Domain:
         level = user % 10 == 0
         pair = ev % 7 == 0
         share = F.col("value") / 500.0
+        of_type = lambda values, other: reduce(lambda out, kv: out.when(F.col("event_type") == kv[0], kv[1]), list(values.items())[1:],
+                                               F.when(F.col("event_type") == list(values)[0], list(values.values())[0])).otherwise(other)
         return (
             self.table("events")
-            .filter("event_type = 'error'")
             .withColumn("k1", (user % NODES_IN_NETWORK).cast("int"))
             .withColumn("k2", ((user + 11) % NODES_IN_NETWORK).cast("int"))
             .join(near, "k1")
@@ -160,11 +164,11 @@ class Domain:
             .select(
                 F.concat(F.lit("E"), F.lpad(ev.cast("string"), 12, "0")).alias("event_id"),
                 F.col("ts").alias("published"),
-                F.when(ev % 4 == 0, "conflict_or_attack").when(ev % 4 == 1, "severe_weather")
-                .when(ev % 4 == 2, "labor_strike").otherwise("port_congestion").alias("event_type"),
+                of_type(SIGNAL_TYPES, F.when(ev % 4 == 0, "conflict_or_attack").when(ev % 4 == 1, "severe_weather")
+                        .when(ev % 4 == 2, "labor_strike").otherwise("port_congestion")).alias("event_type"),
                 "location",
                 (ev % 5 + 1).cast("int").alias("severity"),
-                stable_round(share * share, 4).alias("confidence"),
+                stable_round(share * share * of_type(SIGNAL_WEIGHTS, 1.0), 4).alias("confidence"),
                 F.when(level & pair, F.array(nation, "n2")).when(level, F.array(nation))
                 .when(pair, F.array("n1", "n2")).otherwise(F.array("n1")).alias("node_ids"),
                 "country_code",
@@ -256,8 +260,7 @@ class Domain:
 
     @cached_property
     def draft_cites(self) -> DataFrame:
-        cited = self.table("events").filter("event_type IN ('error', 'view')")
-        return cited.select(F.concat(F.lit("E"), F.lpad(F.col("event_id").cast("string"), 12, "0")).alias("event_id"))
+        return self.table("events").select(F.concat(F.lit("E"), F.lpad(F.col("event_id").cast("string"), 12, "0")).alias("event_id"))
 
     # --- news -------------------------------------------------------------------------------
 
@@ -309,8 +312,10 @@ class Domain:
 
     @cached_property
     def records(self) -> DataFrame:
-        """Keyword records of all documents; one publisher is missing and one language failed."""
-        items = self.doc_items.filter("source <> 'src7'")
+        return self.read_by_rules(self.doc_items)
+
+    def read_by_rules(self, items: DataFrame) -> DataFrame:
+        """Keyword records of documents; this extractor does not read Spanish, so those have failed."""
         made = extraction.keyword_records(items, DOC_RULES, text=tx.news_text(F.col("title"), F.col("summary")))
         bad = items.filter("language = 'es'").select(F.col("id").alias("news_id"), F.lit(True).alias("bad"))
         joined = made.join(bad, "news_id", "left")

@@ -417,10 +417,10 @@ def backtest_roll_up(d: Domain) -> DataFrame:
 
 @query("g03_needed_days", """
 SELECT DISTINCT CAST(unnest(generate_series(CAST(ts AS DATE) - 7, CAST(ts AS DATE) + 3, INTERVAL 1 DAY)) AS DATE) AS day
-FROM events WHERE event_type = 'purchase'""")
+FROM events""")
 def needed_days(d: Domain) -> DataFrame:
     day = F.to_date("ts")
-    windows = d.table("events").filter("event_type = 'purchase'").select(day.alias("start"), F.date_add(day, 3).alias("end")).distinct()
+    windows = d.table("events").select(day.alias("start"), F.date_add(day, 3).alias("end")).distinct()
     return replay.needed_days(windows, 7)
 
 
@@ -551,7 +551,7 @@ def ground_mitigations(d: Domain) -> DataFrame:
 
 
 view("draft_cites", (), """
-SELECT 'E' || lpad(CAST(event_id AS VARCHAR), 12, '0') AS event_id FROM events WHERE event_type IN ('error', 'view')""")
+SELECT 'E' || lpad(CAST(event_id AS VARCHAR), 12, '0') AS event_id FROM events""")
 view("judged_cites", ("draft_cites", "alarms", "as_of"), """
 SELECT DISTINCT event_id, event_id IN (SELECT event_id FROM alarms, as_of WHERE published <= as_of) AS valid FROM draft_cites""")
 

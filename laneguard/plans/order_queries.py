@@ -9,13 +9,13 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from laneguard.functions.numeric import clip_probability, sigmoid, stable_round
-from laneguard.operators import forecast, history, replay, store
+from laneguard.operators import extraction, forecast, history, replay, store
 from laneguard.plans.domain import ROW_KEY, SPEC, TEST_START, VALID_START, Domain
 from laneguard.plans.registry import query
 from laneguard.plans.sql_views import rnd, view
 from laneguard.session import scratch_path
+from laneguard.sources import days, reference, results
 from laneguard.sources import orders as order_files
-from laneguard.sources import reference, results
 
 KEY = "l_orderkey, l_linenumber, l_partkey, l_suppkey"
 view("lines", (), """
@@ -395,14 +395,14 @@ def load_reference(d: Domain) -> DataFrame:
 @query("a14_load_spec", """
 SELECT window_id, kind, start_day AS start, end_day AS end FROM (
   SELECT 'd' || k AS window_id, 'disruption' AS kind, onset - 10 AS start_day, onset + 3 AS end_day FROM (
-    SELECT user_id % 25 AS k, CAST(max(ts) AS DATE) AS onset FROM events WHERE event_type = 'error' GROUP BY 1)
+    SELECT user_id % 25 AS k, CAST(max(ts) AS DATE) AS onset FROM events GROUP BY 1)
   UNION ALL SELECT 'control_1', 'control', CAST(min(ts) AS DATE), CAST(min(ts) AS DATE) + 6 FROM events)""")
 def load_spec(d: Domain) -> DataFrame:
     """A spec document derived from the events, written as JSON and read back."""
-    errors = d.table("events").filter("event_type = 'error'").groupBy((F.col("user_id") % 25).alias("k")).agg(F.to_date(F.max("ts")).alias("onset"))
+    onsets = d.table("events").groupBy((F.col("user_id") % 25).alias("k")).agg(F.to_date(F.max("ts")).alias("onset"))
     one = F.struct(F.concat(F.lit("d"), F.col("k").cast("string")).alias("id"), F.lit("").alias("name"), F.col("onset").cast("string").alias("onset"),
                    F.array(F.lit("RA000")).alias("target_nodes"))
-    disruptions = errors.agg(F.array_sort(F.collect_list(one)).alias("disruptions"), F.lit(1).alias("j"))  # one per network node
+    disruptions = onsets.agg(F.array_sort(F.collect_list(one)).alias("disruptions"), F.lit(1).alias("j"))  # one per network node
     first = F.to_date(F.min("ts"))
     window = F.array(F.struct(first.cast("string").alias("start"), F.date_add(first, 6).cast("string").alias("end")))
     controls = d.table("events").agg(window.alias("control_windows"), F.lit(1).alias("j"))
@@ -414,26 +414,49 @@ def load_spec(d: Domain) -> DataFrame:
     return results.load_spec(d.spark, path).windows(d.spark).select("window_id", "kind", "start", "end")
 
 
-@query("a15_events_by_day", """
-SELECT strftime(published, '%Y-%m-%d') AS day, count(*) AS items, count(*) FILTER (event_type = 'conflict_or_attack') AS events FROM alarms GROUP BY 1""", ["alarms"])
-def events_by_day(d: Domain) -> DataFrame:
-    """Days are written one partition each; a second run adds only the days that are not there yet."""
+view("asked_days", (), "SELECT CAST(day AS DATE) AS day, day(day) <> 13 AS landed FROM (SELECT unnest(generate_series(DATE '2023-12-20', DATE '2024-02-05', INTERVAL 1 DAY)) AS day)")
+view("day_log", ("asked_days", "records"), """
+SELECT a.day, CASE WHEN NOT landed THEN 'missing' WHEN r.day IS NULL THEN 'no_items' ELSE 'ok' END AS status, coalesce(items, 0) AS items, coalesce(n_events, 0) AS events, coalesce(failed, 0) AS failed
+FROM asked_days a LEFT JOIN (SELECT CAST(published AS DATE) AS day, count(*) AS items, count(*) FILTER (flag) AS n_events, count(*) FILTER (status = 'failed') AS failed FROM records GROUP BY 1) r
+  ON r.day = a.day AND landed""")
+
+
+def day_store(d: Domain) -> str:
+    """Documents as the news of 48 days, extracted in two runs: the first stops half-way. The exports of each 13th never landed."""
     path = scratch_path(d.spark, "days")
-    items = d.alarms.select("event_id", "event_type", F.date_format("published", "yyyy-MM-dd").alias("day"))
-    early = items.filter("day <= '2024-01-15'")
-    results.append_missing_days(early, path, lambda df: df)
-    results.append_missing_days(items, path, lambda df: df)
-    return d.spark.read.parquet(path).groupBy(F.col("day").cast("string").alias("day")).agg(
-        F.count(F.lit(1)).alias("items"), F.count_if(F.col("event_type") == "conflict_or_attack").alias("events")
-    )
+    asked = d.spark.range(1).select(F.explode(F.sequence(F.lit(dt.date(2023, 12, 20)), F.lit(dt.date(2024, 2, 5)))).alias("day"))
+    asked = asked.withColumn("landed", F.dayofmonth("day") != 13)
+    items = d.doc_items.withColumn("day", F.to_date("published"))
 
+    def extract(news: DataFrame) -> DataFrame:
+        return extraction.run_extraction(news, lambda x: d.read_by_rules(x))
 
-@query("c21_missing_days", """
-SELECT DISTINCT CAST(w.day AS DATE) AS day FROM (SELECT unnest(generate_series(DATE '2023-12-20', DATE '2024-02-05', INTERVAL 1 DAY)) AS day) w
-WHERE CAST(w.day AS DATE) NOT IN (SELECT CAST(ts AS DATE) FROM events)""")
+    days.finish_days(items, asked.filter("day <= '2024-01-15'"), extract, path)
+    days.finish_days(items, asked, extract, path)
+    return path
+
+
+@query("a15_events_by_day", "SELECT day, status, items, events, failed FROM day_log", ["day_log"])
+def events_by_day(d: Domain) -> DataFrame:
+    return days.load_manifest(d.spark, day_store(d)).select("day", "status", "items", "events", "failed")
+
+
+@query("a15_day_events", """
+SELECT event_id, news_id, CAST(published AS DATE) AS day FROM records WHERE flag AND day(published) <> 13""", ["records"])
+def day_events(d: Domain) -> DataFrame:
+    return days.load_days(d.spark, day_store(d)).filter("status = 'ok'").select("day", F.inline("events")).select("event_id", "news_id", "day")
+
+
+@query("c21_missing_days", "SELECT day FROM day_log WHERE status <> 'ok'", ["day_log"])
 def missing_days(d: Domain) -> DataFrame:
-    have = d.table("events").select(F.to_date("ts").alias("day")).distinct()
-    return results.missing_days(d.spark, dt.date(2023, 12, 20), dt.date(2024, 2, 5), have)
+    return days.load_manifest(d.spark, day_store(d)).filter("status != 'ok'").select("day")
+
+
+@query("d12_day_totals", """
+SELECT count(*) AS total, string_agg(CASE WHEN status <> 'ok' THEN CAST(day AS VARCHAR) END, ',' ORDER BY day) AS missing, CAST(sum(items) AS BIGINT) AS items, CAST(sum(events) AS BIGINT) AS events,
+  CAST(sum(failed) AS BIGINT) AS failed FROM day_log""", ["day_log"])
+def day_totals(d: Domain) -> DataFrame:
+    return days.day_totals(days.load_manifest(d.spark, day_store(d)))
 
 
 @query("a16_run_results", """

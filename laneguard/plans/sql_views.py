@@ -99,16 +99,15 @@ FROM lanes JOIN shortest USING (origin, destination)""")
 
 view("alarms", ("nodes",), f"""
 SELECT 'E' || lpad(CAST(e.event_id AS VARCHAR), 12, '0') AS event_id, e.ts AS published,
-  CASE e.event_id % 4 WHEN 0 THEN 'conflict_or_attack' WHEN 1 THEN 'severe_weather'
-       WHEN 2 THEN 'labor_strike' ELSE 'port_congestion' END AS event_type,
+  CASE e.event_type WHEN 'purchase' THEN 'port_congestion' WHEN 'click' THEN 'labor_strike' WHEN 'view' THEN 'severe_weather' WHEN 'signup' THEN 'accident'
+       ELSE CASE e.event_id % 4 WHEN 0 THEN 'conflict_or_attack' WHEN 1 THEN 'severe_weather' WHEN 2 THEN 'labor_strike' ELSE 'port_congestion' END END AS event_type,
   a.name AS location, CAST(1 + e.event_id % 5 AS INTEGER) AS severity,
-  {rnd('e.value / 500.0::DOUBLE * (e.value / 500.0::DOUBLE)', 4)} AS confidence,
+  {rnd("e.value / 500.0::DOUBLE * (e.value / 500.0::DOUBLE) * CASE e.event_type WHEN 'purchase' THEN 0.2::DOUBLE WHEN 'click' THEN 0.1::DOUBLE WHEN 'view' THEN 0.05::DOUBLE WHEN 'signup' THEN 0.02::DOUBLE ELSE 1.0::DOUBLE END", 4)} AS confidence,
   CASE WHEN e.user_id % 10 = 0 AND e.event_id % 7 = 0 THEN ['CTRY:' || a.owner, b.node_id]
        WHEN e.user_id % 10 = 0 THEN ['CTRY:' || a.owner]
        WHEN e.event_id % 7 = 0 THEN [a.node_id, b.node_id] ELSE [a.node_id] END AS node_ids,
   a.country_code, 'signal ' || e.props AS summary, 'http://alerts.example.com/' || CAST(e.event_id AS VARCHAR) AS source_url
-FROM events e JOIN nodes a ON a.k = e.user_id % 25 JOIN nodes b ON b.k = (e.user_id + 11) % 25
-WHERE e.event_type = 'error'""")
+FROM events e JOIN nodes a ON a.k = e.user_id % 25 JOIN nodes b ON b.k = (e.user_id + 11) % 25""")
 
 view("graph_nodes", ("nodes",), """
 SELECT node_id, kind, name FROM nodes

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -265,7 +267,7 @@ view("found_line", (), found_sql("substr(text, 1, 80) || chr(10) || string_split
 view("records", ("found",), """
 SELECT news_id, CASE WHEN lang = 'es' THEN 'failed' ELSE 'ok' END AS status, hit AND lang <> 'es' AS flag, event_type, location, country_code, port_code, severity,
   source, substr(sha1(news_id || '|0|keyword-baseline|extract_v1'), 1, 16) AS event_id, TIMESTAMP '2024-01-01' + to_days(CAST(doc_id % 30 AS INTEGER)) AS published
-FROM found WHERE source <> 'src7'""")
+FROM found""")
 EVENT_OUT = "event_id, news_id, event_type, location, country_code, port_code, severity, published"
 
 
@@ -286,11 +288,46 @@ def responder(d: Domain) -> DataFrame:
     return recs.select("news_id", F.col("is_disruption").alias("is_hit"), F.get("events", F.lit(0))["event_type"].alias("event_type"))
 
 
-@query("b38_run_extraction", "SELECT news_id, status, flag AS is_disruption, CAST(CASE WHEN flag THEN 1 ELSE 0 END AS INTEGER) AS n_events FROM records", ["records"])
+def rule_model():
+    """A batch model for ``batch_records``: the keyword rules over lists of items, answering in JSON as a language model would.
+
+    It refuses Spanish by raising and answers outside the schema where a title has no space.
+    """
+    rules = DOC_RULES
+
+    def first(text: str, options):
+        return next((value for value, words in options if any(w in text for w in words)), None)
+
+    def reply(item: dict) -> str:
+        if item["language"] == "es":
+            raise ValueError("language not supported: es")
+        title = item["title"] or ""
+        text = f"{title}\n\n{item['summary'] or ''}".strip().lower()
+        kind, place = first(text, rules.types), first(text, [(p, (p[0],)) for p in rules.places])
+        events = []
+        if kind and place:
+            severity = first(text, rules.severity) or extraction.DEFAULT_SEVERITY
+            events = [{"event_type": kind, "location": place[0].title(), "country_code": place[1], "port_code": place[2], "severity": severity if " " in title else 9, "confidence": extraction.RULE_CONFIDENCE}]
+        return "Here it is:\n```json\n" + json.dumps({"is_disruption": bool(events), "events": events}) + "\n```"
+
+    return lambda items: [reply(item) for item in items]
+
+
+@query("b38_run_extraction", """
+SELECT 'rules' AS extractor, news_id, status, flag AS is_disruption, CAST(CASE WHEN flag THEN 1 ELSE 0 END AS INTEGER) AS n_events, event_type, location, severity, CASE WHEN status = 'failed' THEN 'no valid JSON object' END AS error
+FROM (SELECT * REPLACE (CASE WHEN flag THEN event_type END AS event_type, CASE WHEN flag THEN location END AS location, CASE WHEN flag THEN severity END AS severity) FROM records)
+UNION ALL SELECT 'batch', news_id, CASE WHEN bad THEN 'failed' ELSE 'ok' END, hit AND NOT bad, CAST(CASE WHEN hit AND NOT bad THEN 1 ELSE 0 END AS INTEGER), CASE WHEN hit AND NOT bad THEN event_type END,
+  CASE WHEN hit AND NOT bad THEN location END, CASE WHEN hit AND NOT bad THEN severity END,
+  CASE WHEN lang = 'es' THEN 'ValueError: language not supported: es' WHEN bad THEN 'event outside the schema' END
+FROM (SELECT found.*, found.lang = 'es' OR (hit AND NOT contains(substr(text, 1, 80), ' ')) AS bad FROM found JOIN documents USING (doc_id))""", ["records", "found"])
 def run_extraction(d: Domain) -> DataFrame:
-    return extraction.run_extraction(d.doc_items, lambda _: d.records).select(
-        "news_id", "status", "is_disruption", F.size("events").alias("n_events")
-    )
+    """Two extractors on the items handed in: native rules, and a batch model that answers in text and may fail."""
+    event = F.get("events", F.lit(0))
+    made = {"rules": extraction.run_extraction(d.doc_items, d.read_by_rules),
+            "batch": extraction.run_extraction(d.doc_items, lambda items: extraction.batch_records(items, rule_model, "rule-model", "extract_v1"))}
+    rows = [df.select(F.lit(name).alias("extractor"), "news_id", "status", "is_disruption", F.size("events").alias("n_events"), event["event_type"].alias("event_type"),
+                      event["location"].alias("location"), event["severity"].alias("severity"), "error") for name, df in made.items()]
+    return rows[0].unionAll(rows[1])
 
 
 @query("b16_event_id", f"SELECT {EVENT_OUT} FROM records WHERE flag", ["records"])

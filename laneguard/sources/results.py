@@ -3,13 +3,11 @@
 from __future__ import annotations
 
 import datetime as dt
-from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from laneguard.operators.replay import Disruption, Params, Spec
-from laneguard.sources.news import path_exists
 
 SPEC = (
     "params struct<lookback_days: int, threshold: double, window_before_days: int, window_after_days: int>, primary_lane string, "
@@ -30,38 +28,6 @@ def load_spec(spark: SparkSession, path: str) -> Spec:
     return Spec(Params(**doc.params.asDict()), disruptions, windows, doc.primary_lane, tuple(doc.secondary_lane_focus or ()))
 
 
-def append_missing_days(items: DataFrame, path: str, extract: Callable[[DataFrame], DataFrame]) -> None:
-    """Run ``extract`` on the days that the store does not hold yet and add one partition per day.
-
-    items carries ``day``. Finished days are recognised by their partition and never computed again, so a
-    stopped run goes on where it ended.
-    """
-    spark = items.sparkSession
-    todo = items
-    if path_exists(spark, path):
-        done = spark.read.parquet(path).select(F.col("day").cast("string").alias("day")).distinct()
-        todo = items.join(done, "day", "left_anti")
-    extract(todo).write.mode("append").partitionBy("day").parquet(path)
-
-
-def missing_days(spark: SparkSession, start: dt.date, end: dt.date, have: DataFrame) -> DataFrame:
-    """Expected days without data."""
-    days = spark.range(1).select(F.explode(F.sequence(F.lit(start), F.lit(end))).alias("day"))
-    return days.join(have, "day", "left_anti")
-
-
-def day_log(expected: DataFrame, items: DataFrame, records: DataFrame) -> DataFrame:
-    """day, status (ok / no_items), items, events, failed for every expected day."""
-    n_items = items.groupBy("day").agg(F.count(F.lit(1)).alias("items"))
-    made = records.groupBy("day").agg(
-        F.coalesce(F.sum(F.when(F.col("status") == "ok", F.size("events"))), F.lit(0)).alias("events"), F.count_if(F.col("status") == "failed").alias("failed")
-    )
-    zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
-    return expected.join(n_items, "day", "left").join(made, "day", "left").select(
-        "day", F.when(F.col("items") > 0, "ok").otherwise("no_items").alias("status"), zero("items"), zero("events"), zero("failed")
-    )
-
-
 def save_run(rows: DataFrame, path: str, run: str) -> None:
     rows.withColumn("run", F.lit(run)).write.mode("append").partitionBy("run").parquet(path)
 
