@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+from pyspark import SparkContext
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import GBTClassifier, LogisticRegression
+from pyspark.ml.classification import GBTClassificationModel, GBTClassifier, LogisticRegression
 from pyspark.ml.feature import OneHotEncoder, StandardScaler, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
@@ -33,6 +34,18 @@ ORDER_COUNTRY_NAMES = {
 }
 
 
+# What explanations call the features.
+FEATURE_NAMES = {
+    "shipping_mode": "shipping mode", "days_scheduled": "scheduled shipping days", "market": "market", "order_region": "order region",
+    "order_country": "destination country", "customer_segment": "customer segment", "category": "product category", "department": "department",
+    "payment_type": "payment type", "quantity": "quantity", "unit_price": "unit price", "discount_rate": "discount rate", "sales": "order value",
+    "order_hour": "order hour", "order_dow": "order weekday", "order_month": "order month",
+    "hist_mode_region_rate": "recent late rate for this mode and region", "hist_mode_region_n": "history size for this mode and region",
+    "hist_country_rate": "recent late rate for this country", "hist_country_n": "history size for this country",
+    "hist_mode_rate": "recent late rate for this shipping mode", "hist_mode_n": "history size for this shipping mode",
+}
+
+
 # --- metrics ----------------------------------------------------------------------------------------
 
 
@@ -141,33 +154,52 @@ def patient_best(losses: list[float], patience: int) -> tuple[int, bool]:
     return best + 1, False
 
 
+def first_rounds(model: GBTClassificationModel, n: int) -> GBTClassificationModel:
+    """The model of the first n rounds, made from the fitted trees."""
+    trees, weights = model._java_obj.trees(), model.treeWeights
+    context = SparkContext.getOrCreate()
+    gateway, jvm = context._gateway, context._jvm
+    some = gateway.new_array(jvm.org.apache.spark.ml.regression.DecisionTreeRegressionModel, n)
+    own = gateway.new_array(jvm.double, n)
+    for i in range(n):
+        some[i], own[i] = trees[i], float(weights[i])
+    short = jvm.org.apache.spark.ml.classification.GBTClassificationModel(model.uid, some, own)
+    out = GBTClassificationModel(short)
+    for param, value in model.extractParamMap().items():
+        out.set(out.getParam(param.name), value)
+    return out
+
+
 def fit_boosted(data: DataFrame, rounds: int = 2000, step: float = 0.05, patience: int = 100) -> PipelineModel:
-    """Boosted trees on the training rows, cut at the round with the smallest loss on the validation rows.
+    """Boosted trees on the training rows (rare categories folded before), cut at the round with the smallest loss on the
+    validation rows.
 
-    Rounds end when ``patience`` of them bring no smaller loss. MLlib cannot go on with a fitted model, so the number of
-    rounds is doubled until that is seen; the same seed gives the same first trees each time. Unseen categories are
-    their own index. Without validation rows all rounds are kept.
+    Rounds end when ``patience`` of them bring no smaller loss; the cut model is made of the trees that are there. MLlib
+    cannot go on with a fitted model, so only when the patience has not ended are the rounds doubled and fitted anew (the
+    same seed gives the same first trees). Unseen categories are their own index. Without validation rows all rounds are kept.
     """
     spark = data.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:  # each round builds on the errors of the one before
-        spark.sparkContext.setCheckpointDir(scratch_root(spark))
     index = StringIndexer(inputCols=list(CATEGORICAL), outputCols=[f"{c}_ix" for c in CATEGORICAL], handleInvalid="keep")
     join = VectorAssembler(inputCols=[*[f"{c}_ix" for c in CATEGORICAL], *NUMERIC, *HISTORY], outputCol="features")
     before = Pipeline(stages=[index, join]).fit(data.filter("split IN ('train', 'valid')"))
     rows = before.transform(data.filter("split IN ('train', 'valid')")).select("split", "features", F.col(TARGET).cast("double").alias(TARGET))
     rows = materialize(rows, "boosted-rows")
     train, valid = rows.filter("split = 'train'"), rows.filter("split = 'valid'")
+    bins = max(256, *[len(labels) + 1 for labels in before.stages[0].labelsArray])  # every category needs a bin
 
     def fit(n: int):
-        return GBTClassifier(labelCol=TARGET, stepSize=step, maxIter=n, maxDepth=5, maxBins=256, minInstancesPerNode=50,
+        return GBTClassifier(labelCol=TARGET, stepSize=step, maxIter=n, maxDepth=5, maxBins=bins, minInstancesPerNode=50,
                              featureSubsetStrategy="0.8", subsamplingRate=0.8, seed=42).fit(train)
 
+    known = spark.sparkContext.getCheckpointDir()
+    if known is None:  # each round builds on the errors of the one before
+        spark.sparkContext.setCheckpointDir(f"{scratch_root(spark)}/laneguard/checkpoints")
     n = rounds if valid.isEmpty() else min(rounds, 2 * patience)
     trees = fit(n)
     while not valid.isEmpty():
         best, settled = patient_best(trees.evaluateEachIteration(valid), patience)
         if settled or n == rounds:
-            trees = trees if best == n else fit(best)
+            trees = trees if best == n else first_rounds(trees, best)
             break
         n = min(rounds, 2 * n)
         trees = fit(n)
@@ -212,19 +244,36 @@ def contributions(model: PipelineModel, data: DataFrame) -> DataFrame:
     return with_terms.withColumn("base", F.lit(base)).withColumn("logit", summed)
 
 
+def shown_value(feature: Column) -> Column:
+    """The value of a feature in its row as text: two decimals, or whole thousands from 100 on."""
+    out = None
+    for name in (*CATEGORICAL, *NUMERIC, *HISTORY):
+        x = F.col(name)
+        text = x if name in CATEGORICAL else F.when(F.abs(x) < 100, F.format_string("%.2f", x.cast("double"))).otherwise(F.format_string("%,.0f", x.cast("double")))
+        out = F.when(feature == name, text) if out is None else out.when(feature == name, text)
+    return out
+
+
 def top_drivers(explained: DataFrame, k: int = 3) -> DataFrame:
     """explained + drivers: the k strongest contributions, largest first, and a sentence."""
     ranked = F.sort_array(F.transform("contributions", lambda c: F.struct(F.abs(c["contribution"]).alias("size"), c["feature"].alias("feature"),
                                                                           stable_round(c["contribution"], 3).alias("contribution"))), asc=False)
     with_drivers = explained.withColumn("drivers", F.slice(ranked, 1, k))
+    valued = set(FEATURE_NAMES) <= set(explained.columns)
+    label = lambda f: F.coalesce(friendly_name(f), F.replace(f, F.lit("_"), F.lit(" ")))
     part = F.transform("drivers", lambda c: F.concat(
-        F.replace(c["feature"], F.lit("_"), F.lit(" ")), F.when(c["contribution"] > 0, " raises").otherwise(" lowers"), F.lit(" risk ("),
-        F.format_string("%+.2f", c["contribution"]), F.lit(" log-odds)")))
+        label(c["feature"]), F.concat(F.lit(" = "), F.coalesce(shown_value(c["feature"]), F.lit("unknown"))) if valued else F.lit(""),
+        F.when(c["contribution"] > 0, " raises").otherwise(" lowers"), F.lit(" risk ("), F.format_string("%+.2f", c["contribution"]), F.lit(" log-odds)")))
     text = F.format_string("Late-delivery risk %.0f%% (model baseline %.0f%%). Main drivers: %s.", sigmoid(F.col("logit")) * 100,
                            sigmoid(F.col("base")) * 100, F.array_join(part, "; "))
     return with_drivers.withColumn("text", text)
 
 
+def friendly_name(feature: Column) -> Column:
+    names = F.create_map(*[F.lit(x) for kv in FEATURE_NAMES.items() for x in kv])
+    return F.try_element_at(names, feature)
+
+
 def global_importance(explained: DataFrame) -> DataFrame:
     return explained.select(F.inline("contributions")).groupBy("feature").agg(F.avg(F.abs("contribution")).alias("importance"))
 
@@ -332,3 +381,16 @@ def what_if_orders(lanes: DataFrame, regions: DataFrame, history: DataFrame, def
             .drop("k", "r", "m")
         )
     return rows
+
+
+def lane_risk(rows: DataFrame, common: DataFrame, model: PipelineModel) -> DataFrame:
+    """What-if rows -> lane_id, shipping_mode, p and a note on what the probability rests on.
+
+    ``rows`` say with ``known`` whether the lane's country is in the order history; otherwise typical values were used.
+    Rare categories are folded for the model only, the note has the names asked for.
+    """
+    asked = rows.withColumn("asked_mode", F.col("shipping_mode")).withColumn("asked_country", F.col("order_country"))
+    note = F.when(F.col("known"), F.format_string("Baseline late-delivery risk from the order history (%s, %s).", "asked_country", "asked_mode")).otherwise(
+        F.format_string("No order history for the destination of %s; used typical order values.", "lane_id"))
+    scored = probability(model, fold_rare(asked, common))
+    return scored.select("lane_id", F.col("asked_mode").alias("shipping_mode"), stable_round(F.col("p"), 4).alias("p"), note.alias("note"))

@@ -16,7 +16,6 @@ from pyspark.sql.types import DoubleType
 
 from laneguard.functions.numeric import stable_round
 from laneguard.functions.text import link_name
-from laneguard.operators.ingest import word_grams
 from laneguard.operators.network import country_node
 from laneguard.session import materialize
 
@@ -58,15 +57,23 @@ def by_exact_alias(places: DataFrame, aliases: DataFrame) -> DataFrame:
     )
 
 
+def runs_of(loc: Column, words: list[int]) -> Column:
+    """Distinct word runs of a name, only of the given numbers of words."""
+    parts = F.split(loc, " ")
+    runs = F.flatten(F.transform(F.array(*[F.lit(n) for n in words]), lambda n: F.when(F.size(parts) >= n, F.transform(
+        F.sequence(F.lit(1), F.size(parts) - n + 1), lambda i: F.array_join(F.slice(parts, i, n), " "))).otherwise(F.array().cast("array<string>"))))
+    return F.array_distinct(runs)
+
+
 def by_alias_within(places: DataFrame, aliases: DataFrame) -> DataFrame:
     """The longest alias (4+ letters) that occurs in the place as whole words.
 
-    Places are turned into their word runs and matched by equality; the table of aliases is never
-    compared pair by pair.
+    Places are turned into the word runs of those lengths that aliases have and matched by equality; the table of
+    aliases is never compared pair by pair.
     """
     usable = aliases.filter(F.length("alias") >= MIN_WITHIN_LEN)
-    longest = usable.agg(F.max(F.size(F.split("alias", " ")))).first()[0] or 1
-    runs = places.select("place_id", F.explode(word_grams(F.split("loc", " "), longest)).alias("alias"))
+    words = sorted(r["n"] for r in usable.select(F.size(F.split("alias", " ")).alias("n")).distinct().collect())
+    runs = places.select("place_id", F.explode(runs_of(F.col("loc"), words)).alias("alias"))
     best = F.max_by(F.struct("node_id", "alias"), F.struct(F.length("alias"), *[-F.col(f"pos.{c}") for c in ("tier", "pos", "at")]))
     return runs.join(usable, "alias").groupBy("place_id").agg(best.alias("b")).select(
         "place_id", "b.node_id", F.lit("alias_within").alias("method"), F.lit(1.0).alias("score"), F.col("b.alias").alias("matched_alias")

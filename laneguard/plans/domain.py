@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from laneguard.functions.numeric import stable_round
 from laneguard import schemas
 from laneguard.functions import text as tx
-from laneguard.operators import brief, evaluation, exposure, extraction, forecast, history, linking, network, store
+from laneguard.operators import brief, evaluation, exposure, extraction, forecast, history, linking, models, network, store
 from laneguard.operators.replay import Disruption, Params, Spec, replay
 from laneguard.session import materialize
 
@@ -493,6 +493,22 @@ class Domain:
     def common(self) -> DataFrame:
         return materialize(forecast.common_categories(self.train), "categories")
 
+    @cached_property
+    def folded(self) -> DataFrame:
+        """The dataset with rare categories as one value."""
+        return materialize(forecast.fold_rare(self.dataset, self.common), "folded")
+
+    @cached_property
+    def linear(self):
+        """The logistic model of this data set, fitted once per application."""
+        return models.fit_once("logistic", self.folded.filter("split = 'train'"), {"c": 1.0}, forecast.fit_logistic)
+
+    @cached_property
+    def trees(self):
+        """The boosted model of this data set, fitted once per application."""
+        rows = self.folded.filter("split IN ('train', 'valid')")
+        return models.fit_once("boosted", rows, {"rounds": 2000, "step": 0.05, "patience": 100}, forecast.fit_boosted)
+
     @cached_property
     def train_share(self) -> float:
         return float(self.train.agg(F.avg("late")).first()[0])

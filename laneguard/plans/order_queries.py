@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -282,64 +283,124 @@ def leakage_audit(d: Domain) -> DataFrame:
     return a.join(b, "name")
 
 
-# --- models (no SQL equivalent) -------------------------------------------------------------------
+# --- models: values have no SQL equivalent, what must hold of them has ------------------------------
+
+
+def linear_scores(d: Domain) -> DataFrame:
+    return forecast.scored(forecast.probability(d.linear, d.folded.filter("split <> 'train'")), "logreg", F.col("p"))
+
+
+def tree_scores(d: Domain) -> DataFrame:
+    return forecast.scored(forecast.probability(d.trees, d.folded.filter("split <> 'train'")), "boosted", F.col("p"))
+
+
+def better_than_majority(d: Domain, scores: DataFrame) -> DataFrame:
+    """split, n, positive_rate, and whether a model beats the constant answer in log-loss, AUC and Brier score."""
+    both = forecast.metrics(scores.unionByName(forecast.majority_scores(d.dataset)))
+    a, b = both.filter("model <> 'majority'").alias("a"), both.filter("model = 'majority'").alias("b")
+    return a.join(b, F.col("a.split") == F.col("b.split")).select("a.split", "a.n", "a.positive_rate", ((F.col("a.log_loss") < F.col("b.log_loss")) & (F.col("a.roc_auc") > 0.5) & (F.col("a.brier") < F.col("b.brier"))).alias("better"))
+
+
+BETTER_SQL = f"SELECT split, count(*) AS n, {rnd('avg(late)', 4)} AS positive_rate, TRUE AS better FROM data WHERE split IN ('valid', 'test') GROUP BY 1"
 
 
 @query("j04_logistic")
 def logistic(d: Domain) -> DataFrame:
-    model = forecast.fit_logistic(forecast.fold_rare(d.train, d.common))
-    scores = forecast.probability(model, forecast.fold_rare(d.dataset.filter("split <> 'train'"), d.common))
-    return forecast.metrics(forecast.scored(scores, "logreg", F.col("p")))
+    return forecast.metrics(linear_scores(d))
+
+
+@query("j04_beats_majority", BETTER_SQL, ["data"])
+def logistic_check(d: Domain) -> DataFrame:
+    return better_than_majority(d, linear_scores(d))
 
 
 @query("j05_boosted")
 def boosted(d: Domain) -> DataFrame:
-    model = forecast.fit_boosted(d.dataset)
-    scores = forecast.probability(model, d.dataset.filter("split <> 'train'"))
-    return forecast.metrics(forecast.scored(scores, "boosted", F.col("p")))
+    return forecast.metrics(tree_scores(d))
+
+
+@query("j05_beats_majority", BETTER_SQL, ["data"])
+def boosted_check(d: Domain) -> DataFrame:
+    return better_than_majority(d, tree_scores(d))
 
 
-@query("j06_unseen_categories")
+@query("j06_unseen_categories", "SELECT shipping_mode, count(*) AS n, TRUE AS valid FROM data WHERE split = 'test' GROUP BY 1", ["data"])
 def unseen(d: Domain) -> DataFrame:
-    """Scores of orders whose country is new to the model."""
-    model = forecast.fit_boosted(d.dataset)
-    strange = d.dataset.filter("split = 'test'").withColumn("order_country", F.lit("ATLANTIS"))
-    return forecast.probability(model, strange).groupBy("shipping_mode").agg(F.count(F.lit(1)).alias("n"), F.avg("p").alias("p"))
+    """Scores of orders whose country is new to the model: each gets a probability."""
+    strange = forecast.fold_rare(d.dataset.filter("split = 'test'").withColumn("order_country", F.lit("ATLANTIS")), d.common)
+    return forecast.probability(d.trees, strange).groupBy("shipping_mode").agg(F.count(F.lit(1)).alias("n"), (F.count_if(F.col("p").between(0.0, 1.0)) == F.count(F.lit(1))).alias("valid"))
 
 
 @query("j07_model_comparison")
 def comparison(d: Domain) -> DataFrame:
-    model = forecast.fit_logistic(forecast.fold_rare(d.train, d.common))
-    linear = forecast.scored(forecast.probability(model, forecast.fold_rare(d.dataset.filter("split <> 'train'"), d.common)), "logreg", F.col("p"))
     rules = forecast.majority_scores(d.dataset).unionByName(forecast.mode_history_scores(d.dataset))
-    trees = forecast.probability(forecast.fit_boosted(d.dataset), d.dataset.filter("split <> 'train'"))
-    return forecast.metrics(rules.unionByName(linear).unionByName(forecast.scored(trees, "boosted", F.col("p"))))
+    return forecast.metrics(rules.unionByName(linear_scores(d)).unionByName(tree_scores(d)))
+
+
+@query("j08_lane_risk")
+def lane_risk(d: Domain) -> DataFrame:
+    return forecast.lane_risk(what_if_known(d), d.common, d.linear)
+
+
+def what_if_known(d: Domain) -> DataFrame:
+    known = d.lane_countries.join(forecast.country_regions(d.train), "order_country", "left").select("lane_id", F.col("order_region").isNotNull().alias("known"))
+    return d.what_if.join(known, "lane_id")
+
+
+@query("j08_lane_notes", """
+SELECT lane_id, mode AS shipping_mode, TRUE AS valid, CASE WHEN r.order_region IS NULL THEN 'No order history for the destination of ' || lane_id || '; used typical order values.'
+  ELSE 'Baseline late-delivery risk from the order history (' || nodes.name || ', ' || mode || ').' END AS note
+FROM lanes JOIN nodes ON node_id = destination LEFT JOIN regions r ON r.order_country = nodes.name, (VALUES ('1-URGENT'), ('2-HIGH'), ('3-MEDIUM'), ('5-LOW'), ('9-NEVER')) m(mode)""", ["lanes", "nodes", "regions"])
+def lane_notes(d: Domain) -> DataFrame:
+    return lane_risk(d).select("lane_id", "shipping_mode", F.col("p").between(0.0, 1.0).alias("valid"), "note")
+
+
+def explained_test(d: Domain) -> DataFrame:
+    return forecast.contributions(d.linear, d.folded.filter("split = 'test'"))
 
 
 @query("j09_explanations")
 def explanations(d: Domain) -> DataFrame:
-    model = forecast.fit_logistic(forecast.fold_rare(d.train, d.common))
-    test = forecast.fold_rare(d.dataset.filter("split = 'test'"), d.common)
-    return forecast.top_drivers(forecast.contributions(model, test)).select(*ROW_KEY, stable_round(sigmoid(F.col("logit")), 4).alias("p"), "text")
+    return forecast.top_drivers(explained_test(d)).select(*ROW_KEY, stable_round(sigmoid(F.col("logit")), 4).alias("p"), stable_round(sigmoid(F.col("base")), 4).alias("base_p"), "text")
+
+
+@query("j09_additivity", "SELECT count(*) AS n, TRUE AS adds_up, TRUE AS ordered FROM data WHERE split = 'test'", ["data"])
+def additivity(d: Domain) -> DataFrame:
+    """Base and contributions of every order add up to the model's own log-odds, and the three drivers are the strongest."""
+    rows = forecast.top_drivers(explained_test(d))
+    gap = F.abs(F.col("logit") - F.element_at(vector_to_array("rawPrediction"), 2))
+    strongest = F.array_max(F.transform("contributions", lambda c: F.abs(c["contribution"])))
+    ordered = (F.size("drivers") == 3) & (F.abs(F.col("drivers")[0]["size"] - strongest) < 1e-9) & (F.col("drivers")[1]["size"] >= F.col("drivers")[2]["size"])
+    return rows.agg(F.count(F.lit(1)).alias("n"), (F.max(gap) < 1e-6).alias("adds_up"), F.bool_and(ordered).alias("ordered"))
 
 
 @query("d16_global_importance")
 def importance(d: Domain) -> DataFrame:
-    model = forecast.fit_logistic(forecast.fold_rare(d.train, d.common))
-    test = forecast.fold_rare(d.dataset.filter("split = 'test'"), d.common)
-    return forecast.global_importance(forecast.contributions(model, test))
+    return forecast.global_importance(explained_test(d))
+
+
+@query("d16_features", "SELECT unnest(['" + "', '".join((*history.CATEGORICAL, *history.NUMERIC, *history.HISTORY)) + "']) AS feature, TRUE AS valid")
+def importance_features(d: Domain) -> DataFrame:
+    return importance(d).select("feature", (F.col("importance") >= 0).alias("valid"))
+
+
+def delay_of_top_lanes(d: Domain) -> DataFrame:
+    top = d.risk.filter("exposure_score > 0").orderBy(F.desc("exposure_score"), "lane_id").limit(5).select("lane_id")
+    return lane_risk(d).join(top, "lane_id")
 
 
 @query("k05_baseline_delay")
 def baseline_delay(d: Domain) -> DataFrame:
-    """Late probability of the most exposed lanes, as a map per brief."""
-    model = forecast.fit_logistic(forecast.fold_rare(d.train, d.common))
-    rows = forecast.fold_rare(d.what_if.filter("shipping_mode = '3-MEDIUM'"), d.common)
-    top = d.risk.filter("exposure_score > 0").orderBy(F.desc("exposure_score"), "lane_id").limit(5).select("lane_id")
-    risk = forecast.probability(model, rows).join(top, "lane_id").select("lane_id", stable_round(F.col("p"), 4).alias("p"))
-    return risk.agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("lane_id", "p")))).alias("m")).select(
-        F.size("m").alias("n_lanes"), F.to_json("m").alias("baseline_delay_risk")
-    )
+    """Late probability of the most exposed lanes, as a map per shipping mode."""
+    entries = F.array_sort(F.collect_list(F.struct("lane_id", "p")))  # five lanes
+    return delay_of_top_lanes(d).groupBy("shipping_mode").agg(F.map_from_entries(entries).alias("m")).select("shipping_mode", F.size("m").alias("n_lanes"), F.to_json("m").alias("baseline_delay_risk"))
+
+
+@query("k05_delay_lanes", """
+SELECT lane_id, mode AS shipping_mode, TRUE AS valid FROM (SELECT lane_id FROM risk WHERE exposure_score > 0 ORDER BY exposure_score DESC, lane_id LIMIT 5),
+  (VALUES ('1-URGENT'), ('2-HIGH'), ('3-MEDIUM'), ('5-LOW'), ('9-NEVER')) m(mode)""", ["risk"])
+def delay_lanes(d: Domain) -> DataFrame:
+    return delay_of_top_lanes(d).select("lane_id", "shipping_mode", F.col("p").between(0.0, 1.0).alias("valid"))
 
 
 view("ranked_terms", ("lines",), f"""

@@ -13,8 +13,9 @@ from laneguard.operators import evaluation, extraction, ingest, linking, store
 from laneguard.plans.domain import DOC_RULES, Domain
 from laneguard.plans.registry import query
 from laneguard.plans.sql_views import rnd, view
-from laneguard.session import scratch_path
+from laneguard.session import materialize, scratch_path
 from laneguard.sources import news, tables
+from laneguard.streaming import live
 
 WS = r"[\s\x{1c}-\x{1f}\x{85}\p{Z}]"
 
@@ -688,6 +689,22 @@ def alias_within(d: Domain) -> DataFrame:
     return back(d, linking.by_alias_within(d.places, d.aliases))
 
 
+@query("l03_stream_links", """
+SELECT mention_id, coalesce(x.node_id, w.node_id) AS node_id, CASE WHEN x.alias IS NOT NULL THEN 'alias_exact' ELSE 'alias_within' END AS method FROM (SELECT m.mention_id, any_value(p.loc) AS loc FROM mentions m JOIN places p ON p.location IS NOT DISTINCT FROM m.location GROUP BY 1) q
+LEFT JOIN aliases x ON x.alias = q.loc LEFT JOIN (
+  SELECT loc, arg_max(node_id, (length(alias), -place[1], -place[2], -place[3])) AS node_id FROM (SELECT DISTINCT loc FROM places) JOIN aliases ON length(alias) >= 4 AND contains(' ' || loc || ' ', ' ' || alias || ' ') GROUP BY loc) w ON w.loc = q.loc
+WHERE coalesce(x.node_id, w.node_id) IS NOT NULL""", ["mentions", "places", "aliases"])
+def stream_links(d: Domain) -> DataFrame:
+    """Mentions that arrive as files, linked in micro-batches."""
+    came, out = scratch_path(d.spark, "mentions"), scratch_path(d.spark, "stream-links")
+    rows = d.mentions.select("mention_id", "location")
+    rows.repartition(4).write.parquet(came)
+    stream = d.spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 2).parquet(came)
+    run = live.link_batches(stream, materialize(d.aliases, "aliases"), out, scratch_path(d.spark, "stream-checkpoint"))
+    run.awaitTermination()
+    return d.spark.read.parquet(out).select("mention_id", "node_id", "method")
+
+
 @query("c04_fuzzy_edit", f"""
 SELECT {TRIPLE}, arg_max(node_id, (s, alias)) AS node_id, {rnd('max(s)', 3)} AS score, arg_max(alias, (s, alias)) AS matched_alias FROM (
   SELECT p.*, alias, node_id, 1.0::DOUBLE - levenshtein(loc, alias) / greatest(length(loc), length(alias))::DOUBLE AS s FROM places p JOIN aliases ON loc <> '') p WHERE s >= 0.85
