@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from laneguard.llm.linkage import link_buckets
+from laneguard.llm.linkage import KEY_BLOCKS, TASK_KEYS, key_blocks, link_buckets
 from laneguard.llm.words import CHUNK_BYTES, PrefixHash, mix
 from laneguard.session import materialize
 
@@ -157,12 +157,15 @@ def dedup_lines(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS,
                 yield pd.DataFrame({"doc_id": doc[first + lines.text[at]], "pos": lines.pos[at], "sid": lines.ids[at], "size": (lines.ends - lines.starts)[at]})
 
     def key_rows(batches):
-        for batch in batches:
-            for _, lines in _line_chunks(batch["text"]):
-                at = np.flatnonzero(~lines.blank & (lines.ends - lines.starts >= min_chars))
-                at = at[np.unique(lines.ids[at], return_index=True)[1]]
-                keys, owner = segment_keys(lines, at, edits, min_chars)
-                yield pd.DataFrame({"key": keys, "sid": lines.ids[owner]})
+        def keys():
+            for batch in batches:
+                for _, lines in _line_chunks(batch["text"]):
+                    at = np.flatnonzero(~lines.blank & (lines.ends - lines.starts >= min_chars))
+                    at = at[np.unique(lines.ids[at], return_index=True)[1]]
+                    own, owner = segment_keys(lines, at, edits, min_chars)
+                    yield own.view(np.uint64), lines.ids[owner]
+
+        yield from key_blocks(keys(), buckets)
 
     found = materialize(rows.mapInPandas(occurrences, "doc_id long, pos long, sid long, size long"), "line-occurrences")
     firsts = found.groupBy("sid").agg(F.min(F.struct("doc_id", "pos")).alias("first"), F.count("*").alias("n"))
@@ -188,9 +191,9 @@ def dedup_lines(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS,
     def near(a: pd.DataFrame, b: pd.DataFrame) -> np.ndarray:
         return within_edits(a["line"].tolist(), b["line"].tolist(), edits)
 
-    # a line that many texts hold sends its keys once per chunk: copies go before the window of a key
-    keys = rows.mapInPandas(key_rows, "key long, sid long").dropDuplicates(["key", "sid"])
-    classes = link_buckets(keys, lines_of, near)
+    keys_of_line = sum(min(edits, i - 1 + less) + 1 for less in range(edits + 1) for i in range(1, edits + 2))  # at most
+    buckets = firsts.count() * keys_of_line // TASK_KEYS + 1
+    classes = link_buckets(rows.mapInPandas(key_rows, KEY_BLOCKS), lines_of, near)
     classes = materialize(classes.select(F.col("node").alias("sid"), "component"), "line-classes")
     merged = firsts.join(classes, "sid").groupBy("component").agg(F.min("first").alias("keep"))
     merged = classes.join(merged, "component").select("sid", "keep")

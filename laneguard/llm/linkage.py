@@ -10,9 +10,10 @@ from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from laneguard.llm import blocks
 from laneguard.session import materialize
 
 BLOCK = 256
@@ -113,19 +114,92 @@ def _cross_pairs(members: DataFrame, sizes: DataFrame, info: DataFrame, screen:
     return m.groupBy("call").applyInPandas(compare, "a long, b long")
 
 
-def link_buckets(keys: DataFrame, info: DataFrame | Callable[[DataFrame], DataFrame], screen: Screen,
-                 verify: Callable[[DataFrame], Callable[[DataFrame], DataFrame]] | None = None) -> DataFrame:
-    """Components ``(node, component)`` of the items of ``keys(key, sid)`` under their true links.
+TASK_KEYS = 1 << 20
+"""Keys that a task sorts at a time, and that one group of the exchange holds on average."""
+KEY_BLOCKS = "bucket int, keys binary, owner binary, sids binary, pair_keys binary, pair_a binary, pair_b binary"
+
+
+def _chained(key: np.ndarray, sid: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Order of distinct (key, sid) pairs, and which of them repeat the key of the one before."""
+    order = np.lexsort((sid, key))
+    k, s = key[order], sid[order]
+    new = np.concatenate(([True], (k[1:] != k[:-1]) | (s[1:] != s[:-1])))[:len(k)]
+    order = order[new]
+    k = key[order]
+    return order, np.concatenate(([False], k[1:] == k[:-1]))[:len(k)]
+
+
+def key_blocks(found, buckets: int):
+    """Frames of ``KEY_BLOCKS`` from (keys uint64, sids int64) arrays; some ``TASK_KEYS`` of them are sorted at a time.
+
+    Items of a task with equal keys are chained here already, so a key sends one item per such block, however many items
+    share it; the rest travels as small blocks, one row per bucket of the key range.
+    """
+    held, size = [], 0
+
+    def packed() -> pd.DataFrame:
+        key, sid = (np.concatenate(x) for x in zip(*held))
+        order, again = _chained(key, sid)
+        key, sid = key[order], sid[order]
+        pair = np.flatnonzero(again)
+        of = lambda k: ((k >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
+        head, head_sid = key[~again], sid[~again]
+        out = {}
+        for b, i, j in blocks.spans(of(head)):
+            own, owner = np.unique(head_sid[i:j], return_inverse=True)
+            width = np.uint16 if len(own) <= 1 << 16 else np.uint32
+            out[b] = [b, blocks.pack(head[i:j]), owner.astype(width).tobytes(), own.tobytes(), b"", b"", b""]
+        for b, i, j in blocks.spans(of(key[pair])):
+            out[b][4:] = blocks.pack(key[pair[i:j]]), sid[pair[i:j] - 1].tobytes(), sid[pair[i:j]].tobytes()
+        return pd.DataFrame(list(out.values()), columns=[c.split()[0] for c in KEY_BLOCKS.split(", ")])
+
+    for key, sid in found:
+        held.append((key, sid))
+        size += len(key)
+        if size >= TASK_KEYS:
+            yield packed()
+            held, size = [], 0
+    if size:
+        yield packed()
+
+
+def chain_blocks(packed: DataFrame) -> DataFrame:
+    """Chain pairs ``(key, a, b)`` with a < b of all keys in ``KEY_BLOCKS`` rows: each item of a key but its first is b once."""
+
+    def chain(rows: pd.DataFrame) -> pd.DataFrame:
+        sids = [np.frombuffer(x, np.int64) for x in rows["sids"]]
+        keys = [blocks.unpack(x) for x in rows["keys"]]
+        owners = [np.frombuffer(x, np.uint16 if len(s) <= 1 << 16 else np.uint32) for x, s in zip(rows["owner"], sids)]
+        key, sid = np.concatenate(keys), np.concatenate([s[o] for s, o in zip(sids, owners)])
+        order, again = _chained(key, sid)
+        key, sid = key[order], sid[order]
+        at = np.flatnonzero(again)
+        told = [np.concatenate([np.zeros(0, t), *[f(x) for x in rows[c]]]) for c, t, f in (("pair_keys", np.uint64, blocks.unpack), ("pair_a", np.int64, _longs), ("pair_b", np.int64, _longs))]
+        k, a, b = np.concatenate([key[at], told[0]]), np.concatenate([sid[at - 1], told[1]]), np.concatenate([sid[at], told[2]])
+        order = np.lexsort((a, b, k))  # an item that several blocks have chained keeps its smallest partner
+        k, a, b = k[order], a[order], b[order]
+        one = np.concatenate(([True], (k[1:] != k[:-1]) | (b[1:] != b[:-1])))[:len(k)]
+        k, a, b = k[one], a[one], b[one]
+        return pd.DataFrame({"key": k.view(np.int64), "a": a, "b": b})
+
+    return packed.groupBy("bucket").applyInPandas(chain, "key long, a long, b long")
+
+
+def _longs(block: bytes) -> np.ndarray:
+    return np.frombuffer(block, np.int64)
+
+
+def link_buckets(packed: DataFrame, info: DataFrame | Callable[[DataFrame], DataFrame], screen: Screen,
+                 verify: Callable[[DataFrame], Callable[[DataFrame], DataFrame]] | None = None, fine: DataFrame | None = None) -> DataFrame:
+    """Components ``(node, component)`` of the items of ``packed`` (``KEY_BLOCKS``) under their true links.
 
     Any two linked items must share a key. ``info`` may be made from the chain pairs ``(key, a, b)``, which name all candidates. ``screen`` sees two aligned frames of ``info`` rows and may only drop
-    pairs that are no links. ``verify(pairs)`` gathers once what all these pairs need and gives a function from some of
+    pairs that are no links; ``fine`` has the same fields in a sharper form for the comparison of whole buckets. ``verify(pairs)`` gathers once what all these pairs need and gives a function from some of
     them to the true links among them; without it the screen itself is exact. The result is exact:
     first one earlier neighbour per item is verified, then the chain pairs between different components, then all
     screened pairs across the components of every bucket that still holds more than one.
     """
-    order = Window.partitionBy("key").orderBy("sid")
-    chain = keys.select("key", F.lag("sid").over(order).alias("a"), F.col("sid").alias("b")).filter("a < b")
-    chain = materialize(chain, "chains")
+    chain = materialize(chain_blocks(packed), "chains")
     info = info(chain) if callable(info) else info
     if verify is None:
         tested, check = chain.select("a", "b").distinct(), lambda pairs: _screened(pairs, info, screen)
@@ -149,7 +223,7 @@ def link_buckets(keys: DataFrame, info: DataFrame | Callable[[DataFrame], DataFr
         return components
     here = labelled.join(broken.select("key"), "key")
     members = here.select("key", F.col("b").alias("sid"), F.col("of_b").alias("comp")).unionAll(here.select("key", F.col("a").alias("sid"), F.col("of_a").alias("comp"))).distinct()
-    cross = materialize(_cross_pairs(members, broken, info, screen).distinct().join(chain.select("a", "b").distinct(), ["a", "b"], "left_anti"), "pairs")
+    cross = materialize(_cross_pairs(members, broken, info if fine is None else fine, screen).distinct().join(chain.select("a", "b").distinct(), ["a", "b"], "left_anti"), "pairs")
     if cross.isEmpty():
         return components
     return connected_components(links.unionAll(materialize(verify(cross)(cross), "links") if verify else cross))

@@ -3,7 +3,8 @@
 Every shingle of a set toggles (XOR) one bit of a sketch, so the Hamming distance of two sketches is at most the
 symmetric difference of the sets. Sets are put into bands of similar size; the largest symmetric difference d of a
 link in a band is known, so of more than d sketch chunks one must agree: documents meet in buckets of equal, non-zero
-chunks. A folded sketch with about as many bits as the set has shingles screens pairs, whole shingle sets verify them.
+chunks. A folded sketch with about as many bits as the set has shingles screens pairs (a wider one where whole buckets
+are compared), whole shingle sets verify them.
 """
 
 from __future__ import annotations
@@ -16,11 +17,13 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from laneguard.llm.linkage import link_buckets
+from laneguard.llm.linkage import KEY_BLOCKS, TASK_KEYS, key_blocks, link_buckets
 from laneguard.llm.words import Words, chunks, mix, shingle_set
 from laneguard.session import materialize
 
 CHUNK_BITS = 256
+FINE = 8
+"""Bits per shingle of the sketch that compares whole buckets; nearly all pairs it lets through are links."""
 MAX_SENT_IDS = 1 << 20
 """Document ids (8 bytes each) that are sent to every executor to leave out other texts before their shuffle; with more, all are shuffled."""
 SLICE = 1 << 18
@@ -100,9 +103,9 @@ def set_id(shingles: np.ndarray) -> np.ndarray:
     return mix(total + np.uint64(len(shingles)), 3) | np.uint64(1)
 
 
-def folded(shingles: np.ndarray) -> bytes:
-    """Sketch of the least power of two of bits that is not under the set's size (64 at least)."""
-    size = max(64, 1 << (len(shingles) - 1).bit_length())
+def folded(shingles: np.ndarray, times: int = 1) -> bytes:
+    """Sketch of the least power of two of bits that is not under ``times`` the set's size (64 at least)."""
+    size = max(64, 1 << (times * len(shingles) - 1).bit_length())
     bits = np.bincount((mix(shingles, 31) & np.uint64(size - 1)).astype(np.int64), minlength=size) & 1
     return np.packbits(bits.astype(np.uint8)).tobytes()
 
@@ -149,22 +152,36 @@ def ngram_components(docs: DataFrame, k: int = 4, num: int = 85, den: int = 100,
 
     def describe(batches):
         for batch in batches:
-            n, sid, sketch = np.zeros(len(batch), np.int64), np.zeros(len(batch), np.int64), [None] * len(batch)
-            keys, known = [None] * len(batch), {}
+            n, sid, known = np.zeros(len(batch), np.int64), np.zeros(len(batch), np.int64), {}
+            sketch, fine = [None] * len(batch), [None] * len(batch)
             for i, s in _sets(batch["text"], k):
                 n[i] = len(s)
                 if len(s):
                     own = sid[i] = set_id(s).view(np.int64)[0]
                     if own not in known:
-                        known[own] = folded(s), bucket_keys(s, num, den).view(np.int64)
-                    sketch[i], keys[i] = known[own]
-            yield pd.DataFrame({"doc_id": batch["doc_id"].astype("Int64"), "n": n, "sid": sid, "sketch": sketch, "keys": keys})
-
-    sets = materialize(rows.mapInPandas(describe, "doc_id long, n long, sid long, sketch binary, keys array<long>"), "ngram-sets")
-    reps = materialize(sets.filter("n > 0 and doc_id is not null").groupBy("sid").agg(F.min("doc_id").alias("rep")), "ngram-reps")
-    one_each = sets.join(reps.select("sid", F.col("rep").alias("doc_id")), ["sid", "doc_id"])  # copies bring no keys of their own
-    keys = one_each.select(F.explode("keys").alias("key"), "sid")
-    info = materialize(one_each.select("sid", "n", "sketch").dropDuplicates(["sid"]), "ngram-info")
+                        known[own] = folded(s), folded(s, FINE)
+                    sketch[i], fine[i] = known[own]
+            yield pd.DataFrame({"doc_id": batch["doc_id"].astype("Int64"), "n": n, "sid": sid, "sketch": sketch, "fine": fine})
+
+    def keys_of(batches):
+        def found():
+            for batch in batches:
+                seen = set()
+                for _, s in _sets(batch["text"], k):
+                    if len(s) and (own := set_id(s).view(np.int64)[0]) not in seen:
+                        seen.add(own)
+                        keys = bucket_keys(s, num, den)
+                        yield keys, np.full(len(keys), own, np.int64)
+
+        yield from key_blocks(found(), buckets)
+
+    sets = materialize(rows.mapInPandas(describe, "doc_id long, n long, sid long, sketch binary, fine binary"), "ngram-sets")
+    usable = sets.filter("n > 0 and doc_id is not null")
+    reps = materialize(usable.groupBy("sid").agg(F.min("doc_id").alias("rep")), "ngram-reps")
+    buckets = (usable.agg(F.sum("n")).first()[0] or 0) // (2 * TASK_KEYS) + 1  # about half as many keys as shingles
+    keys = rows.filter("doc_id is not null").mapInPandas(keys_of, KEY_BLOCKS)  # texts are read again: cheaper than to store all keys
+    described = materialize(usable.select("sid", "n", "sketch", "fine").dropDuplicates(["sid"]), "ngram-info")
+    info, sharp = described.select("sid", "n", "sketch"), described.select("sid", "n", F.col("fine").alias("sketch"))
 
     def screen(a: pd.DataFrame, b: pd.DataFrame) -> np.ndarray:
         return may_link(a, b, num, den)
@@ -199,7 +216,7 @@ def ngram_components(docs: DataFrame, k: int = 4, num: int = 85, den: int = 100,
         texts = wanted.join(ends, "doc_id").select("a", "slice", "first", "sid", "text")
         return texts.repartition("a", "slice").sortWithinPartitions("a", "slice", F.desc("first")).mapInPandas(exact, "a long, b long")
 
-    components = materialize(link_buckets(keys, info, screen, lambda _: check), "ngram-components")
+    components = materialize(link_buckets(keys, info, screen, lambda _: check, sharp), "ngram-components")
     group = reps.join(components.select(F.col("node").alias("sid"), "component"), "sid", "left").withColumn("component", F.coalesce("component", "sid"))
     least = group.groupBy("component").agg(F.min("rep").alias("component_id"))
     of_set = materialize(group.join(least, "component").select("sid", "component_id"), "ngram-groups")

@@ -175,3 +175,34 @@ def test_components_of_a_path_and_a_star(spark):
     links = [(i, i + 1) for i in range(60)] + [(100, i) for i in range(101, 180)] + [(7, 7)]
     got = {r["node"]: r["component"] for r in connected_components(spark.createDataFrame(links, "a long, b long")).collect()}
     assert got == {**{i: 0 for i in range(61)}, **{i: 100 for i in range(100, 180)}}
+
+
+def test_packed_blocks_chain_every_item_of_a_key_once(spark, monkeypatch):
+    from collections import defaultdict
+
+    import numpy as np
+
+    from laneguard.llm import linkage
+
+    rng = np.random.default_rng(7)
+    parts = []
+    for _ in range(6):
+        key = rng.integers(0, 40, 300).astype(np.uint64) * np.uint64(0x5851F42D4C957F2D)
+        key[:60] = key[0]  # a hot key
+        parts.append((key, rng.integers(-50, 50, 300)))
+    monkeypatch.setattr(linkage, "TASK_KEYS", 500)
+    frames = [f for part in range(0, 6, 3) for f in linkage.key_blocks(iter(parts[part:part + 3]), 7)]
+    rows = [tuple(r) for f in frames for r in f.itertuples(index=False)]
+    chain = linkage.chain_blocks(spark.createDataFrame(rows, linkage.KEY_BLOCKS)).collect()
+    items, pairs = defaultdict(set), defaultdict(list)
+    for key, sid in parts:
+        for k, x in zip(key.view(np.int64).tolist(), sid.tolist()):
+            items[k].add(x)
+    for r in chain:
+        assert r.a < r.b
+        pairs[r.key].append((r.a, r.b))
+    assert any(len(x) > 20 for x in items.values())
+    for k, members in items.items():
+        assert sorted(b for _, b in pairs[k]) == sorted(members - {min(members)})
+        assert {a for a, _ in pairs[k]} <= members
+    assert list(linkage.key_blocks(iter([]), 7)) == []
