@@ -21,8 +21,10 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without lines that repeat earlier ones within two edits. A document may be left empty; it stays."""
-    kept = dedup_lines(docs).drop("n_lines", "n_removed")
+    """Documents without lines that repeat earlier ones within two edits. A document that had text and has none left goes;
+    one that came without text (null, empty or white space) stays."""
+    had = F.coalesce(F.col("text").rlike(r"\S"), F.lit(False))
+    kept = dedup_lines(docs.withColumn("__had", had)).filter((~F.col("__had")) | F.col("text").rlike(r"\S")).drop("n_lines", "n_removed", "__had")
     return kept.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else kept
 
 
