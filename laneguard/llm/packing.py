@@ -1,9 +1,10 @@
 """Best-fit packing: a configuration linear program over the length histogram.
 
-Only the histogram (one count per length up to the sequence length) reaches the driver. A configuration is a
-multiset of lengths that fit into one sequence. Multiplicative weights keep a price per length; the most valuable
-configuration at these prices comes from a knapsack dynamic program and is used in bulk. Whole uses are kept, the
-rest is solved again and finally filled greedily. Tasks then place each piece by its rank among equal lengths.
+Only the histogram (one count per length up to the sequence length) reaches the driver. Lengths are grouped into a few
+dozen classes. A configuration is a multiset of classes that fit into one sequence. Multiplicative weights keep a price
+per class; the most valuable configuration at these prices comes from a knapsack dynamic program. Whole uses are kept and
+filled with pieces, the rest is solved again; the last few pieces are filled greedily. Tasks then place each piece by its
+rank among equal lengths.
 """
 
 from __future__ import annotations
@@ -20,10 +21,16 @@ from pyspark.sql import functions as F
 
 from laneguard.session import materialize
 
-ROUNDS = 300
-"""Prices are updated so often before fractional uses are rounded."""
 STEP = 0.25
-"""How much of a length's demand one price update may cover."""
+"""How much of a class's demand one price update may cover."""
+SHARPNESS = 2.0
+"""A class that is covered once is priced lower by this power of e."""
+OVER = 1.5
+"""A class that is covered so often is offered no more."""
+CLASSES = 64
+"""Classes of lengths in the linear program."""
+REST = 0.05
+"""Share of the pieces from which on the program is not solved again."""
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 _ENCODERS: dict[str, object] = {}
 
@@ -82,93 +89,138 @@ def token_pieces(docs: DataFrame, tokenizer: str, max_tokens: int, end_id: int,
     return narrow.mapInPandas(cut, PIECES)
 
 
-def _knapsack(price: np.ndarray, capacity: int) -> list[int]:
-    """Lengths of the most valuable configuration (``price[l]`` per piece of length l; 0: not offered)."""
-    offered = np.flatnonzero(price > 0)
-    values = price[offered]
-    best = np.zeros(capacity + 1)
-    pick = np.zeros(capacity + 1, np.int64)
-    for w in range(1, capacity + 1):
-        n = np.searchsorted(offered, w, "right")
-        best[w] = best[w - 1]
-        if n:
-            value = values[:n] + best[w - offered[:n]]
-            i = int(np.argmax(value))
-            if value[i] > best[w]:
-                best[w], pick[w] = value[i], offered[i]
-    out, w = [], capacity
-    while w > 0:
-        if pick[w]:
-            out.append(int(pick[w]))
-            w -= int(pick[w])
-        else:
-            w -= 1
+def _classes(left: np.ndarray, classes: int) -> np.ndarray:
+    """Largest length of each class, ascending: the lengths that are left, grouped linearly into classes of about equal counts."""
+    there = np.flatnonzero(left)
+    if len(there) <= classes:
+        return there
+    above = np.cumsum(left[there][::-1])[::-1]  # pieces of this length or longer
+    group = (above - 1) * classes // above[0]
+    return there[np.append(group[1:] != group[:-1], True)]
+
+
+def _knapsack(lengths: np.ndarray, price: np.ndarray, capacity: int) -> np.ndarray:
+    """How many pieces of each length the most valuable configuration holds. Pieces of one length are offered in bundles of
+    1, 2, 4, ..., so that a bundle is one vector operation over all capacities."""
+    best, taken, bundles = np.zeros(capacity + 1), [], []
+    for i, length in enumerate(lengths):
+        size = 1
+        while size * length <= capacity:
+            weight = int(size * length)
+            with_it = best[:-weight] + size * price[i]
+            take = with_it > best[weight:]
+            best[weight:][take] = with_it[take]
+            bundles.append((i, size, weight))
+            taken.append(take)
+            size *= 2
+    out, w = np.zeros(len(lengths), np.int64), capacity
+    for (i, size, weight), take in zip(reversed(bundles), reversed(taken)):
+        if w >= weight and take[w - weight]:
+            out[i] += size
+            w -= weight
     return out
 
 
-def _fractional(demand: np.ndarray, capacity: int) -> dict[tuple[int, ...], float]:
-    """Uses of configurations that nearly cover ``demand``, by multiplicative weights."""
-    need = demand.astype(float)
-    there = demand > 0
-    price = np.zeros(len(demand))
-    price[there] = np.arange(len(demand))[there]  # at first a piece is worth its length
-    covered = np.zeros(len(demand))
-    uses: Counter = Counter()
-    for _ in range(ROUNDS):
-        config = tuple(sorted(_knapsack(price, capacity), reverse=True))
-        if not config:
-            break
-        lengths, counts = np.unique(config, return_counts=True)
-        times = STEP * float(np.min(need[lengths] / counts))
-        uses[config] += times
-        covered[lengths] += times * counts
-        price[lengths] *= np.exp(-STEP * times * counts / need[lengths] / STEP)
-        if np.all(covered[there] >= need[there]):
-            break
-    return uses
+def _fractional(lengths: np.ndarray, need: np.ndarray, capacity: int) -> list[tuple[np.ndarray, float]]:
+    """Uses of configurations that nearly cover ``need``, by multiplicative weights: ``[(pieces per class, times)]``.
 
+    Each round covers at least one class by ``STEP`` of its need, and a class covered ``OVER`` times is no longer offered, so
+    the number of rounds is bounded by the number of classes, and at least 1 / (OVER + STEP) of each use is kept.
+    """
+    price = lengths.astype(float)  # at first a piece is worth its length
+    covered = np.zeros(len(lengths))
+    uses: dict[bytes, float] = {}
+    while np.any(covered < need):
+        config = _knapsack(lengths, np.where(covered < OVER * need, price, 0.0), capacity)
+        held = config > 0
+        times = STEP * float(np.min(need[held] / config[held]))
+        uses[config.tobytes()] = uses.get(config.tobytes(), 0.0) + times
+        covered += times * config
+        price *= np.exp(-SHARPNESS * times * config / need)
+    scale = float(np.min(need / np.maximum(covered, need)))  # no class is used beyond its pieces
+    return [(np.frombuffer(c, np.int64), x * scale) for c, x in uses.items()]
 
-def _greedy_config(left: np.ndarray, capacity: int) -> list[int]:
-    """Longest piece left, then always the longest that still fits."""
+
+def _best_pair(free: np.ndarray, most: int, room: int) -> list[int]:
+    """Two pieces that fill the room best, the first no longer than ``most``, of equal pairs that with the longest first; else
+    the longest piece that fits, if any."""
+    there = np.flatnonzero(free[:room + 1])
+    first = there[there <= most]
+    at = np.searchsorted(there, room - first, "right") - 1
+    at -= (at >= 0) & (there[at] == first) & (free[first] < 2)
+    both = np.where(at >= 0, first + there[at], 0)
+    if not both.any():
+        return there[-1:].tolist()
+    i = len(both) - 1 - int(np.argmax(both[::-1]))
+    return [int(first[i]), int(there[at[i]])]
+
+
+def _fill(left: np.ndarray, wanted: list[int], capacity: int) -> list[int]:
+    """Lengths of one sequence. For each wanted class the longest piece left that is no longer; the last two fill the room
+    best. After them, and without wanted classes, always the longest that still fits."""
     out, room, free = [], capacity, left.copy()
-    while room > 0:
+    slots = wanted[:-1] if len(wanted) > 1 else wanted
+    for k in range(capacity):
         fits = np.flatnonzero(free[:room + 1])
         if not len(fits):
             break
-        length = int(fits[-1])
-        n = min(int(free[length]), room // length)
-        out += [length] * n
-        free[length] -= n
-        room -= n * length
+        most = slots[k] if k < len(slots) else room
+        if k + 1 == len(slots) and len(wanted) > 1:
+            picked = _best_pair(free, most, room)
+        else:
+            fits = fits[:max(1, int(np.searchsorted(fits, most, "right")))]
+            picked = [int(fits[-1])]
+        for length in picked:
+            out.append(length)
+            free[length] -= 1
+            room -= length
     return out
 
 
 def pack_histogram(counts: dict[int, int], capacity: int) -> list[tuple[list[int], int]]:
     """``[(lengths of a sequence, how many such sequences)]`` that place exactly the given pieces."""
+    return [(config, times) for config, times, _ in _plan(counts, capacity)]
+
+
+def _plan(counts: dict[int, int], capacity: int) -> list[tuple[list[int], int, str]]:
+    """The plan with the origin of each entry: ``full``, ``program`` (rounded uses of the linear program) or ``rest``.
+
+    Lengths are grouped linearly into classes, each counted at its mean length, so that uses per configuration are large and
+    rounding down loses little. What rounding leaves is grouped and solved again, until few pieces (``REST`` of all, or
+    fewer than classes) are left. A rounded use, those with the longest pieces first, is filled with exact lengths in bulk:
+    one entry lasts until a length or the uses end, so the number of entries does not grow with the counts.
+    """
     left = np.zeros(capacity + 1, np.int64)
     for length, n in counts.items():
         left[length] = n
-    plan: list[tuple[list[int], int]] = []
+    plan: list[tuple[list[int], int, str]] = []
+
+    def use(config: list[int], most: int, origin: str) -> int:
+        lengths, n = np.unique(config, return_counts=True)
+        times = int(min(most, np.min(left[lengths] // n)))
+        plan.append((config, times, origin))
+        left[lengths] -= times * n
+        return times
+
     if left[capacity]:
-        plan.append(([capacity], int(left[capacity])))
-        left[capacity] = 0
-    while left.any():
+        use([capacity], int(left[capacity]), "full")
+    total = left.sum()
+    while left.sum() > max(CLASSES, REST * total):
+        ends = _classes(left, CLASSES)
+        per_class = lambda x: np.diff(np.concatenate([[0], np.cumsum(x)[ends]]))
+        need = per_class(left).astype(float)
+        lengths = np.ceil(per_class(left * np.arange(capacity + 1)) / need).astype(np.int64)
         took = 0
-        for config, x in sorted(_fractional(left, capacity).items(), key=lambda c: (-sum(c[0]), -c[1], c[0])):
-            lengths, n = np.unique(config, return_counts=True)
-            times = int(min(x, *(left[lengths] // n)))
-            if times > 0:
-                plan.append((list(config), times))
-                left[lengths] -= times * n
+        for config, x in sorted(_fractional(lengths, need, capacity), key=lambda c: tuple(-c[0][::-1])):
+            wanted, uses = np.repeat(ends, config)[::-1].tolist(), int(x)
+            while uses > 0 and left.any():
+                times = use(_fill(left, wanted, capacity), uses, "program")
+                uses -= times
                 took += times
-        if took * capacity < 0.02 * float(np.dot(left, np.arange(capacity + 1))) or not took:
+        if not took:
             break
     while left.any():
-        config = _greedy_config(left, capacity)
-        lengths, n = np.unique(config, return_counts=True)
-        times = int(np.min(left[lengths] // n))
-        plan.append((config, times))
-        left[lengths] -= times * n
+        use(_fill(left, [], capacity), int(left.sum()), "rest")
     return plan
 
 

@@ -5,10 +5,11 @@ import zlib
 from collections import Counter, defaultdict
 
 import duckdb
+import numpy as np
 import pytest
 
 from laneguard.llm.mixing import mix_sources
-from laneguard.llm.packing import _encoder, pack_documents, pack_histogram
+from laneguard.llm.packing import _encoder, _knapsack, _plan, pack_documents, pack_histogram
 from laneguard.llm.queries import QUERIES, domain_of, weights_table
 from laneguard.llm.registry import CHECKS
 from laneguard.llm.sharding import minimax_cuts, shard_by_bytes
@@ -89,6 +90,46 @@ def test_histogram_packing_is_complete_and_tight():
     assert pack_histogram({}, 1024) == []
 
 
+def test_the_program_places_most_pieces_at_any_scale():
+    r = random.Random(6)
+    counts = Counter(min(1024, int(r.lognormvariate(5.6, 0.9)) + 1) for _ in range(6000))
+    for scale in (1, 10**9):
+        plan = _plan({k: n * scale for k, n in counts.items()}, 1024)
+        placed, by = Counter(), Counter()
+        for config, times, origin in plan:
+            assert sum(config) <= 1024 and times > 0
+            by[origin] += len(config) * times
+            for length in config:
+                placed[length] += times
+        assert placed == {k: n * scale for k, n in counts.items()}
+        assert by["program"] >= 0.9 * (by["program"] + by["rest"])
+        assert sum(t for _, t, _ in plan) <= 1.01 * scale * sum(k * n for k, n in counts.items()) / 1024 + 2
+        assert len(plan) < 8000
+
+
+def test_knapsack_equals_enumeration():
+    r = random.Random(7)
+    for _ in range(30):
+        lengths = np.array(sorted(r.sample(range(1, 30), 5)))
+        price = np.array([r.random() for _ in lengths])
+        best = [0.0] * 41
+        for w in range(1, 41):
+            best[w] = max([best[w - 1]] + [best[w - n] + p for n, p in zip(lengths, price) if n <= w])
+        config = _knapsack(lengths, price, 40)
+        assert config @ lengths <= 40 and abs(config @ price - best[40]) < 1e-9
+
+
+def test_encoder_equals_the_library_on_random_texts():
+    from tokenizers import Tokenizer
+    import public_tokenizers
+    exact, fast = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json")), _encoder("byte_bpe_50k.json")
+    r = random.Random(12)
+    alphabet = "etaoin shrdlu  \n\tETAOIN0123456789.,'-<|>_éß日本🙂\u0301\u00a0\u200b"
+    for _ in range(1500):
+        t = "".join(r.choice(alphabet) for _ in range(r.randint(1, 80)))
+        assert fast(t) == exact.encode(t, add_special_tokens=False).ids
+
+
 def test_pieces_round_trip(spark):
     docs = hard_docs(spark)
     got = pack_documents(docs).collect()
