@@ -4,11 +4,16 @@ DataFrame functions only. Every whole text is split at the matches of a pattern;
 the spans, in code points. Candidate strings get an inferred encoding; a chi-squared test of uniform use of its
 alphabet, a runs test and a test of serial correlation give p-values for "drawn at random", joined by Fisher's rule.
 Within each encoding and length band the Benjamini-Hochberg step-up rule decides which strings are called *not*
-random, so that among those at most the given share are random after all. What remains is reported.
+random; these go. What is reported is controlled by a second step-up rule per stratum, over p-values for "an ordinary
+string": letters follow one another as in the words of this table, and classes of characters change as seldom as in
+names. If a string has the probability q under that law and u when its characters are drawn evenly, then q/u is such a
+p-value (by Markov's inequality the chance of a ratio so small is at most q/u). So the expected share of ordinary
+strings among the reported ones is at most ``false_share``.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
@@ -42,6 +47,17 @@ ALPHABETS = {
 }
 
 
+# letters that follow one another are counted in words of four or more letters; this weight of even use is added
+WORD = "[A-Za-z][a-z]{3,}"
+EVEN_WEIGHT = 13.0
+# probability that the next character of an ordinary string is of a class, by the class before it: lower-case letter,
+# upper-case letter, digit, other (a documented parameter; each row sums to 1)
+CLASSES = ("lower", "upper", "digit", "other")
+CHANGES = ((0.84, 0.07, 0.03, 0.06), (0.60, 0.32, 0.03, 0.05), (0.12, 0.06, 0.60, 0.22), (0.50, 0.20, 0.25, 0.05))
+LETTERS = "abcdefghijklmnopqrstuvwxyz"
+OTHERS = 4
+"""Characters of the class other: ``+ / _ -``."""
+
 SPAN = "array<struct<s:int,e:int,m:string>>"
 RUN = 512
 
@@ -135,9 +151,45 @@ def randomness(candidates: DataFrame) -> DataFrame:
     return c.drop("alphabet", "chars", "v", "pairs", "squares", "df", "chi2", "k", "high", "low", "runs", "mu", "var", "mean", "spread", "x")
 
 
-def not_random_bins(tested: DataFrame, false_share: float) -> DataFrame:
-    """``encoding, band, cut``: strings whose bin is ``cut`` or higher are called not random (step-up rule per stratum)."""
-    counts = tested.groupBy("encoding", "band", "bin").agg(F.count("*").alias("c"))
+def letter_costs(docs: DataFrame, text_col: str = "text") -> list[float]:
+    """-ln of the probability of a letter after a letter (index 26 * first + second), from all words of all texts.
+
+    Words are counted before their pairs are, and pairs map-side; the 676 counts are all that reaches the driver. Runs of
+    random characters hardly hold four lower-case letters in a row, so secrets do not blur the counts.
+    """
+    words = docs.select(F.explode(F.regexp_extract_all(F.col(text_col), F.lit(WORD), F.lit(0))).alias("w")).groupBy(F.lower("w").alias("w")).agg(F.count("*").alias("c"))
+    pair = F.expr("transform(sequence(1, length(w) - 1), i -> substring(w, i, 2))")
+    counts = [[0] * 26 for _ in range(26)]
+    for r in words.select(F.explode(pair).alias("p"), "c").groupBy("p").agg(F.sum("c").alias("c")).collect():
+        counts[LETTERS.index(r["p"][0])][LETTERS.index(r["p"][1])] = r["c"]
+    return [-math.log((n + EVEN_WEIGHT / 26) / (sum(row) + EVEN_WEIGHT)) for row in counts for n in row]
+
+
+def ordinary_bins(tested: DataFrame, costs: list[float]) -> DataFrame:
+    """Adds ``ordinary_bin``: -ln of the p-value for an ordinary string, in bins as ``bin``."""
+    body = F.rtrim("m", F.lit("="))
+    table = F.array(*[F.lit(x) for x in costs])
+    changes = F.array(*[F.lit(-math.log(x)) for row in CHANGES for x in row])
+    sizes = F.create_map(*[x for k, v in ALPHABETS.items() for x in (F.lit(k), F.lit(math.log(len(v))))])
+    kind = lambda x: F.when((x >= 97) & (x <= 122), 0).when((x >= 65) & (x <= 90), 1).when((x >= 48) & (x <= 57), 2).otherwise(3)
+    letter = lambda x: F.when((x >= 97) & (x <= 122), x - 97).otherwise(x - 65)
+    codes = F.transform(F.filter(F.split(body, ""), lambda x: x != ""), lambda x: F.ascii(x))
+    chars = F.transform(codes, lambda x: F.struct(kind(x).alias("k"), F.when(kind(x) <= 1, letter(x)).alias("l")))
+    t = tested.withColumn("chars", chars)
+    alone = lambda x: F.when(x["k"] <= 1, math.log(26)).when(x["k"] == 2, math.log(10)).otherwise(math.log(OTHERS))
+    # a letter is foretold by the letter before it, but not across a change from lower to upper case
+    follows = lambda x, y: x["l"].isNotNull() & y["l"].isNotNull() & ~((x["k"] == 0) & (y["k"] == 1))
+    step = lambda x, y: F.get(changes, x["k"] * 4 + y["k"]) + F.when(follows(x, y), F.get(table, x["l"] * 26 + y["l"])).otherwise(alone(y))
+    pairs = F.zip_with(F.slice("chars", 1, F.size("chars") - 1), F.slice("chars", 2, F.size("chars") - 1), step)
+    first = math.log(len(CLASSES)) + alone(F.get("chars", F.lit(0)))
+    gain = F.aggregate(pairs, first, lambda a, x: a + x) - F.col("n") * sizes[F.col("encoding")]
+    binned = F.floor(F.greatest(F.least(gain, F.lit(LOWEST)), F.lit(0.0)) * (BINS / LOWEST))
+    return t.withColumn("ordinary_bin", F.least(binned, F.lit(BINS - 1)).cast("int")).drop("chars")
+
+
+def step_up(tested: DataFrame, column: str, false_share: float) -> DataFrame:
+    """``encoding, band, cut``: the step-up rule per stratum rejects the null for strings whose ``column`` is ``cut`` or higher."""
+    counts = tested.groupBy("encoding", "band", F.col(column).alias("bin")).agg(F.count("*").alias("c"))
     stratum = Window.partitionBy("encoding", "band")
     counts = counts.withColumn("m", F.sum("c").over(stratum)).withColumn("rank", F.sum("c").over(stratum.orderBy(F.col("bin").desc()).rowsBetween(Window.unboundedPreceding, 0)))
     ok = F.exp(-F.col("bin") * (LOWEST / BINS)) * F.col("m") <= F.lit(false_share) * F.col("rank")
@@ -161,11 +213,14 @@ def scan_secrets(docs: DataFrame, false_share: float = 0.05, id_col: str = "doc_
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).select(F.monotonically_increasing_id().alias("rid"), "doc_id", base.alias("base"), _spans(text, CANDIDATE).alias("cand"))
     rows = materialize(rows, "secret-rows")
     meets = lambda x, y: (x["s"] < y["e"]) & (y["s"] < x["e"])
-    found = rows.filter(F.size("cand") > 0).select("rid", "base", F.explode("cand").alias("cand")).select("rid", "base", F.col("cand.s").alias("run"), F.explode(_parts(F.col("cand"))).alias("x"))
+    near = F.transform("cand", lambda c: F.struct(c.alias("c"), F.filter("base", lambda b: meets(b, c)).alias("b")))
+    found = rows.filter(F.size("cand") > 0).select("rid", F.explode(near).alias("x")).select("rid", F.col("x.b").alias("base"), F.col("x.c").alias("cand")).select("rid", "base", F.col("cand.s").alias("run"), F.explode(_parts(F.col("cand"))).alias("x"))
     found = found.filter(~F.exists("base", lambda b: meets(b, F.col("x")))).select("rid", "x.s", "x.e", "x.m", "run")
     tested = randomness(found).withColumn("band", F.least(F.floor(2 * F.log2(F.col("n") / 16)), F.lit(BANDS)).cast("int"))
-    tested = materialize(tested.withColumn("bin", F.least(F.floor(F.col("nlp") * (BINS / LOWEST)), F.lit(BINS - 1)).cast("int")), "secret-tested")
-    kept = tested.join(not_random_bins(tested, false_share), ["encoding", "band"]).filter(F.col("bin") < F.col("cut"))
+    tested = tested.withColumn("bin", F.least(F.floor(F.col("nlp") * (BINS / LOWEST)), F.lit(BINS - 1)).cast("int"))
+    tested = materialize(ordinary_bins(tested, letter_costs(docs, text_col)).select("rid", "run", "s", "e", "encoding", "band", "bin", "ordinary_bin"), "secret-tested")
+    kept = tested.join(step_up(tested, "bin", false_share), ["encoding", "band"]).filter(F.col("bin") < F.col("cut")).drop("cut")
+    kept = kept.join(step_up(tested, "ordinary_bin", false_share), ["encoding", "band"]).filter(F.col("ordinary_bin") >= F.col("cut"))
     # parts of one run may overlap
     better = lambda x, y: (y["e"] - y["s"] > x["e"] - x["s"]) | ((y["e"] - y["s"] == x["e"] - x["s"]) & (y["s"] < x["s"]))
     kept = kept.groupBy("rid", "run").agg(F.collect_list(F.struct("s", "e")).alias("all"))

@@ -1,10 +1,11 @@
 """Secret scan: base spans against Python's regular expressions, the battery against its formulas and planted strings."""
 
 import hashlib
+import math
 import random
 import re
 
-from laneguard.llm.secrets import randomness, scan_secrets
+from laneguard.llm.secrets import CHANGES, EVEN_WEIGHT, LETTERS, WORD, letter_costs, ordinary_bins, randomness, scan_secrets, step_up
 
 from .rows import SCHEMA, hard_docs, no_docs
 
@@ -91,3 +92,66 @@ def test_long_words_are_not_random(spark):
     words = ["".join(r.choice(parts) for _ in range(8)) for _ in range(200)]
     rows = [(i, f"see {w} here", "en", "s", 1, 1, "", "", "", "", "") for i, w in enumerate(words) if len(w) >= 20]
     assert sum(x["n_random"] for x in scan_secrets(spark.createDataFrame(rows, SCHEMA)).collect()) <= len(rows) // 10
+
+
+def ordinary_strings(r):
+    """Names as people write them, of 20 or more characters: camel case, snake case, slugs with numbers, paths."""
+    words = ("account balance cargo change client container customer data delivery destination document error event file filter forecast format "
+             "handler history index invoice item lane list loader manager message model network number option order origin package parser "
+             "payment port process query rate reader record region request result risk route schedule score search service session shipment "
+             "source status store stream table task time token update user value vessel view weight window writer").split()
+    pick = lambda lo, hi: [r.choice(words) for _ in range(r.randint(lo, hi))]
+    made = ["".join(w.title() for w in pick(4, 6)) for _ in range(500)] + ["_".join(pick(3, 6)) for _ in range(500)]
+    made += ["-".join([*pick(3, 6), str(r.randint(1, 2030))]) for _ in range(500)] + ["/" + "/".join(pick(4, 7)) for _ in range(500)]
+    made += [(w := pick(4, 6))[0] + "".join(x.title() for x in w[1:]) + str(r.randint(1, 99)) for _ in range(300)]
+    return [m for m in made if len(m) >= 20], words
+
+
+def test_reported_strings_are_secrets(spark):
+    r = random.Random(21)
+    names, words = ordinary_strings(r)
+    alnum = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    drawn = ["".join(r.choice(a) for _ in range(n)) for a, n in ((alnum, 20), (alnum, 32), (alnum + "+/", 40), (alnum[26:], 24), ("0123456789abcdef", 30)) for _ in range(20)]
+    rows = [(i, f"{r.choice(words)} {s} {r.choice(words)}", "en", "s", 1, 1, "", "", "", "", "") for i, s in enumerate(drawn + names)]
+    got = {x["doc_id"]: x["n_random"] for x in scan_secrets(spark.createDataFrame(rows, SCHEMA)).collect()}
+    found, wrong = sum(got[i] > 0 for i in range(100)), sum(got[i] > 0 for i in range(100, len(rows)))
+    assert found >= 95
+    assert wrong <= 0.05 * (found + wrong)
+
+
+def test_ordinary_law_against_a_plain_form(spark):
+    r = random.Random(22)
+    docs = spark.createDataFrame([(i, " ".join(r.choice(["cargo", "Harbour", "vessel", "abc", "ships"]) for _ in range(50))) for i in range(5)], "doc_id long, text string")
+    counts = {}
+    for d in docs.collect():
+        for w in re.findall(WORD, d["text"]):
+            for a, b in zip(w.lower(), w.lower()[1:]):
+                counts[a + b] = counts.get(a + b, 0) + 1
+    costs = letter_costs(docs)
+    for a in LETTERS:
+        row = sum(n for p, n in counts.items() if p[0] == a)
+        for b in LETTERS:
+            want = -math.log((counts.get(a + b, 0) + EVEN_WEIGHT / 26) / (row + EVEN_WEIGHT))
+            assert abs(costs[26 * LETTERS.index(a) + LETTERS.index(b)] - want) < 1e-9
+    kind = lambda c: 0 if c.islower() else 1 if c.isupper() else 2 if c.isdigit() else 3
+    alone = lambda c: math.log((26, 26, 10, 4)[kind(c)])
+    strings = ["".join(r.choice("ABCabcxyz019+/") for _ in range(24)) for _ in range(40)]
+    rows = spark.createDataFrame([(s, "base64", 24.0) for s in strings], "m string, encoding string, n double")
+    for x in ordinary_bins(rows, costs).collect():
+        cost = math.log(4) + alone(x["m"][0])
+        for a, b in zip(x["m"], x["m"][1:]):
+            cost -= math.log(CHANGES[kind(a)][kind(b)])
+            linked = kind(a) < 2 and kind(b) < 2 and (kind(a), kind(b)) != (0, 1)
+            cost += costs[26 * LETTERS.index(a.lower()) + LETTERS.index(b.lower())] if linked else alone(b)
+        gain = min(max(cost - 24 * math.log(64), 0), 64)
+        assert abs(x["ordinary_bin"] - min(gain * 32, 2047)) <= 1.001
+
+
+def test_step_up_rule_against_a_plain_form(spark):
+    r = random.Random(23)
+    bins = [r.choice([r.randint(0, 100), r.randint(100, 2047)]) for _ in range(300)]
+    rows = spark.createDataFrame([("hex", 1, b) for b in bins], "encoding string, band int, bin int")
+    cut = step_up(rows, "bin", 0.05).first()["cut"]
+    p = sorted(math.exp(-b / 32) for b in bins)
+    last = max((i for i, x in enumerate(p, 1) if x <= 0.05 * i / len(p)), default=0)
+    assert sum(b >= cut for b in bins) == last
