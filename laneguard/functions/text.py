@@ -52,8 +52,12 @@ def _unescape(text: pd.Series) -> pd.Series:
 
 
 def clean_html(text: Column) -> Column:
-    """Tags out first, then entities (the full HTML table, one Arrow batch at a time), then spaces."""
-    return squeeze(_unescape(F.regexp_replace(F.coalesce(text, F.lit("")), TAG, " ")))
+    """Tags out first, then entities (the full HTML table, one Arrow batch at a time), then spaces.
+
+    Only texts with an ``&`` travel to Python; the others go there as nulls.
+    """
+    bare = F.regexp_replace(F.coalesce(text, F.lit("")), TAG, " ")
+    return squeeze(F.coalesce(_unescape(F.when(bare.contains("&"), bare)), bare))
 
 
 def news_text(title: Column, summary: Column) -> Column:

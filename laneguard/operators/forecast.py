@@ -335,6 +335,18 @@ def medians(train: DataFrame, columns: tuple[str, ...] = NUMERIC) -> DataFrame:
     return train.sparkSession.createDataFrame([(c, (a + b) / 2.0) for c, (a, b) in values.items()], "name string, value double")
 
 
+def lane_countries(lanes: DataFrame, names: DataFrame | None = None, code: Column | None = None) -> DataFrame:
+    """lane_id, order_country: the destination's country as the order history calls it, null where it has no name.
+
+    names: country_code, order_country, one row per code; by default the names of ``ORDER_COUNTRY_NAMES``. code: where the
+    code of a lane's destination is found; by default the first two letters of the port.
+    """
+    if names is None:
+        names = lanes.sparkSession.createDataFrame(list(ORDER_COUNTRY_NAMES.items()), "country_code string, order_country string")
+    of_port = F.upper(F.substring("destination", 1, 2)) if code is None else code
+    return lanes.select("lane_id", of_port.alias("country_code")).join(names, "country_code", "left").select("lane_id", "order_country")
+
+
 def country_regions(train: DataFrame) -> DataFrame:
     counts = train.groupBy("order_country", "order_region").count()
     best = F.min(F.struct((-F.col("count")).alias("neg"), F.col("order_region").alias("order_region")))

@@ -19,10 +19,18 @@ def keep_first(items: DataFrame, key: str, order: list[str]) -> DataFrame:
     return first.select(*[F.col(key) if c == key else F.col(f"r.{c}").alias(c) for c in items.columns])
 
 
-def merge(fresh: DataFrame, store: DataFrame) -> DataFrame:
-    """fresh ∪ store, one item per id. A fresh item beats a stored one; then the earlier, then the smaller URL."""
+def merge(fresh: DataFrame, store: DataFrame, columns: list[str] | None = None) -> DataFrame:
+    """fresh ∪ store, one item per id. A fresh item beats a stored one; then the earlier, then the smaller URL.
+
+    With ``columns`` only these travel with the winners' order, so that what the others are made from is never read.
+    """
+    order = ["published", "url"]
+    if columns is not None:
+        needed = list(dict.fromkeys(["id", *columns, *order]))
+        fresh, store = fresh.select(*needed), store.select(*needed)
     both = fresh.withColumn("rank", F.lit(0)).unionByName(store.withColumn("rank", F.lit(1)))
-    return keep_first(both, "id", ["rank", "published", "url"]).drop("rank")
+    merged = keep_first(both, "id", ["rank", *order]).drop("rank")
+    return merged if columns is None else merged.select(*columns)
 
 
 def sample_round_robin(items: DataFrame, per_source: int = 12, total: int = 72) -> DataFrame:

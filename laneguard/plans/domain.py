@@ -526,8 +526,8 @@ class Domain:
     @cached_property
     def lane_countries(self) -> DataFrame:
         """lane -> country of its destination, by name."""
-        names = self.nodes.select(F.col("node_id").alias("destination"), F.col("name").alias("order_country"))
-        return self.lanes.join(names, "destination").select("lane_id", "order_country")
+        names = self.nodes.select(F.col("node_id").alias("country_code"), F.col("name").alias("order_country"))
+        return forecast.lane_countries(self.lanes, names, F.col("destination"))
 
     @cached_property
     def what_if(self) -> DataFrame:

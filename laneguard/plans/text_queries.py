@@ -167,12 +167,12 @@ def union_pool(d: Domain) -> DataFrame:
 
 @query("d02_origin_counts", "SELECT origin, count(*) AS n FROM merged GROUP BY 1", ["merged"])
 def origin_counts(d: Domain) -> DataFrame:
-    return ingest.merge(d.fresh, d.stored).groupBy("origin").agg(F.count(F.lit(1)).alias("n"))
+    return ingest.merge(d.fresh, d.stored, ["origin"]).groupBy("origin").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("e01_dedupe", "SELECT id, title, published FROM merged", ["merged"])
 def dedupe(d: Domain) -> DataFrame:
-    return ingest.merge(d.fresh, d.stored).select("id", "title", "published").orderBy(F.desc("published"), "id")
+    return ingest.merge(d.fresh, d.stored, ["id", "title", "published"]).orderBy(F.desc("published"), "id")
 
 
 @query("e02_round_robin", f"""

@@ -154,3 +154,12 @@ def test_boosted_rounds_end_by_patience(spark, sf_dir):
     losses = model.stages[-1].evaluateEachIteration(valid)
     assert asked[0] == 6 and len(set(asked)) == len(asked) and model.stages[-1].getNumTrees <= asked[-1]  # no fit is repeated to be cut
     assert len(losses) == model.stages[-1].getNumTrees and min(losses) == losses[-1]
+
+
+def test_lane_countries_use_the_names_of_the_order_history(spark):
+    lanes = spark.createDataFrame([("a", "NLRTM"), ("b", "deham"), ("c", "XXABC"), ("d", None)], "lane_id string, destination string")
+    train = spark.createDataFrame([("Alemania", "Western Europe"), ("Alemania", "Western Europe"), ("Alemania", "Elsewhere"), ("India", "South Asia")], "order_country string, order_region string")
+    named = forecast.lane_countries(lanes)
+    got = named.join(forecast.country_regions(train), "order_country", "left").collect()
+    assert {r["lane_id"]: (r["order_country"], r["order_region"]) for r in got} == {
+        "a": ("Países Bajos", None), "b": ("Alemania", "Western Europe"), "c": (None, None), "d": (None, None)}

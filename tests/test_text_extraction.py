@@ -1,3 +1,4 @@
+import datetime as dt
 import hashlib
 import html
 import re
@@ -175,3 +176,19 @@ def test_search_and_last_wins(spark):
     assert ids(store.search(ev, "red", until=dt.datetime(2024, 1, 4), limit=1)) == ["e3"]
     twice = ev.withColumn("n", F.lit(0)).unionByName(ev.filter("event_id = 'e1'").withColumn("severity", F.lit(9)).withColumn("n", F.lit(1)))
     assert {r.event_id: r.severity for r in store.keep_last(twice, ["event_id"], ["n"]).collect()}["e1"] == 9
+
+
+def test_clean_html_with_and_without_entities(spark):
+    rows = [("<b>a</b>  b",), ("a &amp; b &lt;c&gt;",), ("&notin; &#8364;&nbsp;5",), (None,), ("",), ("&",)]
+    got = [r[0] for r in spark.createDataFrame(rows, "t string").coalesce(1).select(tx.clean_html(F.col("t"))).collect()]
+    assert got == ["a b", "a & b <c>", "∉ € 5", "", "", "&"]
+
+
+def test_merge_of_some_columns_equals_the_whole_merge(spark):
+    schema = "id string, title string, published timestamp, url string, origin string"
+    at = [dt.datetime(2024, 1, d) for d in (1, 2, 3)]
+    fresh = spark.createDataFrame([("x", "f1", at[1], "u1", "rss"), ("x", "f0", at[0], "u2", "web"), ("y", "f2", at[1], "u3", "web")], schema)
+    store = spark.createDataFrame([("x", "s1", at[0], "u0", "manual"), ("z", "s2", at[2], "u4", "manual")], schema)
+    whole = ingest.merge(fresh, store)
+    assert sorted(whole.select("origin").collect()) == sorted(ingest.merge(fresh, store, ["origin"]).collect())
+    assert sorted(whole.select("id", "title").collect()) == [("x", "f0"), ("y", "f2"), ("z", "s2")]
