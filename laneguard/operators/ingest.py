@@ -10,12 +10,13 @@ MIN_NAME_CHARS = 4
 
 
 def keep_first(items: DataFrame, key: str, order: list[str]) -> DataFrame:
-    """One row per key: the first by ``order``.
+    """One row per key: the first by ``order``, among equals the smallest by the other columns in their order.
 
-    Copies of a key are combined before the shuffle, so a URL with a third of all rows is one row per task.
+    Copies of a key are combined before the shuffle, so a URL with a third of all rows is one row per task. No choice is
+    left to the order in which tasks finish.
     """
-    rest = [c for c in items.columns if c != key]
-    first = items.groupBy(key).agg(F.min_by(F.struct(*rest), F.struct(*order)).alias("r"))
+    rest = [c for c in items.columns if c != key and c not in order]
+    first = items.groupBy(key).agg(F.min(F.struct(*[c for c in order if c != key], *rest)).alias("r"))
     return first.select(*[F.col(key) if c == key else F.col(f"r.{c}").alias(c) for c in items.columns])
 
 

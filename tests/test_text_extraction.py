@@ -192,3 +192,14 @@ def test_merge_of_some_columns_equals_the_whole_merge(spark):
     whole = ingest.merge(fresh, store)
     assert sorted(whole.select("origin").collect()) == sorted(ingest.merge(fresh, store, ["origin"]).collect())
     assert sorted(whole.select("id", "title").collect()) == [("x", "f0"), ("y", "f2"), ("z", "s2")]
+
+
+def test_merge_of_items_equal_in_the_order_does_not_depend_on_their_arrival(spark):
+    schema = "id string, title string, published timestamp, url string, origin string"
+    at = dt.datetime(2024, 1, 1)
+    rows = [("x", "b", at, "u", "rss"), ("x", "a", at, "u", "web"), ("x", "c", at, "u", "rss"), ("y", None, at, "u", "rss"), ("y", "d", at, "u", "rss")]
+    none = spark.createDataFrame([], schema)
+    for arrival in (rows, rows[::-1]):
+        got = ingest.merge(spark.createDataFrame(arrival, schema).coalesce(1), none)
+        assert got.columns == ["id", "title", "published", "url", "origin"]
+        assert sorted((r["id"], r["title"], r["origin"]) for r in got.collect()) == [("x", "a", "web"), ("y", None, "rss")]
