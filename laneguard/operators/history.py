@@ -64,24 +64,23 @@ def _key(columns) -> Column:
 
 
 def running_history(orders: DataFrame, sets: dict[str, tuple[str, ...]]) -> DataFrame:
-    """name, key, combo, order_date, cum_late, cum_n: for every key set (``name``) and every distinct combination of all
-    key columns and order date, the labels known strictly before that date in the combination's key.
+    """name, key, order_date, cum_late, cum_n: for every key set (``name``), each of its keys and every order date of that
+    key, the labels known strictly before.
 
-    One narrow table serves all key sets. Labels and questions are counted per (name, key, instant) map-side, cut into
-    ranges of that order, and summed up inside each range; what the earlier ranges of a key hold is added from one row
-    per range. A key with most of the orders is many ranges, so no window grows with the number of orders.
+    Labels and questions are counted per key and instant, set by set, over the few columns in use and combined map-side.
+    One narrow table of all sets is cut into ranges of (name, key, instant) and summed up inside each range; what the
+    earlier ranges of a key hold is added from one row per range. A key with most of the orders is many ranges, so no
+    window grows with the number of orders.
     """
-    every = list(dict.fromkeys(k for ks in sets.values() for k in ks))
-    late, zero, one = F.col(TARGET).cast("bigint"), F.lit(0).cast("bigint"), F.lit(1).cast("bigint")
+    late, zero = F.col(TARGET).cast("bigint"), F.lit(0).cast("bigint")
+    place = ["name", "key", "at", "fact"]  # a question sorts before the labels of the same instant, so equal instants do not count
 
-    def mark(name: str, ks: tuple[str, ...], fact: bool) -> Column:
-        # a question sorts before the labels of the same instant, so equal instants do not count
-        return F.struct(F.lit(name).alias("name"), _key(ks).alias("key"), (F.col("label_known_at") if fact else F.col("order_date")).alias("at"), F.lit(int(fact)).alias("fact"),
-                        (F.lit(None).cast("array<string>") if fact else _key(every)).alias("combo"), (late if fact else zero).alias("late"), (one if fact else zero).alias("n"))
+    def marks(name: str, ks: tuple[str, ...]) -> list[DataFrame]:
+        facts = orders.groupBy(*ks, F.col("label_known_at").alias("at")).agg(F.sum(late).alias("late"), F.count(F.lit(1)).alias("n"), F.lit(1).alias("fact"))
+        asked = orders.select(*ks, F.col("order_date").alias("at")).distinct().select(*ks, "at", zero.alias("late"), zero.alias("n"), F.lit(0).alias("fact"))
+        return [x.select(F.lit(name).alias("name"), _key(ks).alias("key"), "at", "fact", "late", "n") for x in (facts, asked)]
 
-    place = ["name", "key", "at", "fact", "combo"]
-    marks = orders.select(F.inline(F.array(*[mark(name, ks, fact) for name, ks in sets.items() for fact in (True, False)])))
-    counted = marks.groupBy(*place).agg(F.sum("late").alias("late"), F.sum("n").alias("n"))
+    counted = reduce(DataFrame.unionAll, [x for name, ks in sets.items() for x in marks(name, ks)])
     parts = materialize(counted.repartitionByRange(*place).withColumn("part", F.spark_partition_id()), "history-marks")
     totals = parts.groupBy("name", "key", "part").agg(F.sum("late").alias("late"), F.sum("n").alias("n"))
     earlier = W.partitionBy("name", "key").orderBy("part").rowsBetween(W.unboundedPreceding, -1)  # one row per range
@@ -90,30 +89,47 @@ def running_history(orders: DataFrame, sets: dict[str, tuple[str, ...]]) -> Data
     within = parts.select(*place, "part", F.sum("late").over(so_far).alias("late"), F.sum("n").over(so_far).alias("n")).filter("fact = 0")
     plus = lambda a, b: F.col(a) + F.coalesce(F.col(b), zero)
     return within.join(before, ["name", "key", "part"], "left").select(
-        "name", "key", "combo", F.col("at").alias("order_date"), plus("late", "b_late").alias("cum_late"), plus("n", "b_n").alias("cum_n"))
+        "name", "key", F.col("at").alias("order_date"), plus("late", "b_late").alias("cum_late"), plus("n", "b_n").alias("cum_n"))
+
+
+def _typed(orders: DataFrame, keys: tuple[str, ...]) -> list[Column]:
+    """The columns of a ``key`` with the names and types that they have in ``orders``."""
+    types = {f.name: f.dataType for f in orders.schema}
+    return [F.get("key", F.lit(i)).cast(types[k]).alias(k) for i, k in enumerate(keys)]
 
 
 def known_before(orders: DataFrame, keys: tuple[str, ...]) -> DataFrame:
     """(keys, order_date) -> cum_late, cum_n over labels known strictly before that instant."""
-    types = {f.name: f.dataType for f in orders.schema}
-    rows = running_history(orders, {"": keys})
-    return rows.select(*[F.get("key", F.lit(i)).cast(types[k]).alias(k) for i, k in enumerate(keys)], "order_date", "cum_late", "cum_n")
+    return running_history(orders, {"": keys}).select(*_typed(orders, keys), "order_date", "cum_late", "cum_n")
+
+
+def _join_moments(rows: DataFrame, moments: DataFrame, keys: list[str], added: list[str]) -> DataFrame:
+    """``rows`` + the columns ``added`` of the row of ``moments`` with the same keys (nulls are a value) and order date.
+
+    ``moments`` grow with the orders although they are few bytes on disk: they are never broadcast.
+    """
+    right = moments.select(*[F.col(k).alias(f"__{k}") for k in (*keys, "order_date")], *added).hint("merge")
+    same = F.col("order_date") == F.col("__order_date")
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"__{k}"))
+    return rows.join(right, same).select(*rows.columns, *added)
 
 
 def add_history(orders: DataFrame, prior: float, names: dict[str, tuple[str, ...]] | None = None) -> DataFrame:
     """orders + one smoothed late rate and one count per key set.
 
-    The histories of a combination of keys and order date come together in one narrow row; the wide orders are joined
+    The histories come together in one narrow row per combination of keys and order date; the wide orders are joined
     with these once.
     """
     sets = names or HISTORY_KEYS
     every = list(dict.fromkeys(k for ks in sets.values() for k in ks))
-    stats = [F.max(F.when(F.col("name") == name, F.col(c))).alias(f"{name}_{c}") for name in sets for c in ("cum_late", "cum_n")]
-    moments = running_history(orders, sets).groupBy("combo", "order_date").agg(*stats)
-    rate = lambda n: smoothed_rate(F.col(f"{n}_cum_late"), F.col(f"{n}_cum_n"), F.lit(prior)).alias(f"{n}_rate")
-    moments = moments.select("combo", "order_date", *[c for n in sets for c in (rate(n), F.col(f"{n}_cum_n").cast("double").alias(f"{n}_n"))])
-    added = [f"{name}_{stat}" for name in sets for stat in ("rate", "n")]
-    return orders.withColumn("combo", _key(every)).join(moments, ["combo", "order_date"]).select(*orders.columns, *added)
+    known = running_history(orders, sets)
+    moments = orders.select(*every, "order_date").distinct()
+    for name, ks in sets.items():
+        rate = smoothed_rate(F.col("cum_late"), F.col("cum_n"), F.lit(prior)).alias(f"{name}_rate")
+        own = known.filter(F.col("name") == name).select(*_typed(orders, ks), "order_date", rate, F.col("cum_n").cast("double").alias(f"{name}_n"))
+        moments = _join_moments(moments, own, list(ks), [f"{name}_rate", f"{name}_n"])
+    return _join_moments(orders, moments, every, [f"{name}_{stat}" for name in sets for stat in ("rate", "n")])
 
 
 def split_column(valid_start: dt.datetime, test_start: dt.datetime) -> Column:
@@ -164,24 +180,33 @@ def history_by_cells(orders: DataFrame, keys: tuple[str, ...], until: dt.datetim
     sums = sums.groupBy("key", "p").agg(F.sum("late").alias("late"), F.sum("n").alias("n"))
     bit = lambda i: F.call_function("shiftright", F.col("cell"), i)
     needs = F.transform(F.filter(levels, lambda i: bit(i) % 2 == 1), lambda i: F.struct(i.alias("level"), (bit(i) - 1).alias("c")))
-    whole = asked.select("key", "order_date", F.explode(needs).alias("p")).join(sums, ["key", "p"]).select("key", "order_date", "late", "n")
-    inner = asked.join(facts, ["key", "cell"]).filter("at < order_date").select("key", "order_date", "late", "n")
+    # labels and sums grow with the orders although they are few bytes on disk: never broadcast
+    whole = asked.select("key", "order_date", F.explode(needs).alias("p")).join(sums.hint("merge"), ["key", "p"]).select("key", "order_date", "late", "n")
+    inner = asked.join(facts.hint("merge"), ["key", "cell"]).filter("at < order_date").select("key", "order_date", "late", "n")
     none = asked.select("key", "order_date", F.lit(0).cast("bigint").alias("late"), F.lit(0).cast("bigint").alias("n"))
     return whole.unionAll(inner).unionAll(none).groupBy("key", "order_date").agg(F.sum("late").alias("late"), F.sum("n").alias("n"))
 
 
-def leakage_audit(featured: DataFrame, orders: DataFrame, cut: dt.datetime, prior: float, names: dict[str, tuple[str, ...]] | None = None) -> DataFrame:
+def audit_truth(orders: DataFrame, cut: dt.datetime, names: dict[str, tuple[str, ...]] | None = None) -> dict[str, DataFrame]:
+    """Per key set the stored counts of ``history_by_cells`` before ``cut``, for any number of audits of the same orders."""
+    return {name: materialize(history_by_cells(orders, keys, cut), f"audit-{name}") for name, keys in (names or HISTORY_KEYS).items()}
+
+
+def leakage_audit(featured: DataFrame, orders: DataFrame, cut: dt.datetime, prior: float, names: dict[str, tuple[str, ...]] | None = None,
+                  truth: dict[str, DataFrame] | None = None) -> DataFrame:
     """name, n_checked, n_changed per key set: rows of ``featured`` up to ``cut`` whose history is not what the labels
     known before each order, and before ``cut``, give.
 
-    ``featured`` has the order columns and the history to be audited; the truth is recomputed from ``orders`` in another
-    way (``history_by_cells``) that cannot see later labels. Any feature that uses the future differs.
+    ``featured`` has the order columns and the history to be audited; the truth (``audit_truth``) is recomputed from
+    ``orders`` in another way (``history_by_cells``) that cannot see later labels. Any feature that uses the future
+    differs. Rows of equal key, instant and history are judged once and counted.
     """
     out = []
+    known = truth or audit_truth(orders, cut, names)
     for name, keys in (names or HISTORY_KEYS).items():
-        truth = history_by_cells(orders, keys, cut)
-        rows = featured.filter(F.col("order_date") <= ntz(cut)).select(_key(keys).alias("key"), "order_date", F.col(f"{name}_rate").alias("rate"), F.col(f"{name}_n").alias("m"))
-        both = rows.join(truth, ["key", "order_date"], "left")
+        rows = featured.filter(F.col("order_date") <= ntz(cut)).groupBy(_key(keys).alias("key"), "order_date", F.col(f"{name}_rate").alias("rate"), F.col(f"{name}_n").alias("m")).agg(F.count(F.lit(1)).alias("rows"))
+        both = rows.join(known[name].hint("merge"), ["key", "order_date"], "left")
         wrong = (F.col("m") != F.col("n")) | (F.abs(F.col("rate") - smoothed_rate(F.col("late"), F.col("n"), F.lit(prior))) > 1e-9)
-        out.append(both.agg(F.lit(name).alias("name"), F.count(F.lit(1)).alias("n_checked"), F.count_if(F.coalesce(wrong, F.lit(True))).alias("n_changed")))
+        total = lambda c: F.coalesce(F.sum(c), F.lit(0)).cast("bigint")
+        out.append(both.agg(F.lit(name).alias("name"), total(F.col("rows")).alias("n_checked"), total(F.when(F.coalesce(wrong, F.lit(True)), F.col("rows"))).alias("n_changed")))
     return reduce(DataFrame.unionAll, out)

@@ -457,11 +457,14 @@ class Domain:
     @cached_property
     def orders(self) -> DataFrame:
         """Order lines as a stored table, spread by order, for work that reads them several times."""
-        return materialize(self.order_lines.repartition("l_orderkey"), "orders")
+        return materialize(self._order_lines(self.table("lineitem").repartition("l_orderkey")), "orders")
 
     @cached_property
     def order_lines(self) -> DataFrame:
         """Order lines with their outcome: scheduled days from the priority, real days from the line number."""
+        return self._order_lines(self.table("lineitem"))
+
+    def _order_lines(self, items: DataFrame) -> DataFrame:
         nation = self.table("nation").join(self.table("region"), F.col("n_regionkey") == F.col("r_regionkey")).select(
             F.col("n_nationkey").alias("c_nationkey"), F.col("n_name").alias("order_country"), F.col("r_name").alias("order_region")
         )
@@ -471,7 +474,7 @@ class Domain:
             F.col("o_orderpriority").alias("shipping_mode"), "order_country", "order_region", F.col("c_mktsegment").alias("customer_segment"),
             F.col("o_orderstatus").alias("payment_type"),
         )
-        lines = self.table("lineitem").select(
+        lines = items.select(
             "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount", "l_returnflag", "l_linestatus"
         )
         scheduled = F.substring("shipping_mode", 1, 1).cast("int")
@@ -487,15 +490,30 @@ class Domain:
     @cached_property
     def dataset(self) -> DataFrame:
         """Orders with history and split; written once, because several passes read it."""
-        return materialize(history.build_dataset(self.order_lines, VALID_START, TEST_START), "dataset")
+        return materialize(self.featured, "dataset")
+
+    @cached_property
+    def featured(self) -> DataFrame:
+        """The rows of ``dataset`` for a single pass, which needs no stored table of all columns."""
+        return history.build_dataset(self.orders, VALID_START, TEST_START)
+
+    @cached_property
+    def split_lines(self) -> DataFrame:
+        """The rows of ``dataset`` without their history, for work that does not use it."""
+        return self.orders.withColumn("split", history.split_column(VALID_START, TEST_START)).filter("split IS NOT NULL")
 
     @cached_property
     def train(self) -> DataFrame:
         return self.dataset.filter("split = 'train'")
 
+    @cached_property
+    def train_lines(self) -> DataFrame:
+        """The rows of ``train`` without their history."""
+        return self.split_lines.filter("split = 'train'")
+
     @cached_property
     def common(self) -> DataFrame:
-        return materialize(forecast.common_categories(self.train), "categories")
+        return materialize(forecast.common_categories(self.train_lines), "categories")
 
     @cached_property
     def folded(self) -> DataFrame:
@@ -515,13 +533,13 @@ class Domain:
 
     @cached_property
     def train_share(self) -> float:
-        return float(self.train.agg(F.avg("late")).first()[0])
+        return float(self.train_lines.agg(F.avg("late")).first()[0])
 
     @cached_property
     def defaults(self) -> dict:
         """Typical feature values: one row per feature."""
-        typical = {r["name"]: r["value"] for r in forecast.modes(self.train).collect()}
-        return typical | {r["name"]: r["value"] for r in forecast.medians(self.train).collect()}
+        typical = {r["name"]: r["value"] for r in forecast.modes(self.train_lines).collect()}
+        return typical | {r["name"]: r["value"] for r in forecast.medians(self.train_lines).collect()}
 
     @cached_property
     def lane_countries(self) -> DataFrame:
@@ -533,5 +551,5 @@ class Domain:
     def what_if(self) -> DataFrame:
         share = self.train_share
         days = {"1-URGENT": 1, "2-HIGH": 2, "3-MEDIUM": 3, "5-LOW": 5, "9-NEVER": 4}
-        return forecast.what_if_orders(self.lane_countries, forecast.country_regions(self.train), forecast.final_history(self.train, share),
+        return forecast.what_if_orders(self.lane_countries, forecast.country_regions(self.train_lines), forecast.final_history(self.train_lines, share),
                                        self.defaults, share, days)

@@ -78,7 +78,7 @@ def purged_split(d: Domain) -> DataFrame:
 
 @query("b29_feature_list", f"SELECT shipping_mode, order_region, count(*) AS n, max(sales) AS top_sales, {rnd('max(hist_country_rate)', 6)} AS top_rate FROM data WHERE split IS NOT NULL GROUP BY 1, 2", ["data"])
 def feature_list(d: Domain) -> DataFrame:
-    x = history.features_only(d.dataset)
+    x = history.features_only(d.featured)
     return x.groupBy("shipping_mode", "order_region").agg(
         F.count(F.lit(1)).alias("n"), F.max("sales").alias("top_sales"), stable_round(F.max("hist_country_rate"), 6).alias("top_rate")
     )
@@ -89,14 +89,14 @@ HIST_OUT = ", ".join(f"{rnd(c, 6)} AS {c}" if c.endswith("rate") else c for c in
 
 @query("c11_pit_history", f"SELECT {KEY}, {HIST_OUT} FROM data", ["data"])
 def pit_history(d: Domain) -> DataFrame:
-    prior = history.global_prior(d.order_lines, VALID_START)
-    out = history.add_history(d.order_lines, prior)
+    prior = history.global_prior(d.orders, VALID_START)
+    out = history.add_history(d.orders, prior)
     return out.select(*ROW_KEY, *[(stable_round(F.col(c), 6) if c.endswith("rate") else F.col(c)).alias(c) for c in history.HISTORY])
 
 
 @query("j01_dataset", f"SELECT {KEY}, split, order_dow, {HIST_OUT} FROM data WHERE split IS NOT NULL", ["data"])
 def dataset(d: Domain) -> DataFrame:
-    return d.dataset.select(*ROW_KEY, "split", "order_dow", *[(stable_round(F.col(c), 6) if c.endswith("rate") else F.col(c)).alias(c) for c in history.HISTORY])
+    return d.featured.select(*ROW_KEY, "split", "order_dow", *[(stable_round(F.col(c), 6) if c.endswith("rate") else F.col(c)).alias(c) for c in history.HISTORY])
 
 
 @query("e03_cumulative_late", "SELECT shipping_mode, order_date, cum_late, cum_n FROM h_mode", ["h_mode"])
@@ -135,7 +135,7 @@ def extreme_rows(d: Domain) -> DataFrame:
     row = F.struct(*ROW_KEY, p.alias("p"))
     low = F.min_by(row, F.struct(p, *ROW_KEY))
     high = F.min_by(row, F.struct(-p, *ROW_KEY))
-    one = d.dataset.filter("split = 'test'").agg(high.alias("h"), low.alias("l"))
+    one = d.featured.filter("split = 'test'").agg(high.alias("h"), low.alias("l"))
     both = F.array(F.struct(F.lit("highest").alias("which"), F.col("h").alias("r")), F.struct(F.lit("lowest").alias("which"), F.col("l").alias("r")))
     return one.select(F.inline(both)).select("which", "r.*")
 
@@ -168,22 +168,22 @@ FROM {counts} GROUP BY model, split"""
 
 @query("e10_rank_counts", f"SELECT model, split, {rnd('p', 9)} AS p, pos, neg, CAST(cum_pos AS BIGINT) AS cum_pos, CAST(cum_neg AS BIGINT) AS cum_neg FROM mode_counts", ["mode_counts"])
 def rank_counts(d: Domain) -> DataFrame:
-    return forecast.score_counts(forecast.mode_history_scores(d.dataset)).withColumn("p", stable_round(F.col("p"), 9))
+    return forecast.score_counts(forecast.mode_history_scores(d.featured)).withColumn("p", stable_round(F.col("p"), 9))
 
 
 @query("j02_majority", metrics_sql("majority_counts"), ["majority_counts"])
 def majority(d: Domain) -> DataFrame:
-    return forecast.metrics(forecast.majority_scores(d.dataset))
+    return forecast.metrics(forecast.majority_scores(d.split_lines))
 
 
 @query("j03_mode_rule", metrics_sql("mode_counts"), ["mode_counts"])
 def mode_rule(d: Domain) -> DataFrame:
-    return forecast.metrics(forecast.mode_history_scores(d.dataset))
+    return forecast.metrics(forecast.mode_history_scores(d.featured))
 
 
 @query("d13_model_metrics", metrics_sql("majority_counts") + " UNION ALL " + metrics_sql("mode_counts"), ["majority_counts", "mode_counts"])
 def model_metrics(d: Domain) -> DataFrame:
-    return forecast.metrics(forecast.majority_scores(d.dataset).unionByName(forecast.mode_history_scores(d.dataset)))
+    return forecast.metrics(forecast.majority_scores(d.split_lines).unionByName(forecast.mode_history_scores(d.featured)))
 
 
 @query("b34_probability", f"""
@@ -206,17 +206,17 @@ view("final_hist", ("train",), " UNION ALL ".join(
 
 @query("d14_modes", "SELECT name, value, n FROM typical", ["typical"])
 def modes(d: Domain) -> DataFrame:
-    return forecast.modes(d.train)
+    return forecast.modes(d.train_lines)
 
 
 @query("d14_medians", f"SELECT name, {rnd('value', 6)} AS value FROM middles", ["middles"])
 def medians(d: Domain) -> DataFrame:
-    return forecast.medians(d.train).select("name", stable_round(F.col("value"), 6).alias("value"))
+    return forecast.medians(d.train_lines).select("name", stable_round(F.col("value"), 6).alias("value"))
 
 
 @query("d14_final_history", f"SELECT name, key, {rnd('rate', 6)} AS rate, n FROM final_hist", ["final_hist"])
 def final_history(d: Domain) -> DataFrame:
-    return forecast.final_history(d.train, d.train_share).withColumn("rate", stable_round(F.col("rate"), 6))
+    return forecast.final_history(d.train_lines, d.train_share).withColumn("rate", stable_round(F.col("rate"), 6))
 
 
 view("regions", ("train",), "SELECT order_country, arg_min(order_region, (-n, order_region)) AS order_region FROM (SELECT order_country, order_region, count(*) AS n FROM train GROUP BY 1, 2) GROUP BY 1")
@@ -224,7 +224,7 @@ view("regions", ("train",), "SELECT order_country, arg_min(order_region, (-n, or
 
 @query("d14_country_regions", "SELECT order_country, order_region FROM regions", ["regions"])
 def country_regions(d: Domain) -> DataFrame:
-    return forecast.country_regions(d.train)
+    return forecast.country_regions(d.train_lines)
 
 
 view("what_if", ("lanes", "nodes", "regions", "typical", "middles", "final_hist", "train"), """
@@ -238,7 +238,7 @@ FROM lanes JOIN nodes ON node_id = destination LEFT JOIN regions r ON r.order_co
 @query("c16_lane_country", """
 SELECT lane_id, nodes.name AS order_country, r.order_region FROM lanes JOIN nodes ON node_id = destination LEFT JOIN regions r ON r.order_country = nodes.name""", ["lanes", "nodes", "regions"])
 def lane_country(d: Domain) -> DataFrame:
-    return d.lane_countries.join(forecast.country_regions(d.train), "order_country", "left").select("lane_id", "order_country", "order_region")
+    return d.lane_countries.join(forecast.country_regions(d.train_lines), "order_country", "left").select("lane_id", "order_country", "order_region")
 
 
 @query("c15_history_lookup", f"""
@@ -274,12 +274,12 @@ FROM (SELECT * FROM data WHERE order_date <= TIMESTAMP '1999-01-01') l JOIN (
 @query("j10_leakage_audit", " UNION ALL ".join(_audit_sql(n, ", ".join(k)) for n, k in history.HISTORY_KEYS.items()), ["data", "lines"])
 def leakage_audit(d: Domain) -> DataFrame:
     """The history of the dataset, and one with an injected leak (labels of the day after the order)."""
-    prior = history.global_prior(d.order_lines, VALID_START)
-    honest = history.add_history(d.order_lines, prior)
+    prior, truth = history.global_prior(d.orders, VALID_START), history.audit_truth(d.orders, VALID_START)
+    honest = history.add_history(d.orders, prior)
     day = F.make_dt_interval(F.lit(1))
-    late = history.add_history(d.order_lines.withColumn("order_date", F.col("order_date") + day), prior).withColumn("order_date", F.col("order_date") - day)
-    a = history.leakage_audit(honest, d.order_lines, VALID_START, prior)
-    b = history.leakage_audit(late, d.order_lines, VALID_START, prior).select("name", F.col("n_changed").alias("n_leaked"))
+    late = history.add_history(d.orders.withColumn("order_date", F.col("order_date") + day), prior).withColumn("order_date", F.col("order_date") - day)
+    a = history.leakage_audit(honest, d.orders, VALID_START, prior, truth=truth)
+    b = history.leakage_audit(late, d.orders, VALID_START, prior, truth=truth).select("name", F.col("n_changed").alias("n_leaked"))
     return a.join(b, "name")
 
 
@@ -296,7 +296,7 @@ def tree_scores(d: Domain) -> DataFrame:
 
 def better_than_majority(d: Domain, scores: DataFrame) -> DataFrame:
     """split, n, positive_rate, and whether a model beats the constant answer in log-loss, AUC and Brier score."""
-    both = forecast.metrics(scores.unionByName(forecast.majority_scores(d.dataset)))
+    both = forecast.metrics(scores.unionByName(forecast.majority_scores(d.split_lines)))
     a, b = both.filter("model <> 'majority'").alias("a"), both.filter("model = 'majority'").alias("b")
     return a.join(b, F.col("a.split") == F.col("b.split")).select("a.split", "a.n", "a.positive_rate", ((F.col("a.log_loss") < F.col("b.log_loss")) & (F.col("a.roc_auc") > 0.5) & (F.col("a.brier") < F.col("b.brier"))).alias("better"))
 
@@ -333,7 +333,7 @@ def unseen(d: Domain) -> DataFrame:
 
 @query("j07_model_comparison")
 def comparison(d: Domain) -> DataFrame:
-    rules = forecast.majority_scores(d.dataset).unionByName(forecast.mode_history_scores(d.dataset))
+    rules = forecast.majority_scores(d.split_lines).unionByName(forecast.mode_history_scores(d.dataset))
     return forecast.metrics(rules.unionByName(linear_scores(d)).unionByName(tree_scores(d)))
 
 
@@ -343,7 +343,7 @@ def lane_risk(d: Domain) -> DataFrame:
 
 
 def what_if_known(d: Domain) -> DataFrame:
-    known = d.lane_countries.join(forecast.country_regions(d.train), "order_country", "left").select("lane_id", F.col("order_region").isNotNull().alias("known"))
+    known = d.lane_countries.join(forecast.country_regions(d.train_lines), "order_country", "left").select("lane_id", F.col("order_region").isNotNull().alias("known"))
     return d.what_if.join(known, "lane_id")
 
 

@@ -163,3 +163,22 @@ def test_lane_countries_use_the_names_of_the_order_history(spark):
     got = named.join(forecast.country_regions(train), "order_country", "left").collect()
     assert {r["lane_id"]: (r["order_country"], r["order_region"]) for r in got} == {
         "a": ("Países Bajos", None), "b": ("Alemania", "Western Europe"), "c": (None, None), "d": (None, None)}
+
+
+def test_history_and_audit_never_broadcast_what_grows_with_the_orders(orders):
+    _, df = orders
+    cut = dt.datetime(2020, 2, 1)
+    featured = history.add_history(df, 0.5)
+    for rows in (featured, history.history_by_cells(df, ("shipping_mode",), cut), history.leakage_audit(featured, df, cut, 0.5)):
+        joins = [line for line in rows._jdf.queryExecution().executedPlan().toString().splitlines() if "HashJoin" in line or "NestedLoop" in line]
+        assert all("part#" in line for line in joins)  # only the one row per range of running_history
+
+
+def test_train_lines_are_the_train_rows_without_history(spark, sf_dir):
+    from laneguard.plans.domain import Domain
+
+    d = Domain(spark, sf_dir)
+    plain = d.train_lines
+    whole = d.train.select(*plain.columns)
+    assert whole.exceptAll(plain).isEmpty() and plain.exceptAll(whole).isEmpty() and plain.count() > 0
+    assert "history-marks" not in "".join(plain.inputFiles()) and "history-marks" in "".join(d.featured.inputFiles())
