@@ -518,7 +518,7 @@ class Domain:
     @cached_property
     def folded(self) -> DataFrame:
         """The dataset with rare categories as one value."""
-        return materialize(forecast.fold_rare(self.dataset, self.common), "folded")
+        return materialize(forecast.fold_rare(self.featured, self.common), "folded")
 
     @cached_property
     def linear(self):

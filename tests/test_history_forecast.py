@@ -182,3 +182,23 @@ def test_train_lines_are_the_train_rows_without_history(spark, sf_dir):
     whole = d.train.select(*plain.columns)
     assert whole.exceptAll(plain).isEmpty() and plain.exceptAll(whole).isEmpty() and plain.count() > 0
     assert "history-marks" not in "".join(plain.inputFiles()) and "history-marks" in "".join(d.featured.inputFiles())
+
+
+def test_logistic_finds_the_minimum_in_few_passes(spark, sf_dir, monkeypatch):
+    from laneguard.plans.domain import Domain
+
+    d = Domain(spark, sf_dir)
+    train = d.folded.filter("split = 'train'")
+    passes, sums = [], forecast._newton_sums
+    monkeypatch.setattr(forecast, "_newton_sums", lambda *a: passes.append(1) or sums(*a))
+    model = forecast.fit_logistic(train)
+    assert 2 <= len(passes) <= 20
+    x = np.array([r[0].toArray() for r in model.transform(train).select("features").collect()])
+    y = np.array([float(r[0]) for r in train.select("late").collect()])
+    w, b = model.stages[-1].coefficients.toArray(), model.stages[-1].intercept
+    slope = x.T @ (1 / (1 + np.exp(-(x @ w + b))) - y) + w
+    assert np.abs(slope).max() < 1e-3 * len(y) ** 0.5  # the slope of the summed loss with its penalty is gone
+    monkeypatch.setattr(forecast, "NEWTON_SIZE", 0)  # MLlib minimizes the same function
+    other = forecast.fit_logistic(train)
+    p = [np.array([r["p"] for r in forecast.probability(m, train).select("p").collect()]) for m in (model, other)]
+    assert np.abs(p[0] - p[1]).max() < 0.01
