@@ -99,16 +99,18 @@ def mitigations(touched: DataFrame, lanes: DataFrame, routes: DataFrame, nodes:
     return by_route.unionByName(divert)
 
 
-def citations(contributions: DataFrame, events: DataFrame) -> DataFrame:
-    """Every contributing event once, with the lane where it is first named and its driver line."""
-    seen = contributions.groupBy("event_id").agg(
-        F.min(F.struct(F.col("lane_id").alias("lane_id"), (-F.col("weight")).alias("neg"))).alias("s")
-    )
+def citations(hits: DataFrame, events: DataFrame) -> DataFrame:
+    """Every contributing event (one row per id) once, with the lane where it is first named and its driver line.
+
+    The lane depends only on an event's node list: it is settled once per list in ``hits``, and no event is multiplied by
+    its lanes or shuffled.
+    """
+    first = hits.groupBy("node_ids").agg(F.min("lane_id").alias("first_lane"))
     line = F.format_string(
         "%s at %s (severity %d, confidence %.1f, %s) [%s]", F.replace("event_type", F.lit("_"), F.lit(" ")), "location",
         "severity", "confidence", F.date_format("published", "yyyy-MM-dd"), "event_id",
     )
-    return seen.join(events, "event_id").select("event_id", F.col("s.lane_id").alias("first_lane"), line.alias("driver"))
+    return events.join(first, "node_ids").select("event_id", "first_lane", line.alias("driver"))
 
 
 # --- checks on a draft --------------------------------------------------------------------------

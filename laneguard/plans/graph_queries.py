@@ -502,7 +502,7 @@ FROM cited JOIN alarms USING (event_id)""")
 
 @query("k03_citations", "SELECT event_id, first_lane, driver FROM drivers", ["drivers"])
 def citations(d: Domain) -> DataFrame:
-    return brief.citations(d.contributions, d.visible)
+    return brief.citations(d.hits, d.visible)
 
 
 view("draft_lanes", ("lanes", "risk"), """
@@ -603,6 +603,6 @@ SELECT section, pos, line FROM (
      arg_min(lane_id, (-exposure_score, lane_id)) AS lane, arg_min(top_reason, (-exposure_score, lane_id)) AS why FROM risk))""", ["risk", "drivers", "actions"])
 def brief_text(d: Domain) -> DataFrame:
     head = brief.summary(d.risk, AS_OF.date())
-    drivers = brief.citations(d.contributions, d.visible)
+    drivers = brief.citations(d.hits, d.visible)
     lines = brief.markdown_lines(head, brief.affected_lanes(d.risk), drivers, d.actions, AS_OF.date())
     return files.round_trip_text(lines)

@@ -137,3 +137,16 @@ def test_replay_equals_a_row_by_row_replay(spark, net):
             for w in seen:
                 alive *= 1 - w
             assert r.n_events == len(seen) and r.score == pytest.approx(1 - alive, abs=6e-4)
+
+
+def test_citations_multiply_no_event_by_its_lanes(spark):
+    from laneguard.operators import brief
+
+    cols = "event_id string, node_ids array<string>, event_type string, location string, severity int, confidence double, published timestamp_ntz"
+    at = __import__("datetime").datetime(2024, 1, 2)
+    rows = [(f"e{i}", ["A"] if i % 2 else ["A", "B"], "port_closure", "X", 3, 0.5, at) for i in range(6)] + [("none", ["Z"], "other", "Y", 1, 0.1, at)]
+    hits = spark.createDataFrame([(["A"], lane) for lane in ("l3", "l2", "l9")] + [(["A", "B"], "l1"), (["A", "B"], "l2")], "node_ids array<string>, lane_id string")
+    out = brief.citations(hits, spark.createDataFrame(rows, cols))
+    got = {r["event_id"]: (r["first_lane"], r["driver"]) for r in out.collect()}
+    assert {k: v[0] for k, v in got.items()} == {f"e{i}": "l2" if i % 2 else "l1" for i in range(6)} and out.count() == 6
+    assert got["e1"][1] == "port closure at X (severity 3, confidence 0.5, 2024-01-02) [e1]"
