@@ -20,6 +20,10 @@ BLOCK = 256
 """Items of a bucket that are compared with as many others in one call."""
 CALL_BUCKETS = 200
 """Buckets of at most ``BLOCK`` items that one call takes on average."""
+SKETCH_BLOCK = 4
+"""Times as many items where only small sketches are sent."""
+EXACT_BLOCK, EXACT_BUCKETS = 64, 25
+"""The same two figures where whole items are sent instead of sketches."""
 PAIRS = 1 << 16
 
 
@@ -38,7 +42,7 @@ def connected_components(links: DataFrame) -> DataFrame:
         state = now
         both = edges.unionAll(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").filter("v != m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionAll(least.select("u", F.col("m").alias("v")))
         edges = materialize(small.distinct(), "stars")
@@ -53,6 +57,15 @@ def _labelled(pairs: DataFrame, components: DataFrame) -> DataFrame:
     return pairs
 
 
+def _joined(components: DataFrame, links: DataFrame) -> DataFrame:
+    """``components`` after more ``links(a, b)``: only the components that these join are looked at again."""
+    ends = _labelled(links, components).select(F.col("of_a").alias("a"), F.col("of_b").alias("b"))
+    over = materialize(connected_components(ends), "stars")
+    known = components.join(over.select(F.col("node").alias("component"), F.col("component").alias("joined")), "component", "left")
+    known = known.select("node", F.coalesce("joined", "component").alias("component"))
+    return known.unionAll(over.join(components, "node", "left_anti").select("node", "component"))
+
+
 Screen = Callable[[pd.DataFrame, pd.DataFrame], np.ndarray]
 
 
@@ -82,36 +95,86 @@ def _pairs_in_runs(sizes: np.ndarray):
         yield i, i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(n) - n, n)
 
 
-def _cross_pairs(members: DataFrame, sizes: DataFrame, info: DataFrame, screen: Screen) -> DataFrame:
-    """Screened pairs of members ``(key, sid, comp)`` of the same key and different components.
+def _calls(members: DataFrame, info: DataFrame, block: int, call_buckets: int) -> DataFrame:
+    """Members ``(key, sid, comp, prev)`` of buckets with more than one component, with the fields of ``info`` and the
+    ``call`` that compares them: many small buckets at once, buckets over ``block`` items as pairs of blocks.
 
-    Buckets over ``BLOCK`` items are compared as pairs of blocks; a call takes many small buckets at once.
+    In these, blocks of the largest component only meet blocks of the other items: a group that is linked already costs
+    one row per item, whatever its size, as long as the others are one block.
     """
-    fields = [c for c in info.columns if c != "sid"]
-    m = members.join(sizes.select("key", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")), "key").join(info, "sid")
-    m = m.withColumn("own", F.pmod(F.xxhash64("sid"), F.col("blocks")).cast("int"))
-    m = m.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    per = members.groupBy("key", "comp").agg(F.count("*").alias("n"))
+    sizes = per.groupBy("key").agg(F.count("*").alias("comps"), F.sum("n").alias("n"), F.max(F.struct("n", "comp")).alias("top")).filter("comps > 1")
+    blocks_of = lambda n: F.ceil(n / block).cast("int")
+    sizes = sizes.select("key", F.col("top.comp").alias("top"), F.when(F.col("n") > block, blocks_of(F.col("n") - F.col("top.n"))).alias("rest"), blocks_of(F.col("top.n")).alias("tops"))
+    sizes = materialize(sizes, "open-buckets")
+    calls = max(1, sizes.count() // call_buckets)
+    m = members.join(sizes, "key").join(info, "sid")
+    dealt = lambda n: F.pmod(F.xxhash64("sid"), n).cast("int")
+    is_top, small = F.col("comp") == F.col("top"), F.col("rest").isNull()
+    m = m.withColumn("own", F.when(small, 0).when(is_top, F.col("rest") + dealt(F.col("tops"))).otherwise(dealt(F.col("rest"))))
+    m = m.withColumn("other", F.explode(F.sequence(F.lit(0), F.when(small, 0).when(is_top, F.col("rest") - 1).otherwise(F.col("rest") + F.col("tops") - 1))))
     m = m.withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other"))
-    calls = max(1, sizes.count() // CALL_BUCKETS)
-    m = m.withColumn("call", F.when(F.col("blocks") > 1, F.xxhash64("key", "i", "j")).otherwise(F.pmod(F.xxhash64("key"), F.lit(calls))))
-
-    def compare(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["key", "i", "j"], ignore_index=True)
-        group = rows.groupby(["key", "i", "j"], sort=False).ngroup().to_numpy()
-        sid, comp = rows["sid"].to_numpy(), rows["comp"].to_numpy()
-        own, mixed = rows["own"].to_numpy(), (rows["i"] != rows["j"]).to_numpy()
-        seen, out = np.zeros((0, 2), np.int64), []
+    m = m.withColumn("call", F.when(small, F.pmod(F.xxhash64("key"), F.lit(calls))).otherwise(F.xxhash64("key", "i", "j")))
+    return m.drop("other", "top", "rest", "tops")
+
+
+def _open_pairs(rows: pd.DataFrame):
+    """(sorted rows, generator of positions x, y) of all pairs of a call that lie in one bucket and in different components
+    and are no chain pair (``prev`` names the one before; those are tested already)."""
+    rows = rows.sort_values(["key", "i", "j", "sid"], ignore_index=True)
+    group = rows.groupby(["key", "i", "j"], sort=False).ngroup().to_numpy()
+    sid, comp, prev = rows["sid"].to_numpy(), rows["comp"].to_numpy(), rows["prev"].to_numpy()
+    own, mixed = rows["own"].to_numpy(), (rows["i"] != rows["j"]).to_numpy()
+
+    def pairs():
         for x, y in _pairs_in_runs(np.bincount(group)):
-            ok = (comp[x] != comp[y]) & ~(mixed[x] & (own[x] == own[y]))
-            ends = np.sort(np.stack([sid[x[ok]], sid[y[ok]]], axis=1), axis=1)
-            _, one = np.unique(ends, axis=0, return_index=True)
-            x, y = x[ok][one], y[ok][one]
-            hit = screen(rows.loc[x, fields].reset_index(drop=True), rows.loc[y, fields].reset_index(drop=True)) if len(x) else one
-            out.append(ends[one][hit])
-        ends = np.unique(np.concatenate([seen, *out]), axis=0)
-        return pd.DataFrame({"a": ends[:, 0], "b": ends[:, 1]})
+            ok = (comp[x] != comp[y]) & ~(mixed[x] & (own[x] == own[y])) & (prev[y] != sid[x]) & (prev[x] != sid[y])
+            if ok.any():
+                yield x[ok], y[ok]
+
+    return rows, pairs()
+
+
+def _partnered(members: DataFrame, info: DataFrame, screen: Screen) -> DataFrame:
+    """The members that have a screened partner of another component in their bucket."""
+    fields = [c for c in info.columns if c != "sid"]
+
+    def mark(rows: pd.DataFrame) -> pd.DataFrame:
+        rows, pairs = _open_pairs(rows)
+        hit = np.zeros(len(rows), bool)
+        for x, y in pairs:
+            ok = screen(rows.loc[x, fields].reset_index(drop=True), rows.loc[y, fields].reset_index(drop=True))
+            hit[x[ok]] = hit[y[ok]] = True
+        return rows.loc[hit, ["key", "sid", "comp", "prev"]].drop_duplicates()
+
+    found = _calls(members, info, SKETCH_BLOCK * BLOCK, CALL_BUCKETS).groupBy("call").applyInPandas(mark, "key long, sid long, comp long, prev long")
+    return materialize(found.distinct(), "members")
 
-    return m.groupBy("call").applyInPandas(compare, "a long, b long")
+
+def _cross_forest(members: DataFrame, info: DataFrame, screen: Screen, block: int, call_buckets: int, batch: int) -> DataFrame:
+    """Screened pairs between components: of each call so few that they join all components that its screened pairs join.
+
+    A call gives fewer pairs than it has members, however many of these are linked.
+    """
+    fields = [c for c in info.columns if c != "sid"]
+
+    def forest(rows: pd.DataFrame) -> pd.DataFrame:
+        rows, pairs = _open_pairs(rows)
+        sid, out = rows["sid"].to_numpy(), []
+        root = np.unique(rows["comp"].to_numpy(), return_inverse=True)[1]  # component of each row, as joined so far
+        for xs, ys in pairs:
+            for lo in range(0, len(xs), batch):
+                x, y = xs[lo:lo + batch], ys[lo:lo + batch]
+                apart = root[x] != root[y]
+                x, y = x[apart], y[apart]
+                ok = screen(rows.loc[x, fields].reset_index(drop=True), rows.loc[y, fields].reset_index(drop=True)) if len(x) else apart[:0]
+                for p, q in zip(x[ok].tolist(), y[ok].tolist()):
+                    if root[p] != root[q]:
+                        root[root == root[q]] = root[p]
+                        out.append((min(sid[p], sid[q]), max(sid[p], sid[q])))
+        return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
+
+    return materialize(_calls(members, info, block, call_buckets).groupBy("call").applyInPandas(forest, "a long, b long").distinct(), "pairs")
 
 
 TASK_KEYS = 1 << 20
@@ -164,7 +227,8 @@ def key_blocks(found, buckets: int):
 
 
 def chain_blocks(packed: DataFrame) -> DataFrame:
-    """Chain pairs ``(key, a, b)`` with a < b of all keys in ``KEY_BLOCKS`` rows: each item of a key but its first is b once."""
+    """Chain pairs ``(key, a, b)`` with a < b of all keys in ``KEY_BLOCKS`` rows: each item of a key but its first is b once.
+    ``n`` is the number of items of the key."""
 
     def chain(rows: pd.DataFrame) -> pd.DataFrame:
         sids = [np.frombuffer(x, np.int64) for x in rows["sids"]]
@@ -180,9 +244,10 @@ def chain_blocks(packed: DataFrame) -> DataFrame:
         k, a, b = k[order], a[order], b[order]
         one = np.concatenate(([True], (k[1:] != k[:-1]) | (b[1:] != b[:-1])))[:len(k)]
         k, a, b = k[one], a[one], b[one]
-        return pd.DataFrame({"key": k.view(np.int64), "a": a, "b": b})
+        times = np.diff(np.append(np.flatnonzero(np.concatenate(([True], k[1:] != k[:-1]))[:len(k)]), len(k)))
+        return pd.DataFrame({"key": k.view(np.int64), "a": a, "b": b, "n": np.repeat(times, times) + 1})
 
-    return packed.groupBy("bucket").applyInPandas(chain, "key long, a long, b long")
+    return packed.groupBy("bucket").applyInPandas(chain, "key long, a long, b long, n long")
 
 
 def _longs(block: bytes) -> np.ndarray:
@@ -190,40 +255,57 @@ def _longs(block: bytes) -> np.ndarray:
 
 
 def link_buckets(packed: DataFrame, info: DataFrame | Callable[[DataFrame], DataFrame], screen: Screen,
-                 verify: Callable[[DataFrame], Callable[[DataFrame], DataFrame]] | None = None, fine: DataFrame | None = None) -> DataFrame:
+                 verify: Callable[[DataFrame], Callable[[DataFrame], DataFrame]] | None = None, fine: DataFrame | None = None,
+                 exact: tuple[Callable[[DataFrame], DataFrame], Screen] | None = None) -> DataFrame:
     """Components ``(node, component)`` of the items of ``packed`` (``KEY_BLOCKS``) under their true links.
 
     Any two linked items must share a key. ``info`` may be made from the chain pairs ``(key, a, b)``, which name all candidates. ``screen`` sees two aligned frames of ``info`` rows and may only drop
     pairs that are no links; ``fine`` has the same fields in a sharper form for the comparison of whole buckets. ``verify(pairs)`` gathers once what all these pairs need and gives a function from some of
-    them to the true links among them; without it the screen itself is exact. The result is exact:
-    first one earlier neighbour per item is verified, then the chain pairs between different components, then all
-    screened pairs across the components of every bucket that still holds more than one.
+    them to the true links among them; without it the screen itself is exact. ``exact`` goes with ``verify``: it makes rows of
+    the items ``(sid)`` on which its own screen decides exactly. The result is exact: first one earlier neighbour per item
+    is verified, then the chain pairs between different components. Of the buckets that still hold more than one component,
+    the items with a screened partner across components are left; a spanning forest of the screened pairs is verified, and
+    only where some of it fails are the items that still have such a partner compared exactly. No step lists all pairs.
     """
     chain = materialize(chain_blocks(packed), "chains")
     info = info(chain) if callable(info) else info
+    chosen = chain.select("a", "b").repartition("a").distinct()  # dealt by a once, for this and the join
     if verify is None:
-        tested, check = chain.select("a", "b").distinct(), lambda pairs: _screened(pairs, info, screen)
+        tested, check = chosen, lambda pairs: _screened(pairs, info, screen)
     else:
-        tested = materialize(_screened(chain.select("a", "b").distinct(), info, screen), "pairs")
+        tested = materialize(_screened(chosen, info, screen), "pairs")
         check = verify(tested)
     first = materialize(tested.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), "pairs")
     links = materialize(check(first), "links")
     components = materialize(connected_components(links), "components")
     more = materialize(_labelled(tested, components).filter("of_a != of_b").select("a", "b").join(first, ["a", "b"], "left_anti"), "pairs")
     if not more.isEmpty():
-        links = links.unionAll(materialize(check(more), "links"))
-        components = materialize(connected_components(links), "components")
-    labelled = _labelled(chain, components)
-    of_bucket = labelled.groupBy("key").agg((F.count("*") + 1).alias("n"), F.max((F.col("of_a") != F.col("of_b")).cast("int")).alias("open"), F.min("a").alias("least"),
+        components = materialize(_joined(components, materialize(check(more), "links")), "components")
+    labelled = _labelled(chain.filter("n > 2"), components)
+    of_bucket = labelled.groupBy("key", "n").agg(F.max((F.col("of_a") != F.col("of_b")).cast("int")).alias("open"), F.min("a").alias("least"),
                                             F.sum(F.xxhash64("b").cast("decimal(20,0)")).alias("s"), F.bit_xor(F.xxhash64("b", F.lit(1))).alias("x"))
     # near copies meet in many buckets; of buckets with the same items one is compared
-    broken = of_bucket.filter("open = 1 and n > 2").groupBy("n", "least", "s", "x").agg(F.min("key").alias("key")).select("key", "n")
+    broken = of_bucket.filter("open = 1").groupBy("n", "least", "s", "x").agg(F.min("key").alias("key")).select("key", "least")
     broken = materialize(broken, "open-buckets")
     if broken.isEmpty():
         return components
-    here = labelled.join(broken.select("key"), "key")
-    members = here.select("key", F.col("b").alias("sid"), F.col("of_b").alias("comp")).unionAll(here.select("key", F.col("a").alias("sid"), F.col("of_a").alias("comp"))).distinct()
-    cross = materialize(_cross_pairs(members, broken, info if fine is None else fine, screen).distinct().join(chain.select("a", "b").distinct(), ["a", "b"], "left_anti"), "pairs")
+    here = labelled.join(broken, "key")
+    heads = here.filter("a = least").select("key", F.col("a").alias("sid"), F.col("of_a").alias("comp"), F.col("a").alias("prev")).distinct()
+    members = here.select("key", F.col("b").alias("sid"), F.col("of_b").alias("comp"), F.col("a").alias("prev")).unionAll(heads)
+    if fine is not None:
+        members = _partnered(members, info, screen)
+    cross = _cross_forest(members, info if fine is None else fine, screen, BLOCK, CALL_BUCKETS, PAIRS)
     if cross.isEmpty():
         return components
-    return connected_components(links.unionAll(materialize(verify(cross)(cross), "links") if verify else cross))
+    if verify is None:
+        return _joined(components, cross)
+    true = materialize(verify(cross)(cross), "links")
+    components = materialize(_joined(components, true), "components")
+    if true.count() == cross.count():
+        return components  # all screened pairs lie in one component each
+    now = components.select(F.col("node").alias("sid"), "component")
+    members = members.join(now, "sid", "left").select("key", "sid", F.coalesce("component", "sid").alias("comp"), "prev")
+    members = _partnered(members, info if fine is None else fine, screen)
+    rows_of, decide = exact
+    rest = _cross_forest(members, rows_of(members.select("sid").distinct()), decide, EXACT_BLOCK, EXACT_BUCKETS, EXACT_BLOCK)
+    return _joined(components, rest) if not rest.isEmpty() else components

@@ -216,7 +216,29 @@ def ngram_components(docs: DataFrame, k: int = 4, num: int = 85, den: int = 100,
         texts = wanted.join(ends, "doc_id").select("a", "slice", "first", "sid", "text")
         return texts.repartition("a", "slice").sortWithinPartitions("a", "slice", F.desc("first")).mapInPandas(exact, "a long, b long")
 
-    components = materialize(link_buckets(keys, info, screen, lambda _: check, sharp), "ngram-components")
+    def set_rows(wanted: DataFrame) -> DataFrame:
+        """``sid, n, sketch, items``: the whole shingle sets of the wanted ones."""
+        def take(batches):
+            for batch in batches:
+                sid, out = batch["sid"].to_numpy(), []
+                for i, s in _sets(batch["text"], k):
+                    if len(s) and set_id(s).view(np.int64)[0] == sid[i]:
+                        out.append((sid[i], s.tobytes()))
+                yield pd.DataFrame(out, columns=["sid", "items"]).astype({"sid": "int64"})
+
+        need = materialize(wanted.join(reps, "sid").select("sid", F.col("rep").alias("doc_id")), "ngram-need")
+        whole = rows.join(need, "doc_id").mapInPandas(take, "sid long, items binary").dropDuplicates(["sid"])
+        return materialize(whole.join(info, "sid"), "ngram-whole")
+
+    def linked(a: pd.DataFrame, b: pd.DataFrame) -> np.ndarray:
+        ok = screen(a, b)
+        for i in np.flatnonzero(ok):
+            x, y = np.frombuffer(a["items"][i], np.uint64), np.frombuffer(b["items"][i], np.uint64)
+            both = len(np.intersect1d(x, y, assume_unique=True))
+            ok[i] = den * both >= num * (len(x) + len(y) - both)
+        return ok
+
+    components = materialize(link_buckets(keys, info, screen, lambda _: check, sharp, (set_rows, linked)), "ngram-components")
     group = reps.join(components.select(F.col("node").alias("sid"), "component"), "sid", "left").withColumn("component", F.coalesce("component", "sid"))
     least = group.groupBy("component").agg(F.min("rep").alias("component_id"))
     of_set = materialize(group.join(least, "component").select("sid", "component_id"), "ngram-groups")

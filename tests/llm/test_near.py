@@ -206,3 +206,36 @@ def test_packed_blocks_chain_every_item_of_a_key_once(spark, monkeypatch):
         assert sorted(b for _, b in pairs[k]) == sorted(members - {min(members)})
         assert {a for a, _ in pairs[k]} <= members
     assert list(linkage.key_blocks(iter([]), 7)) == []
+
+
+def test_a_group_of_near_copies_lists_no_pairs(spark, monkeypatch):
+    """Near copies that the chain leaves in several components: the comparison gives fewer pairs than it gets members, also
+    where the screen lets pairs through that are no links."""
+    from laneguard.llm import linkage
+
+    r = random.Random(4)
+    base = [f"w{i}" for i in range(160)]
+    texts = []
+    for i in range(90):
+        w = list(base)
+        for p in r.sample(range(160), r.choice([1, 2, 3, 4])):
+            w[p] = f"x{i}_{p}"
+        texts.append(" ".join(w))
+    sets = [shingles(t, 4) for t in texts]
+    links = [(i, j) for i in range(90) for j in range(i) if 100 * len(sets[i] & sets[j]) >= 85 * len(sets[i] | sets[j])]
+    assert 0 < len(links) < 90 * 89 // 2
+    root = groups(90, links)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    made, forest = [], linkage._cross_forest
+    monkeypatch.setattr(linkage, "BLOCK", 32)
+    monkeypatch.setattr(linkage, "EXACT_BLOCK", 16)
+
+    def counted(members, info, *rest):
+        out = forest(members, info, *rest)
+        made.append((members.count(), out.count(), "items" in info.columns))
+        return out
+    monkeypatch.setattr(linkage, "_cross_forest", counted)
+    monkeypatch.setattr("laneguard.llm.ngram_join.FINE", 1)  # a blunt screen: many of its pairs are no links
+    got = {row["doc_id"]: row["component_id"] for row in ngram_components(docs).collect()}
+    assert got == {i: root[i] for i in range(90)}
+    assert made and all(pairs < members for members, pairs, _ in made) and any(whole for _, _, whole in made)
