@@ -8,6 +8,8 @@ one class, of which the first occurrence stays.
 
 from __future__ import annotations
 
+from functools import cached_property
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -16,12 +18,16 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
 from laneguard.llm.linkage import KEY_BLOCKS, TASK_KEYS, key_blocks, link_buckets
-from laneguard.llm.words import CHUNK_BYTES, PrefixHash, mix
+from laneguard.llm.words import PrefixHash, mix
 from laneguard.session import materialize
 
 EDITS = 2
 MIN_CHARS = 24
 """Shorter lines are compared exactly: two edits would change too much of them."""
+CHUNK = 1 << 18
+"""Characters of the texts that are cut into lines at a time: their arrays stay in the processor's cache."""
+BAG = 32
+"""Counts of code points (by their last bits) that bound the edit distance from below."""
 _SPACE = np.array([9, 10, 11, 12, 13, 32, 0x85, 0xA0, 0x2028, 0x2029, 0x3000], np.uint32)
 
 
@@ -37,8 +43,11 @@ class Lines:
         self.pos = np.arange(len(self.starts)) - np.repeat(np.cumsum(counts) - counts, counts)
         self.hash = PrefixHash(self.codes)
         self.ids = (self.hash.of(self.starts, self.ends) >> np.uint64(1)).view(np.int64)
+
+    @cached_property
+    def blank(self) -> np.ndarray:
         ink = np.concatenate(([0], np.cumsum(~np.isin(self.codes, _SPACE))))
-        self.blank = ink[self.ends] == ink[self.starts]
+        return ink[self.ends] == ink[self.starts]
 
 
 def _line_chunks(texts):
@@ -46,7 +55,7 @@ def _line_chunks(texts):
     first, held, size = 0, [], 0
     for i, t in enumerate(texts):
         t = t or ""
-        if held and size + len(t) > CHUNK_BYTES:
+        if held and size + len(t) > CHUNK:
             yield first, Lines(held)
             first, held, size = i, [], 0
         held.append(t)
@@ -65,11 +74,12 @@ def segment_keys(lines: Lines, at: np.ndarray, edits: int, min_chars: int) -> tu
         for i in range(1, parts + 1):
             size = base + (i > parts - extra)
             p = (i - 1) * base + np.maximum(0, i - 1 - (parts - extra))
+            salt = mix(n.astype(np.uint64), i)
             for shift in range(max(-(i - 1), less - (parts - i)), min(i - 1, less + parts - i) + 1):
                 s = p + shift
                 ok = (n >= min_chars) & (s >= 0) & (s + size <= length)
                 h = lines.hash.of(start[ok] + s[ok], start[ok] + s[ok] + size[ok])
-                keys.append(mix(h + mix(n[ok].astype(np.uint64), i)))
+                keys.append(mix(h + salt[ok]))
                 owner.append(at[ok])
     return np.concatenate(keys).view(np.int64), np.concatenate(owner)
 
@@ -77,7 +87,7 @@ def segment_keys(lines: Lines, at: np.ndarray, edits: int, min_chars: int) -> tu
 def within_edits(left: list[str], right: list[str], edits: int) -> np.ndarray:
     """Whether each pair is within ``edits`` edits: the banded bit-parallel recurrence on all pairs at once.
 
-    Bit b of a pair's word stands for pattern row j - edits + b in column j, so the band moves down with each
+    Pairs whose counts of characters differ too much are left out before: an edit changes two of them by one at most. Bit b of a pair's word stands for pattern row j - edits + b in column j, so the band moves down with each
     column; the distance is followed along the lowest diagonal and then along the last row.
     """
     out = np.zeros(len(left), bool)
@@ -85,6 +95,7 @@ def within_edits(left: list[str], right: list[str], edits: int) -> np.ndarray:
     fits = np.flatnonzero((np.abs(sizes[:, 0] - sizes[:, 1]) <= edits) & (sizes.min(axis=1) > edits))
     for i in np.flatnonzero(sizes.min(axis=1) <= edits):
         out[i] = _plain_distance(left[i], right[i]) <= edits
+    fits = fits[_bag_gaps([left[i] for i in fits], [right[i] for i in fits]) <= 2 * edits]
     fits = fits[np.argsort(sizes[fits, 0], kind="stable")]
     lo = 0
     while lo < len(fits):
@@ -97,6 +108,16 @@ def within_edits(left: list[str], right: list[str], edits: int) -> np.ndarray:
     return out
 
 
+def _bag_gaps(left: list[str], right: list[str]) -> np.ndarray:
+    """Of each pair, how much the two differ in their counts of code points, summed."""
+    at: dict[str, int] = {}  # a line may be in many pairs
+    x, y = (np.array([at.setdefault(t, len(at)) for t in texts], np.int64) for texts in (left, right))
+    codes = np.frombuffer("".join(at).encode("utf-32-le", "surrogatepass"), np.uint32) % BAG
+    of = np.repeat(np.arange(len(at)), [len(t) for t in at])
+    bags = np.bincount(of * BAG + codes, minlength=len(at) * BAG).astype(np.int32).reshape(-1, BAG)
+    return np.abs(bags[x] - bags[y]).sum(axis=1)
+
+
 def _plain_distance(x: str, y: str) -> int:
     row = list(range(len(y) + 1))
     for i, a in enumerate(x, 1):
@@ -208,15 +229,19 @@ def dedup_lines(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS,
         for batch in batches:
             texts, pos, sid = (batch.column(c).to_pylist() for c in (text_col, "__pos", "__sid"))
             n_lines, n_removed, out = [], [], []
-            for t, p, s in zip(texts, pos, sid):
+            named = [i for i, (t, p) in enumerate(zip(texts, pos)) if t is not None and p]
+            lost_of = {}
+            for first, lines in _line_chunks([texts[i] for i in named]):
+                bounds = np.searchsorted(lines.text, np.arange(lines.text[-1] + 2)).tolist()
+                ids = lines.ids.tolist()
+                for i, lo, hi in zip(named[first:], bounds, bounds[1:]):
+                    lost_of[i] = {k for k, x in zip(pos[i], sid[i]) if lo + k < hi and ids[lo + k] == x}
+            for i, t in enumerate(texts):
                 parts = [] if t is None else t.split("\n")
-                lost = set()
-                if p and parts:
-                    ids = Lines([t]).ids
-                    lost = {i for i, x in zip(p, s) if i < len(parts) and ids[i] == x}
+                lost = lost_of.get(i, ())
                 n_lines.append(len(parts))
                 n_removed.append(len(lost))
-                out.append(t if not lost else "\n".join(x for i, x in enumerate(parts) if i not in lost))
+                out.append(t if not lost else "\n".join(x for k, x in enumerate(parts) if k not in lost))
             arrays = [pa.array(out, pa.string()) if c == text_col else batch.column(c) for c in kept_columns]
             yield pa.RecordBatch.from_arrays([*arrays, pa.array(n_lines, pa.int64()), pa.array(n_removed, pa.int64())], names=[*kept_columns, *counts])
 

@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from laneguard.llm import blocks
+from laneguard.llm.words import mix
 from laneguard.session import materialize
 
 BLOCK = 256
@@ -228,7 +229,7 @@ def key_blocks(found, buckets: int):
 
 def chain_blocks(packed: DataFrame) -> DataFrame:
     """Chain pairs ``(key, a, b)`` with a < b of all keys in ``KEY_BLOCKS`` rows: each item of a key but its first is b once.
-    ``n`` is the number of items of the key."""
+    ``n`` is the number of items of the key, and ``items`` a hash of them: keys with the same items have the same."""
 
     def chain(rows: pd.DataFrame) -> pd.DataFrame:
         sids = [np.frombuffer(x, np.int64) for x in rows["sids"]]
@@ -244,10 +245,13 @@ def chain_blocks(packed: DataFrame) -> DataFrame:
         k, a, b = k[order], a[order], b[order]
         one = np.concatenate(([True], (k[1:] != k[:-1]) | (b[1:] != b[:-1])))[:len(k)]
         k, a, b = k[one], a[one], b[one]
-        times = np.diff(np.append(np.flatnonzero(np.concatenate(([True], k[1:] != k[:-1]))[:len(k)]), len(k)))
-        return pd.DataFrame({"key": k.view(np.int64), "a": a, "b": b, "n": np.repeat(times, times) + 1})
+        begin = np.flatnonzero(np.concatenate(([True], k[1:] != k[:-1]))[:len(k)])
+        times, items = np.diff(np.append(begin, len(k))), np.zeros(0, np.uint64)
+        if len(k):
+            items = mix(np.add.reduceat(mix(b.view(np.uint64)), begin) + mix(np.minimum.reduceat(a, begin).view(np.uint64)))
+        return pd.DataFrame({"key": k.view(np.int64), "a": a, "b": b, "n": np.repeat(times, times) + 1, "items": np.repeat(items, times).view(np.int64)})
 
-    return packed.groupBy("bucket").applyInPandas(chain, "key long, a long, b long, n long")
+    return packed.groupBy("bucket").applyInPandas(chain, "key long, a long, b long, n long, items long")
 
 
 def _longs(block: bytes) -> np.ndarray:
@@ -281,12 +285,11 @@ def link_buckets(packed: DataFrame, info: DataFrame | Callable[[DataFrame], Data
     more = materialize(_labelled(tested, components).filter("of_a != of_b").select("a", "b").join(first, ["a", "b"], "left_anti"), "pairs")
     if not more.isEmpty():
         components = materialize(_joined(components, materialize(check(more), "links")), "components")
-    labelled = _labelled(chain.filter("n > 2"), components)
-    of_bucket = labelled.groupBy("key", "n").agg(F.max((F.col("of_a") != F.col("of_b")).cast("int")).alias("open"), F.min("a").alias("least"),
-                                            F.sum(F.xxhash64("b").cast("decimal(20,0)")).alias("s"), F.bit_xor(F.xxhash64("b", F.lit(1))).alias("x"))
-    # near copies meet in many buckets; of buckets with the same items one is compared
-    broken = of_bucket.filter("open = 1").groupBy("n", "least", "s", "x").agg(F.min("key").alias("key")).select("key", "least")
-    broken = materialize(broken, "open-buckets")
+    # near copies meet in many buckets; those with the same items are one (so are those whose hashes collide, which loses no pair)
+    distinct = chain.filter("n > 2").groupBy(F.col("items").alias("key"), "b").agg(F.min("a").alias("a"))
+    labelled = materialize(_labelled(distinct, components), "buckets")
+    broken = labelled.groupBy("key").agg(F.max((F.col("of_a") != F.col("of_b")).cast("int")).alias("open"), F.min("a").alias("least"))
+    broken = materialize(broken.filter("open = 1").select("key", "least"), "open-buckets")
     if broken.isEmpty():
         return components
     here = labelled.join(broken, "key")

@@ -104,3 +104,32 @@ def test_a_common_line_sends_each_key_once(spark, monkeypatch):
     docs = [(i, f"a line that every text of this table holds\nown line of text number {i} and no other") for i in range(40)]
     assert dedup_lines(spark.createDataFrame(docs, "doc_id long, text string").repartition(8)).agg({"n_removed": "sum"}).first()[0] >= 39
     assert sent and sent[0][0] == sent[0][1]
+
+
+def test_keys_with_the_same_lines_are_labelled_once(spark, monkeypatch):
+    """Near copies share many keys: what is joined with their components grows with the lines, not with lines times keys."""
+    from laneguard.llm import linkage
+
+    given_rows, label = [], linkage._labelled
+
+    def counted(pairs, components):
+        if "key" in pairs.columns:
+            given_rows.append(pairs.count())
+        return label(pairs, components)
+    monkeypatch.setattr(linkage, "_labelled", counted)
+    lines = [f"the same long beginning of all lines, the same middle of all lines, an end {i:02d}" for i in range(60)]
+    got = dedup_lines(spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string").repartition(4))
+    assert got.agg({"n_removed": "sum"}).first()[0] == 59
+    assert given_rows and max(given_rows) < 3 * len(lines)
+
+
+def test_lines_of_other_characters_are_not_compared(monkeypatch):
+    from laneguard.llm import line_dedup
+
+    compared, banded = [], line_dedup._banded
+    monkeypatch.setattr(line_dedup, "_banded", lambda left, right, edits: compared.append(len(left)) or banded(left, right, edits))
+    r = random.Random(2)
+    lines = ["".join(r.choice("abcdefgh ijkl") for _ in range(40)) for _ in range(30)]
+    pairs = [(x, y) for x in lines for y in lines if x != y] + [(x, edited(r, x, 2)) for x in lines]
+    assert within_edits(*(list(side) for side in zip(*pairs)), 2).tolist() == [_plain_distance(x, y) <= 2 for x, y in pairs]
+    assert sum(compared) < len(pairs) / 2
