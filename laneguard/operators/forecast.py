@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from laneguard.functions.numeric import clip_probability, sigmoid, smoothed_rate, stable_round
 from laneguard.operators.history import CATEGORICAL, HISTORY, HISTORY_KEYS, NUMERIC, TARGET
+from laneguard.operators.store import ntz
 from laneguard.session import materialize, scratch_root
 
 MIN_CATEGORY_ROWS = 50
@@ -262,9 +263,23 @@ def first_rounds(model: GBTClassificationModel, n: int) -> GBTClassificationMode
     return out
 
 
+def settled_orders(train: DataFrame) -> DataFrame:
+    """Training rows without the orders placed so late that only quick outcomes were known when training ended.
+
+    Training rows have a known outcome. Of the orders of the last days (the longest time to an outcome) that leaves the
+    quick ones, which are mostly on time, while all older orders are there whatever their outcome. Trees find those days by
+    the size of the history, which grows with time, and every later order lies on their side of the split.
+    """
+    times = train.agg(F.max("label_known_at").alias("end"), F.max(F.col("label_known_at") - F.col("order_date")).alias("longest")).first()
+    if times["end"] is None:
+        return train
+    whole = train.filter(F.col("order_date") <= ntz(times["end"] - times["longest"]))
+    return train if whole.isEmpty() else whole
+
+
 def fit_boosted(data: DataFrame, rounds: int = 2000, step: float = 0.05, patience: int = 100) -> PipelineModel:
-    """Boosted trees on the training rows (rare categories folded before), cut at the round with the smallest loss on the
-    validation rows.
+    """Boosted trees on the settled training rows (rare categories folded before), cut at the round with the smallest loss
+    on the validation rows.
 
     Rounds end when ``patience`` of them bring no smaller loss; the cut model is made of the trees that are there. MLlib
     cannot go on with a fitted model, so only when the patience has not ended are the rounds doubled and fitted anew (the
@@ -273,8 +288,9 @@ def fit_boosted(data: DataFrame, rounds: int = 2000, step: float = 0.05, patienc
     spark = data.sparkSession
     index = StringIndexer(inputCols=list(CATEGORICAL), outputCols=[f"{c}_ix" for c in CATEGORICAL], handleInvalid="keep")
     join = VectorAssembler(inputCols=[*[f"{c}_ix" for c in CATEGORICAL], *NUMERIC, *HISTORY], outputCol="features")
-    before = Pipeline(stages=[index, join]).fit(data.filter("split IN ('train', 'valid')"))
-    rows = before.transform(data.filter("split IN ('train', 'valid')")).select("split", "features", F.col(TARGET).cast("double").alias(TARGET))
+    known = settled_orders(data.filter("split = 'train'")).unionByName(data.filter("split = 'valid'"))
+    before = Pipeline(stages=[index, join]).fit(known)
+    rows = before.transform(known).select("split", "features", F.col(TARGET).cast("double").alias(TARGET))
     rows = materialize(rows, "boosted-rows")
     train, valid = rows.filter("split = 'train'"), rows.filter("split = 'valid'")
     bins = max(256, *[len(labels) + 1 for labels in before.stages[0].labelsArray])  # every category needs a bin
@@ -283,8 +299,7 @@ def fit_boosted(data: DataFrame, rounds: int = 2000, step: float = 0.05, patienc
         return GBTClassifier(labelCol=TARGET, stepSize=step, maxIter=n, maxDepth=5, maxBins=bins, minInstancesPerNode=50,
                              featureSubsetStrategy="0.8", subsamplingRate=0.8, seed=42).fit(train)
 
-    known = spark.sparkContext.getCheckpointDir()
-    if known is None:  # each round builds on the errors of the one before
+    if spark.sparkContext.getCheckpointDir() is None:  # each round builds on the errors of the one before
         spark.sparkContext.setCheckpointDir(f"{scratch_root(spark)}/laneguard/checkpoints")
     n = rounds if valid.isEmpty() else min(rounds, 2 * patience)
     trees = fit(n)

@@ -529,7 +529,7 @@ class Domain:
     def trees(self):
         """The boosted model of this data set, fitted once per application."""
         rows = self.folded.filter("split IN ('train', 'valid')")
-        return models.fit_once("boosted", rows, {"rounds": 2000, "step": 0.05, "patience": 100}, forecast.fit_boosted)
+        return models.fit_once("boosted", rows, {"rounds": 2000, "step": 0.05, "patience": 100, "train": "settled"}, forecast.fit_boosted)
 
     @cached_property
     def train_share(self) -> float:

@@ -202,3 +202,26 @@ def test_logistic_finds_the_minimum_in_few_passes(spark, sf_dir, monkeypatch):
     other = forecast.fit_logistic(train)
     p = [np.array([r["p"] for r in forecast.probability(m, train).select("p").collect()]) for m in (model, other)]
     assert np.abs(p[0] - p[1]).max() < 0.01
+
+
+def test_boosted_trees_do_not_learn_from_days_with_quick_outcomes_only(spark):
+    """The last training days hold the orders with a quick outcome alone; later orders must not be judged by them."""
+    rng = np.random.default_rng(8)
+    start, end = dt.datetime(2020, 1, 1), dt.datetime(2020, 3, 1)
+    rows = []
+    for i in range(6000):
+        placed = start + dt.timedelta(hours=int(i * 90 * 24 / 6000))
+        days = int(rng.integers(1, 8))
+        known = placed + dt.timedelta(days=days)
+        split = "train" if known < end else "valid" if placed >= end else None
+        if split:
+            numbers = {c: 0.0 for c in (*forecast.NUMERIC, *forecast.HISTORY)} | {"hist_mode_n": float(i), "quantity": float(rng.integers(1, 9))}
+            rows.append({"split": split, "order_date": placed, "label_known_at": known, "late": int(days > 2), **{c: "x" for c in forecast.CATEGORICAL}, **numbers})
+    data = spark.createDataFrame(rows).withColumn("order_date", F.col("order_date").cast("timestamp_ntz")).withColumn("label_known_at", F.col("label_known_at").cast("timestamp_ntz"))
+    settled = forecast.settled_orders(data.filter("split = 'train'"))
+    assert settled.agg(F.max("order_date")).first()[0] < end - dt.timedelta(days=6)
+    before = data.filter(F.col("order_date") < F.lit(end - dt.timedelta(days=8)).cast("timestamp_ntz"))
+    assert settled.count() >= before.count() > 3000  # no other order is left out
+    assert forecast.settled_orders(data.limit(0)).isEmpty()
+    p = forecast.probability(forecast.fit_boosted(data, rounds=3, step=0.3, patience=1), data.filter("split = 'valid'"))
+    assert p.agg(F.min("p")).first()[0] > 0.5  # five of seven are late
