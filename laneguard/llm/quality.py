@@ -224,7 +224,7 @@ def score_quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, id
 
     def score(batches):
         for batch in batches:
-            parts = [score_lines(field, lines) for _, lines in _line_chunks(batch.column(text_col).to_pylist())]
+            parts = [score_lines(field, lines) for _, lines in _line_chunks(t.as_py() for t in batch.column(text_col))]
             s = np.clip(np.concatenate(parts), 0, 1) if parts else np.zeros(0)
             yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in kept], pa.array(s, pa.float64()), pa.array((s >= threshold).astype(np.int32), pa.int32())], names=[*kept, *results])
 
