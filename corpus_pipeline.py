@@ -32,7 +32,7 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The smallest id of each group of documents with a similarity of 0.8 over five-word shingles. Rows without words,
     or without an id, stay."""
     groups = ngram_components(docs, k=5, num=80, den=100)
-    copies = groups.filter("doc_id != component_id").select("doc_id").distinct()
+    copies = materialize(groups.filter("doc_id != component_id").select("doc_id").distinct(), "near-copies")  # of known size: if few, no text is shuffled
     return docs.join(copies, "doc_id", "left_anti").select(*docs.columns)
 
 

@@ -21,7 +21,9 @@ from laneguard.llm.linkage import KEY_BLOCKS, TASK_KEYS, key_blocks, link_bucket
 from laneguard.llm.words import Words, chunks, mix, shingle_set
 from laneguard.session import materialize
 
-CHUNK_BITS = 256
+CHUNK_BITS = 1 << 32
+"""Places of a sketch chunk. Only its odd bits are held, so it may be wide: in a narrow one different shingles often toggle the same
+bit, and buckets of sets that share nothing grow with the table."""
 FINE = 8
 """Bits per shingle of the sketch that compares whole buckets; nearly all pairs it lets through are links."""
 MAX_SENT_IDS = 1 << 20

@@ -171,6 +171,13 @@ def test_linked_sets_share_a_key():
     assert BOUNDS[0] == 1 and (np.diff(BOUNDS) > 0).all()
 
 
+def test_sets_that_share_nothing_meet_in_no_bucket():
+    r = np.random.default_rng(2)
+    for num in (85, 80):
+        keys = np.concatenate([bucket_keys(np.unique(r.integers(0, 1 << 63, 100, dtype=np.uint64)), num, 100) for _ in range(300)])
+        assert len(keys) > 300 and len(np.unique(keys)) == len(keys)
+
+
 def test_components_of_a_path_and_a_star(spark):
     links = [(i, i + 1) for i in range(60)] + [(100, i) for i in range(101, 180)] + [(7, 7)]
     got = {r["node"]: r["component"] for r in connected_components(spark.createDataFrame(links, "a long, b long")).collect()}
