@@ -19,6 +19,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from laneguard.functions.numeric import clip_probability, sigmoid, smoothed_rate, stable_round
+from laneguard.operators import boosting
 from laneguard.operators.history import CATEGORICAL, HISTORY, HISTORY_KEYS, NUMERIC, TARGET
 from laneguard.operators.store import ntz
 from laneguard.session import materialize, scratch_root
@@ -27,6 +28,8 @@ MIN_CATEGORY_ROWS = 50
 RARE = "(rare)"
 NEWTON_SIZE = 512
 """Coefficients up to which the second derivatives (their square) are summed."""
+MLLIB_ROWS = 200_000
+"""Training rows up to which MLlib fits the boosted trees; its passes over more take too long."""
 BINS = 1024
 """Bins of one pass of the search for a rank."""
 BRACKET = 10_000
@@ -281,26 +284,35 @@ def fit_boosted(data: DataFrame, rounds: int = 2000, step: float = 0.05, patienc
     """Boosted trees on the settled training rows (rare categories folded before), cut at the round with the smallest loss
     on the validation rows.
 
-    Rounds end when ``patience`` of them bring no smaller loss; the cut model is made of the trees that are there. MLlib
-    cannot go on with a fitted model, so only when the patience has not ended are the rounds doubled and fitted anew (the
-    same seed gives the same first trees). Unseen categories are their own index. Without validation rows all rounds are kept.
+    Rounds end when ``patience`` of them bring no smaller loss; the cut model is made of the trees that are there. Up to
+    ``MLLIB_ROWS`` training rows MLlib fits. It cannot go on with a fitted model, so only when the patience has not ended are
+    the rounds doubled and fitted anew (the same seed gives the same first trees). Beyond, ``boosting`` grows the same kind of
+    trees with the same settings over blocks of binned rows. Unseen categories are their own index. Without validation rows
+    all rounds are kept.
     """
     spark = data.sparkSession
     index = StringIndexer(inputCols=list(CATEGORICAL), outputCols=[f"{c}_ix" for c in CATEGORICAL], handleInvalid="keep")
     join = VectorAssembler(inputCols=[*[f"{c}_ix" for c in CATEGORICAL], *NUMERIC, *HISTORY], outputCol="features")
     known = settled_orders(data.filter("split = 'train'")).unionByName(data.filter("split = 'valid'"))
     before = Pipeline(stages=[index, join]).fit(known)
+    settings = dict(labelCol=TARGET, stepSize=step, maxDepth=5, minInstancesPerNode=50, featureSubsetStrategy="0.8", subsamplingRate=0.8, seed=42)
+    settings["maxBins"] = max(256, *[len(labels) + 1 for labels in before.stages[0].labelsArray])  # every category needs a bin
+    if spark.sparkContext.getCheckpointDir() is None:  # each round builds on the errors of the one before
+        spark.sparkContext.setCheckpointDir(f"{scratch_root(spark)}/laneguard/checkpoints")
+    sizes = {r["split"]: r["count"] for r in known.groupBy("split").count().collect()}
+    if sizes.get("train", 0) > MLLIB_ROWS:
+        rows = before.transform(known).withColumn(TARGET, F.col(TARGET).cast("double"))
+        train, valid = rows.filter("split = 'train'"), rows.filter("split = 'valid'") if sizes.get("valid") else None
+        trees = boosting.fit_blocks(GBTClassifier(maxIter=rounds, **settings), train, valid, [len(labels) + 1 for labels in before.stages[0].labelsArray],
+                                    [*NUMERIC, *HISTORY], sizes["train"], patience, patient_best)
+        return PipelineModel([*before.stages, trees])
     rows = before.transform(known).select("split", "features", F.col(TARGET).cast("double").alias(TARGET))
     rows = materialize(rows, "boosted-rows")
     train, valid = rows.filter("split = 'train'"), rows.filter("split = 'valid'")
-    bins = max(256, *[len(labels) + 1 for labels in before.stages[0].labelsArray])  # every category needs a bin
 
     def fit(n: int):
-        return GBTClassifier(labelCol=TARGET, stepSize=step, maxIter=n, maxDepth=5, maxBins=bins, minInstancesPerNode=50,
-                             featureSubsetStrategy="0.8", subsamplingRate=0.8, seed=42).fit(train)
+        return GBTClassifier(maxIter=n, **settings).fit(train)
 
-    if spark.sparkContext.getCheckpointDir() is None:  # each round builds on the errors of the one before
-        spark.sparkContext.setCheckpointDir(f"{scratch_root(spark)}/laneguard/checkpoints")
     n = rounds if valid.isEmpty() else min(rounds, 2 * patience)
     trees = fit(n)
     while not valid.isEmpty():

@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from laneguard.operators import forecast, history
+from laneguard.operators import boosting, forecast, history
 
 SCHEMA = "id int, order_date timestamp_ntz, days_real int, late int, shipping_mode string, order_region string, order_country string"
 
@@ -225,3 +225,75 @@ def test_boosted_trees_do_not_learn_from_days_with_quick_outcomes_only(spark):
     assert forecast.settled_orders(data.limit(0)).isEmpty()
     p = forecast.probability(forecast.fit_boosted(data, rounds=3, step=0.3, patience=1), data.filter("split = 'valid'"))
     assert p.agg(F.min("p")).first()[0] > 0.5  # five of seven are late
+
+
+def test_block_trees_are_those_of_mllib(spark, monkeypatch):
+    """Without drawing rows and features nothing is left to chance: the same trees, over several blocks and checkpoints."""
+    from pyspark.ml import Pipeline
+    from pyspark.ml.classification import GBTClassifier
+    from pyspark.ml.feature import StringIndexer, VectorAssembler
+
+    monkeypatch.setattr(boosting, "BLOCK", 700)
+    monkeypatch.setattr(boosting, "CUT", 2)
+    rng = np.random.default_rng(4)
+    rows = []
+    for _ in range(5000):
+        a, b, x, z = rng.choice(list("pqrst")), rng.choice(list("uvw")), float(rng.integers(0, 40)), float(rng.integers(-3, 9)) / 4
+        odds = {"p": -2, "q": 1, "r": 0, "s": 2, "t": -1}[a] + (b == "v") * 1.5 + np.sin(x / 6) - z
+        rows.append((a, b, x, z, float(rng.random() < 1 / (1 + np.exp(-odds)))))
+    data = spark.createDataFrame(rows, "a string, b string, x double, z double, late double").repartition(3)
+    stages = Pipeline(stages=[StringIndexer(inputCols=["a", "b"], outputCols=["ai", "bi"], handleInvalid="keep"), VectorAssembler(inputCols=["ai", "bi", "x", "z"], outputCol="features")]).fit(data)
+    data = stages.transform(data)
+    est = GBTClassifier(labelCol="late", maxIter=6, stepSize=0.3, maxDepth=4, maxBins=64, minInstancesPerNode=20, featureSubsetStrategy="all", subsamplingRate=1.0, seed=1)
+    ours = boosting.fit_blocks(est, data, None, [6, 4], ["x", "z"], 5000, 3, forecast.patient_best)
+    theirs = est.fit(data)
+    assert ours.getNumTrees == 6 and ours.treeWeights == theirs.treeWeights and ours.totalNumNodes == theirs.totalNumNodes
+    p = [np.array([r[0][1] for r in m.transform(data).select("probability", "a", "b", "x", "z").orderBy("a", "b", "x", "z").collect()]) for m in (ours, theirs)]
+    assert np.abs(p[0] - p[1]).max() < 1e-4 and p[0].std() > 0.1
+    assert np.allclose(ours.featureImportances.toArray(), theirs.featureImportances.toArray(), atol=0.01)
+
+
+def test_large_tables_are_boosted_without_mllib_fits(spark, sf_dir, monkeypatch, tmp_path):
+    from pyspark.ml import PipelineModel
+
+    from laneguard.plans.domain import Domain
+
+    monkeypatch.setattr(forecast, "MLLIB_ROWS", 0)
+    monkeypatch.setattr(forecast.GBTClassifier, "fit", None)
+    d = Domain(spark, sf_dir)
+    grown = []
+    grow = boosting.boosted_trees
+    monkeypatch.setattr(boosting, "boosted_trees", lambda *a: grown.append(grow(*a)) or grown[0])
+    model = forecast.fit_boosted(d.dataset, rounds=40, step=0.3, patience=4)
+    trees, losses = grown[0]
+    best, settled = forecast.patient_best(losses, 4)
+    assert settled and len(trees) == len(losses) < 40 and best + 4 <= len(trees) < best + 4 + boosting.LOOK
+    model.write().save(f"{tmp_path}/m")
+    for m in (model, PipelineModel.load(f"{tmp_path}/m")):
+        valid = m.transform(d.dataset.filter("split = 'valid'")).drop("prediction", "probability", "rawPrediction")
+        valid = valid.withColumn(forecast.TARGET, F.col(forecast.TARGET).cast("double"))
+        own = m.stages[-1].evaluateEachIteration(valid)  # MLlib's own losses of the same trees
+        assert len(own) == best == m.stages[-1].getNumTrees
+        assert np.allclose(own, np.array(losses[:best]) / valid.count(), atol=1e-5) and own[-1] < 2 * np.log(2)
+
+
+def test_bins_and_bundles_lose_nothing(spark):
+    rng = np.random.default_rng(5)
+    x = np.stack([rng.integers(0, 5, 3000), rng.integers(0, 3, 3000), rng.integers(0, 30, 3000) / 7, rng.normal(size=3000)], 1)
+    df = spark.createDataFrame([tuple(map(float, r)) for r in x], "a double, b double, c double, d double")
+    few, many = boosting.cut_points(df, ["c", "d"], 64)
+    assert len(few) == 29 and np.all(np.searchsorted(few, x[:, 2]) == np.unique(x[:, 2], return_inverse=True)[1])
+    assert 60 <= len(many) <= 63 and np.bincount(np.searchsorted(many, x[:, 3])).max() < 3000 / 64 * 1.3
+    sizes = (6, 3, 30, len(many) + 1)
+    b = boosting.Binning((None, None, few, many), sizes, boosting.bundled(sizes, 200))
+    assert sorted(f for g in b.bundles for f in g) == [0, 1, 2, 3] and len(b.bundles) < 4
+    bins = np.stack([x[:, 0], x[:, 1], np.searchsorted(few, x[:, 2]), np.searchsorted(many, x[:, 3])], 1).astype(int)
+    codes, y = b.encode(x), rng.normal(size=3000)
+    cells = boosting._empty(b)
+    boosting._count(codes, np.arange(3000), y, b, cells)
+    got = boosting._per_bin(cells, b)
+    for f, size in enumerate(sizes):
+        assert np.allclose(got[:, b.starts[f]:b.starts[f + 1]], [np.bincount(bins[:, f], minlength=size), np.bincount(bins[:, f], y, size)])
+        right = rng.random(size) < 0.5
+        k, table = b.table(f, right)
+        assert np.array_equal(table[codes[k]], right[bins[:, f]])
