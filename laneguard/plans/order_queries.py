@@ -327,7 +327,7 @@ def boosted_check(d: Domain) -> DataFrame:
 @query("j06_unseen_categories", "SELECT shipping_mode, count(*) AS n, TRUE AS valid FROM data WHERE split = 'test' GROUP BY 1", ["data"])
 def unseen(d: Domain) -> DataFrame:
     """Scores of orders whose country is new to the model: each gets a probability."""
-    strange = forecast.fold_rare(d.dataset.filter("split = 'test'").withColumn("order_country", F.lit("ATLANTIS")), d.common)
+    strange = forecast.fold_rare(d.folded.filter("split = 'test'").withColumn("order_country", F.lit("ATLANTIS")), d.common)
     return forecast.probability(d.trees, strange).groupBy("shipping_mode").agg(F.count(F.lit(1)).alias("n"), (F.count_if(F.col("p").between(0.0, 1.0)) == F.count(F.lit(1))).alias("valid"))
 
 
