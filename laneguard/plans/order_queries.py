@@ -333,7 +333,7 @@ def unseen(d: Domain) -> DataFrame:
 
 @query("j07_model_comparison")
 def comparison(d: Domain) -> DataFrame:
-    rules = forecast.majority_scores(d.split_lines).unionByName(forecast.mode_history_scores(d.dataset))
+    rules = forecast.majority_scores(d.split_lines).unionByName(forecast.mode_history_scores(d.folded))  # rates are not folded
     return forecast.metrics(rules.unionByName(linear_scores(d)).unionByName(tree_scores(d)))
 
 

@@ -297,3 +297,18 @@ def test_bins_and_bundles_lose_nothing(spark):
         right = rng.random(size) < 0.5
         k, table = b.table(f, right)
         assert np.array_equal(table[codes[k]], right[bins[:, f]])
+
+
+def test_comparison_and_unseen_countries_compute_the_history_once(spark, sf_dir):
+    from laneguard.plans import order_queries
+    from laneguard.plans.domain import Domain
+
+    d = Domain(spark, sf_dir)
+    d.__dict__["trees"] = forecast.fit_boosted(d.folded.filter("split <> 'test'"), rounds=2, step=0.3, patience=1)
+    d.__dict__["linear"] = forecast.fit_logistic(d.folded.filter("split = 'train'"), max_iter=2)
+    compared, strange = order_queries.comparison(d).collect(), order_queries.unseen(d).collect()
+    assert "dataset" not in d.__dict__
+    whole = forecast.metrics(forecast.mode_history_scores(d.dataset)).collect()
+    assert sorted(r for r in compared if r["model"] == "mode_history") == sorted(whole) and len(compared) == 8
+    modes = d.dataset.filter("split = 'test'").groupBy("shipping_mode").count().collect()
+    assert sorted((r["shipping_mode"], r["n"], r["valid"]) for r in strange) == sorted((r["shipping_mode"], r["count"], True) for r in modes)
